@@ -302,7 +302,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         open_ = member.join(mixed, "key").join(classes.select("rep", "n", "sketch"), "rep")
         block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        columns = ["key", "i", "j", "rep", "n", "component", "sketch"]
+        # new names on either side: both come from the same tables
+        columns = [F.col(c).alias(c) for c in ("key", "i", "j", "rep", "n", "component", "sketch")]
         left = open_.where("component <> main").withColumn("i", block("few")).withColumn("j", whole("many")).select(*columns)
         right = open_.withColumn("j", block("many")).withColumn("i", whole("few")).select(*columns)
         more = scratch.put(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_rest, "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti"), "more")
