@@ -1,0 +1,74 @@
+"""Violation reports: rendering findings into sections of JSON lines, and parsing them back."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lintloom.functions.text import SENTINEL, line_numbers
+
+_ITEM = "line STRING, _bad STRING"
+PARSED = "id long, code string, line string"
+
+
+def render(findings: DataFrame, codes: list[str]) -> DataFrame:
+    """O-71, A-01: one report per document. Sections stand in the order of ``codes``, an empty one holds the sentinel."""
+    item = F.struct("line_no", F.concat(F.lit('{"line": "'), F.col("line_no").cast("string"), F.lit(' x"}')).alias("text"))
+    per = findings.where(F.col("code").isin(codes)).groupBy("doc_id").agg(F.collect_list(F.struct("code", item.alias("item"))).alias("found"))
+    section = lambda c: F.concat(F.lit(f"**Idiom {c} Violations:**\n"), F.when(F.exists("found", lambda f: f["code"] == c), F.array_join(F.transform(F.array_sort(F.transform(F.filter("found", lambda f: f["code"] == c), lambda f: f["item"])), lambda i: i["text"]), "\n")).otherwise(F.lit(SENTINEL)))
+    return per.select("doc_id", F.concat_ws("\n\n", *(section(c) for c in codes)).alias("report"))
+
+
+def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report") -> DataFrame:
+    """O-60 natively: (id, code, line_nos) of each JSON line of a report.
+
+    A header's code holds for the lines below it, so lines are folded within their report: no window, no shuffle.
+    Blank lines, sentinels and lines that aren't one JSON object are left out; before any header the code is null.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast("array<struct<code:string,line:string>>").alias("out"))
+
+    def step(acc, raw):
+        line = F.btrim(raw)
+        code = F.regexp_extract(line, r"^\*\*Idiom (\S+) Violations:\*\*$", 1)
+        item = line.startswith("{") & line.endswith("}")
+        return F.struct(
+            F.when(code != "", code).otherwise(acc["code"]).alias("code"),
+            F.when(item, F.concat(acc["out"], F.array(F.struct(acc["code"].alias("code"), line.alias("line"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    folded = F.aggregate(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), start, step, lambda acc: acc["out"])
+    rows = reports.select(F.col(id_col).alias("id"), F.explode(folded).alias("v"))
+    read = F.from_json("v.line", T.StructType([T.StructField("line", T.StringType()), T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    return rows.withColumn("j", read).where("j._bad IS NULL").select("id", F.col("v.code").alias("code"), line_numbers(F.col("j.line")).alias("line_nos"))
+
+
+def parse_text(text: str | None) -> list[tuple[str | None, str | None]]:
+    """O-60 strictly, with Python's JSON: (code, line) of each object of a report."""
+    out, code = [], None
+    for raw in (text or "").split("\n"):
+        line = raw.strip()
+        if line.startswith("**Idiom") and line.endswith("Violations:**"):
+            code = line[len("**Idiom") : -len("Violations:**")].strip()
+        elif line and line != SENTINEL:
+            try:
+                found = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(found, dict):
+                held = found.get("line")
+                out.append((code, held if isinstance(held, str) else None))
+    return out
+
+
+def parse_strict(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report") -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, c, line) for i, text in zip(pdf["id"], pdf["text"], strict=True) for c, line in parse_text(text)]
+            yield pd.DataFrame(rows, columns=["id", "code", "line"])
+
+    return reports.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, PARSED)
