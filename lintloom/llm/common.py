@@ -58,6 +58,25 @@ def hash01(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+#: Bits of a filter of ids: 4 MB at most, however many ids there are.
+FILTER_BITS = 1 << 24
+
+
+def flag_ids(df: DataFrame, ids: DataFrame, flag: str = "flagged") -> DataFrame:
+    """``df`` with a column that is false only where doc_id isn't among the doc_ids of ``ids``.
+
+    The ids are hashed into a bitmap of FILTER_BITS, which is sent to all executors: its size is bounded by
+    FILTER_BITS / 64 rows. True needs confirming by a join; with many more ids than bits most rows are flagged and
+    the join does all the work. It keeps rows with texts from being shuffled for a join with few ids.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    words = ids.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
+    marked = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, _bit) & 1L") == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return marked.select(*(F.col(c) for c in df.columns), hit.alias(flag))
+
+
 def crc_rest(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

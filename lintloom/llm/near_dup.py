@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintloom.llm.common import Scratch, map_texts, table
+from lintloom.llm.common import Scratch, flag_ids, map_texts, table
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 75
@@ -204,8 +204,9 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that reach the threshold on full sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.put(map_texts(docs.join(wanted, "doc_id", "left_semi"), "doc_id long, shingles binary", lambda: _sets).dropDuplicates(["doc_id"]), "sets")
+    wanted = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    near = flag_ids(docs, wanted).where("flagged").select("doc_id", "text")
+    sets = scratch.put(map_texts(near.join(wanted, "doc_id", "left_semi"), "doc_id long, shingles binary", lambda: _sets).dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     test = lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
     out = scratch.put(both.select("a", "b", "x", "y").mapInArrow(_keep(test, ("x", "y")), "a long, b long"), "links")
