@@ -16,8 +16,8 @@ import numpy as np
 import public_tokenizers
 import regex
 
-#: Words and pre-tokens kept with their ids by a worker; a store is emptied when it is full.
-MEMO_TOKENS = 400_000
+#: Words and pre-tokens kept with their ids during a task; a store is emptied when it is full.
+MEMO_WORDS, MEMO_TOKENS = 200_000, 100_000
 #: Bytes of a pre-token up to which it is kept.
 MEMO_BYTES = 40
 #: Bytes of a pre-token up to which it is merged in a matrix.
@@ -248,7 +248,7 @@ class Bpe:
         """
         memo = self.words
         split = [t.split(" ") for t in texts]
-        if len(memo) > MEMO_TOKENS:
+        if len(memo) > MEMO_WORDS:
             memo.clear()
         missing = set().union(*[words[1:] for words in split]).difference(memo)
         sound = []
@@ -276,6 +276,10 @@ class Bpe:
             at += len(pieces)
         return out
 
+    def reset(self) -> None:
+        """Empties the stores."""
+        self.words, self.pieces = {}, {}
+
     def digits(self, ids: np.ndarray) -> bytes:
         """The ids in decimal, joined by commas."""
         return b",".join(map(self.decimal.__getitem__, ids.tolist()))
@@ -284,9 +288,16 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=4)
-def load(file: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:
+@lru_cache(maxsize=2)
+def _load(file: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:
     """The encoder of a rank file: lines of a base64 token and its rank."""
     with open(file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return Bpe(ranks, pattern)
+
+
+def load(file: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:
+    """The encoder of a rank file, with empty stores. A worker reads a file once."""
+    coder = _load(file, pattern)
+    coder.reset()
+    return coder

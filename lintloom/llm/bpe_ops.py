@@ -37,6 +37,7 @@ def encode(df: DataFrame, file: str | None = None, *, id_col: str = "doc_id", te
                 columns["ids"] = pa.array([x.astype("int32") for x in ids], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
+        work.close = coder.reset
         return work
 
     kind = df.schema[id_col].dataType.simpleString()

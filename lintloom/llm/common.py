@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,15 +94,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Gives memory that a finished task has freed back to the system; workers live on and share an executor's limit."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over slices. ``make`` runs once a task and returns what maps one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for part in slices(batches):
-            out = work(part)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            for part in slices(batches):
+                out = work(part)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            getattr(work, "close", lambda: None)()
+            del work
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -133,7 +149,10 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
-        for part in slices(batches):
-            yield part.filter(pa.array(test(part.column(part.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+        try:
+            for part in slices(batches):
+                yield part.filter(pa.array(test(part.column(part.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+        finally:
+            release()
 
     return df.mapInArrow(run, df.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintloom.llm import bpe
-from lintloom.llm.common import slices, table
+from lintloom.llm.common import release, slices, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -97,6 +97,8 @@ def _cut(file: str, capacity: int, groups: int):
             columns = list(zip(*out, strict=True))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "uid"])
+        coder.reset()
+        release()
 
     return run
 
