@@ -40,7 +40,6 @@ def query(sql: str | None = None):
 
 
 R = "SELECT/*rules*/"
-count = F.count("*")
 pct = lambda a, b: F.round(100 * a / b, 2)
 
 
@@ -50,8 +49,8 @@ pct = lambda a, b: F.round(100 * a / b, 2)
 @query(R + " lang, code, count(DISTINCT doc_id) AS n_docs, count(*) AS n_findings FROM gold GROUP BY lang, code")
 def lint_rule_frequency(t):
     """A-10: documents and findings by rule and language."""
-    per = t.gold.groupBy("lang", "code", "doc_id").agg(count.alias("n"))
-    return per.groupBy("lang", "code").agg(count.alias("n_docs"), F.sum("n").alias("n_findings"))
+    per = t.gold.groupBy("lang", "code", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("lang", "code").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_findings"))
 
 
 @query(R + """ grp, count(DISTINCT doc_id) AS n_docs, round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 2) AS percent
@@ -60,21 +59,21 @@ def lint_tool_group_share(t):
     """A-10 with its row for all groups, which isn't their sum."""
     seen = t.gold.select("doc_id", rules.group_of(F.col("code")).alias("grp"))
     both = seen.union(seen.select("doc_id", F.lit("all"))).distinct()
-    total = t.documents.agg(count.alias("total"))
-    return both.groupBy("grp").agg(count.alias("n_docs")).crossJoin(F.broadcast(total)).select("grp", "n_docs", pct(F.col("n_docs"), F.col("total")).alias("percent"))
+    total = t.documents.agg(F.count("*").alias("total"))
+    return both.groupBy("grp").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("grp", "n_docs", pct(F.col("n_docs"), F.col("total")).alias("percent"))
 
 
 @query(R + " k AS n_findings, count(*) AS n_docs FROM (SELECT d.doc_id, count(g.code) AS k FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id GROUP BY d.doc_id) GROUP BY k")
 def violation_histogram(t):
     """A-11."""
     rows = t.documents.select("doc_id", F.lit(0).alias("k")).union(t.gold.select("doc_id", F.lit(1)))
-    return rows.groupBy("doc_id").agg(F.sum("k").alias("n_findings")).groupBy("n_findings").agg(count.alias("n_docs"))
+    return rows.groupBy("doc_id").agg(F.sum("k").alias("n_findings")).groupBy("n_findings").agg(F.count("*").alias("n_docs"))
 
 
 @query(R + " code AS pattern, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM gold GROUP BY code")
 def pattern_frequency(t):
     """A-06, O-97."""
-    per = t.gold.groupBy(F.col("code").alias("pattern")).agg(count.alias("n"))
+    per = t.gold.groupBy(F.col("code").alias("pattern")).agg(F.count("*").alias("n"))
     return per.select("pattern", "n", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy()), 4).alias("percent"))
 
 
@@ -82,7 +81,7 @@ def pattern_frequency(t):
   SELECT CASE WHEN n * 100 < 10 * sum(n) OVER () THEN 'Others' ELSE code END AS name, n FROM (SELECT code, count(*) AS n FROM gold GROUP BY code)) GROUP BY name""")
 def others_bucket(t):
     """A-08: patterns with less than a tenth of all findings are one row."""
-    per = t.gold.groupBy("code").agg(count.alias("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
+    per = t.gold.groupBy("code").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(W.partitionBy()))
     return per.groupBy(F.when(F.col("n") * 100 < 10 * F.col("total"), "Others").otherwise(F.col("code")).alias("name")).agg(F.sum("n").alias("n"))
 
 
@@ -93,8 +92,8 @@ def cooccurrence(t):
     """A-09, J-16: pairs of patterns in one document. The codes of a document meet in one array: no self join."""
     own = t.gold.groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("c"))
     crossed = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = own.select(F.explode(crossed).alias("p")).groupBy("p.a", "p.b").agg(count.alias("n_docs"))
-    n = own.select(F.explode("c").alias("code")).groupBy("code").agg(count.alias("n"))
+    both = own.select(F.explode(crossed).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n_docs"))
+    n = own.select(F.explode("c").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     out = both.join(n.select(F.col("code").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("code").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", "n_docs", F.round(F.col("n_docs") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("score"))
 
@@ -111,7 +110,7 @@ def docs_keep_last(t):
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def docs_exact_dedup(t):
     """O-45: the first document of each text; texts meet by digest, not whole."""
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), count.alias("copies")).select("doc_id", "copies")
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -229,7 +228,7 @@ def truncate_middle(t):
 def cost_estimate(t):
     """A-16, with a token for every four characters."""
     tokens = F.floor(F.col("n_chars") / 4)
-    return t.documents.groupBy("source").agg(count.alias("n"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"), F.count(F.when(tokens + 512 <= 3000, 1)).alias("n_fit"), F.round(F.sum(tokens) / 1e6 * 0.15, 6).alias("dollars"))
+    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"), F.count(F.when(tokens + 512 <= 3000, 1)).alias("n_fit"), F.round(F.sum(tokens) / 1e6 * 0.15, 6).alias("dollars"))
 
 
 @query("""SELECT page_id, 'walrus' AS rule, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) WHERE contains(line, ':=') GROUP BY page_id
@@ -238,7 +237,7 @@ WHERE length(line) < 500 AND regexp_matches(regexp_replace(line, '"[^"]*"|''[^''
 def regex_token_rules(t):
     """T-32, T-34."""
     each = t.pages.select("page_id", F.explode(text.lines(F.col("html"))).alias("line"))
-    return each.select("page_id", F.explode(patterns.token_rules(F.col("line"))).alias("rule")).groupBy("page_id", "rule").agg(count.alias("n"))
+    return each.select("page_id", F.explode(patterns.token_rules(F.col("line"))).alias("rule")).groupBy("page_id", "rule").agg(F.count("*").alias("n"))
 
 
 # --- chats and mixes
@@ -346,7 +345,7 @@ def per_rule_violation_sample(t):
 def train_test_split(t):
     """S-05, S-06: an exact share in random order, ranked over all tasks."""
     x = t.documents.select("doc_id", F.lit(1).alias("one"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-5"))).alias("h"))
-    n = t.documents.agg(count.alias("n"))
+    n = t.documents.agg(F.count("*").alias("n"))
     rows = keys.ranked(x, "one", [F.col("h"), F.col("doc_id")], "r").crossJoin(F.broadcast(n))
     return rows.select("doc_id", F.when(F.col("r") <= F.floor(F.lit(0.8) * F.col("n")), "train").otherwise("test").alias("part"))
 
@@ -391,7 +390,7 @@ def shortest_valid_topk(t):
 @query(f"WITH {_SAMPLES} SELECT id, count(*) AS n, round(max(reward) - min(reward), 6) AS spread, string_agg(idx || ':' || CAST(valid AS VARCHAR), ',' ORDER BY idx) AS flags FROM samples GROUP BY id")
 def rollout_rewards(t):
     """P-02, A-14: samples of an id in their order."""
-    s = _samples(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "valid"))).alias("s"), count.alias("n"), F.round(F.max("reward") - F.min("reward"), 6).alias("spread"))
+    s = _samples(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "valid"))).alias("s"), F.count("*").alias("n"), F.round(F.max("reward") - F.min("reward"), 6).alias("spread"))
     return s.select("id", "n", "spread", F.array_join(F.transform("s", lambda x: F.concat(x["idx"].cast("string"), F.lit(":"), x["valid"].cast("string"))), ",").alias("flags"))
 
 
@@ -448,14 +447,14 @@ def group_macro(t):
 def instruction_follow(t):
     """M-07: documents without a predicted code that isn't their own."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.max(((F.col("n_pred") > 0) & (F.col("n_gold") == 0)).cast("int")).alias("bad"))
-    return per.agg(F.round(1 - F.sum("bad") / count, 6).alias("rate"), count.alias("n_docs"))
+    return per.agg(F.round(1 - F.sum("bad") / F.count("*"), 6).alias("rate"), F.count("*").alias("n_docs"))
 
 
 @query(_ALIGNED + "SELECT round(avg(same), 6) AS overlap, count(*) AS n_docs FROM (SELECT doc_id, min(CASE WHEN n_gold = n_pred THEN 1 ELSE 0 END) AS same FROM per GROUP BY doc_id)")
 def coarse_overlap(t):
     """M-09: documents with equal counts of each code."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.min((F.col("n_gold") == F.col("n_pred")).cast("int")).alias("same"))
-    return per.agg(F.round(F.avg("same"), 6).alias("overlap"), count.alias("n_docs"))
+    return per.agg(F.round(F.avg("same"), 6).alias("overlap"), F.count("*").alias("n_docs"))
 
 
 @query(_ALIGNED + "SELECT code, round(avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END), 6) AS precision, round(avg(n_hit / n_gold), 6) AS recall FROM per WHERE n_gold > 0 GROUP BY code")
@@ -490,7 +489,7 @@ def no_violation_accuracy(t):
     """A-12: of documents without findings, the share where none is predicted."""
     clean = t.documents.select("doc_id", "lang").join(t.gold.select("doc_id").distinct(), "doc_id", "left_anti")
     hit = t.pred.select("doc_id").distinct().withColumn("hit", F.lit(1))
-    return clean.join(hit, "doc_id", "left").groupBy("lang").agg(count.alias("n"), F.round(F.avg(1 - F.coalesce("hit", F.lit(0))), 6).alias("accuracy"))
+    return clean.join(hit, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(1 - F.coalesce("hit", F.lit(0))), 6).alias("accuracy"))
 
 
 @query(_ALIGNED + "SELECT doc_id, code FROM per WHERE n_gold > 0 AND n_pred > 0 AND n_hit = 0")
@@ -508,7 +507,7 @@ def missed_documents(t):
 @query("SELECT round(sum(quality * toxic) / nullif(sum(toxic), 0), 6) AS precision, round(sum(quality * toxic) / nullif(sum(quality), 0), 6) AS recall, count(*) AS n FROM labels")
 def label_pr(t):
     """M-04 over two label columns."""
-    return t.labels.agg(F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("toxic"), F.lit(0)), 6).alias("precision"), F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("quality"), F.lit(0)), 6).alias("recall"), count.alias("n"))
+    return t.labels.agg(F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("toxic"), F.lit(0)), 6).alias("precision"), F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("quality"), F.lit(0)), 6).alias("recall"), F.count("*").alias("n"))
 
 
 @query("""SELECT round((po - pe) / nullif(1 - pe, 0), 6) AS kappa, n FROM (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1 ELSE 0 END) AS po,
