@@ -282,12 +282,15 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         features.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
     entries = classes.select("rep", F.explode("bands").alias("key"))
-    shared = scratch.put(entries.join(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key"), "shared")
+    # counts and pivots are tables of their own, so that a hot key of the joins with them can be split over tasks
+    counts = scratch.put(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    shared = scratch.put(entries.join(counts, "key"), "shared")
 
     few = shared.where(F.col("m") <= SMALL)
     pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
     large = shared.where(F.col("m") > SMALL)
-    pivots = large.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep"))["rep"] for i in range(PIVOTS))).alias("p")).select("key", F.explode(F.array_distinct("p")).alias("p"))
+    pivots = large.groupBy("key").agg(F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep"))["rep"] for i in range(PIVOTS))).alias("p"))
+    pivots = scratch.put(pivots.select("key", F.explode(F.array_distinct("p")).alias("p")), "pivots")
     starred = large.join(pivots, "key").where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
     candidates = scratch.put(_plausible(pairs.union(starred).distinct(), classes), "candidates")
     links = _confirmed(candidates, docs, scratch)
