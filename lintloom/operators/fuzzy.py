@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,15 @@ def ratio(a: str, b: str) -> int:
     return round(200 * common / (len(a) + len(b)))
 
 
+def similar(a: str, b: str, percent: int) -> bool:
+    """Whether the ratio reaches ``percent``; lengths and characters that rule it out are looked at first."""
+    n, m = len(a), len(b)
+    if 200 * min(n, m) < (percent - 1) * (n + m):
+        return False
+    common = sum((Counter(a) & Counter(b)).values())
+    return 200 * common >= (percent - 1) * (n + m) and ratio(a, b) >= percent
+
+
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 

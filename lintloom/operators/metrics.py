@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lintloom.operators.fuzzy import similar
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -89,3 +94,82 @@ def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
     ranked = d.select("up", "down", (before + (n + 1) / 2).alias("rank"))
     plus, minus = F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)), F.coalesce(F.sum(F.col("down") * F.col("rank")), F.lit(0.0))
     return ranked.agg(plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"), F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+
+
+def first_lines(findings: DataFrame) -> DataFrame:
+    """The first line of each run of consecutive lines of a document and code."""
+    rows = findings.select("doc_id", "code", "line_no").distinct()
+    before = F.lag("line_no").over(W.partitionBy("doc_id", "code").orderBy("line_no"))
+    return rows.withColumn("_before", before).where("_before IS NULL OR _before < line_no - 1").drop("_before")
+
+
+def listed_macro(per_code: DataFrame, codes: list[str]) -> DataFrame:
+    """M-06: means over all listed codes; one that no document has counts as 0."""
+    spark = per_code.sparkSession
+    rows = spark.createDataFrame([(c,) for c in codes], "code string").join(per_code, "code", "left").fillna(0.0, ["p", "r"])
+    means = rows.agg(F.avg("p").alias("p"), F.avg("r").alias("r"), F.count("*").alias("n_codes"))
+    return means.select(F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f_score(F.col("p"), F.col("r")), 6).alias("f1"), "n_codes")
+
+
+def presence(gold: DataFrame, pred: DataFrame, docs: DataFrame, codes: list[str]) -> DataFrame:
+    """M-08, M-22: of each document, whether any listed code is there (g) and is predicted (p), and whether they agree."""
+    own = F.col("code").isin(codes)
+    marks = docs.select("doc_id", F.lit(0).alias("g"), F.lit(0).alias("p")).union(gold.where(own).select("doc_id", F.lit(1), F.lit(0))).union(pred.where(own).select("doc_id", F.lit(0), F.lit(1)))
+    return marks.groupBy("doc_id").agg(F.max("g").alias("g"), F.max("p").alias("p")).withColumn("correct", (F.col("g") == F.col("p")).cast("int"))
+
+
+def subset_means(per_code: DataFrame, subsets: dict[str, list[str]], legacy: bool = False) -> DataFrame:
+    """M-14: mean F of each subset of codes; a code without findings counts as 0.
+
+    ``legacy`` gives the older figures: the last two subsets are each filled up with zeros for the codes of the other.
+    """
+    names = list(subsets)
+    pairs = [(n, c, 1.0) for n in names for c in subsets[n]]
+    if legacy:
+        a, b = names[-2:]
+        pairs += [(a, c, 0.0) for c in subsets[b] if c not in subsets[a]] + [(b, c, 0.0) for c in subsets[a] if c not in subsets[b]]
+    dim = per_code.sparkSession.createDataFrame(pairs, "subset string, code string, own double")
+    scored = per_code.select("code", f_score(F.col("p"), F.col("r")).alias("f"))
+    return dim.join(scored, "code", "left").groupBy("subset").agg(F.round(F.avg(F.col("own") * F.coalesce("f", F.lit(0.0))), 6).alias("f1"), F.count("*").alias("n_codes"))
+
+
+def by_step(gold: DataFrame, pred: DataFrame, step: str, group: Column) -> DataFrame:
+    """A-19: M-05 of each step and tool group, and of all groups; rounded half to even to four places."""
+    one = lambda df, g, p: df.select(step, "doc_id", "code", F.lit(g).alias("g"), F.lit(p).alias("p"))
+    seen = one(gold, 1, 0).union(one(pred, 0, 1)).groupBy(step, "doc_id", "code").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    sums = seen.groupBy(step, "code").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("g").alias("ng"), F.sum("p").alias("np")).where("ng > 0")
+    rows = sums.select(step, F.explode(F.array(group, F.lit("all"))).alias("grp"), ratio(F.col("tp"), F.col("np")).alias("p"), (F.col("tp") / F.col("ng")).alias("r"))
+    means = rows.groupBy(step, "grp").agg(F.avg("p").alias("p"), F.avg("r").alias("r"))
+    return means.select(step, "grp", F.bround("p", 4).alias("precision"), F.bround("r", 4).alias("recall"), F.bround(f_score(F.col("p"), F.col("r")), 4).alias("f1"))
+
+
+def paired_t(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """M-21: the statistic of the paired t-test; null for less than two pairs or equal differences."""
+    d = F.col(x) - F.col(y)
+    t = pairs.agg(F.count(d).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
+    return t.select("n", F.round(F.col("m"), 6).alias("mean"), F.round(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))), 4).alias("t"))
+
+
+def text_localization(gold: DataFrame, pred: DataFrame, percent: int = 90) -> DataFrame:
+    """M-12, M-15 over (doc_id, code, line): by code, mean shares of lines with an equal, or a similar, line on the other side.
+
+    Only codes on both sides of a document count. Lines of a document and code meet in one row; no pairs are emitted.
+    The shares are of their own side, so precision can't pass 1.
+    """
+    texts = lambda df, name: df.where("line IS NOT NULL").groupBy("doc_id", "code").agg(F.sort_array(F.collect_list("line")).alias(name))
+    shares = F.pandas_udf(lambda a, b: match_shares(a, b, percent), "em_p double, em_r double, fz_p double, fz_r double")
+    both = texts(gold, "a").join(texts(pred, "b"), ["doc_id", "code"]).select("code", shares("a", "b").alias("m"))
+    mean = lambda c: F.round(F.avg(f"m.{c}"), 6)
+    return both.groupBy("code").agg(F.count("*").alias("n_docs"), mean("em_p").alias("precision"), mean("em_r").alias("recall"), mean("fz_p").alias("fuzzy_precision"), mean("fz_r").alias("fuzzy_recall"))
+
+
+def match_shares(gold: pd.Series, pred: pd.Series, percent: int) -> pd.DataFrame:
+    """Of each row's two lists: shares of the predicted and of the gold lines with an equal, then with a similar, partner."""
+    out = []
+    for a, b in zip(gold, pred, strict=True):
+        x, y = Counter(a), Counter(b)
+        exact_p, exact_r = sum(n for s, n in y.items() if s in x), sum(n for s, n in x.items() if s in y)
+        fuzzy_p = exact_p + sum(n for s, n in y.items() if s not in x and any(similar(s, t, percent) for t in x))
+        fuzzy_r = exact_r + sum(n for s, n in x.items() if s not in y and any(similar(s, t, percent) for t in y))
+        out.append((exact_p / len(b), exact_r / len(a), fuzzy_p / len(b), fuzzy_r / len(a)))
+    return pd.DataFrame(out, columns=["em_p", "em_r", "fz_p", "fz_r"])

@@ -67,6 +67,23 @@ def _global_in_except(node):
             yield node, "error" if used & set(g.names) else "warning"
 
 
+@detector("try_else", ast.Try)
+def _try_else(node):
+    if not (node.handlers and node.orelse):
+        return
+    declared = lambda body: {n for x in body if isinstance(x, ast.Global) for n in x.names}
+    caught = declared([x for h in node.handlers for x in h.body])
+    yield node, "block"
+    if caught:
+        yield node, "global_in_except"
+    if caught & {x.id for part in node.orelse for x in ast.walk(part) if isinstance(x, ast.Name)}:
+        yield node, "global_used_in_else"
+    if declared(node.body):
+        yield node, "global_in_try"
+    if declared(node.orelse):
+        yield node, "global_in_else"
+
+
 @detector("gh_118216", ast.ImportFrom)
 def _relative_future(node):
     if node.level and node.module == "__future__":
@@ -402,6 +419,11 @@ def token_rules(line: Column) -> Column:
     return F.array_compact(F.array(F.when(F.contains(line, F.lit(":=")), F.lit("walrus")), F.when((F.length(line) < 500) & bare.rlike("[A-Za-z0-9_]:=[A-Za-z0-9_]"), F.lit("walrus_strict"))))
 
 
+def generic_class(line: Column) -> Column:
+    """T-33: the header of a class with type parameters."""
+    return line.rlike(r"class[ \t]+[A-Za-z0-9_]+[ \t]*\[[^\]]*\]:")
+
+
 def unsafe_random(code: Column) -> Column:
     """T-36: a secret-like name is assigned from the random module, and the secrets module isn't used."""
     safe = r"(secrets\.|SystemRandom|os\.urandom|uuid4|token_hex|token_bytes|token_urlsafe)"

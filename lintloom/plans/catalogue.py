@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintloom.functions import chat, rules, text
-from lintloom.operators import decontaminate, fuzzy, keys, metrics, pairs, patterns, reports
+from lintloom.operators import decontaminate, joins, keys, metrics, pairs, patterns, reports
+from lintloom.plans import inventory
+from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, ORACLE, QUERIES, R, pct, query, seed_sql
 from lintloom.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-CODES = ["R_LONG", "R_TRAIL", "R_BLANK2", "R_DUPLINE", "R_UPPER", "R_SHORTDOC", "R_DIGIT", "R_NONASCII"]
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name == "gold":
-            return rules.violations(self.documents, "lang", "source")
-        if name == "pred":
-            return rules.predictions(self.gold)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLE[f.__name__] = "WITH " + rules.SQL + sql if sql.lstrip().startswith((",", "SELECT/*rules*/")) else sql
-        return f
-
-    return add
-
-
-R = "SELECT/*rules*/"
-pct = lambda a, b: F.round(100 * a / b, 2)
-
+__all__ = ["ORACLE", "QUERIES", "inventory"]
 
 # --- findings
 
@@ -298,11 +269,7 @@ def mixer_test(t):
 # --- sampling
 
 
-def _order(seed: int) -> str:
-    return f"md5(doc_id || '-{seed}'), doc_id"
-
-
-@query(", x AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents) " + f"SELECT doc_id, source, flagged FROM (SELECT *, row_number() OVER (PARTITION BY source, flagged ORDER BY {_order(42)}) AS r FROM x) WHERE r <= 5")
+@query(", x AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents) " + f"SELECT doc_id, source, flagged FROM (SELECT *, row_number() OVER (PARTITION BY source, flagged ORDER BY {seed_sql(42)}) AS r FROM x) WHERE r <= 5")
 def stratified_ceiling(t):
     """S-02: at most five of each source with, and without, findings."""
     return keys.sampled(_flagged(t, "source"), ["source", "flagged"], "doc_id", 42, 5)
@@ -314,7 +281,7 @@ def _flagged(t, *columns: str) -> DataFrame:
 
 
 @query(", x AS (SELECT doc_id, lang, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), " + f"""k AS (SELECT lang, least(count(*) FILTER (WHERE flagged), 30) AS k FROM x GROUP BY lang),
-s AS (SELECT x.*, k, row_number() OVER (PARTITION BY x.lang, flagged ORDER BY {_order(7)}) AS r FROM x JOIN k USING (lang))
+s AS (SELECT x.*, k, row_number() OVER (PARTITION BY x.lang, flagged ORDER BY {seed_sql(7)}) AS r FROM x JOIN k USING (lang))
 SELECT doc_id, lang, flagged, CASE WHEN r <= least(20, floor(20.0 * k / 30)) THEN 'train' ELSE 'test' END AS part FROM s WHERE r <= k""")
 def ceiling_split(t):
     """S-04: as many rows of either kind as have findings, 30 at most, two thirds of them for training."""
@@ -325,7 +292,7 @@ def ceiling_split(t):
     return rows.select("doc_id", "lang", "flagged", F.when(F.col("r") <= F.least(F.lit(20), F.floor(20.0 * F.col("k") / 30)), "train").otherwise("test").alias("part"))
 
 
-@query(", x AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), k AS (SELECT least(CAST(floor(0.1 * count(*) FILTER (WHERE flagged)) AS BIGINT), count(*) FILTER (WHERE NOT flagged)) AS k FROM x) " + f"SELECT doc_id, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY {_order(3)}) AS r FROM x) CROSS JOIN k WHERE flagged OR r <= k")
+@query(", x AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), k AS (SELECT least(CAST(floor(0.1 * count(*) FILTER (WHERE flagged)) AS BIGINT), count(*) FILTER (WHERE NOT flagged)) AS k FROM x) " + f"SELECT doc_id, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY {seed_sql(3)}) AS r FROM x) CROSS JOIN k WHERE flagged OR r <= k")
 def neutral_balance(t):
     """S-01: all rows with findings, and a tenth as many without. The threshold is the k-th least hash, found by ranks over all tasks."""
     x = _flagged(t)
@@ -335,13 +302,13 @@ def neutral_balance(t):
     return x.where("flagged").union(chosen)
 
 
-@query(", x AS (SELECT DISTINCT doc_id, code FROM gold) " + f"SELECT doc_id, code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {_order(11)}) AS r FROM x) WHERE r <= 20")
+@query(", x AS (SELECT DISTINCT doc_id, code FROM gold) " + f"SELECT doc_id, code FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY {seed_sql(11)}) AS r FROM x) WHERE r <= 20")
 def per_rule_violation_sample(t):
     """S-07: twenty documents of each rule."""
     return keys.sampled(t.gold.select("doc_id", "code").distinct(), ["code"], "doc_id", 11, 20)
 
 
-@query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_order(5)}) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents")
+@query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {seed_sql(5)}) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents")
 def train_test_split(t):
     """S-05, S-06: an exact share in random order, ranked over all tasks."""
     x = t.documents.select("doc_id", F.lit(1).alias("one"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-5"))).alias("h"))
@@ -350,7 +317,7 @@ def train_test_split(t):
     return rows.select("doc_id", F.when(F.col("r") <= F.floor(F.lit(0.8) * F.col("n")), "train").otherwise("test").alias("part"))
 
 
-@query(", x AS (SELECT d.doc_id, d.source, count(DISTINCT g.code) AS n_codes FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id WHERE d.n_chars <= 4000 GROUP BY d.doc_id, d.source) " + f"SELECT doc_id, source, n_codes FROM (SELECT *, row_number() OVER (PARTITION BY source, n_codes ORDER BY {_order(13)}) AS r FROM x) WHERE r <= 3")
+@query(", x AS (SELECT d.doc_id, d.source, count(DISTINCT g.code) AS n_codes FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id WHERE d.n_chars <= 4000 GROUP BY d.doc_id, d.source) " + f"SELECT doc_id, source, n_codes FROM (SELECT *, row_number() OVER (PARTITION BY source, n_codes ORDER BY {seed_sql(13)}) AS r FROM x) WHERE r <= 3")
 def strata_cap(t):
     """S-08: three of each source and number of rules; long texts go first."""
     docs = t.documents.where("n_chars <= 4000").select("doc_id", "source")
@@ -396,14 +363,6 @@ def rollout_rewards(t):
 
 # --- reports and metrics
 
-_ALIGNED = """, al AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.code, b.code) AS code, CASE WHEN a.doc_id IS NULL THEN 0 ELSE 1 END AS g, CASE WHEN b.doc_id IS NULL THEN 0 ELSE 1 END AS p
-  FROM (SELECT DISTINCT doc_id, code, line_no FROM gold) a FULL JOIN (SELECT DISTINCT doc_id, code, line_no FROM pred) b ON a.doc_id = b.doc_id AND a.code = b.code AND a.line_no = b.line_no),
-per AS (SELECT doc_id, code, sum(g) AS n_gold, sum(p) AS n_pred, sum(g * p) AS n_hit FROM al GROUP BY doc_id, code)
-"""
-_DETECT = _ALIGNED + """, det AS (SELECT code, sum(CASE WHEN n_gold > 0 AND n_pred > 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN n_gold > 0 THEN 1 ELSE 0 END) AS ng, sum(CASE WHEN n_pred > 0 THEN 1 ELSE 0 END) AS np FROM per GROUP BY code),
-pr AS (SELECT *, CASE WHEN np = 0 THEN 0 ELSE tp / np END AS p, CASE WHEN ng = 0 THEN 0 ELSE tp / ng END AS r FROM det)
-"""
-_F1 = "CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END"
 
 
 @query(R + " DISTINCT doc_id AS id, code, line_no FROM gold")
@@ -413,58 +372,58 @@ def parse_report(t):
     return found.select("id", "code", F.explode("line_nos").alias("line_no")).distinct()
 
 
-@query(_ALIGNED + f"SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({_F1}, 6) AS f1 FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)")
+@query(ALIGNED + f"SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1 FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)")
 def line_localization(t):
     """M-01."""
     return metrics.line_localization(t.gold, t.pred)
 
 
-@query(_ALIGNED + "SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE h / p END), 6) AS precision, round(avg(CASE WHEN g = 0 THEN 0 ELSE h / g END), 6) AS recall, count(*) AS n_docs FROM (SELECT doc_id, sum(g) AS g, sum(p) AS p, sum(g * p) AS h FROM al GROUP BY doc_id)")
+@query(ALIGNED + "SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE h / p END), 6) AS precision, round(avg(CASE WHEN g = 0 THEN 0 ELSE h / g END), 6) AS recall, count(*) AS n_docs FROM (SELECT doc_id, sum(g) AS g, sum(p) AS p, sum(g * p) AS h FROM al GROUP BY doc_id)")
 def overall_match(t):
     """M-03."""
     return metrics.overall_match(t.gold, t.pred)
 
 
-@query(_DETECT + "SELECT code, CAST(tp AS BIGINT) AS tp, CAST(ng AS BIGINT) AS n_gold, CAST(np AS BIGINT) AS n_pred, round(p, 6) AS precision, round(r, 6) AS recall FROM pr")
+@query(DETECT + "SELECT code, CAST(tp AS BIGINT) AS tp, CAST(ng AS BIGINT) AS n_gold, CAST(np AS BIGINT) AS n_pred, round(p, 6) AS precision, round(r, 6) AS recall FROM pr")
 def detection_pr(t):
-    """M-04."""
+    """M-04, M-10."""
     return metrics.detection(t.gold, t.pred).select("code", "tp", "n_gold", "n_pred", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"))
 
 
-@query(_DETECT + f"SELECT 'all' AS grp, round(p, 6) AS precision, round(r, 6) AS recall, round({_F1}, 6) AS f1, n_codes FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr WHERE ng > 0)")
+@query(DETECT + f"SELECT 'all' AS grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr WHERE ng > 0)")
 def detection_macro(t):
     """M-05."""
     return metrics.macro(metrics.detection(t.gold, t.pred))
 
 
-@query(_DETECT + f"SELECT grp, round(p, 6) AS precision, round(r, 6) AS recall, round({_F1}, 6) AS f1, n_codes FROM (SELECT grp, avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr JOIN groups USING (code) WHERE ng > 0 GROUP BY grp)")
+@query(DETECT + f"SELECT grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT grp, avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr JOIN groups USING (code) WHERE ng > 0 GROUP BY grp)")
 def group_macro(t):
     """M-05 by tool group."""
     return metrics.macro(metrics.detection(t.gold, t.pred), rules.group_of(F.col("code")))
 
 
-@query(_ALIGNED + "SELECT round(1 - sum(bad) / count(*), 6) AS rate, count(*) AS n_docs FROM (SELECT doc_id, max(CASE WHEN n_pred > 0 AND n_gold = 0 THEN 1 ELSE 0 END) AS bad FROM per GROUP BY doc_id)")
+@query(ALIGNED + "SELECT round(1 - sum(bad) / count(*), 6) AS rate, count(*) AS n_docs FROM (SELECT doc_id, max(CASE WHEN n_pred > 0 AND n_gold = 0 THEN 1 ELSE 0 END) AS bad FROM per GROUP BY doc_id)")
 def instruction_follow(t):
     """M-07: documents without a predicted code that isn't their own."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.max(((F.col("n_pred") > 0) & (F.col("n_gold") == 0)).cast("int")).alias("bad"))
     return per.agg(F.round(1 - F.sum("bad") / F.count("*"), 6).alias("rate"), F.count("*").alias("n_docs"))
 
 
-@query(_ALIGNED + "SELECT round(avg(same), 6) AS overlap, count(*) AS n_docs FROM (SELECT doc_id, min(CASE WHEN n_gold = n_pred THEN 1 ELSE 0 END) AS same FROM per GROUP BY doc_id)")
+@query(ALIGNED + "SELECT round(avg(same), 6) AS overlap, count(*) AS n_docs FROM (SELECT doc_id, min(CASE WHEN n_gold = n_pred THEN 1 ELSE 0 END) AS same FROM per GROUP BY doc_id)")
 def coarse_overlap(t):
     """M-09: documents with equal counts of each code."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.min((F.col("n_gold") == F.col("n_pred")).cast("int")).alias("same"))
     return per.agg(F.round(F.avg("same"), 6).alias("overlap"), F.count("*").alias("n_docs"))
 
 
-@query(_ALIGNED + "SELECT code, round(avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END), 6) AS precision, round(avg(n_hit / n_gold), 6) AS recall FROM per WHERE n_gold > 0 GROUP BY code")
+@query(ALIGNED + "SELECT code, round(avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END), 6) AS precision, round(avg(n_hit / n_gold), 6) AS recall FROM per WHERE n_gold > 0 GROUP BY code")
 def exact_alignment(t):
     """M-11: mean shares of aligned lines by code."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).where("n_gold > 0")
     return per.groupBy("code").agg(F.round(F.avg(metrics.ratio(F.col("n_hit"), F.col("n_pred"))), 6).alias("precision"), F.round(F.avg(F.col("n_hit") / F.col("n_gold")), 6).alias("recall"))
 
 
-@query(_ALIGNED + """, x AS (SELECT doc_id, code, n_gold, n_pred, grp, sum(n_gold) OVER (PARTITION BY doc_id, grp) AS gg FROM per JOIN groups USING (code))
+@query(ALIGNED + """, x AS (SELECT doc_id, code, n_gold, n_pred, grp, sum(n_gold) OVER (PARTITION BY doc_id, grp) AS gg FROM per JOIN groups USING (code))
 SELECT code, count(*) FILTER (WHERE n_pred > 0) AS predicted, count(*) FILTER (WHERE n_pred > 0 AND n_gold = 0) AS wrong, count(*) FILTER (WHERE n_pred > 0 AND n_gold = 0 AND gg > 0) AS confused FROM x GROUP BY code""")
 def confusable_rates(t):
     """M-13: wrong predictions, and those where another code of the tool group is right."""
@@ -473,8 +432,8 @@ def confusable_rates(t):
     return per.groupBy("code").agg(F.count(F.when(hit, 1)).alias("predicted"), F.count(F.when(wrong, 1)).alias("wrong"), F.count(F.when(wrong & (F.col("gg") > 0), 1)).alias("confused"))
 
 
-@query(_ALIGNED + f""", pc AS (SELECT *, CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END AS p, CASE WHEN n_gold = 0 THEN 0 ELSE n_hit / n_gold END AS r FROM per),
-s AS (SELECT doc_id, sum(n_gold) AS g, sum(n_pred) AS q, sum(n_hit) AS h, avg({_F1}) AS v2, avg(p) FILTER (WHERE n_gold > 0) AS mp, avg(r) FILTER (WHERE n_gold > 0) AS mr FROM pc GROUP BY doc_id),
+@query(ALIGNED + f""", pc AS (SELECT *, CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END AS p, CASE WHEN n_gold = 0 THEN 0 ELSE n_hit / n_gold END AS r FROM per),
+s AS (SELECT doc_id, sum(n_gold) AS g, sum(n_pred) AS q, sum(n_hit) AS h, avg({F1}) AS v2, avg(p) FILTER (WHERE n_gold > 0) AS mp, avg(r) FILTER (WHERE n_gold > 0) AS mr FROM pc GROUP BY doc_id),
 d AS (SELECT d.doc_id, coalesce(g, 0) AS g, coalesce(q, 0) AS q, coalesce(h, 0) AS h, v2, coalesce(mp, 0) AS mp, coalesce(mr, 0) AS mr FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id)
 SELECT doc_id, round(CASE WHEN g = 0 THEN CASE WHEN q = 0 THEN 1.0 ELSE 0.0 END WHEN h = 0 THEN 0.0 ELSE 2 * (h / q) * (h / g) / (h / q + h / g) END, 6) AS reward_v1,
   round(CASE WHEN g = 0 AND q = 0 THEN 1.0 ELSE coalesce(v2, 0) END, 6) AS reward_v2,
@@ -492,13 +451,13 @@ def no_violation_accuracy(t):
     return clean.join(hit, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(1 - F.coalesce("hit", F.lit(0))), 6).alias("accuracy"))
 
 
-@query(_ALIGNED + "SELECT doc_id, code FROM per WHERE n_gold > 0 AND n_pred > 0 AND n_hit = 0")
+@query(ALIGNED + "SELECT doc_id, code FROM per WHERE n_gold > 0 AND n_pred > 0 AND n_hit = 0")
 def zero_overlap_errors(t):
     """M-23."""
     return metrics.by_code(metrics.aligned(t.gold, t.pred)).where("n_gold > 0 AND n_pred > 0 AND n_hit = 0").select("doc_id", "code")
 
 
-@query(_ALIGNED + "SELECT doc_id FROM per GROUP BY doc_id HAVING sum(n_gold) > 0 AND sum(n_pred) = 0")
+@query(ALIGNED + "SELECT doc_id FROM per GROUP BY doc_id HAVING sum(n_gold) > 0 AND sum(n_pred) = 0")
 def missed_documents(t):
     """M-24: documents with findings of which none is predicted."""
     return metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.sum("n_gold").alias("g"), F.sum("n_pred").alias("p")).where("g > 0 AND p = 0").select("doc_id")
@@ -517,7 +476,7 @@ def label_kappa(t):
     return metrics.kappa(t.labels, "quality", "toxic")
 
 
-@query(_ALIGNED + """, d AS (SELECT sum(p) - sum(g) AS d FROM al GROUP BY doc_id), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS k FROM d WHERE d <> 0)
+@query(ALIGNED + """, d AS (SELECT sum(p) - sum(g) AS d FROM al GROUP BY doc_id), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS k FROM d WHERE d <> 0)
 SELECT coalesce(sum(k) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(k) FILTER (WHERE d < 0), 0)::DOUBLE AS w_minus, least(coalesce(sum(k) FILTER (WHERE d > 0), 0), coalesce(sum(k) FILTER (WHERE d < 0), 0))::DOUBLE AS w, count(*) AS n FROM r""")
 def wilcoxon_w(t):
     """M-20, O-96: predicted against gold counts."""
@@ -542,8 +501,5 @@ def html_sections(t):
 
 @query()
 def fuzzy_alignment(t):
-    """M-12, J-11: benchmark texts against the opening of documents of like length."""
-    items = t.benchmark.select("item_id", F.col("text").alias("a"))
-    docs = t.documents.where("n_chars <= 1000").select("doc_id", F.col("text").alias("b"))
-    close = docs.join(F.broadcast(items), fuzzy.could_reach(F.col("a"), F.col("b"), 50))
-    return close.withColumn("ratio", fuzzy.fuzzy_ratio(F.col("a"), F.col("b"))).where("ratio >= 50").select("item_id", "doc_id", "ratio")
+    """M-12, M-15, J-11: by code, shares of lines that are equal, and similar, on both sides of a document."""
+    return metrics.text_localization(joins.with_line(t.gold, t.documents), joins.with_line(t.pred, t.documents))

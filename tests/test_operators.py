@@ -11,7 +11,7 @@ from lintloom.sources import readers, sinks
 from lintloom.streaming import streams
 
 SNIPPETS = {
-    "gh_111123": "try:\n    x = 1\nexcept E:\n    global x", "gh_118216": "from .__future__ import x", "pep_468": "f(**kw)",
+    "try_else": "try:\n    x = 1\nexcept E:\n    pass\nelse:\n    y = 2", "gh_111123": "try:\n    x = 1\nexcept E:\n    global x", "gh_118216": "from .__future__ import x", "pep_468": "f(**kw)",
     "pep_479": "def g():\n    yield 1\n    raise StopIteration", "pep_487": "class A:\n    def __set_name__(self, o, n): pass", "pep_495": "t.fold",
     "pep_498": "f'{x}'", "pep_498v": "'%s' % x", "pep_519": "os.fspath(p)", "pep_525": "async def g():\n    yield 1", "pep_526": "x: int = 1",
     "pep_530": "async def f():\n    return [x async for x in y]", "pep_553": "breakpoint()", "pep_557": "@dataclass\nclass A:\n    pass",
