@@ -41,14 +41,34 @@ def sampled(df: DataFrame, strata: list[str], key: str, seed: int, k: int | Colu
 
 
 def ranked(df: DataFrame, strata: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank within a stratum by a total order, from 1: rows are sorted by range over all tasks, and only counts of
-    each task and stratum are accumulated."""
-    placed = df.repartitionByRange(F.col(strata), *order).sortWithinPartitions(F.col(strata), *order).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    runs = placed.groupBy("_part", strata).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(strata).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = runs.select("_part", strata, "_first", before.alias("_before"))
-    return placed.join(runs, ["_part", strata]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+    """Rank within a stratum by a total order, from 1. A null stratum is one like any other.
+
+    Rows are dealt into ranges of (stratum, order) between bounds taken from a sample of bounded size, chosen by a
+    hash: the same bounds in every pass and every retry. Only the counts of each range and stratum are accumulated,
+    so a stratum is as many tasks as it has ranges.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(F.col(strata).alias("s"), *(c.alias(f"k{i}") for i, c in enumerate(order)))
+    keyed = df.withColumn("_key", key)
+    n = df.count()
+    wide = 1 << 30
+    some = keyed.where(F.pmod(F.xxhash64("_key"), F.lit(wide)) < int(min(1.0, 100.0 * parts / max(1, n)) * wide))
+    ordered = some.agg(F.array_sort(F.collect_list("_key")).alias("a"))
+    step = F.greatest(F.ceil(F.size("a") / parts), F.lit(1)).cast("int")
+    bounds = ordered.select(F.filter("a", lambda x, i: (i + 1) % step == 0).alias("_bounds"))
+    # coarse bounds first, then those between two of them
+    wide_step = max(1, int(parts**0.5))
+    coarse = F.filter("_bounds", lambda x, i: (i + 1) % wide_step == 0)
+    at = keyed.crossJoin(F.broadcast(bounds.select("_bounds", coarse.alias("_coarse"))))
+    below = F.size(F.filter("_coarse", lambda x: x < F.col("_key"))) * wide_step
+    part = below + F.size(F.filter(F.slice("_bounds", below + 1, wide_step), lambda x: x < F.col("_key")))
+    placed = at.withColumn("_part", part).drop("_bounds", "_coarse")
+    runs = placed.groupBy("_part", F.col(strata).alias("_s")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("_part").alias("_p"), "_s", before.alias("_before"))
+    inside = placed.withColumn("_r", F.row_number().over(W.partitionBy("_part", strata).orderBy("_key")))
+    both = inside.join(runs, (F.col("_part") == F.col("_p")) & F.col(strata).eqNullSafe(F.col("_s")))
+    return both.select(*df.columns, (F.col("_r") + F.col("_before")).alias(name))
 
 
 def prefix_fraction(df: DataFrame, strata: str, order: str, fractions: dict[str, float]) -> DataFrame:
