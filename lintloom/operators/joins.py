@@ -107,7 +107,7 @@ def benchmark_chats(notes: DataFrame, specs: DataFrame, prompt: Column, label: C
     Rule numbers lose leading zeros; those to skip go. Without content, violations, a number or a spec a row is bad.
     ``prompt`` and ``label`` are expressions over the columns of notes and of specs (rule and others).
     """
-    rule = F.split("stem", "_").getItem(1).try_cast("int").cast("string")
+    rule = F.get(F.split("stem", "_"), F.lit(1)).try_cast("int").cast("string")
     rows = notes.withColumn("rule", rule).where(~F.coalesce(F.col("rule").isin(list(skip)), F.lit(False)) if skip else F.lit(True))
     both = rows.join(specs.withColumn("_known", F.lit(True)), "rule", "left")
     good = F.col("rule").isNotNull() & F.col("_known").isNotNull() & F.col("content").isNotNull() & F.col("violations").isNotNull()

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from lintloom.functions import rules, text
 from lintloom.operators import edits, joins, metrics, patterns, sampling, star
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, R, query, seed_sql
+from lintloom.sources import readers
 
 _STARTS = ", pos AS (SELECT doc_id, line, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines)\n"
 
@@ -315,3 +316,18 @@ def generic_classes(t):
     """T-33 over the lines of pages."""
     each = t.pages.select("page_id", F.explode(text.lines(F.col("html"))).alias("line"))
     return each.where(patterns.generic_class(F.col("line"))).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+# --- pages: no SQL
+
+
+@query()
+def html_tables(t):
+    """O-16."""
+    return readers.html_tables(t.pages)
+
+
+@query()
+def html_metadata(t):
+    """O-19."""
+    return readers.html_metadata(t.pages)

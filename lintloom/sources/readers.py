@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -111,3 +112,149 @@ def html_sections(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "section", "heading", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, section int, heading string, text string")
+
+
+def read_rule_specs(spark: SparkSession, metadata: str, folder: str, schema: str) -> DataFrame:
+    """O-08: a CSV of rules by Code, joined with one JSON file for each rule, named after its code."""
+    specs = spark.read.option("multiLine", True).schema(schema).json(folder).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.json$", 1))
+    return read_csv(spark, metadata, "Code").withColumnRenamed("Code", "code").join(specs, "code")
+
+
+def read_first(spark: SparkSession, path: str, schema: str, rows: int) -> DataFrame:
+    """O-04: at most so many rows; bad lines go."""
+    return read_jsonl(spark, path, schema, "safe").limit(rows)
+
+
+def read_dataset(spark: SparkSession, dataset: str, split: str, lookup=None) -> DataFrame:
+    """O-21: a dataset by name from ``lookup`` (name, split), or, where that gives none, from the folder ``dataset/split``."""
+    found = lookup(dataset, split) if lookup is not None else None
+    return found if found is not None else spark.read.parquet(f"{dataset.rstrip('/')}/{split}")
+
+
+def _unzipped(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    def one(raw, name):
+        try:
+            return gzip.decompress(raw).decode(name or "utf-8")
+        except (OSError, EOFError, UnicodeDecodeError, LookupError):
+            return None
+
+    return pd.Series([None if raw is None else one(raw, name) for raw, name in zip(content, encoding, strict=True)], dtype="object")
+
+
+def read_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+    """O-14 over (blob_id, encoding): the text of the file ``blob_id.gz``; null where it isn't there or can't be decoded."""
+    spark = blobs.sparkSession
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.gz$", 1).alias("blob_id"), "content")
+    return blobs.join(named, "blob_id", "left").withColumn("content", F.pandas_udf(_unzipped, "string")("content", "encoding"))
+
+
+#: What the symbols of a rule table's unnamed column stand for, and the titles that tell of a fix (fixed values of those pages).
+LEGEND = {"✔": "Stable", "🧪": "Unstable/Preview", "⚠️": "Depreceated", "❌": "Deleted", "🛠": "Automatically Fixable"}
+FIX_TITLES = {"Automatic fix available": True, "Automatic fix not available": False}
+
+
+class _Tables(HTMLParser):
+    """Tables as rows of (cell texts, titles of spans in them); pairs of dt and dd with their links."""
+
+    def __init__(self):
+        super().__init__()
+        self.tables: list[list[tuple[bool, list[str], list[str]]]] = []
+        self.terms: list[list[str]] = []
+        self.values: list[list] = []
+        self.cell, self.term, self.value, self.link = False, False, False, None
+
+    def handle_starttag(self, tag, attrs):
+        rows = self.tables[-1] if self.tables else None
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and rows is not None:
+            rows.append((False, [], []))
+            self.cell = False
+        elif tag in ("td", "th") and rows:
+            head, cells, titles = rows[-1]
+            rows[-1] = (head or tag == "th", [*cells, ""], titles)
+            self.cell = True
+        elif tag == "span" and self.cell and dict(attrs).get("title"):
+            self.tables[-1][-1][2].append(dict(attrs)["title"])
+        elif tag == "dt":
+            self.terms.append([])
+            self.term, self.value = True, False
+        elif tag == "dd":
+            self.values.append([[], {"a": [], "abbr": []}])
+            self.term, self.value = False, True
+        elif tag in ("a", "abbr") and self.value:
+            self.values[-1][1][tag].append("")
+            self.link = tag
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th", "tr", "table"):
+            self.cell = False
+        elif tag in ("dt", "dd", "dl"):
+            self.term = self.value = False
+            self.link = None
+        elif tag == self.link:
+            self.link = None
+
+    def handle_data(self, data):
+        if self.cell:
+            self.tables[-1][-1][1][-1] += data
+        elif self.term:
+            self.terms[-1].append(data)
+        elif self.value:
+            texts, links = self.values[-1]
+            texts.append(data)
+            if self.link:
+                links[self.link][-1] += data
+
+
+def table_rows(html: str | None) -> list[dict]:
+    """O-16: of each row of each table the cells by the names in its head, the states that its symbols stand for, and whether it has a fix."""
+    parser, out = _Tables(), []
+    parser.feed(html or "")
+    for at, rows in enumerate(parser.tables):
+        names = [c.strip() for head, cells, _ in rows if head for c in cells]
+        for head, cells, titles in rows:
+            if head or not cells:
+                continue
+            own = dict(zip(names, (c.strip() for c in cells), strict=False))
+            marks = own.pop("", "")
+            fix = next((FIX_TITLES[x] for x in titles if x in FIX_TITLES), None)
+            out.append({"table": at, "cells": own, "states": [state for mark, state in LEGEND.items() if mark in marks], "fix_available": fix})
+    return out
+
+
+def metadata_pairs(html: str | None) -> dict[str, str]:
+    """O-19: dt and dd in turn; a value with links is their texts, else that of its abbreviation, else its own."""
+    parser = _Tables()
+    parser.feed(html or "")
+    out = {}
+    for term, (texts, links) in zip(parser.terms, parser.values, strict=False):
+        if links["a"]:
+            value = ", ".join(x.strip() for x in links["a"])
+        else:
+            value = links["abbr"][0].strip() if links["abbr"] else "".join(texts).strip()
+        out["".join(term).strip().replace(":", "")] = value
+    return out
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """O-16 over (page_id, html); a null page has no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, i, r["table"], r["cells"], r["states"], r["fix_available"]) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for i, r in enumerate(table_rows(h))]
+            yield pd.DataFrame(rows, columns=["page_id", "row", "table", "cells", "states", "fix_available"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, table int, cells map<string,string>, states array<string>, fix_available boolean")
+
+
+def html_metadata(pages: DataFrame) -> DataFrame:
+    """O-19 over (page_id, html): one row for each term of a page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, k, v) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for k, v in metadata_pairs(h).items()]
+            yield pd.DataFrame(rows, columns=["page_id", "key", "value"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, key string, value string")

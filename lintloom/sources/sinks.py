@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import textwrap
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +37,19 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
         df.write.parquet(path)
         return
     df.join(old, key, "left_anti").write.mode("append").parquet(path)
+
+
+def write_json_array(df: DataFrame, path: str) -> int:
+    """O-23: one local file with all rows as an indented array, row by row through the driver; returns their number.
+
+    For small results that people read. Tables are written by ``write_jsonl``.
+    """
+    n = 0
+    with open(path, "x", encoding="utf-8") as out:
+        out.write("[")
+        for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            text = json.dumps(json.loads(row["j"]), indent=4, ensure_ascii=False)
+            out.write((",\n" if n else "\n") + textwrap.indent(text, "    "))
+            n += 1
+        out.write("\n]\n")
+    return n
