@@ -288,12 +288,16 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def read_ranks(file: str) -> dict[bytes, int]:
+    """Tokens with their ranks, from lines of a base64 token and its rank."""
+    with open(file, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 @lru_cache(maxsize=2)
 def _load(file: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:
-    """The encoder of a rank file: lines of a base64 token and its rank."""
-    with open(file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return Bpe(ranks, pattern)
+    """The encoder of a rank file."""
+    return Bpe(read_ranks(file), pattern)
 
 
 def load(file: str, pattern: str = public_tokenizers.PATTERN) -> Bpe:

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,15 +79,29 @@ def plan_windows(counts: np.ndarray, capacity: int) -> Iterator[tuple[list[tuple
             yield sorted(use.items(), reverse=True), times
 
 
+@lru_cache(maxsize=1)
+def _library(file: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
+
+
+def token_ids(text: str, file: str) -> np.ndarray:
+    """Ids of a text. The library gives up on very long runs of white space; such a text is encoded by ``bpe``."""
+    try:
+        return _library(file).encode_to_numpy(text, disallowed_special=())
+    except BaseException as e:  # a panic of the library is no Exception
+        if type(e).__name__ != "PanicException":
+            raise
+        return bpe.load(file).encode([text])[0]
+
+
 def _cut(file: str, capacity: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, row = bpe.load(file), TaskContext.get().partitionId(), 0
+        part, row = TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4")
         for batch in slices(batches):
             out: list[tuple] = []
-            ids_of = coder.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
-                ids = np.concatenate([ids, end])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.concatenate([token_ids(text or "", file), end])
                 total = len(ids)
                 for start in range(0, total, capacity):
                     piece = ids[start : start + capacity]
@@ -97,7 +113,6 @@ def _cut(file: str, capacity: int, groups: int):
             columns = list(zip(*out, strict=True))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "uid"])
-        coder.reset()
         release()
 
     return run

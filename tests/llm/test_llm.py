@@ -346,3 +346,14 @@ def test_pipeline_against_its_operators(spark, docs):
     assert check_pieces(rows, {i: len(coder.encode([t or ""])[0]) + 1 for i, t in second if i in kept}) < 0.02
     stage = dict(c.STAGES)["near_dup"](spark, docs.union(docs.where("doc_id < 5")).withColumn("kept", F.lit(1)), DATA)
     assert stage.columns == [*docs.columns, "kept"] and stage.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_packed_ids_are_those_of_tokenizers(docs):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(packing.RANK_FILE)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    texts = [r.text or "" for r in docs.select("text").collect()] + ["", " \n\t x", "<|endoftext|>", "é" * 5000, "a  b   c    ", " " * 300_000 + "x"]
+    for text in texts:
+        assert packing.token_ids(text, file).tolist() == tok.encode(text, add_special_tokens=False).ids
