@@ -169,10 +169,10 @@ def read(data: bytes) -> tuple[bytes, dict]:
     told = []
     for n in sorted(by_number):
         s, rate, total = by_number[n]
-        times = [granule / rate for _, granule, done in s.pages if done]
-        if times != sorted(times) or total != len(payload) or times[-1] * rate != sum(map(len, s.packets[1:])):
+        granules = [granule for _, granule, done in s.pages if done]
+        if granules != sorted(granules) or total != len(payload) or granules[-1] != sum(map(len, s.packets[1:])):
             raise OggError("granule positions don't match the samples")
-        told.append({"packets": len(s.packets) - 1, "pages": len(s.pages), "seconds": round(times[-1], 6)})
+        told.append({"packets": len(s.packets) - 1, "pages": len(s.pages), "seconds": round(granules[-1] / rate, 6)})
     x = np.frombuffer(payload, np.uint8).astype(np.float64)
     return payload, {"streams": told, "seconds": round(len(x) / RATE, 6), "mean": round(float(x.mean()), 4), "rms": round(float(np.sqrt((x * x).mean())), 4), "low": int(x.min()), "high": int(x.max()), "zero_crossings": int(np.count_nonzero(np.diff(x > x.mean())))}
 

@@ -91,6 +91,12 @@ def test_ogg_continued_packets():
     assert ogg.read(ogg.mux(payload, block=255 * 4))[0] == payload
 
 
+def test_ogg_every_size():
+    for size in range(ogg.UNIT, 135_000, ogg.UNIT):
+        payload = bytes(size)
+        assert ogg.read(ogg.mux(payload))[0] == payload, size
+
+
 def test_ogg_odd_rows(odd):
     for r in ogg.media(odd).collect():
         raw = (dict(ODD)[r.doc_id] or "").encode()
