@@ -9,6 +9,9 @@ Only lengths, offsets and checksums are shuffled, never texts or ids.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -84,8 +87,30 @@ def _library(file: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(file), special_tokens={})
 
 
-def token_ids(text: str, file: str) -> np.ndarray:
-    """Ids of a text. The library gives up on very long runs of white space; such a text is encoded by ``bpe``."""
+@lru_cache(maxsize=1)
+def _added(file: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """Added tokens with their ids, and a pattern that finds them, from the JSON file beside a rank file, if there is one."""
+    beside = os.path.splitext(file)[0] + ".json"
+    if not os.path.exists(beside):
+        return None, {}
+    with open(beside, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{beside}: added tokens that take their surroundings into account")
+    ids = {t["content"]: t["id"] for t in tokens}
+    longest = sorted(ids, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if ids else None, ids
+
+
+def token_ids(text: str, file: str, added: bool = False) -> np.ndarray:
+    """Ids of a text; with ``added``, an added token within it is one id, as it is for the tokenizer by default.
+
+    The library gives up on very long runs of white space; such a text is encoded by ``bpe``.
+    """
+    find, ids = _added(file) if added else (None, {})
+    if find is not None and find.search(text):
+        parts = find.split(text)  # every second part is an added token
+        return np.concatenate([np.array([ids[x]], "<u4") if k % 2 else token_ids(x, file) for k, x in enumerate(parts)])
     try:
         return _library(file).encode_to_numpy(text, disallowed_special=())
     except BaseException as e:  # a panic of the library is no Exception
@@ -101,7 +126,7 @@ def _cut(file: str, capacity: int, groups: int):
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([token_ids(text or "", file), end])
+                ids = np.concatenate([token_ids(text or "", file, added=True), end])
                 total = len(ids)
                 for start in range(0, total, capacity):
                     piece = ids[start : start + capacity]

@@ -363,3 +363,17 @@ def test_packed_ids_are_those_of_tokenizers(docs):
     texts = [r.text or "" for r in docs.select("text").collect()] + ["", " \n\t x", "<|endoftext|>", "é" * 5000, "a  b   c    ", " " * 300_000 + "x"]
     for text in texts:
         assert packing.token_ids(text, file).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    file, end = public_tokenizers.path(packing.RANK_FILE), "<|endoftext|>"
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [end, f"a {end} b", f"{end}{end}", f"a  {end}  b \n", f"<|end{end}oftext|>", "<|endoftext", " " * 300_000 + f"x{end} y", "plain", ""]
+    want = [tok.encode(x, add_special_tokens=False).ids for x in some]
+    assert want[1] == [64, 220, 50256, 275]
+    assert [packing.token_ids(x, file, added=True).tolist() for x in some] == want
+    rows = packing.pack(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), capacity=1 << 20).collect()
+    packed = {r.doc_id: (r.length, r.doc_tokens, r.ids_crc32) for r in rows}
+    assert packed == {k: (len(x) + 1, len(x) + 1, zlib.crc32(np.array([*x, packing.END_ID], "<u4").tobytes())) for k, x in enumerate(want)}
