@@ -395,7 +395,7 @@ def detect(code: str | None, patterns: frozenset[str] | None = None) -> list[tup
                 for at, kind in f(node):
                     start = getattr(at, "lineno", 1)
                     end = getattr(at, "end_lineno", None) or start
-                    out.add((name, start, end, kind, "\n".join(all_lines[start - 1 : end])[:2000]))
+                    out.add((name, start, end, kind, "\n".join(all_lines[start - 1 : end])))
             except RecursionError:
                 continue
     return sorted(out)

@@ -33,6 +33,11 @@ def test_detector(name):
     assert name not in {m[0] for m in patterns.detect("x = 1\nprint(x)")}
 
 
+def test_long_blocks_are_whole():
+    code = "class A:\n    def __eq__(self, o):\n" + "\n".join(f"        x{i} = {i}" for i in range(1000))
+    assert [m[4] for m in patterns.detect(code, frozenset(["class_prefilter"]))] == [code] and len(code) > 10_000
+
+
 def test_unreadable_code():
     assert patterns.detect("def (") == [] and patterns.detect(None) == [] and isinstance(patterns.detect("(" * 5000), list)
 
