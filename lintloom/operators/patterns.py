@@ -1,13 +1,16 @@
 """Code patterns: detectors over one syntax tree per file, as a table function, and native text rules.
 
-A detector gets every node of a tree once, with the source lines, and yields (start line, end line, kind, snippet).
-Lines are those of the code without comments. All detectors share one parse and one walk.
+A detector gets every node of its types once and yields (node, kind); the snippet is the lines of that node. All
+detectors share one parse and one walk of the code without comments, whose lines they give; those of RAW share a parse
+of the code as it is. A file rule gets a whole file and yields (start line, end line, kind, snippet).
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import re
+import tokenize
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +19,12 @@ from pyspark.sql import functions as F
 
 MATCHES = "blob_id string, pattern string, start_line int, end_line int, kind string, snippet string"
 DETECTORS: dict[str, list[tuple[tuple[type, ...], Callable]]] = {}
+#: name -> (whether it reads the code as it is, not without comments; rule of code and tree)
+FILE_RULES: dict[str, tuple[bool, Callable]] = {}
+#: Detectors that read the code as it is.
+RAW = frozenset({"pep_584h", "pep_614", "pep_616h", "class_prefilter"})
+#: Rules with a row for each occurrence, also where these are alike; others give equal rows once.
+EACH = frozenset({"pep_515", "pep_584", "pep_584h", "pep_584h2", "pep_593h", "pep_614", "pep_709"})
 
 
 def detector(name: str, *kinds: type):
@@ -26,6 +35,19 @@ def detector(name: str, *kinds: type):
     return add
 
 
+def file_rule(name: str, raw: bool) -> Callable:
+    def add(f: Callable) -> Callable:
+        FILE_RULES[name] = raw, f
+        return f
+
+    return add
+
+
+def _first_line(node: ast.AST) -> ast.AST:
+    """A node whose snippet is the first line of ``node`` alone."""
+    return ast.Pass(lineno=node.lineno, end_lineno=node.lineno)
+
+
 def _name(node: ast.AST) -> str:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else ""
 
@@ -144,6 +166,16 @@ def _percent(node):
         yield node, "percent"
 
 
+@file_rule("pep_515", raw=False)
+def _underscored(code, tree):
+    lines = re.split("\r\n|[\r\n]", code)
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Constant) and isinstance(x.value, int | float | complex):
+            # columns count bytes
+            if b"_" in lines[x.lineno - 1].encode()[x.col_offset : x.end_col_offset]:
+                yield x.lineno, x.lineno, "", lines[x.lineno - 1]
+
+
 @detector("pep_519", ast.ClassDef)
 def _fspath_class(node):
     if any(isinstance(x, DEFS) and x.name == "__fspath__" for x in node.body):
@@ -247,11 +279,15 @@ def _audit(node):
 
 @detector("pep_584", ast.Module)
 def _dict_union(node):
-    known = {t.id for x in ast.walk(node) if isinstance(x, ast.Assign) and isinstance(x.value, ast.Dict) for t in x.targets if isinstance(t, ast.Name)}
+    made = [(x, t.id) for x in ast.walk(node) if isinstance(x, ast.Assign) and isinstance(x.value, ast.Dict) for t in x.targets if isinstance(t, ast.Name)]
+    known = {name for _, name in made}
     is_dict = lambda x: isinstance(x, ast.Dict) or isinstance(x, ast.Name) and x.id in known
-    for x in ast.walk(node):
-        if isinstance(x, ast.BinOp) and isinstance(x.op, ast.BitOr) and is_dict(x.left) and is_dict(x.right):
-            yield x, "union"
+    unions = [x for x in ast.walk(node) if isinstance(x, ast.BinOp) and isinstance(x.op, ast.BitOr) and is_dict(x.left) and is_dict(x.right)]
+    for x in unions:
+        yield x, "union"
+    if unions:
+        for x, _ in made:
+            yield _first_line(x), "init"
 
 
 GENERICS = frozenset({"List", "Dict", "Set", "FrozenSet", "Tuple", "Type", "Deque", "DefaultDict"})
@@ -296,6 +332,12 @@ _typing_name("pep_586", "Literal")
 _typing_name("pep_593", "Annotated")
 
 
+@detector("pep_593", ast.Assign)
+def _annotated_alias(node):
+    if isinstance(node.value, ast.Subscript) and isinstance(node.targets[0], ast.Name) and _name(node.value.value) == "Annotated":
+        yield node, "assignment"
+
+
 @detector("pep_589", ast.ImportFrom, ast.ClassDef, ast.Assign)
 def _typed_dict(node):
     if isinstance(node, ast.ImportFrom):
@@ -332,33 +374,142 @@ def _required_class(node):
         yield node, "class"
 
 
-@detector("pep_709", ast.ListComp, ast.SetComp, ast.DictComp)
-def _inlined(node):
-    for x in ast.walk(node):
-        if isinstance(x, ast.Call) and _name(x.func) in ("locals", "currentframe", "_getframe", "extract_stack"):
-            yield node, _name(x.func)
+COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp)
 
 
-@detector("pep_584h", ast.Call)
-def _update(node):
-    if isinstance(node.func, ast.Attribute) and node.func.attr == "update" and len(node.args) == 1:
-        yield node, "update"
+@detector("pep_709", ast.Module)
+def _inlined(node):
+    """T-31. Functions count as traced once a call of settrace or setprofile has come before them in the walk."""
+    nodes = list(ast.walk(node))
+    raises = {x.name: any(isinstance(y, ast.Raise) for y in ast.walk(x)) for x in nodes if isinstance(x, ast.FunctionDef)}
+    traced = False
+    for x in nodes:
+        if isinstance(x, COMPREHENSIONS):
+            calls = [y for y in ast.walk(x) if isinstance(y, ast.Call) and isinstance(y.func, ast.Name)]
+            for y in calls:
+                if y.func.id == "locals":
+                    yield _first_line(y), "locals() includes outer variables"
+            for y in calls:
+                if raises.get(y.func.id):
+                    yield _first_line(y), "no dedicated frame in traceback"
+        if isinstance(x, ast.Expr) and isinstance(x.value, ast.Call) and isinstance(x.value.func, ast.Attribute) and x.value.func.attr in ("settrace", "setprofile"):
+            yield _first_line(x), "tracing/profiling setup"
+            traced = True
+        if traced and isinstance(x, ast.FunctionDef) and any(isinstance(y, COMPREHENSIONS) for y in ast.walk(x)):
+            yield _first_line(x), "tracing/profiling changes"
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "warn":
+            for k in x.keywords:
+                if k.arg == "stacklevel":
+                    yield _first_line(x), "stacklevel warnings"
+
+
+def _stores(node: ast.For) -> list[ast.Subscript]:
+    """Subscripts stored to in a loop over the pairs of items()."""
+    pair = isinstance(node.target, ast.Tuple) and len(node.target.elts) == 2
+    if pair and isinstance(node.iter, ast.Call) and isinstance(node.iter.func, ast.Attribute) and node.iter.func.attr == "items":
+        return [x for x in ast.walk(node) if isinstance(x, ast.Subscript) and isinstance(x.ctx, ast.Store)]
+    return []
+
+
+def _is_update(node: ast.AST) -> bool:
+    return isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr == "update" and len(node.args) == 1
+
+
+@detector("pep_584h", ast.Call, ast.For)
+def _merged(node):
+    """T-37. Its rule for unpacking can't match in the reference, since no key of a dict is starred."""
+    if _is_update(node):
+        yield node, "dict_update"
+    elif isinstance(node, ast.For):
+        for _ in _stores(node):
+            yield node, "manual_items_loop"
+
+
+@file_rule("pep_584h2", raw=True)
+def _rewritten(code, tree):
+    """T-38: the rewrite that is suggested, as the snippet; of a loop, into the last subscript it stores to."""
+    for x in ast.walk(tree):
+        if _is_update(x):
+            yield x.lineno, x.end_lineno, "dict_update", f"{ast.unparse(x.func.value)} |= {ast.unparse(x.args[0])}"
+        elif isinstance(x, ast.For) and (stores := _stores(x)):
+            yield x.lineno, x.end_lineno, "manual_items_loop", f"{ast.unparse(stores[-1].value)} |= {ast.unparse(x.iter.func.value)}"
 
 
 @detector("pep_614", *DEFS, ast.ClassDef)
-def _decorator_name(node):
+def _decorator_expression(node):
     for d in node.decorator_list:
         if isinstance(d, ast.Subscript) or isinstance(d, ast.Call) and isinstance(d.func, ast.Subscript | ast.Call):
             yield d, type(d).__name__
 
 
+@detector("pep_614", ast.Module)
+def _decorator_name(node):
+    """T-40: a function's decorator is a name whose last assignment in the walk is a subscript, attribute or call."""
+    given = {x.targets[0].id: x.value for x in ast.walk(node) if isinstance(x, ast.Assign) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name)}
+    for x in ast.walk(node):
+        if isinstance(x, ast.FunctionDef):
+            for d in x.decorator_list:
+                if isinstance(d, ast.Name) and isinstance(given.get(d.id), ast.Subscript | ast.Attribute | ast.Call):
+                    yield d, f"{x.name}: {d.id} from {type(given[d.id]).__name__}"
+
+
 @detector("pep_616h", ast.If)
 def _sliced_affix(node):
+    """T-41: the only statement cuts a name at the side that is tested."""
     t = node.test
-    if isinstance(t, ast.Call) and isinstance(t.func, ast.Attribute) and t.func.attr in ("startswith", "endswith") and len(node.body) == 1:
-        b = node.body[0]
-        if isinstance(b, ast.Assign) and isinstance(b.value, ast.Subscript) and isinstance(b.value.slice, ast.Slice) and ast.dump(b.value.value) == ast.dump(t.func.value):
-            yield node, t.func.attr
+    if not (isinstance(t, ast.Call) and isinstance(t.func, ast.Attribute) and t.func.attr in ("startswith", "endswith") and len(node.body) == 1):
+        return
+    b = node.body[0]
+    if not (isinstance(b, ast.Assign) and len(b.targets) == 1 and isinstance(b.targets[0], ast.Name) and isinstance(b.value, ast.Subscript)):
+        return
+    v = b.value
+    if isinstance(v.value, ast.Name) and v.value.id == b.targets[0].id and isinstance(v.slice, ast.Slice):
+        if t.func.attr == "startswith" and v.slice.lower and not v.slice.upper:
+            yield node, "removeprefix"
+        elif t.func.attr == "endswith" and v.slice.upper and not v.slice.lower:
+            yield node, "removesuffix"
+
+
+HINTS = [
+    (re.compile(pattern, re.IGNORECASE), kind)
+    for pattern, kind in (
+        (r"\b(?:must be|should be|has to be|is|are)?\s*(positive|negative|non-negative|non-zero)", "range"),
+        (r"\b(?:minimum|min|at least)\s+\d+", "min"),
+        (r"\b(?:maximum|max|at most)\s+\d+", "max"),
+        (r"\b(may be none|can be none)", "nullable"),
+        (r"\bchoices?:?\s*\[.*?\]", "enum"),
+        (r"\blength\s+(\d+)\s+(to|-)\s+(\d+)", "length_range"),
+        (r"\b(regex|pattern)\b", "regex"),
+        (r"\bunit\b:?\s*(seconds|kg|cm|ms)", "unit"),
+        (r"\bdeprecated\b", "deprecated"),
+    )
+]
+
+
+@file_rule("pep_593h", raw=True)
+def _annotated_hints(code, tree):
+    """T-39: hints in comments and docstrings within two lines of an annotation. Backslashes are doubled first."""
+    if "\\" in code:
+        code = code.replace("\\", "\\\\")
+        tree = ast.parse(code)
+    code = code.replace("\r\n", "\n").replace("\r", "\n")
+    said = [(t.start[0], t.string.strip("# ").strip()) for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type == tokenize.COMMENT]
+    for x in ast.walk(tree):
+        if isinstance(x, (*DEFS, ast.ClassDef, ast.Module)) and (doc := ast.get_docstring(x)):
+            said.append((getattr(x, "lineno", 1), doc.strip()))
+    hints = [(line, kind) for line, text in said for pattern, kind in HINTS if pattern.search(text)]
+    for x in ast.walk(tree):
+        places = []
+        if isinstance(x, ast.FunctionDef):
+            places += [(a.lineno, "argument", f"`{a.arg}` in `{x.name}`", a.annotation) for a in x.args.args if a.annotation]
+            if x.returns:
+                places.append((x.lineno, "return", f"return of `{x.name}`", x.returns))
+        elif isinstance(x, ast.AnnAssign):
+            places.append((x.lineno, "attribute", f"attribute `{x.target.id if isinstance(x.target, ast.Name) else None}`", x.annotation))
+        for at, kind, what, annotation in places:
+            for line, hint in hints:
+                if abs(line - at) <= 2:
+                    yield at, at, kind, f"{what}: Annotated[{ast.unparse(annotation)}, {hint}=...]"
 
 
 @detector("class_prefilter", ast.ClassDef)
@@ -375,34 +526,51 @@ def strip_comments(code: str) -> str:
     return "\n".join(x for x in bare.split("\n") if x.strip())
 
 
-def detect(code: str | None, patterns: frozenset[str] | None = None) -> list[tuple[str, int, int, str, str]]:
-    """All matches in a file; none in one that can't be parsed or is nested too deep."""
-    code = strip_comments(code or "")
+def _parse(code: str) -> ast.Module | None:
     try:
-        tree = ast.parse(code)
+        return ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
-    by_type: dict[type, list[tuple[str, Callable]]] = {}
-    for name, own in DETECTORS.items():
-        if patterns is None or name in patterns:
-            for kinds, f in own:
-                for kind in kinds:
-                    by_type.setdefault(kind, []).append((name, f))
-    out, all_lines = set(), code.split("\n")
-    for node in ast.walk(tree):
-        for name, f in by_type.get(type(node), ()):
-            try:
-                for at, kind in f(node):
-                    start = getattr(at, "lineno", 1)
-                    end = getattr(at, "end_lineno", None) or start
-                    out.add((name, start, end, kind, "\n".join(all_lines[start - 1 : end])))
-            except RecursionError:
-                continue
-    return sorted(out)
+        return None
+
+
+def detect(code: str | None, patterns: frozenset[str] | None = None) -> list[tuple[str, int, int, str, str]]:
+    """All matches in a file; none in one that can't be parsed or is nested too deep."""
+    out: list[tuple[str, int, int, str, str]] = []
+    bare = strip_comments(code or "")
+    for raw, text in ((False, bare), (True, code or "")):
+        tree = _parse(text)
+        if tree is None:
+            continue
+        by_type: dict[type, list[tuple[str, Callable]]] = {}
+        for name, own in DETECTORS.items():
+            if (name in RAW) == raw and (patterns is None or name in patterns):
+                for kinds, f in own:
+                    for kind in kinds:
+                        by_type.setdefault(kind, []).append((name, f))
+        all_lines = re.split("\r\n|[\r\n]", text)
+        for node in ast.walk(tree):
+            for name, f in by_type.get(type(node), ()):
+                try:
+                    for at, kind in f(node):
+                        start = getattr(at, "lineno", 1)
+                        end = getattr(at, "end_lineno", None) or start
+                        out.append((name, start, end, kind, "\n".join(all_lines[start - 1 : end])))
+                except RecursionError:
+                    continue
+        for name, (own_raw, rule) in FILE_RULES.items():
+            if own_raw == raw and (patterns is None or name in patterns):
+                try:
+                    out += [(name, *m) for m in rule(text, tree)]
+                except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+                    continue
+    return sorted([m for m in out if m[0] in EACH] + list({m for m in out if m[0] not in EACH}))
 
 
 def find_patterns(files: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """T-01 to T-42 over (blob_id, content): one row per match, in long form."""
+    """T-01 to T-31, T-35 and T-37 to T-42 over (blob_id, content): one row per match, in long form.
+
+    T-32 to T-34 and T-36 are column functions below.
+    """
     wanted = frozenset(patterns) if patterns is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -425,6 +593,6 @@ def generic_class(line: Column) -> Column:
 
 
 def unsafe_random(code: Column) -> Column:
-    """T-36: a secret-like name is assigned from the random module, and the secrets module isn't used."""
-    safe = r"(secrets\.|SystemRandom|os\.urandom|uuid4|token_hex|token_bytes|token_urlsafe)"
-    return code.rlike(r"\brandom\.") & ~code.rlike(safe) & code.rlike(r"(?i)\b\w*(password|token|secret|key|salt|nonce)\w*\s*=\s*[^\n]*\brandom\.")
+    """T-36: a secret-like name is assigned from the random module, the secrets module isn't used, nor any call that is never for secrets."""
+    safe = r"\bimport secrets\b|\bsecrets\.|\brandom\.(shuffle|seed|setstate|getstate)\b"
+    return code.rlike(r"\brandom\b") & ~code.rlike(safe) & code.rlike(r"(?i)(password|token|secret|auth|otp|key)\s*=\s*[^\n]*?random\.")

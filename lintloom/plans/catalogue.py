@@ -223,6 +223,13 @@ _TURNS = "string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10
 _SYSTEM = "CASE WHEN arg_min(role, turn) = 'system' THEN '' ELSE '<|system|>' || chr(10) || '</s>' || chr(10) END"
 
 
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '\brandom\b') AND NOT regexp_matches(text, '\bimport secrets\b|\bsecrets\.|\brandom\.(shuffle|seed|setstate|getstate)\b')
+AND regexp_matches(text, '(?i)(password|token|secret|auth|otp|key)\s*=\s*[^\n]*?random\.')""")
+def unsafe_random(t):
+    """T-36 over the documents taken as code."""
+    return t.documents.where(patterns.unsafe_random(F.col("text"))).select("doc_id")
+
+
 @query(f"SELECT conv_id, md5({_SYSTEM} || {_TURNS}) AS digest FROM conversations GROUP BY conv_id")
 def chat_render_sft(t):
     """O-86."""
@@ -489,7 +496,7 @@ def wilcoxon_w(t):
 
 @query()
 def ast_patterns(t):
-    """T-01 to T-42 over the documents taken as code."""
+    """T-01 to T-31, T-35, T-37 to T-42 over the documents taken as code."""
     return patterns.find_patterns(t.documents.select(F.col("doc_id").alias("blob_id"), F.col("text").alias("content")))
 
 

@@ -38,6 +38,47 @@ def test_long_blocks_are_whole():
     assert [m[4] for m in patterns.detect(code, frozenset(["class_prefilter"]))] == [code] and len(code) > 10_000
 
 
+def kinds(code, name):
+    return [(m[1], m[3]) for m in patterns.detect(code, frozenset([name]))]
+
+
+def test_inlined_comprehensions():
+    code = "def f(y):\n    return [locals() for x in y]\ndef g():\n    raise E\ndef h():\n    return [g() for x in y]\nsys.settrace(f)\ndef j():\n    return {x for x in y}\nw.warn('a', stacklevel=2)"
+    want = [(2, "locals() includes outer variables"), (6, "no dedicated frame in traceback"), (7, "tracing/profiling setup"), (8, "tracing/profiling changes"), (10, "stacklevel warnings")]
+    # the walk is by levels: f and h come before the call of settrace
+    assert kinds(code, "pep_709") == want
+    assert kinds("[f() for x in y]\ndef f(): pass\nw.warn('a')", "pep_709") == []
+
+
+def test_dict_merges():
+    code = "d.update(x)  # a\nfor k, v in a.items():\n    b[k] = v\n    c.e[k] = v\nfor k in a.items():\n    b[k] = 1\nd.update(x=1)"
+    assert kinds(code, "pep_584h") == [(1, "dict_update"), (2, "manual_items_loop"), (2, "manual_items_loop")]
+    assert [m[3:] for m in patterns.detect(code, frozenset(["pep_584h2"]))] == [("dict_update", "d |= x"), ("manual_items_loop", "c.e |= a")]
+    assert kinds("a = {}\nb = {}\nc = a | b", "pep_584") == [(1, "init"), (2, "init"), (3, "union")] and kinds("a = {}", "pep_584") == []
+
+
+def test_decorators_by_name_and_affixes():
+    assert kinds("d = b[0]\ne = b.c\n@d\n@e\ndef f(): pass\ng = h\n@g\ndef i(): pass", "pep_614") == [(3, "f: d from Subscript"), (4, "f: e from Attribute")]
+    assert kinds("if x.startswith('a'):\n    x = x[1:]\nif x.endswith('a'):\n    x = x[:-1]\nif x.endswith('a'):\n    x = x[1:]\nif x.startswith('a'):\n    y = x[1:]", "pep_616h") == [(1, "removeprefix"), (3, "removesuffix")]
+
+
+def test_annotated_hints():
+    code = "def f(a: int) -> str:  # must be positive\n    pass\n\n\nx: int = 1\n# at most 5\n\n\n\ny: int = 1"
+    got = [(m[1], m[4]) for m in patterns.detect(code, frozenset(["pep_593h"]))]
+    assert got == [(1, "`a` in `f`: Annotated[int, range=...]"), (1, "return of `f`: Annotated[str, range=...]"), (5, "attribute `x`: Annotated[int, max=...]")]
+    assert len(kinds('class A:\n    """Deprecated, \\d."""\n    x: int', "pep_593h")) == 1 and kinds("X = Annotated[int, 1]", "pep_593") == [(1, "assignment")]
+
+
+def test_underscored_numbers():
+    assert kinds("p = 1_000\nq = 'é', 1_0, 5\nr = '1_0'\ns_t = 5", "pep_515") == [(1, ""), (2, "")]
+
+
+def test_unsafe_random(spark):
+    rows = ["token = random.random()", "token = np.random.rand()", "my_key = x + random.choice(y)", "token = random.random()\nrandom.seed(1)", "import secrets\nkey = random.random()", "x = random.random()", "key = 1\nrandom.random()"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string").where(patterns.unsafe_random(F.col("t")))
+    assert sorted(r.i for r in df.collect()) == [0, 1, 2]
+
+
 def test_unreadable_code():
     assert patterns.detect("def (") == [] and patterns.detect(None) == [] and isinstance(patterns.detect("(" * 5000), list)
 
