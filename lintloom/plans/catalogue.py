@@ -500,6 +500,19 @@ def ast_patterns(t):
     return patterns.find_patterns(t.documents.select(F.col("doc_id").alias("blob_id"), F.col("text").alias("content")))
 
 
+@query()
+def report_items(t):
+    """O-62 to O-65 over rendered reports."""
+    return reports.parse_items(reports.render(t.gold, CODES))
+
+
+@query()
+def reports_deduplicated(t):
+    """O-46 over rendered reports, each section of which is there twice."""
+    twice = reports.render(t.gold, CODES).select("doc_id", F.concat("report", F.lit("\n\n"), "report").alias("report"))
+    return reports.deduplicate(twice)
+
+
 @query()
 def html_sections(t):
     """O-17, O-18."""

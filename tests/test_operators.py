@@ -101,6 +101,27 @@ def test_report_parsers_agree_and_drop_bad_lines(spark):
     assert sorted((r.code or "", r.line) for r in reports.parse_strict(df).collect()) == [("", "0 z"), ("A", "3 a\n4 b"), ("B", "12: c")]
 
 
+def test_report_variants():
+    assert reports.parse_flat(" NO VIOLATIONS FOUND\n") == [] and reports.parse_flat('{"a": 1}\n[2]\nx') == [{"a": 1}]
+    assert reports.parse_flat('{"a": 1}\n## Idiom Violations Found\n{"a": 2}\n## Idiom Violations Found\n {"a": 3}') == [{"a": 3}]
+    escaped = '{\\"a\\": 1}'
+    assert reports.parse_escaped(f'{{"b": 2}}\n\n{escaped}') == [{"b": 2}, {"a": 1}]
+    assert reports.parse_escaped('{"b": 2}\nx') == [] and reports.parse_escaped('{"b": 2}\nx', strict=False) == [{"b": 2}]
+    head = "**Idiom {} Violations:**".format
+    assert reports.parse_idioms("\n".join(['{"a": 0}', head("A"), '{"a": 1}', "{a}", head("B"), "", "NO VIOLATIONS FOUND"])) == {"A": [{"a": 0}, {"a": 1}], "B": "NO VIOLATIONS FOUND"}
+    assert reports.parse_idioms("\n".join([head("B"), "NO VIOLATIONS FOUND", "{}"])) is None and reports.parse_idioms("**Idiom A:**") is None
+    assert reports.parse_marked("\n".join(["NO VIOLATIONS FOUND", head("A"), '{"a": 1}', "[1]", head("B"), "NO VIOLATIONS FOUND"])) == [{"a": 1, "code": "A"}, {"code": "B"}]
+
+
+def test_responses_are_deduplicated(spark):
+    a, b = '**Idiom A Violations:**\n\n{"line": "1 x"}', "**Idiom B Violations:**\n\nNO VIOLATIONS FOUND"
+    final = "why\n\n### Final Idiom Violations Found\n\n"
+    lossy = a + "\nNO VIOLATIONS FOUND"
+    df = spark.createDataFrame([(1, f'{final}{a}\n{{"line": "1 x"}}\n\n{b}'), (2, f"{a}\n\n{b}\n"), (3, lossy), (4, None)], "doc_id long, report string")
+    assert {r.id: r.report for r in reports.deduplicate(df).collect()} == {1: f"{final}{a}\n\n{b}\n", 2: f"{a}\n\n{b}\n", 3: lossy, 4: None}
+    assert {(r.id, r.parser, r.code, r.item) for r in reports.parse_items(df.where("doc_id = 2")).collect()} >= {(2, "flat", None, '{"line": "1 x"}'), (2, "marked", "B", '{"code": "B"}')}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_fuzzy_ratio(a, b):
