@@ -122,6 +122,13 @@ def contiguous_prefix(t):
     return keys.contiguous_prefix(t.events.where("event_id % 997 <> 500").select("event_id"), "event_id")
 
 
+@query("""WITH i AS (SELECT DISTINCT event_id FROM events), m AS (SELECT min(x) AS first FROM (SELECT event_id + 1 AS x FROM i UNION ALL SELECT 0) WHERE x NOT IN (SELECT event_id FROM i))
+SELECT event_id FROM events, m WHERE event_id >= 0 AND event_id < first""")
+def contiguous_prefix_all(t):
+    """ST-01 over all events."""
+    return keys.contiguous_prefix(t.events.select("event_id"), "event_id")
+
+
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 5")
 def complete_groups(t):
     """ST-02."""
@@ -273,6 +280,12 @@ def mixer_test(t):
     return t.documents.where(F.col("lang").isin(list(MIX)) & (F.col("doc_id") % 10 == 0)).select("doc_id", "lang")
 
 
+@query(f"SELECT doc_id, d.lang FROM documents d JOIN {_MIX} ON d.lang = f.lang")
+def mixer_test_whole(t):
+    """S-09: the test part of each language of the mix, all of it."""
+    return t.documents.where(F.col("lang").isin(list(MIX))).select("doc_id", "lang")
+
+
 # --- sampling
 
 

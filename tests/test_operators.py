@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintloom.functions import text
 from lintloom.operators import decontaminate, fuzzy, keys, metrics, pairs, patterns, reports
+from lintloom.plans import catalogue
 from lintloom.sources import readers, sinks
 from lintloom.streaming import streams
 
@@ -179,6 +180,19 @@ def test_contiguous_prefix(spark):
     assert keys.contiguous_prefix(df.where("i > 3"), "i").count() == 0
 
 
+def test_contiguous_prefix_past_a_block(spark):
+    df = spark.range(140_000).withColumnRenamed("id", "i")
+    assert keys.contiguous_prefix(df.where("i NOT IN (66000, 139000)"), "i").count() == 66_000
+    assert keys.contiguous_prefix(df.where("i <> 65536"), "i").count() == 65_536 and keys.contiguous_prefix(df, "i").count() == 140_000
+
+
+def test_whole_inputs_reach_prefix_and_mixer(spark):
+    data = "/root/testdata/sf0.001"
+    events, docs = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("events", "documents"))
+    assert catalogue.QUERIES["contiguous_prefix_all"](spark, data).count() == events.count() > 500
+    assert catalogue.QUERIES["mixer_test_whole"](spark, data).count() == docs.where(F.col("lang").isin(list(catalogue.MIX))).count()
+
+
 def test_contamination_ways_agree(spark):
     docs = spark.createDataFrame([(1, "x  Alpha\nbeta  gamma delta y"), (2, "alpha beta"), (3, None), (4, "one")], "doc_id long, text string")
     bench = spark.createDataFrame([("alpha beta GAMMA delta",), ("one",), ("",), (None,)], "text string")
