@@ -30,7 +30,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go."""
+    """Documents with a language; those without any letter go.
+
+    The decoded language, its score and its ambiguity decide nothing: any text with a letter has a language.
+    """
     codes = language.learn(docs)
 
     def make():
