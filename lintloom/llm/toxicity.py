@@ -1,9 +1,10 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read the words of a clause: an insult and threat lexicon, negation, reported speech and target. They
-are composed into one deterministic transducer, whose output for an insult or a threat is its context (plain,
-targeted, negated, reported). A clause's score is the sum of the weights of its matches in their contexts; a text's
-score adds its clauses to the log odds of any text.
+Small transducers read the words of a clause: negation, reported speech and target. They are composed into one
+deterministic transducer, whose output for an insult or a threat is its context (plain, targeted, negated, reported).
+Insults and threats are single words and stems, found by an Aho-Corasick search and not part of the composition; one of
+several ordinary words isn't matched. A text's score adds the weight of each different entry and context that it holds,
+whatever the clause, to the log odds of any text.
 
 The lexicon (words and stems) and all weights are learned from a bounded sample of labelled texts. An entry must be
 rare in clean texts and stand between many different pairs of neighbours in toxic ones, so that words which only ride
