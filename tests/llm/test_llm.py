@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintloom.llm import bpe, bpe_ops, chat, common, language, license_scan, near_dup, ogg, packing, quality, topk, toxicity
+from tests.llm.brute import check_pieces
+from tests.llm.brute import components as brute_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DATA = "/root/testdata/sf0.01"
@@ -114,44 +116,6 @@ def test_chat_template_is_reversible():
         assert [(r, chat.unescape(whole[a:b])) for r, a, b in chat.parse(whole)] == turns
 
 
-def test_chat_fold(spark):
-    rows = [(1, 0, "user", 0, 0, 0, "message", "hi"), (1, 0, "user", 0, 0, 1, "edit", "hello"), (1, 1, "assistant", 0, 1, 0, "delta", "a"), (1, 1, "assistant", 0, 1, 1, "delta", "b"),
-            (1, 1, "assistant", 0, 1, 2, "regenerate", ""), (1, 1, "assistant", 0, 1, 3, "delta", "c"), (1, 2, "user", 0, 2, 0, "message", "x"), (1, 2, "user", 0, 2, 1, "delete", "")]
-    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, tie long, message long, step int, kind string, text string")
-    assert sorted((r.turn, r.text) for r in chat.fold(log).collect()) == [(0, "hello"), (1, "c")]
-
-
-def test_chat_odd_rows(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", ""), (1, None, None, "x"), (None, 0, "assistant", "y" * 600_000), (2, 0, "assistant", "z")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("clash"))
-    got = {r.conv_id: r for r in chat.digests(chat.format_chats(chat.fold(chat.events_of(turns)))).collect()}
-    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(b"\nx\nuser\n\nuser\n\n").hexdigest()
-    assert got[None].loss_chars == 600_000 and got[2].loss_sha256 == hashlib.sha256(b"z").hexdigest()
-    assert chat.digests(chat.format_chats(chat.fold(chat.events_of(turns.limit(0))))).count() == 0
-
-
-def brute_components(rows):
-    def shingles(t):
-        w = (t or "").translate(license_scan.LOWER).translate(str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))).split(" ")
-        w = [x for x in w if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-    sets = {i: shingles(t) for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(sets, 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 75 * len(x | y):
-            p, q = sorted((find(a), find(b)))
-            parent[q] = p
-    return {i: (len(sets[i]), find(i)) for i in sets}
-
-
 def test_near_dup_large_groups_lose_no_link(spark):
     """A hot passage, a chain of near copies that don't all reach each other, and exact copies, past the all-pairs size."""
     rng = random.Random(4)
@@ -187,20 +151,6 @@ def test_sketch_never_rules_out_a_link():
                 assert near_dup.may_link(len(a), near_dup.sketch(a), len(b), near_dup.sketch(b))
 
 
-def test_top_k_brute_force_with_ties_and_odd_rows(spark):
-    rng = np.random.default_rng(6)
-    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(300)] + [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (304, [1.0, 2.0]), (None, [1.0] * 4), (400, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("shard", F.lit(0))
-    sound = [(i, np.floor(1024 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = set()
-    for q, x in sound:
-        if q % 100 == 0:
-            best = sorted((-int(x @ y), i) for i, y in sound if i != q and len(y) == len(x))[:10]
-            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(df).collect()} == want
-    assert topk.top_k(df.limit(0)).count() == 0
-
-
 def test_kd_tree_is_exact_over_leaves():
     rng = np.random.default_rng(7)
     data, queries = rng.integers(-300, 300, (2000, 8)), rng.integers(-300, 300, (20, 8))
@@ -212,54 +162,6 @@ def test_kd_tree_is_exact_over_leaves():
         assert sorted(zip(-scores, who, strict=True)) == sorted(zip(-all_scores[best], ids[best], strict=True))
 
 
-def check_pieces(rows, lengths):
-    covered, sequences = {}, {}
-    for r in rows:
-        covered.setdefault(r.doc_id, []).append((r.start, r.length))
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.padded_length))
-    for doc, parts in covered.items():
-        at = 0
-        for start, n in sorted(parts):
-            assert start == at
-            at += n
-        assert at == lengths[doc]
-    padding = 0
-    for parts in sequences.values():
-        at = 0
-        for offset, n, _ in sorted(parts):
-            assert offset == at
-            at += n
-        assert at <= parts[0][2] <= 1024
-        padding += parts[0][2] - at
-    return padding / sum(lengths.values())
-
-
-def test_packing(docs):
-    coder = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    some = docs.where("doc_id < 400")
-    ids = {r.doc_id: np.append(coder.encode([r.text])[0], 0).astype("<u4") for r in some.collect()}
-    rows = packing.pack(some).collect()
-    assert check_pieces(rows, {k: len(v) for k, v in ids.items()}) < 0.02
-    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id]) for r in rows)
-
-
-def test_packing_odd_rows(odd):
-    rows = packing.pack(odd.where("doc_id <> 5")).collect()
-    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 7, 8} and next(r for r in rows if r.doc_id == 1).doc_tokens == 1
-    assert packing.pack(odd.limit(0)).count() == 0
-
-
-def test_best_fill_is_best():
-    rng = random.Random(8)
-    for _ in range(200):
-        sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 7))]
-        target = rng.randint(0, 40)
-        counts = np.bincount(sizes, minlength=64)
-        got = packing.best_fill(counts, target)
-        best = max(s for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if (s := sum(c)) <= target)
-        assert sum(a * b for a, b in got) == best and all(counts[a] >= b for a, b in got)
-
-
 def accuracy(rows, want, column):
     held = [(r[column], want[r.doc_id]) for r in rows if r.held_out and r.doc_id in want]
     return sum(a == b for a, b in held) / len(held)
@@ -302,35 +204,6 @@ def test_codewords_differ():
         assert min((code[i] != code[j]).sum() for i in range(k) for j in range(i)) >= (1 if k == 2 else 2)
 
 
-def test_license_scan_brute_force(docs):
-    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
-    hard = "GNU general public license gnu general public LICENSE, apache license mit license cc by cc by-nc cc-by mit mit license"
-    for t in [*texts(docs), hard, "mit license", "", "the the"]:
-        words = license_scan.WORD.findall(t.translate(license_scan.LOWER))
-        places = {(i, label) for p, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}
-        got = scanner.scan(t)
-        assert (got["n_words"], got["n_base"], got["base_labels"]) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
-        assert (got["first_word"], got["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
-        assert set(got["base_labels"].split(",")) - {""} <= set(got["labels"].split(","))
-
-
-def test_suffix_automaton_matching_statistics():
-    rng = random.Random(9)
-    for _ in range(100):
-        bank = [[rng.randint(0, 2) for _ in range(rng.randint(1, 12))] for _ in range(3)]
-        runs = {tuple(t[i:j]) for t in bank for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
-        words = [rng.randint(0, 3) for _ in range(15)]
-        for i, (size, _) in enumerate(license_scan.SuffixAutomaton(bank).statistics(words)):
-            assert size == max(k for k in range(i + 2) if k == 0 or tuple(words[i + 1 - k : i + 1]) in runs)
-
-
-def test_license_spans_of_the_method(odd):
-    bsd = next(t for label, t in license_scan.TEMPLATES if label == "bsd")
-    got = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES).scan("Intro. " + bsd.replace("source", "Source,", 1) + " end")
-    assert got["labels"] == "bsd" and got["base_labels"] == "" and got["score"] > 0.9
-    assert license_scan.scan(odd).count() == len(ODD)
-
-
 def test_id_bitmap_never_misses(spark):
     ids = spark.range(0, 5000, 7).withColumnRenamed("id", "doc_id")
     flagged = common.flag_ids(spark.range(5000).withColumnRenamed("id", "doc_id"), ids).where("flagged")
@@ -352,28 +225,3 @@ def test_pipeline_against_its_operators(spark, docs):
     assert check_pieces(rows, {i: len(coder.encode([t or ""])[0]) + 1 for i, t in second if i in kept}) < 0.02
     stage = dict(c.STAGES)["near_dup"](spark, docs.union(docs.where("doc_id < 5")).withColumn("kept", F.lit(1)), DATA)
     assert stage.columns == [*docs.columns, "kept"] and stage.groupBy("doc_id").count().where("count > 1").count() == 0
-
-
-def test_packed_ids_are_those_of_tokenizers(docs):
-    from tokenizers import Tokenizer
-
-    file = public_tokenizers.path(packing.RANK_FILE)
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [r.text or "" for r in docs.select("text").collect()] + ["", " \n\t x", "<|endoftext|>", "é" * 5000, "a  b   c    ", " " * 300_000 + "x"]
-    for text in texts:
-        assert packing.token_ids(text, file).tolist() == tok.encode(text, add_special_tokens=False).ids
-
-
-def test_packed_ids_hold_added_tokens(spark):
-    from tokenizers import Tokenizer
-
-    file, end = public_tokenizers.path(packing.RANK_FILE), "<|endoftext|>"
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    some = [end, f"a {end} b", f"{end}{end}", f"a  {end}  b \n", f"<|end{end}oftext|>", "<|endoftext", " " * 300_000 + f"x{end} y", "plain", ""]
-    want = [tok.encode(x, add_special_tokens=False).ids for x in some]
-    assert want[1] == [64, 220, 50256, 275]
-    assert [packing.token_ids(x, file, added=True).tolist() for x in some] == want
-    rows = packing.pack(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), capacity=1 << 20).collect()
-    packed = {r.doc_id: (r.length, r.doc_tokens, r.ids_crc32) for r in rows}
-    assert packed == {k: (len(x) + 1, len(x) + 1, zlib.crc32(np.array([*x, packing.END_ID], "<u4").tobytes())) for k, x in enumerate(want)}
