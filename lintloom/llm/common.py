@@ -23,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lintloom-")
+    """A new folder in the shared folder that the cluster names. Where none is set, a temporary one of this machine,
+    which only a local session may use: the executors of a cluster would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lintloom-")
     return f"{base.rstrip('/')}/lintloom/{uuid.uuid4().hex}"
 
 
@@ -64,19 +69,38 @@ def hash01(*cols: Column) -> Column:
 FILTER_BITS = 1 << 24
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted`` with underscores before each name until no column of ``df`` is called that, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def flag_ids(df: DataFrame, ids: DataFrame, flag: str = "flagged") -> DataFrame:
-    """``df`` with a column that is false only where doc_id isn't among the doc_ids of ``ids``.
+    """``df`` with a column ``flag`` that is false only where doc_id isn't among the doc_ids of ``ids``.
 
     The ids are hashed into a bitmap of FILTER_BITS, which is sent to all executors: its size is bounded by
     FILTER_BITS / 64 rows. True needs confirming by a join; with many more ids than bits most rows are flagged and
-    the join does all the work. It keeps rows with texts from being shuffled for a join with few ids.
+    the join does all the work. It keeps rows with texts from being shuffled for a join with few ids. Columns of
+    ``df`` keep their names and values, but none may be called ``flag``: ``free_names`` finds a name for it.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     word, bit = F.floor(place / 64).cast("int"), F.pmod(place, F.lit(64)).cast("int")
-    words = ids.select(word.alias("_word"), F.expr("1L").alias("_one"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits"))
-    marked = df.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(words), "_word", "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, _bit) & 1L") == 1, F.lit(False)) & F.col("doc_id").isNotNull()
-    return marked.select(*(F.col(c) for c in df.columns), hit.alias(flag))
+    w, b, bits = free_names(df, "word", "bit", "bits")
+    some = ids.select(word.alias("at"), F.expr("1L").alias("one"), bit.alias("place"))
+    words = some.groupBy(F.col("at").alias(w)).agg(F.bit_or(F.expr("shiftleft(one, place)")).alias(bits))
+    marked = df.withColumns({w: word, b: bit}).join(F.broadcast(words), w, "left")
+    hit = F.coalesce(F.expr(f"shiftright({bits}, {b}) & 1L") == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return marked.select(*(named(c) for c in df.columns), hit.alias(flag))
 
 
 def crc_rest(doc_id: Column, modulus: int) -> Column:
@@ -145,14 +169,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
-    """The rows of ``df`` whose text passes; all columns stay as they are."""
+    """The rows of ``df`` whose text passes; all columns stay as they are, whatever their names."""
+    at = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         try:
-            for part in slices(batches):
-                yield part.filter(pa.array(test(part.column(part.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+            for part in slices(batches, f"c{at}"):
+                yield part.filter(pa.array(test(part.column(at).to_pylist()), pa.bool_()))
         finally:
             release()
 
-    return df.mapInArrow(run, df.schema)
+    # plain names on the way, as some names can't be looked up by Spark's Arrow functions
+    plain = df.select(*(named(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)

@@ -17,6 +17,9 @@ are dropped for certain. What is left is confirmed on full sets.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +40,11 @@ SMALL, PIVOTS, FEW, MANY = 24, 4, 512, 4096
 #: Bits of a sketch, least and most.
 SKETCH = (64, 1 << 14)
 
+#: Words kept with their hashes during a slice, and bytes of a word that is kept; bytes of text split at a time.
+MEMO_WORDS, MEMO_BYTES, SPLIT_BYTES = 200_000, 64, 1 << 20
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-#: Bytes that part words.
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_WHITE = re.compile(rb"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,54 +56,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * _A)
-    values[65:91] = values[97:123]
-    return values
-
+class _Words(dict):
+    """Word -> its hash: 64 bits of a keyed BLAKE2b, so that no two words meet but by chance."""
 
-_POWER = int(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"near_dup").digest(), "little")
+        if len(word) <= MEMO_BYTES and len(self) < MEMO_WORDS:
+            self[word] = value
+        return value
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_POWER, pow(_POWER, -1, 1 << 64))):
-            x = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            x[0] = 1
-            _powers[i] = np.multiply.accumulate(x)
-    return _powers
+def word_hashes(text: str | None, memo: _Words) -> np.ndarray:
+    """The hashes of a text's words, in order. A long text is split a part at a time."""
+    raw, at, out = (text or "").encode().lower(), 0, []  # bytes: only A-Z change, only 9 to 13 and 32 part words
+    while at < len(raw):
+        cut = _WHITE.search(raw, at + SPLIT_BYTES) if len(raw) - at > SPLIT_BYTES else None
+        end = cut.start() if cut else len(raw)
+        words = raw[at:end].split()
+        out.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty for a text without words."""
-    parts = [(t or "").encode() for t in texts]
-    raw = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
-    begins = np.cumsum([1] + [len(p) + 1 for p in parts])[: len(parts)]
-    power, inverse = _powers_to(len(raw))
-    sums = np.cumsum(_byte_values()[raw] * power[: len(raw)], dtype=np.uint64)
-    edge = np.flatnonzero(np.diff(_BLANK[raw].view(np.int8)))
-    start, end = edge[0::2] + 1, edge[1::2] + 1  # a word is raw[start:end]
-    word = mix((sums[end - 1] - sums[start - 1]) * inverse[start] + (end - start).astype(np.uint64) * _A)
-    first = np.append(np.searchsorted(start, begins), len(word))
+    memo = _memo()
+    if len(memo) >= MEMO_WORDS:
+        memo.clear()
     factors = mix(np.arange(1, WORDS + 2, dtype=np.uint64) * _C) | np.uint64(1)
-    if len(word) >= WORDS:
-        n = len(word) - WORDS + 1
-        rolled = sum(word[k : n + k] * factors[k] for k in range(WORDS))
-        rolled = mix(rolled)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= WORDS:
-            out.append(np.unique(rolled[a : b - WORDS + 1]))
-        elif b > a:
-            out.append(mix((word[a:b] * factors[: b - a]).sum(dtype=np.uint64, keepdims=True) + factors[WORDS : WORDS + 1] * np.uint64(b - a)))
+    for text in texts:
+        word = word_hashes(text, memo)
+        n = len(word)
+        if n >= WORDS:
+            n -= WORDS - 1
+            out.append(np.unique(mix(sum(word[k : n + k] * factors[k] for k in range(WORDS)))))
+        elif n:
+            out.append(mix((word * factors[:n]).sum(dtype=np.uint64, keepdims=True) + factors[WORDS : WORDS + 1] * np.uint64(n)))
         else:
-            out.append(np.empty(0, np.uint64))
+            out.append(word)
     return out
 
 
+@lru_cache(maxsize=1)
+def _memo() -> _Words:
+    return _Words()
+
+
+def identity(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of the SHA-256 of a set: documents of equal sets are one class."""
+    low, high = struct.unpack_from("<qq", hashlib.sha256(own.tobytes()).digest())
+    return low, high
+
+
 @lru_cache(maxsize=1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240601)
@@ -171,8 +180,7 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys[i] = row
         at = to
     for i in some:
-        h1[i] = int(mix(sets[i] + _A).sum(dtype=np.uint64).view(np.int64))
-        h2[i] = int(mix(sets[i] ^ _C).sum(dtype=np.uint64).view(np.int64))
+        h1[i], h2[i] = identity(sets[i])
     return pa.RecordBatch.from_arrays(
         [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())],
         names=["doc_id", "n", "h1", "h2", "bands", "sketch"],
@@ -180,7 +188,10 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["doc_id", "shingles"])
+    """The sets of texts whose identity is the wanted one: of rows that repeat an id, those that stand for it."""
+    rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True)
+    found = [(doc, own.tobytes()) for doc, h1, h2, own in rows if identity(own) == (h1, h2)]
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "shingles"])
 
 
 def _keep(test, columns: tuple[str, ...]):
@@ -202,11 +213,13 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_keep(may_link, ("n_a", "s_a", "n_b", "s_b")), "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that reach the threshold on full sets."""
-    wanted = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = scratch.put(wanted.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"), "wanted")
     near = flag_ids(docs, wanted).where("flagged").select("doc_id", "text")
-    sets = scratch.put(map_texts(near.join(wanted, "doc_id", "left_semi"), "doc_id long, shingles binary", lambda: _sets).dropDuplicates(["doc_id"]), "sets")
+    sets = map_texts(near.join(wanted, "doc_id").select("doc_id", "text", "h1", "h2"), "doc_id long, shingles binary", lambda: _sets)
+    sets = scratch.put(sets.dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     test = lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
     out = scratch.put(both.select("a", "b", "x", "y").mapInArrow(_keep(test, ("x", "y")), "a long, b long"), "links")
@@ -271,15 +284,29 @@ def _rest(key: tuple, few: pa.Table, many: pa.Table) -> pa.Table:
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``df`` (doc_id, text).
 
-    A null text, or one without words, has no shingles and is linked with nothing. Rows that repeat an id and its text
-    are one document. A row with a null id is linked with nothing; its component is null and it isn't kept. Columns
-    besides doc_id and text aren't read. An empty table gives no rows.
+    A null text, or one without words, has no shingles and is linked with nothing. Rows that repeat an id are one
+    document; if their texts differ, the text with the largest set stands for all of them (of equally large ones, that
+    of the least digest), and n_shingles is its size. A row with a null id is linked with nothing; its component is
+    null and it isn't kept. Columns besides doc_id and text aren't read. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = scratch.put(map_texts(docs, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary", lambda: _features), "features")
+    # ids that rows of different sets share: (largest set, least digest) stands for the id
+    sets = features.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("own"), F.max(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("other")
+    ).where("own <> other")
+    chosen = scratch.put(sets.select("doc_id", (-F.col("own.m")).alias("n"), F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")), "chosen")
+    if chosen.limit(1).count():
+        mine = chosen.select("doc_id", *(F.col(c).alias(f"own_{c}") for c in ("n", "h1", "h2")))
+        marked = features.join(mine, "doc_id", "left")
+        fits = F.col("own_n").isNull() | ((F.col("n") == F.col("own_n")) & (F.col("h1") == F.col("own_h1")) & (F.col("h2") == F.col("own_h2")))
+        some = marked.where(fits).select(*features.columns)
+        told = marked.select("doc_id", *(F.coalesce(f"own_{c}", c).alias(c) for c in ("n", "h1", "h2")))
+    else:
+        some, told = features, features.select("doc_id", "n", "h1", "h2")
     classes = scratch.put(
-        features.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+        some.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
     entries = classes.select("rep", F.explode("bands").alias("key"))
     # counts and pivots are tables of their own, so that a hot key of the joins with them can be split over tasks
@@ -293,7 +320,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     pivots = scratch.put(pivots.select("key", F.explode(F.array_distinct("p")).alias("p")), "pivots")
     starred = large.join(pivots, "key").where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
     candidates = scratch.put(_plausible(pairs.union(starred).distinct(), classes), "candidates")
-    links = _confirmed(candidates, docs, scratch)
+    links = _confirmed(candidates, docs, classes, scratch)
     found = components(links, scratch)
 
     # large buckets that are not one component yet
@@ -311,10 +338,10 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         left = open_.where("component <> main").withColumn("i", block("few")).withColumn("j", whole("many")).select(*columns)
         right = open_.withColumn("j", block("many")).withColumn("i", whole("few")).select(*columns)
         more = scratch.put(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_rest, "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti"), "more")
-        links = links.union(_confirmed(more, docs, scratch))
+        links = links.union(_confirmed(more, docs, classes, scratch))
         found = components(links, scratch)
     group = classes.join(found, "rep", "left").select("h1", "h2", F.col("n").alias("n"), F.coalesce("component", "rep").alias("component"))
-    told = features.select("doc_id", "n", "h1", "h2").join(group, ["h1", "h2", "n"], "left")
+    told = told.join(group, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
