@@ -1,9 +1,10 @@
 """Operator 5: chat formatting from event logs.
 
 A log holds, for each conversation, events in sequence: whole messages, streamed deltas, edits, regenerations and
-deletions. They are folded into final messages, message by message, so that a conversation of any size is spread over
-tasks; the messages are sorted by range, rendered into blocks of bounded size, and the blocks of a conversation are
-read back in order, as a stream.
+deletions, those of several messages in turn. Events are partitioned by ranges of conversation and message and sorted
+by sequence number, so that a conversation of any size is spread over tasks, and folded into final messages as they
+pass by; these are rendered into blocks of bounded size, and the blocks of a conversation are read back in order, as a
+stream.
 
 The template marks turns as ``[INST] text [/INST]`` (user), ``text</s>`` (assistant) and
 ``<<ROLE:hex>>text<</ROLE>>`` (any other role, its name in hexadecimal). Control strings inside texts get a backslash
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintloom.llm.common import table
+from lintloom.llm.common import slices, table
 
 #: Characters of a block, unless one message is longer.
 BLOCK_CHARS = 1 << 18
@@ -68,36 +70,118 @@ def parse(formatted: str) -> Iterator[tuple[str, int, int]]:
             at = end + 4
 
 
+#: An event: what it does to its message, the how manieth it is in its conversation (numbers may have gaps).
+EVENT = "conv_id long, seq long, message long, role string, kind string, text string"
+
+
+def _script(role: str, text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(kind, text) of the events that make a turn: those at once, and those after the next turn has begun."""
+    half, way = len(text) // 2, zlib.crc32(text.encode()) % 4
+    if role == "assistant":
+        now = [("delta", text[:half]), ("regenerate", ""), ("delta", text[:half]), ("delta", text[half:])]
+        return (now[:3] + [("delta", "?")], [("edit", text)]) if way == 0 else (now, [])
+    if way == 0:
+        return [("message", text[half:])], [("edit", text)]
+    return [("message", text)], []
+
+
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The log of turns that come in order. Numbers rise within a conversation, over all partitions."""
+    seq, conv, late = TaskContext.get().partitionId() << 40, None, []
+    names = ["conv_id", "seq", "message", "role", "kind", "text"]
+    for batch in slices(batches):
+        rows: list[tuple] = []
+
+        def emit(c: int | None, message: int, role: str, events: list[tuple[str, str]], rows: list = rows) -> None:
+            nonlocal seq
+            for kind, part in events:
+                rows.append((c, seq, message, role, kind, part))
+                seq += 1
+
+        for c, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if c != conv:
+                for waiting in late:
+                    emit(*waiting)
+                conv, late = c, []
+            now, after = _script(role, text)
+            message = seq
+            emit(c, message, role, now[:1])
+            for waiting in late:
+                emit(*waiting)
+            emit(c, message, role, now[1:])
+            late = [(c, message, role, after)] if after else []
+            if zlib.crc32(text.encode()) % 16 == 1:  # a message that is taken back
+                emit(c, seq, role, [("message", "never mind"), ("delete", "")])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 3 else pa.string()) for i, x in enumerate(zip(*rows, strict=True))], names=names)
+    if late:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], pa.int64() if i < 3 else pa.string()) for i, x in enumerate((late[0][0], seq, late[0][1], late[0][2], *late[0][3][0]))], names=names
+        )
+
+
 def events_of(turns: DataFrame) -> DataFrame:
-    """The log of a table of turns (conv_id, turn, role, text): user and other turns arrive whole; an assistant turn
-    streams a draft, is regenerated, and streams its text in two deltas.
+    """The log of a table of turns (conv_id, turn, role, text), as a service would have written it: assistant turns
+    stream a draft, are regenerated and streamed again; some turns are edited after the next one has begun, and some
+    messages are sent and deleted.
 
-    Turns of equal number are in order of role and text; null numbers come first; a null role or text counts as empty.
+    Turns of equal number are in order of role and text; null numbers come last; a null role or text counts as empty.
+    Columns besides these four aren't read.
     """
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    half = F.floor(F.length(text) / 2).cast("int")
-    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
-    event = lambda step, kind, part: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), part.alias("text"))
-    streamed = F.array(event(0, "delta", first), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
-    # the id is given before the row is taken apart
-    numbered = turns.withColumn("message", F.monotonically_increasing_id())
-    log = numbered.select(
-        "conv_id", "turn", role.alias("role"), F.xxhash64(text).alias("tie"), "message",
-        F.explode(F.when(role == "assistant", streamed).otherwise(F.array(event(0, "message", text)))).alias("e"),
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return log.select("conv_id", "turn", "role", "tie", "message", "e.step", "e.kind", "e.text")
+    place = [F.col("conv_id"), F.asc_nulls_last("turn"), F.col("role")]
+    # ranges by the beginnings of texts: bounds are sampled, and whole texts are no bounds
+    ranged = rows.repartitionByRange(*place, F.left("text", F.lit(64))).sortWithinPartitions(*place, "text")
+    return ranged.mapInArrow(_events, EVENT)
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, role, parts, there = None, "", [], False
+    names = ["conv_id", "message", "role", "text"]
+
+    def final() -> list[tuple]:
+        return [(*key, role, "".join(parts))] if there else []
+
+    def batch_of_messages(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.string()) for i, x in enumerate(zip(*rows, strict=True))], names=names)
+
+    for batch in slices(batches):
+        rows: list[tuple] = []
+        for c, message, who, kind, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+            if (c, message) != key:
+                rows += final()
+                key, role, parts, there = (c, message), who or "", [], False
+            text = text or ""
+            if kind == "delta":
+                parts, there = [*parts, text] if len(parts) < 64 else ["".join(parts), text], True
+            elif kind == "regenerate":
+                parts, there = [], True
+            elif kind == "delete":
+                parts, there = [], False
+            elif kind in ("message", "edit"):
+                parts, there = [text], True
+            else:
+                raise ValueError(f"unknown kind of event: {kind}")
+        if rows:
+            yield batch_of_messages(rows)
+    if there:
+        yield batch_of_messages(final())
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages of a log. In the order of ``step``: a delta lengthens its message, a message or an edit gives the
-    whole text, a regeneration starts anew, a deletion takes the message away."""
-    steps = F.array_sort(F.collect_list(F.struct("step", "kind", F.coalesce("text", F.lit("")).alias("text"))))
-    text = F.aggregate(
-        "steps", F.lit("").cast("string"),
-        lambda so_far, e: F.when(e["kind"] == "delta", F.concat(F.coalesce(so_far, F.lit("")), e["text"])).when(e["kind"] == "regenerate", F.lit("")).when(e["kind"] == "delete", F.lit(None).cast("string")).otherwise(e["text"]),
-    )
-    whole = events.groupBy("conv_id", "message").agg(F.min("turn").alias("turn"), F.min("role").alias("role"), F.min("tie").alias("tie"), steps.alias("steps"))
-    return whole.select("conv_id", "turn", "role", "tie", "message", text.alias("text")).where(F.col("text").isNotNull())
+    """Final messages (conv_id, message, role, text) of a log (see EVENT), each partition in order.
+
+    In order of ``seq``: a delta lengthens its message, a message or an edit gives the whole text, a regeneration
+    starts anew, a deletion takes the message away, until another event gives it a text. Messages of a conversation
+    are in order of ``message``; their role is that of their first event. A null text or role counts as empty; events
+    with null ids are one conversation, or one message, that comes first. Events of equal number are in order of kind
+    and text. Other columns aren't read.
+    """
+    log = events.select("conv_id", "seq", "message", "role", "kind", "text")
+    ranged = log.repartitionByRange("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "kind", "text")
+    return ranged.mapInArrow(_fold, "conv_id long, message long, role string, text string")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +199,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, spans, size, open_ = [], [], 0, False
         return out
 
-    for batch in batches:
-        for c, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+    for batch in slices(batches):
+        for c, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
             if open_ and (c != conv or size + len(text) > BLOCK_CHARS):
                 yield flush()
             conv, open_ = c, True
@@ -129,14 +213,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def format_chats(messages: DataFrame) -> DataFrame:
-    """Blocks of formatted text with their loss mask: conv_id, part, number, formatted, loss (spans of the block).
+def format_chats(events: DataFrame) -> DataFrame:
+    """Blocks of formatted text of a log, with their loss mask: conv_id, part, number, formatted, loss (spans of the block).
 
-    The blocks of a conversation, in order of part and number, are its whole text.
+    The blocks of a conversation, in order of part and number, are its whole text. Messages are rendered in the tasks
+    that fold them.
     """
-    order = ["conv_id", "turn", "role", "tie", "message"]
-    ranged = messages.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(_blocks, "conv_id long, part int, number int, formatted string, loss array<struct<start:int,end:int>>")
+    return fold(events).mapInArrow(_blocks, "conv_id long, part int, number int, formatted string, loss array<struct<start:int,end:int>>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +260,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return digests(format_chats(fold(events_of(turns.unionByName(extra)))))
+    return digests(format_chats(events_of(turns.unionByName(extra))))
 
 
 #: Texts with a backslash before a control string aside, escaping adds one character to each control string.
