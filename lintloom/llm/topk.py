@@ -1,10 +1,10 @@
-"""Operator 7: exact top-k inner products by KD-trees, one per shard.
+"""Operator 7: top-k inner products, exact, by KD-trees, one per shard.
 
-Vectors are dealt into shards of a bounded size, queries into blocks of a bounded size; a task holds one shard and one
-block. A shard's tree is made by median splits of the widest dimension, with tight bounding boxes. A query goes through
-it best first: the bound of a box is the largest inner product any vector in it could have, and the walk ends when the
-best bound left is below the kth score. That kth score isn't learnt afresh in each shard: every query brings the kth
-score that it reached against a bounded sample of all vectors, which its result can't be below.
+Vectors are dealt into shards of a bounded size. A shard's tree is made once, by median splits of the widest dimension,
+with tight bounding boxes; the queries then stream past it. A query goes through the tree best first: the bound of a
+box is the largest inner product any vector in it could have, and the walk ends when the best bound left is below the
+kth score. That kth score is handed on: shards are searched in a few waves, and every query starts a wave with the kth
+score that it reached over all shards of the waves before.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintloom.llm.common import table
+from lintloom.llm.common import Scratch, release, table
 
-#: Vectors of a shard, queries of a block (on average), vectors of a leaf, and of the sample for first bounds.
-SHARD_ROWS, QUERY_ROWS, LEAF, SAMPLE = 8192, 2048, 256, 1024
+#: Vectors of a shard, on average, and of a leaf.
+SHARD_ROWS, LEAF = 16384, 256
+#: The share of shards that is done after each wave: early ones are small, as their queries have lower bounds.
+WAVES = (1 / 16, 1 / 4, 1)
 NONE = -(2**63)
 
 
@@ -91,81 +93,91 @@ class KdTree:
                     yield at + i, who, best
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dim)
 
 
-def _search(k: int):
-    def run(key: tuple, rows: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not len(rows) or not len(queries):
-            return schema.empty_table()
-        dim = key[0].as_py()
-        vectors, asked = _matrix(rows["v"], dim), _matrix(queries["v"], dim)
-        ids, own = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        bounds = queries["bound"].to_numpy()
-        found = list(KdTree(vectors).search(vectors, ids, asked, own, bounds, k))
-        if not found:
-            return schema.empty_table()
-        return pa.table([np.repeat(own[[i for i, *_ in found]], [len(w) for _, w, _ in found]), np.concatenate([w for _, w, _ in found]), np.concatenate([s for *_, s in found])], schema=schema)
+#: Rows of a task, sorted: of each shard its vectors (kind 0), then the queries (kind 1).
+_STREAM = ["dim", "shard", "kind", "vec_id", "n", "v"]
 
-    return run
 
+def _search(k: int):
+    """Builds the tree of each shard and searches it for the queries that follow. ``n``: copies of a vector, bound of a query."""
 
-def _bounds(sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, data = sample.get(len(v), (np.empty(0, np.int64), np.empty((0, len(v)), np.int64)))
-                other = data[ids != vec_id]
-                q = np.array(v, np.int64)
-                kind = exact(other, q[None, :])
-                scores = other.astype(kind) @ q.astype(kind)
-                out.append(int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else NONE)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "bound"])
+        key, parts, tree, vectors, ids = None, [], None, None, None
+        try:
+            for batch in batches:
+                dim, shard, kind, vec_id, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+                cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dim)], strict=True):
+                    if a == b:
+                        continue
+                    if (dim[a], shard[a]) != key:
+                        key, parts, tree = (dim[a], shard[a]), [], None
+                    rows = _matrix(batch.column(5).slice(a, b - a), int(dim[a]))
+                    if kind[a] == 0:
+                        parts.append((rows, vec_id[a:b], n[a:b]))
+                        continue
+                    if not parts and tree is None:  # no vector of this length is in the shard
+                        continue
+                    if tree is None:
+                        # a vector is k of its copies at most: more can't be among the k best
+                        copies = np.minimum(np.concatenate([c for *_, c in parts]), k)
+                        vectors, ids = np.repeat(np.concatenate([v for v, *_ in parts]), copies, axis=0), np.repeat(np.concatenate([i for _, i, _ in parts]), copies)
+                        tree, parts = KdTree(vectors), []
+                    found = list(tree.search(vectors, ids, rows, vec_id[a:b], n[a:b], k))
+                    if found:
+                        own = np.repeat(vec_id[a:b][[i for i, *_ in found]], [len(w) for _, w, _ in found])
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([w for _, w, _ in found])), pa.array(np.concatenate([s for *_, s in found]))], names=["query_id", "vec_id", "score"])
+        finally:
+            release()
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, ties to the smaller vec_id.
 
     Queries are the vectors whose vec_id is divisible by ``modulus``; candidates are all vectors but those with the
     query's own id. Components become floor(scale * x). Vectors that are null, have a null id, or hold null or
     non-finite components take no part; vectors of other lengths are no candidates of a query. Rows that repeat an id
     are candidates each; as a query an id counts once, with its least vector. Columns besides vec_id and embedding
-    aren't read.
+    aren't read. An empty table, or one without queries, gives no rows.
     """
-    spark = vectors.sparkSession
+    scratch = Scratch(vectors.sparkSession)
     x = F.col("embedding")
     sound = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) != float("inf")))
     rows = vectors.where(sound).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"),
-    ).withColumn("dim", F.size("v"))
-    is_query = F.col("vec_id") % modulus == 0
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()
-    total = max(1, sum(r["n"] for r in sizes))
-    shards, blocks = -(-total // SHARD_ROWS), max(1, -(-sum(r["q"] for r in sizes) // QUERY_ROWS))
-    share = min(1.0, SAMPLE / total)
-    sample: dict[int, tuple[list, list]] = {}
-    for r in rows.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) / F.lit(float(1 << 53)) < share).limit(4 * SAMPLE).collect():
-        ids, data = sample.setdefault(r["dim"], ([], []))
-        ids.append(r["vec_id"])
-        data.append(r["v"])
-    known = {d: (np.array(i, np.int64), np.array(v, np.int64).reshape(len(i), d)) for d, (i, v) in sample.items()}
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_bounds(known, k), "vec_id long, v array<long>, bound long")
-    queries = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # the row's place is hashed too: a repeated id or vector isn't one shard's
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = dealt.groupBy("dim", "shard", "block").cogroup(queries.groupBy("dim", "shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    )
+    total = rows.count()
+    repeated = vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("vec_id IS NOT NULL AND n > 1").limit(1).count()
+    # equal rows are one with a number of copies, so that the copies of a hot row don't fill a shard
+    rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n")) if repeated else rows.withColumn("n", F.lit(1).cast("long"))
+    rows = rows.where(F.size("v") > 0)
+    shards = max(1, -(-total // shard_rows))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
+    queries = scratch.put(rows.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    best, done, schema = None, 0, "query_id long, vec_id long, score long"
+    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    for end in sorted({max(1, round(shards * w)) for w in WAVES}):
+        bounds = queries.withColumn("n", F.lit(NONE).cast("long"))
+        if best is not None:
+            kth = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+            bounds = queries.join(kth, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", F.lit(NONE)).alias("n"))
+        some = rows.withColumn("shard", shard).where((F.col("shard") >= done) & (F.col("shard") < end)).withColumn("kind", F.lit(0))
+        asked = bounds.withColumn("shard", F.explode(F.sequence(F.lit(done), F.lit(end - 1)))).withColumn("kind", F.lit(1))
+        both = some.select("vec_id", "n", "v", "shard", "kind").union(asked.select("vec_id", "n", "v", "shard", "kind")).withColumn("dim", F.size("v"))
+        streams = both.select(*_STREAM).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+        found = streams.mapInArrow(_search(k), schema)
+        if best is not None:
+            found = found.union(best.select("query_id", "vec_id", "score"))
+        ranked = found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if end == shards:
+            return ranked
+        best, done = scratch.put(ranked, "best"), end
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
