@@ -1,10 +1,10 @@
 """Operator 8: packing token pieces into windows by minimum bin slack.
 
-Every document is encoded once. What fills whole windows is cut off; the rest of each document, shorter than a window,
-is dealt into groups of a bounded size, and in each group a subset-sum dynamic program over bitsets picks, for the
-longest rest that is left, the multiset of other lengths that fills its window closest to capacity. The counts of the
-multiset are found by walking back through the bitsets; a multiset is used as often as the lengths that are left allow.
-Only lengths, offsets and checksums are shuffled, never texts or ids.
+Every document is encoded once. What fills whole windows is cut off and is placed at once, without a shuffle; the rest
+of each document, shorter than a window, is dealt into groups of a bounded size, and in each group a subset-sum dynamic
+program over bitsets picks, for the longest rest that is left, the multiset of other lengths that fills its window
+closest to capacity. The counts of the multiset are found by walking back through the bitsets; a multiset is used as
+often as the lengths that are left allow. Only lengths and checksums of rests are shuffled, never texts or ids.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintloom.llm import bpe
-from lintloom.llm.common import release, slices, table
+from lintloom.llm.common import Scratch, release, slices, table
 
 #: The vocabulary of byte_bpe_50k.json as ranks.
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -33,8 +33,10 @@ RANK_FILE = "byte_bpe_50k.tiktoken"
 END_ID = 0
 #: Rests of documents packed together, on average.
 GROUP_ROWS = 16_384
+#: Sequence ids of whole windows begin here; those of groups are below.
+WHOLE = 1 << 62
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, uid long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
@@ -119,7 +121,7 @@ def token_ids(text: str, file: str, added: bool = False) -> np.ndarray:
         return bpe.load(file).encode([text])[0]
 
 
-def _cut(file: str, capacity: int, groups: int):
+def _cut(file: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4")
@@ -132,12 +134,10 @@ def _cut(file: str, capacity: int, groups: int):
                     piece = ids[start : start + capacity]
                     uid = part << 36 | row
                     row += 1
-                    # a multiplicative hash of the row's place deals the pieces out evenly, whatever they hold
-                    grp = (uid * 0x9E3779B97F4A7C15 >> 20 & 0xFFFFFFFF) % groups
-                    out.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), total, grp, uid))
+                    out.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), total, uid))
             columns = list(zip(*out, strict=True))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"])
         release()
 
     return run
@@ -149,9 +149,7 @@ def _pack(capacity: int):
         length = pieces["length"].to_numpy()
         n, grp = len(length), int(pieces["grp"][0].as_py())
         first = np.searchsorted(length, np.arange(capacity + 2))
-        sequence, offset, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        whole = np.arange(first[capacity], n)
-        sequence[whole], size[whole], made = np.arange(len(whole)), capacity, len(whole)
+        sequence, offset, size, made = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
         counts = np.diff(first)[:capacity].copy()
         nxt = first.copy()
         for use, times in plan_windows(counts, capacity):
@@ -183,9 +181,17 @@ def pack(df: DataFrame, capacity: int = 1024, file: str | None = None, group_row
     stays null. No table, no rows.
     """
     file = file or public_tokenizers.path(RANK_FILE)
-    groups = max(1, round(df.count() / group_rows))
-    cut = df.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(file, capacity, groups), PIECES)
-    return cut.groupBy("grp").applyInArrow(_pack(capacity), PACKED)
+    # written once: the places of pieces must not change when a task of what follows is run again
+    pieces = Scratch(df.sparkSession).put(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(file, capacity), PIECES), "pieces")
+    rests = pieces.where(F.col("length") < capacity)
+    groups = max(1, round(rests.count() / group_rows))
+    dealt = rests.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)).cast("long"))
+    packed = dealt.groupBy("grp").applyInArrow(_pack(capacity), PACKED)
+    size = F.lit(capacity).cast("long").alias("padded_length")
+    whole = pieces.where(F.col("length") == capacity).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("uid") + F.lit(WHOLE)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), size
+    )
+    return packed.union(whole)
 
 
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
