@@ -8,11 +8,11 @@ from pyspark.sql import Window as W
 
 from lintloom.functions import chat, rules, text
 from lintloom.operators import decontaminate, joins, keys, metrics, pairs, patterns, reports
-from lintloom.plans import inventory
+from lintloom.plans import detectors, inventory, round_trips
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, ORACLE, QUERIES, R, pct, query, seed_sql
 from lintloom.sources import readers
 
-__all__ = ["ORACLE", "QUERIES", "inventory"]
+__all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "round_trips"]
 
 # --- findings
 

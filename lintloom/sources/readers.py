@@ -33,9 +33,9 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_dump(spark: SparkSession, folder: str, schema: str, key: str = "blob_id") -> DataFrame:
-    """O-05, O-06, O-44: all files of a folder, of each key the row in the last file by name, last in the file."""
-    rows = spark.read.schema(schema).json(folder)
-    placed = rows.withColumn("_file", F.col("_metadata.file_name")).withColumn("_place", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")))
+    """O-05, O-06, O-44: all files of a folder and those in it, of each key the row in the last file by path, last in the file."""
+    rows = spark.read.option("recursiveFileLookup", True).schema(schema).json(folder)
+    placed = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_place", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")))
     return keep_last(placed, key, "_file", "_place").drop("_file", "_place")
 
 
@@ -61,7 +61,7 @@ def read_with_code(spark: SparkSession, annotations: str, code: str, schema: str
     """O-11, O-12: annotation files joined with the code files of the same stem; unreadable ones go."""
     stem = lambda c: F.regexp_extract(c, r"([^/]+?)\.[^./]+$", 1)
     notes = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(annotations).withColumn("stem", stem(F.col("_metadata.file_name")))
-    files = spark.read.option("wholetext", True).text(code).select(F.col("value").alias("content"), stem(F.col("_metadata.file_name")).alias("stem"))
+    files = spark.read.text(code, wholetext=True).select(F.col("value").alias("content"), stem(F.col("_metadata.file_name")).alias("stem"))
     return notes.join(files, "stem")
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import textwrap
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyarrow import fs as arrow_fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -39,17 +42,39 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
     df.join(old, key, "left_anti").write.mode("append").parquet(path)
 
 
+def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
+    """O-29: one file for each row, called by ``name``, of its text and a line end, or of its bytes as they are.
+
+    The tasks write them; a file gets its name when it is whole, so a task that is run again does no harm. Of rows of
+    one name one stays. Rows with a null name or content are left out.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        files, root = arrow_fs.FileSystem.from_uri(path)
+        files.create_dir(root, recursive=True)
+        for row in rows:
+            part = f"{root}/.{uuid.uuid4().hex}"
+            with files.open_output_stream(part) as out:
+                out.write(bytes(row["c"]) if isinstance(row["c"], bytes | bytearray) else f"{row['c']}\n".encode())
+            files.move(part, f"{root}/{row['n']}")
+
+    df.select(df[name].alias("n"), df[content].alias("c")).where("n IS NOT NULL AND c IS NOT NULL").foreachPartition(run)
+
+
 def write_json_array(df: DataFrame, path: str) -> int:
-    """O-23: one local file with all rows as an indented array, row by row through the driver; returns their number.
+    """O-23: one file with all rows as an indented array, row by row through the driver; returns their number.
 
-    For small results that people read. Tables are written by ``write_jsonl``.
+    For small results that people read. Tables are written by ``write_jsonl``. A file that is there already is an error.
     """
+    files, at = arrow_fs.FileSystem.from_uri(path)
+    if files.get_file_info(at).type != arrow_fs.FileType.NotFound:
+        raise FileExistsError(path)
     n = 0
-    with open(path, "x", encoding="utf-8") as out:
-        out.write("[")
+    with files.open_output_stream(at) as out:
+        out.write(b"[")
         for row in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
             text = json.dumps(json.loads(row["j"]), indent=4, ensure_ascii=False)
-            out.write((",\n" if n else "\n") + textwrap.indent(text, "    "))
+            out.write(((",\n" if n else "\n") + textwrap.indent(text, "    ")).encode())
             n += 1
-        out.write("\n]\n")
+        out.write(b"\n]\n")
     return n

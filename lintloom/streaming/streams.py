@@ -20,18 +20,38 @@ def start_append(df: DataFrame, out: str, checkpoint: str):
     return df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_complete_groups(samples: DataFrame, size: int) -> DataFrame:
-    """ST-02 over (id, idx, reward): an id is given out once, when ``size`` different samples of it have arrived."""
+def stream_complete_groups(samples: DataFrame, size: int, time_col: str | None = None, wait: str = "1 day") -> DataFrame:
+    """ST-02 over (id, idx, reward): an id is given out once, when ``size`` different samples of it have arrived.
+
+    Of a group that was given out only its mark stays. With ``time_col``, a group's state goes once the watermark, the
+    latest time less ``wait``, has passed the group's last sample by ``wait`` again: groups that never fill don't stay
+    for ever, and samples that come later than that begin a new group.
+    """
+    limit = pd.Timedelta(wait)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, best, done = state.get if state.exists else ([], None, False)
-        seen = set(seen)
+        seen, last = set(seen), None
         for pdf in batches:
-            seen |= set(pdf["idx"].tolist())
-            best = max([x for x in (best, pdf["reward"].max()) if x is not None])
+            if not done:
+                seen |= set(pdf["idx"].tolist())
+                best = max([x for x in (best, pdf["reward"].max()) if x is not None])
+            if time_col is not None:
+                last = max([x for x in (last, pdf["at"].max()) if x is not None])
         if not done and len(seen) >= size:
-            done = True
             yield pd.DataFrame({"id": [key[0]], "n": [len(seen)], "best": [best]})
+            seen, best, done = set(), None, True
         state.update((sorted(int(x) for x in seen), float(best) if best is not None else None, done))
-
-    return samples.groupBy("id").applyInPandasWithState(step, "id long, n long, best double", "seen array<long>, best double, done boolean", "append", "NoTimeout")
+        if last is not None:
+            at = int((last + limit).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+
+    columns = ["id", "idx", "reward"]
+    if time_col is not None:
+        samples = samples.withColumn("at", samples[time_col].cast("timestamp")).withWatermark("at", wait)
+        columns.append("at")
+    timeout = "NoTimeout" if time_col is None else "EventTimeTimeout"
+    return samples.select(*columns).groupBy("id").applyInPandasWithState(step, "id long, n long, best double", "seen array<long>, best double, done boolean", "append", timeout)
