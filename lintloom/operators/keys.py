@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lintloom.sources.scratch import Scratch
+
 
 def keep_last(df: DataFrame, key: str, *order: str) -> DataFrame:
     """O-44: the last row of each key. An aggregate, so that rows of a hot key meet combined."""
@@ -40,16 +42,18 @@ def sampled(df: DataFrame, strata: list[str], key: str, seed: int, k: int | Colu
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def ranked(df: DataFrame, strata: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank within a stratum by a total order, from 1. A null stratum is one like any other.
+def running_total(df: DataFrame, strata: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` over the rows of a stratum that come before a row, in a total order. A null stratum is one like any other.
 
     Rows are dealt into ranges of (stratum, order) between bounds taken from a sample of bounded size, chosen by a
-    hash: the same bounds in every pass and every retry. Only the counts of each range and stratum are accumulated,
-    so a stratum is as many tasks as it has ranges.
+    hash: the same bounds in every pass and every retry. Only the sums of each range and stratum are accumulated,
+    so a stratum is as many tasks as it has ranges. The rows are written first, as they are read several times; what
+    isn't needed for the result should be left out of ``df``.
     """
+    df = Scratch(df.sparkSession).put(df, "ordered")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(F.col(strata).alias("s"), *(c.alias(f"k{i}") for i, c in enumerate(order)))
-    keyed = df.withColumn("_key", key)
+    keyed = df.withColumn("_key", key).withColumn("_value", value)
     n = df.count()
     wide = 1 << 30
     some = keyed.where(F.pmod(F.xxhash64("_key"), F.lit(wide)) < int(min(1.0, 100.0 * parts / max(1, n)) * wide))
@@ -63,12 +67,18 @@ def ranked(df: DataFrame, strata: str, order: list[Column], name: str = "rank")
     below = F.size(F.filter("_coarse", lambda x: x < F.col("_key"))) * wide_step
     part = below + F.size(F.filter(F.slice("_bounds", below + 1, wide_step), lambda x: x < F.col("_key")))
     placed = at.withColumn("_part", part).drop("_bounds", "_coarse")
-    runs = placed.groupBy("_part", F.col(strata).alias("_s")).agg(F.count("*").alias("_n"))
+    runs = placed.groupBy("_part", F.col(strata).alias("_s")).agg(F.sum("_value").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select(F.col("_part").alias("_p"), "_s", before.alias("_before"))
-    inside = placed.withColumn("_r", F.row_number().over(W.partitionBy("_part", strata).orderBy("_key")))
-    both = inside.join(runs, (F.col("_part") == F.col("_p")) & F.col(strata).eqNullSafe(F.col("_s")))
-    return both.select(*df.columns, (F.col("_r") + F.col("_before")).alias(name))
+    own = F.coalesce(F.sum("_value").over(W.partitionBy("_part", strata).orderBy("_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = placed.withColumn("_own", own).join(runs, (F.col("_part") == F.col("_p")) & F.col(strata).eqNullSafe(F.col("_s")))
+    return both.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
+def ranked(df: DataFrame, strata: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """Rank within a stratum by a total order, from 1: one more than the running total of rows."""
+    placed = running_total(df, strata, order, F.lit(1).cast("long"), "_before_it")
+    return placed.select(*df.columns, (F.col("_before_it") + 1).alias(name))
 
 
 def prefix_fraction(df: DataFrame, strata: str, order: str, fractions: dict[str, float]) -> DataFrame:

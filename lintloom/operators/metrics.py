@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintloom.operators.fuzzy import similar
+from lintloom.operators.keys import running_total
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -86,14 +88,78 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 6).alias("kappa"), "n")
 
 
-def wilcoxon(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """M-20: W+ and W- of the signed-rank test. Ranks come from counts of equal differences, not from a sort of all rows."""
-    d = pairs.select((F.col(x) - F.col(y)).alias("d")).where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.when(F.col("d") < 0, 1)).alias("down"))
+#: Pairs up to which, without ties, the p value comes from all signs of all ranks.
+EXACT_PAIRS = 50
+
+
+def _erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0 by a Chebyshev fit, to 1.2e-7 of its value (fixed coefficients)."""
+    t = 1 / (1 + 0.5 * x)
+    fit = F.lit(0.0)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit = fit * t + c
+    return t * F.exp(-x * x + fit)
+
+
+def _exact_p(n: pd.Series, w: pd.Series) -> pd.Series:
+    """Two-sided: of all ways to sign the ranks 1 to n, twice the share with a sum of at most w."""
+
+    def one(n: int, w: float) -> float:
+        ways = [1]
+        for rank in range(1, int(n) + 1):
+            ways = [(ways[i] if i < len(ways) else 0) + (ways[i - rank] if i >= rank else 0) for i in range(len(ways) + rank)]
+        return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2 ** int(n))
+
+    return pd.Series([one(a, b) if a <= EXACT_PAIRS else None for a, b in zip(n, w, strict=True)], dtype="float64")
+
+
+def wilcoxon(pairs: DataFrame, x: str, y: str, group: str | None = None, alpha: float | None = None) -> DataFrame:
+    """M-20: W+ and W- of the signed-rank test and the least of them, their two-sided p value, by ``group`` if given.
+
+    Pairs without a difference take no part. Without ties and with up to EXACT_PAIRS pairs the p value is exact, else
+    that of the normal approximation with its variance corrected for ties; it is null without pairs. With ``alpha``,
+    ``significant`` is whether it is below alpha over the number of groups (Bonferroni). Ranks come from counts of
+    equal differences and running totals over ranges of them, not from a sort of all rows in one task.
+    """
+    own = pairs.select(F.col(group).alias("_g") if group else F.lit(0).alias("_g"), (F.col(x) - F.col(y)).alias("d")).where("d <> 0")
+    d = own.groupBy("_g", F.abs("d").alias("m")).agg(F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.count(F.when(F.col("d") < 0, 1)).alias("down"))
     n = F.col("up") + F.col("down")
-    before = F.coalesce(F.sum(n).over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = d.select("up", "down", (before + (n + 1) / 2).alias("rank"))
-    plus, minus = F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)), F.coalesce(F.sum(F.col("down") * F.col("rank")), F.lit(0.0))
-    return ranked.agg(plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"), F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+    placed = running_total(d, "_g", [F.col("m")], n, "before").withColumn("k", n)
+    ranked = placed.withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
+    plus, minus = (F.coalesce(F.sum(F.col(c) * F.col("rank")), F.lit(0.0)) for c in ("up", "down"))
+    sums = (ranked.groupBy("_g") if group else ranked.groupBy()).agg(
+        plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"), F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0)).alias("ties"),
+    )
+    count = F.col("n").cast("double")
+    variance = count * (count + 1) * (2 * count + 1) / 24 - F.col("ties") / 48
+    z = F.when(variance > 0, F.abs(F.col("w") - count * (count + 1) / 4) / F.sqrt(variance))
+    near = F.when(z.isNotNull(), F.least(_erfc(z / F.sqrt(F.lit(2.0))), F.lit(1.0)))  # least passes over nulls
+    exact = (F.col("ties") == 0) & (F.col("n") <= EXACT_PAIRS) & (F.col("n") > 0)
+    out = sums.withColumn("p", F.when(exact, F.pandas_udf(_exact_p, "double")("n", "w")).otherwise(near))
+    if alpha is not None:
+        out = out.withColumn("significant", F.col("p") < alpha / F.count("*").over(W.partitionBy()))  # a row for each group
+    return out.withColumnRenamed("_g", group).drop("ties") if group else out.drop("ties")
+
+
+def confusable(gold: DataFrame, pred: DataFrame, like: dict[str, list[str]]) -> DataFrame:
+    """M-13: how often a code of ``like`` that a document has is mistaken for one of the codes that are like it.
+
+    Of (document, code) with the code in gold: ``strict`` is the share where a code like it is predicted and it isn't
+    itself, ``relaxed`` where one is predicted, ``any_code`` where any code on the right of ``like`` is; n is their number.
+    """
+    spark = gold.sparkSession
+    own = spark.createDataFrame([(c, sorted(set(x))) for c, x in like.items()], "code string, similar array<string>")
+    wrong = sorted({c for x in like.values() for c in x})
+    said = pred.groupBy("doc_id").agg(F.collect_set("code").alias("said"))
+    cases = gold.select("doc_id", "code").distinct().join(F.broadcast(own), "code").join(said, "doc_id", "left")
+    said = F.coalesce("said", F.array().cast("array<string>"))
+    hit = F.arrays_overlap("similar", said)
+    share = lambda test: F.round(F.avg(test.cast("int")), 6)
+    return cases.agg(
+        share(hit & ~F.array_contains(said, F.col("code"))).alias("strict"), share(hit).alias("relaxed"),
+        share(F.arrays_overlap(F.array(*map(F.lit, wrong)), said)).alias("any_code"), F.count("*").alias("n"),
+    )
 
 
 def first_lines(findings: DataFrame) -> DataFrame:
@@ -150,26 +216,48 @@ def paired_t(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return t.select("n", F.round(F.col("m"), 6).alias("mean"), F.round(F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))), 4).alias("t"))
 
 
-def text_localization(gold: DataFrame, pred: DataFrame, percent: int = 90) -> DataFrame:
+def text_localization(gold: DataFrame, pred: DataFrame, percent: int = 90, all_gold: bool = False, swapped: bool = False) -> DataFrame:
     """M-12, M-15 over (doc_id, code, line): by code, mean shares of lines with an equal, or a similar, line on the other side.
 
-    Only codes on both sides of a document count. Lines of a document and code meet in one row; no pairs are emitted.
-    The shares are of their own side, so precision can't pass 1.
+    Lines of a document and code meet in one row; no pairs are emitted. Only codes on both sides of a document count
+    (M-15); with ``all_gold`` those that aren't predicted count as 0 (M-12, whose similarity has to pass 90, a
+    ``percent`` of 91). The shares are of their own side, so precision can't pass 1; ``swapped`` gives the older fuzzy
+    figures, where the gold lines with a partner are divided by the predicted ones, and the reverse.
     """
     texts = lambda df, name: df.where("line IS NOT NULL").groupBy("doc_id", "code").agg(F.sort_array(F.collect_list("line")).alias(name))
-    shares = F.pandas_udf(lambda a, b: match_shares(a, b, percent), "em_p double, em_r double, fz_p double, fz_r double")
-    both = texts(gold, "a").join(texts(pred, "b"), ["doc_id", "code"]).select("code", shares("a", "b").alias("m"))
+    shares = F.pandas_udf(lambda a, b: match_shares(a, b, percent, swapped), "em_p double, em_r double, fz_p double, fz_r double")
+    both = texts(gold, "a").join(texts(pred, "b"), ["doc_id", "code"], "left" if all_gold else "inner")
+    both = both.select("code", shares("a", F.coalesce("b", F.array().cast("array<string>"))).alias("m"))
     mean = lambda c: F.round(F.avg(f"m.{c}"), 6)
     return both.groupBy("code").agg(F.count("*").alias("n_docs"), mean("em_p").alias("precision"), mean("em_r").alias("recall"), mean("fz_p").alias("fuzzy_precision"), mean("fz_r").alias("fuzzy_recall"))
 
 
-def match_shares(gold: pd.Series, pred: pd.Series, percent: int) -> pd.DataFrame:
+def _partnered(own: Counter, other: Counter, percent: int) -> int:
+    """Lines of one side with an equal or similar line on the other. Lines are tried by length: far ones can't be similar."""
+    lengths = sorted((len(t), t) for t in other)
+    found = 0
+    for s, n in own.items():
+        if s in other:
+            found += n
+            continue
+        # the bound of ``similar``: 200 * min >= (percent - 1) * (n + m)
+        low, high = len(s) * (percent - 1) // (201 - percent), -(-len(s) * (201 - percent) // (percent - 1)) if percent > 1 else len(lengths)
+        near = lengths[bisect_left(lengths, (low, "")) : bisect_left(lengths, (high + 1, ""))] if percent > 1 else lengths
+        found += n * any(similar(s, t, percent) for _, t in near)
+    return found
+
+
+def match_shares(gold: pd.Series, pred: pd.Series, percent: int, swapped: bool = False) -> pd.DataFrame:
     """Of each row's two lists: shares of the predicted and of the gold lines with an equal, then with a similar, partner."""
     out = []
     for a, b in zip(gold, pred, strict=True):
         x, y = Counter(a), Counter(b)
+        if not len(b):
+            out.append((0.0, 0.0, 0.0, 0.0))
+            continue
         exact_p, exact_r = sum(n for s, n in y.items() if s in x), sum(n for s, n in x.items() if s in y)
-        fuzzy_p = exact_p + sum(n for s, n in y.items() if s not in x and any(similar(s, t, percent) for t in x))
-        fuzzy_r = exact_r + sum(n for s, n in x.items() if s not in y and any(similar(s, t, percent) for t in y))
+        fuzzy_p, fuzzy_r = _partnered(y, x, percent), _partnered(x, y, percent)
+        if swapped:
+            fuzzy_p, fuzzy_r = fuzzy_r, fuzzy_p
         out.append((exact_p / len(b), exact_r / len(a), fuzzy_p / len(b), fuzzy_r / len(a)))
     return pd.DataFrame(out, columns=["em_p", "em_r", "fz_p", "fz_r"])

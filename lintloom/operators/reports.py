@@ -29,17 +29,17 @@ def render(findings: DataFrame, codes: list[str]) -> DataFrame:
     return per.select("doc_id", F.concat_ws("\n\n", *(section(c) for c in codes)).alias("report"))
 
 
-def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report") -> DataFrame:
+def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
     """O-60 natively: (id, code, line_nos) of each JSON line of a report.
 
-    A header's code holds for the lines below it, so lines are folded within their report: no window, no shuffle.
+    The code is all of a header; with ``first_word`` it is its first word, whatever follows (O-61). A header's code holds for the lines below it, so lines are folded within their report: no window, no shuffle.
     Blank lines, sentinels and lines that aren't one JSON object are left out; before any header the code is null.
     """
     start = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast("array<struct<code:string,line:string>>").alias("out"))
 
     def step(acc, raw):
         line = F.btrim(raw)
-        code = F.regexp_extract(line, r"^\*\*Idiom (\S+) Violations:\*\*$", 1)
+        code = F.regexp_extract(line, r"^\*\*Idiom\s+(\S+)\s.*Violations:\*\*$" if first_word else r"^\*\*Idiom (\S+) Violations:\*\*$", 1)
         item = line.startswith("{") & line.endswith("}")
         return F.struct(
             F.when(code != "", code).otherwise(acc["code"]).alias("code"),
@@ -52,13 +52,15 @@ def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report")
     return rows.withColumn("j", read).where("j._bad IS NULL").select("id", F.col("v.code").alias("code"), line_numbers(F.col("j.line")).alias("line_nos"))
 
 
-def parse_text(text: str | None) -> list[tuple[str | None, str | None]]:
-    """O-60 strictly, with Python's JSON: (code, line) of each object of a report."""
+def parse_text(text: str | None, first_word: bool = False) -> list[tuple[str | None, str | None]]:
+    """O-60 strictly, with Python's JSON: (code, line) of each object of a report; O-61 with ``first_word``."""
     out, code = [], None
     for raw in (text or "").split("\n"):
         line = raw.strip()
         if line.startswith("**Idiom") and line.endswith("Violations:**"):
             code = line[len("**Idiom") : -len("Violations:**")].strip()
+            if first_word:
+                code = next(iter(code.split()), None)
         elif line and line != SENTINEL:
             try:
                 found = json.loads(line)

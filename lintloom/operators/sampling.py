@@ -54,3 +54,14 @@ def halves(df: DataFrame, order: str) -> DataFrame:
     n = df.count()
     placed = ranked(df.withColumn("_all", F.lit(0)), "_all", [F.col(order)], "_rank")
     return placed.withColumn("part", (F.col("_rank") > n // 2).cast("int")).select(*df.columns, "part")
+
+
+def split_common(a: DataFrame, b: DataFrame, key: str, seed: int) -> DataFrame:
+    """O-49: the keys that are in both tables, half of them, rounded down, for training and the rest for tests.
+
+    The half is chosen by the order of seed_order, ranked over all tasks.
+    """
+    common = a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
+    n = common.agg(F.floor(F.count("*") / 2).alias("_half"))
+    placed = shuffled(common, key, seed, "_place").crossJoin(F.broadcast(n))  # one row
+    return placed.select(key, F.when(F.col("_place") <= F.col("_half"), "train").otherwise("test").alias("part"))

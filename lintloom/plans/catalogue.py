@@ -8,11 +8,11 @@ from pyspark.sql import Window as W
 
 from lintloom.functions import chat, rules, text
 from lintloom.operators import decontaminate, joins, keys, metrics, pairs, patterns, reports
-from lintloom.plans import detectors, inventory, round_trips
+from lintloom.plans import detectors, inventory, round_trips, tasks
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, ORACLE, QUERIES, R, pct, query, seed_sql
 from lintloom.sources import readers
 
-__all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "round_trips"]
+__all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "round_trips", "tasks"]
 
 # --- findings
 
@@ -501,7 +501,7 @@ SELECT coalesce(sum(k) FILTER (WHERE d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(
 def wilcoxon_w(t):
     """M-20, O-96: predicted against gold counts."""
     per = metrics.aligned(t.gold, t.pred).groupBy("doc_id").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
-    return metrics.wilcoxon(per, "p", "g")
+    return metrics.wilcoxon(per, "p", "g").select("w_plus", "w_minus", "w", "n")
 
 
 # --- Python table functions: no SQL
@@ -513,19 +513,6 @@ def ast_patterns(t):
     return patterns.find_patterns(t.documents.select(F.col("doc_id").alias("blob_id"), F.col("text").alias("content")))
 
 
-@query()
-def report_items(t):
-    """O-62 to O-65 over rendered reports."""
-    return reports.parse_items(reports.render(t.gold, CODES))
-
-
-@query()
-def reports_deduplicated(t):
-    """O-46 over rendered reports, each section of which is there twice."""
-    twice = reports.render(t.gold, CODES).select("doc_id", F.concat("report", F.lit("\n\n"), "report").alias("report"))
-    return reports.deduplicate(twice)
-
-
 @query()
 def html_sections(t):
     """O-17, O-18."""

@@ -224,3 +224,100 @@ def test_stream_equals_batch(spark, tmp_path):
     streams.start_append(streams.stream_findings(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(rules.violations(docs))
+
+
+def test_wilcoxon_p_values(spark):
+    """Exact by all signs for few pairs without ties; else the normal approximation, against math.erfc."""
+    import itertools
+
+    def one(pairs, **more):
+        df = spark.createDataFrame(pairs, "g string, a double, b double")
+        return metrics.wilcoxon(df, "a", "b", **more)
+
+    few = [("x", float(d), 0.0) for d in (1, -2, 3, 4, -5, 6, 7)]
+    r = one(few).first()
+    sums = [sum(k for k, s in zip(range(1, 8), signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=7)]
+    assert (r.w, r.n) == (7.0, 7) and math.isclose(r.p, min(1.0, 2 * sum(s <= 7 for s in sums) / 128))
+    many = [("y", float(i % 9 - 3), 0.0) for i in range(200)]
+    r = one(many).first()
+    diffs = [i % 9 - 3 for i in range(200) if i % 9 != 3]
+    size = {m: sum(abs(d) == m for d in diffs) for m in {abs(d) for d in diffs}}
+    n, z2 = len(diffs), sum(c**3 - c for c in size.values())
+    z = abs(r.w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - z2 / 48)
+    assert r.n == n and math.isclose(r.p, math.erfc(z / math.sqrt(2)), rel_tol=1e-6)
+    by = {x.g: x for x in one(few + many, group="g", alpha=0.05).collect()}
+    assert math.isclose(by["y"].p, r.p, rel_tol=1e-9) and by["y"].significant == (r.p < 0.025) and not by["x"].significant
+    assert one([("x", 1.0, 1.0)]).first().p is None
+
+
+def test_text_localization_is_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("ab", k=rng.randint(0, 14)))
+    gold = [(d, c, word()) for d in range(6) for c in "AB" for _ in range(rng.randint(0, 6))]
+    pred = [(d, c, rng.choice([word(), rng.choice(gold)[2]])) for d in range(6) for c in "AB" for _ in range(rng.randint(0, 6))]
+    kind = "doc_id long, code string, line string"
+    sides = [spark.createDataFrame(x, kind) for x in (gold, pred)]
+    for percent, all_gold, swapped in ((90, False, False), (91, True, True), (60, True, False)):
+        want = {}
+        for code in "AB":
+            rows = []
+            for d in range(6):
+                a, b = ([line for i, c, line in side if (i, c) == (d, code)] for side in (gold, pred))
+                if not a or not b and not all_gold:
+                    continue
+                fuzzy_p = sum(any(fuzzy.ratio(x, y) >= percent for y in a) for x in b)
+                fuzzy_r = sum(any(fuzzy.ratio(x, y) >= percent for y in b) for x in a)
+                if swapped:
+                    fuzzy_p, fuzzy_r = fuzzy_r, fuzzy_p
+                exact = (sum(x in a for x in b), sum(x in b for x in a))
+                rows.append((exact[0] / len(b), exact[1] / len(a), fuzzy_p / len(b), fuzzy_r / len(a)) if b else (0, 0, 0, 0))
+            if rows:
+                want[code] = (len(rows), *(round(sum(x) / len(rows), 6) for x in zip(*rows, strict=True)))
+        got = metrics.text_localization(*sides, percent, all_gold, swapped).collect()
+        assert sorted(r.code for r in got) == sorted(want)
+        assert all(tuple(r)[1:] == pytest.approx(want[r.code], abs=2e-6) for r in got)
+
+
+def test_prompts(spark):
+    from lintloom.functions import prompts
+
+    df = spark.createDataFrame([("a {b} {{c}}", "x"), (None, "y")], "s string, t string")
+    filled = df.select(prompts.fill("{{{s}}} and {t}{t}", s=F.col("s"), t=F.col("t")).alias("p")).collect()
+    assert [r.p for r in filled] == ["{a {b} {{c}}} and xx", None]
+    with pytest.raises(KeyError):
+        prompts.fill("{absent}", s=F.col("s"))
+    p = spark.createDataFrame([("\nDo.\n\nViolations per idiom:\n\n",), ("Violations per idiom: x",), (None,)], "p string")
+    assert [r.x for r in p.select(prompts.with_instructions(F.col("p"), "# F").alias("x")).collect()] == ["Do.\n\n# F\n\nViolations per idiom:", None, None]
+    q = spark.createDataFrame([("a\n\nCode file:\nb",), ("a",), ("a\n\nCode file:\nb\n\nCode file:\nc",)], "p string")
+    shown = [r.x for r in q.select(prompts.with_examples(F.col("p"), F.array(F.lit("E")), "See:").alias("x")).collect()]
+    assert shown == ["a\n\nSee:\nE\nCode file:\n\nb", None, None]
+
+
+def test_token_budget_by_a_vocabulary(spark):
+    from lintloom.operators import rows
+
+    vocabulary = pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame([("one two three",), ("",), (None,)], "t string")
+    counted = df.select(rows.token_counter(vocabulary.path("byte_bpe_50k.tiktoken"), vocabulary.PATTERN)("t").alias("n")).collect()
+    assert [r.n for r in counted] == [3, 0, None]
+
+
+def test_groups_in_a_stream_are_given_out_once_and_forgotten(spark, tmp_path):
+    kind = "id long, idx long, reward double, ts timestamp"
+    inputs, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+
+    def add(rows):
+        spark.createDataFrame(rows, "id long, idx long, reward double, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(inputs)
+        stream = streams.stream_complete_groups(spark.readStream.schema(kind).parquet(inputs), 2, "ts", "1 hour")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert add([(1, 0, 0.5, "2024-01-01 00:00:00"), (1, 1, 0.7, "2024-01-01 00:00:01"), (2, 0, 0.1, "2024-01-01 00:00:02")]) == 2
+    add([(1, 2, 0.9, "2024-01-01 00:10:00"), (2, 0, 0.1, "2024-01-01 00:10:00")])
+    left = add([(3, 0, 0.1, "2024-03-01 00:00:00"), (3, 1, 0.2, "2024-03-01 00:00:00")])
+    left = add([(4, 0, 0.1, "2024-06-01 00:00:00")])
+    rows = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 2, 0.7), (3, 2, 0.2)] and left <= 2
