@@ -12,26 +12,47 @@ GROUPS = {"R_LONG": "line", "R_TRAIL": "line", "R_BLANK2": "line", "R_DUPLINE":
 MAX_LENGTH, SHORT_WORDS = 200, 5
 
 
-def _codes(all_lines: Column, line: Column, i: Column) -> Column:
+def _codes() -> Column:
+    """The codes that hold for a line: columns line, prev, at (from 0), repeated and words."""
+    line, at = F.col("line"), F.col("at")
     hit = lambda code, test: F.when(test, F.lit(code))
     plain = F.length(F.regexp_replace(line, r"[^\x00-\x7F]", ""))
     return F.array_compact(F.array(
         hit("R_LONG", F.length(line) > MAX_LENGTH),
-        hit("R_TRAIL", line.rlike("[ \t]$")),
-        hit("R_BLANK2", (line == "") & (i > 0) & (F.get(all_lines, i - 1) == "")),
-        hit("R_DUPLINE", (line != "") & (F.array_position(all_lines, line) < i + 1)),
+        hit("R_TRAIL", F.endswith(line, F.lit(" ")) | F.endswith(line, F.lit("\t"))),
+        hit("R_BLANK2", (line == "") & (F.col("prev") == "")),
+        hit("R_DUPLINE", F.col("repeated")),
         hit("R_UPPER", line.rlike("[A-Z]") & ~line.rlike("[a-z]")),
         hit("R_DIGIT", line.rlike("[0-9]{6}")),
         hit("R_NONASCII", (F.length(line) - plain) * 4 > F.length(line)),
+        hit("R_SHORTDOC", (at == 0) & (F.col("words") < SHORT_WORDS)),
     ))
 
 
+def repeats(all_lines: Column) -> Column:
+    """Of each line whether an equal one, not blank, stands above it: by sorting twice, so in less than quadratic time."""
+    n = F.size(all_lines)
+    by_line = F.array_sort(F.transform(all_lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    # bound to a name: a lambda's body is evaluated for each element
+    marked = F.get(F.transform(F.array(by_line), lambda s: F.zip_with(
+        F.slice(s, 2, n - 1), F.slice(s, 1, n - 1), lambda b, a: F.struct(b["i"].alias("i"), ((a["x"] == b["x"]) & (b["x"] != "")).alias("again"))
+    )), F.lit(0))
+    first = F.get(F.transform(F.array(by_line), lambda s: F.struct(F.get(s, F.lit(0))["i"].alias("i"), F.lit(False).alias("again"))), F.lit(0))
+    return F.transform(F.array_sort(F.concat(marked, F.array(first))), lambda m: m["again"])
+
+
 def violations(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the columns to keep, code and line_no (from 1) of each finding. A null text has none."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *keep, lines(F.col("text")).alias("_lines"), F.size(F.filter(F.split("text", "[ \n]+", -1), lambda w: w != "")).alias("_words"))
-    found = F.transform("_lines", lambda line, i: F.struct((i + 1).cast("long").alias("line_no"), F.concat(_codes(F.col("_lines"), line, i), F.when((i == 0) & (F.col("_words") < SHORT_WORDS), F.array(F.lit("R_SHORTDOC"))).otherwise(F.array().cast("array<string>"))).alias("codes")))
-    each = rows.select("doc_id", *keep, F.explode(F.filter(found, lambda x: F.size(x["codes"]) > 0)).alias("v"))
-    return each.select("doc_id", *keep, F.explode("v.codes").alias("code"), F.col("v.line_no").alias("line_no"))
+    """doc_id, the columns to keep, code and line_no (from 1) of each finding. A null text has none.
+
+    Lines are rows when their rules are tested, outside any lambda, so that the tests are compiled.
+    """
+    words = F.size(F.filter(F.split("text", "[ \n]+", -1), lambda w: w != ""))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", *keep, lines(F.col("text")).alias("_lines"), F.least(words, F.lit(SHORT_WORDS)).alias("words"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_lines", 1, F.size("_lines") - 1))
+    zipped = F.arrays_zip(F.col("_lines").alias("line"), before.alias("prev"), repeats(F.col("_lines")).alias("repeated"))
+    each = rows.select("doc_id", *keep, "words", F.posexplode(zipped).alias("at", "l")).select("doc_id", *keep, "words", "at", "l.line", "l.prev", "l.repeated")
+    found = each.select("doc_id", *keep, "at", _codes().alias("codes")).where(F.size("codes") > 0)
+    return found.select("doc_id", *keep, F.explode("codes").alias("code"), (F.col("at") + 1).cast("long").alias("line_no"))
 
 
 def predictions(gold: DataFrame) -> DataFrame:

@@ -14,11 +14,60 @@ from lintloom.functions.text import lines
 EXAMPLE_MARK = "\n\nUse instead:\n\n"
 
 
+#: Lines of a block when places of lines are summed up.
+BLOCK = 256
+
+
 def to_offset(text: Column, row: Column, column: Column) -> Column:
-    """O-84: characters before a position."""
+    """O-84: characters before a position. For many positions of a text, ``line_starts`` reads it once."""
     return F.when(row > 1, F.length(F.call_function("substring_index", text, F.lit("\n"), (row - 1).cast("int"))) + 1).otherwise(0) + column - 1
 
 
+def line_starts(text: Column) -> Column:
+    """The offset of each line, and that of one more below the last, as an array.
+
+    Lengths are summed within blocks of lines and then over blocks, since an array that grows line by line is copied
+    each time; so the time is in proportion to the text up to some 10^5 lines.
+    """
+    running = lambda sizes: F.aggregate(
+        sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+    )
+    kind = "array<struct<at:bigint,out:array<bigint>>>"
+
+    def sums(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: running(F.slice(sizes, b * BLOCK + 1, BLOCK)))
+        return _with(blocks.cast(kind), lambda parts: _with(running(F.transform(parts, lambda p: p["at"])), lambda above: F.concat(
+            F.flatten(F.zip_with(parts, above["out"], lambda p, at: F.transform(p["out"], lambda x: x + at))), F.array(above["at"])
+        )))
+
+    return _with(F.transform(lines(text), lambda x: (F.length(x) + 1).cast("long")), sums)
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is made once: what stands in a lambda is made again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def offset_in(starts: Column, row: Column, column: Column) -> Column:
+    """O-84 by the starts of lines; rows beyond the text begin below its last line."""
+    return F.coalesce(F.get(starts, F.greatest(row, F.lit(1)).cast("int") - 1), F.element_at(starts, -1)) + column - 1
+
+
+def row_in(starts: Column, offset: Column) -> Column:
+    """O-84: the row of an offset, by a search of halves among the starts of lines."""
+    top = F.size(starts) - 1
+    span = F.struct(F.lit(0).alias("low"), top.alias("high"))
+
+    def halve(acc, _):
+        middle = F.shiftright(acc["low"] + acc["high"] + 1, 1)
+        fits = (acc["low"] < acc["high"]) & (F.get(starts, middle) <= offset) & (middle < top)
+        above = (acc["low"] < acc["high"]) & ~fits
+        return F.struct(F.when(fits, middle).otherwise(acc["low"]).alias("low"), F.when(above, middle - 1).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), span.cast("struct<low:int,high:int>"), lambda a, x: halve(a, x).cast("struct<low:int,high:int>"), lambda a: a["low"] + 1)
+
+
 def to_row(text: Column, offset: Column) -> Column:
     """O-84: the row of an offset."""
     before = F.left(text, offset)
@@ -85,9 +134,13 @@ def edit(text: Column, edits: Column) -> Column:
 
 
 def offsets(text: Column, edits: Column) -> Column:
-    """Edits between positions as edits between offsets."""
-    at = lambda p: to_offset(text, p["row"], p["column"])
-    return F.transform(edits, lambda e: F.struct(at(e["location"]).alias("start"), at(e["end_location"]).alias("stop"), e["content"].alias("content")))
+    """Edits between positions as edits between offsets; the text is read once for all of them."""
+
+    def placed(starts: Column) -> Column:
+        at = lambda p: offset_in(starts, p["row"], p["column"])
+        return F.transform(edits, lambda e: F.struct(at(e["location"]).alias("start"), at(e["end_location"]).alias("stop"), e["content"].alias("content")))
+
+    return _with(line_starts(text), placed)
 
 
 def example_split(example: Column) -> Column:

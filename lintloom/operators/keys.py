@@ -93,16 +93,15 @@ def prefix_fraction(df: DataFrame, strata: str, order: str, fractions: dict[str,
 def contiguous_prefix(df: DataFrame, index: str) -> DataFrame:
     """ST-01: the rows before the first index that is missing, counting from 0.
 
-    An index is in the prefix just when as many distinct indexes are below it as its value; the first missing one is
-    found from counts by blocks of indexes, then within one block.
+    The first block of indexes that isn't full is found from counts by blocks, the missing index among those of that
+    block: a number and at most a block of indexes come to the driver, however many there are.
     """
     block = 1 << 16
-    distinct = df.select(F.col(index).alias("_i")).where("_i >= 0").distinct()
-    full = distinct.groupBy(F.floor(F.col("_i") / block).alias("_b")).agg(F.count("*").alias("_n"), F.max("_i").alias("_max"))
-    whole = {r["_b"] for r in full.where(F.col("_n") == block).select("_b").toLocalIterator()}
-    at = 0
-    while at in whole:
-        at += 1
+    distinct = df.select(F.col(index).cast("long").alias("_i")).where("_i >= 0").distinct()
+    per = distinct.groupBy(F.floor(F.col("_i") / block).alias("_b")).agg(F.count("*").alias("_n"))
+    full = per.where(F.col("_n") == block).select("_b")
+    zero = df.sparkSession.range(1).select(F.col("id").alias("_b"))
+    at = zero.union(full.select(F.col("_b") + 1)).join(full, "_b", "left_anti").agg(F.min("_b")).first()[0]
     inside = {r["_i"] for r in distinct.where((F.col("_i") >= at * block) & (F.col("_i") < (at + 1) * block)).collect()}
     first = next(i for i in range(at * block, (at + 1) * block + 1) if i not in inside)
     return df.where((F.col(index) >= 0) & (F.col(index) < first))

@@ -228,7 +228,7 @@ def _dataclass(node):
         yield node, "class"
 
 
-@detector("pep_562", *DEFS)
+@detector("pep_562", ast.FunctionDef)
 def _module_attributes(node):
     if node.name in ("__getattr__", "__dir__"):
         yield node, node.name

@@ -32,24 +32,19 @@ def render(findings: DataFrame, codes: list[str]) -> DataFrame:
 def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
     """O-60 natively: (id, code, line_nos) of each JSON line of a report.
 
-    The code is all of a header; with ``first_word`` it is its first word, whatever follows (O-61). A header's code holds for the lines below it, so lines are folded within their report: no window, no shuffle.
+    The code is all of a header; with ``first_word`` it is its first word, whatever follows (O-61). A header's code holds for the lines below it.
     Blank lines, sentinels and lines that aren't one JSON object are left out; before any header the code is null.
+    A report is cut at its headers, once: no window, no shuffle, no array that grows line by line.
     """
-    start = F.struct(F.lit(None).cast("string").alias("code"), F.array().cast("array<struct<code:string,line:string>>").alias("out"))
-
-    def step(acc, raw):
-        line = F.btrim(raw)
-        code = F.regexp_extract(line, r"^\*\*Idiom\s+(\S+)\s.*Violations:\*\*$" if first_word else r"^\*\*Idiom (\S+) Violations:\*\*$", 1)
-        item = line.startswith("{") & line.endswith("}")
-        return F.struct(
-            F.when(code != "", code).otherwise(acc["code"]).alias("code"),
-            F.when(item, F.concat(acc["out"], F.array(F.struct(acc["code"].alias("code"), line.alias("line"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    folded = F.aggregate(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), start, step, lambda acc: acc["out"])
-    rows = reports.select(F.col(id_col).alias("id"), F.explode(folded).alias("v"))
-    read = F.from_json("v.line", T.StructType([T.StructField("line", T.StringType()), T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
-    return rows.withColumn("j", read).where("j._bad IS NULL").select("id", F.col("v.code").alias("code"), line_numbers(F.col("j.line")).alias("line_nos"))
+    name = r"[ ]*(\S+)[ ][^\n]*Violations" if first_word else r" (\S+) Violations"
+    header = rf"(?md)^[ ]*\*\*Idiom{name}:\*\*[ ]*$"
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    codes = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(whole, F.lit(header), 1))
+    sections = reports.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(codes.alias("code"), F.split(whole, header, -1).alias("body"))).alias("s"))
+    rows = sections.select("id", "s.code", F.explode(F.split("s.body", "\n", -1)).alias("raw")).select("id", "code", F.btrim("raw").alias("line"))
+    rows = rows.where(F.col("line").startswith("{") & F.col("line").endswith("}"))
+    read = F.from_json("line", T.StructType([T.StructField("line", T.StringType()), T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    return rows.withColumn("j", read).where("j._bad IS NULL").select("id", "code", line_numbers(F.col("j.line")).alias("line_nos"))
 
 
 def parse_text(text: str | None, first_word: bool = False) -> list[tuple[str | None, str | None]]:

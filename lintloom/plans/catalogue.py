@@ -115,13 +115,6 @@ def resume_pending(t):
     return keys.pending(t.events.select("event_id", "user_id"), t.events.where("event_type = 'click'"), "event_id")
 
 
-@query("""WITH i AS (SELECT DISTINCT event_id FROM events WHERE event_id % 997 <> 500), m AS (SELECT min(x) AS first FROM (SELECT event_id + 1 AS x FROM i UNION ALL SELECT 0) WHERE x NOT IN (SELECT event_id FROM i))
-SELECT event_id FROM i, m WHERE event_id < first""")
-def contiguous_prefix(t):
-    """ST-01 over events of which every 997th is missing."""
-    return keys.contiguous_prefix(t.events.where("event_id % 997 <> 500").select("event_id"), "event_id")
-
-
 @query("""WITH i AS (SELECT DISTINCT event_id FROM events), m AS (SELECT min(x) AS first FROM (SELECT event_id + 1 AS x FROM i UNION ALL SELECT 0) WHERE x NOT IN (SELECT event_id FROM i))
 SELECT event_id FROM events, m WHERE event_id >= 0 AND event_id < first""")
 def contiguous_prefix_all(t):
@@ -182,10 +175,15 @@ def excerpt_slice(t):
     return t.documents.where(F.size(text.lines(F.col("text"))) >= 2).select("doc_id", text.excerpt(F.col("text"), 2, 3).alias("excerpt"))
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, '#[^\\n]*', '', 'g'), chr(10)), lambda x: regexp_replace(x, '[ \\t\\r\\f]+', '', 'g') <> ''), chr(10))) AS digest FROM documents WHERE NOT contains(text, '\"\"\"')""")
+@query(r"""WITH q AS (SELECT repeat(chr(34), 3) AS d, repeat(chr(39), 3) AS s), c AS (
+  SELECT doc_id, regexp_replace(d || 'Head' || chr(10) || lang || d || text || ' # ' || source || chr(10) || '  ' || chr(10) || 'x = 1', '(?s)' || d || '.*?' || d || '|' || s || '.*?' || s, '', 'g') AS code
+  FROM documents, q)
+SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(code, '#[^\n]*', '', 'g'), chr(10)), lambda x: regexp_replace(x, '[ \t\r\f]+', '', 'g') <> ''), chr(10))) AS digest FROM c""")
 def strip_comments(t):
-    """O-76."""
-    return t.documents.where(~F.contains("text", F.lit('"""'))).select("doc_id", F.md5(text.strip_comments(F.col("text"))).alias("digest"))
+    """O-76: each document between a docstring and a comment."""
+    quotes = '"' * 3
+    code = F.concat(F.lit(f"{quotes}Head\n"), "lang", F.lit(quotes), "text", F.lit(" # "), "source", F.lit("\n  \nx = 1"))
+    return t.documents.select("doc_id", F.md5(text.strip_comments(code)).alias("digest"))
 
 
 @query("SELECT doc_id, string_split(lang || '-' || source || '_' || doc_id, '_')[1] AS first, string_split(lang || '-' || source || '_' || doc_id, '_')[-1] AS blob, len(string_split(lang || '-' || source, '-')) AS n_codes FROM documents")
@@ -274,15 +272,9 @@ def mixer_train(t):
     return keys.prefix_fraction(t.documents.select("doc_id", "lang"), "lang", "doc_id", MIX)
 
 
-@query(f"SELECT doc_id, d.lang FROM documents d JOIN {_MIX} ON d.lang = f.lang WHERE doc_id % 10 = 0")
-def mixer_test(t):
-    """S-09: fractions leave the test part whole."""
-    return t.documents.where(F.col("lang").isin(list(MIX)) & (F.col("doc_id") % 10 == 0)).select("doc_id", "lang")
-
-
 @query(f"SELECT doc_id, d.lang FROM documents d JOIN {_MIX} ON d.lang = f.lang")
 def mixer_test_whole(t):
-    """S-09: the test part of each language of the mix, all of it."""
+    """S-09: fractions leave the test part of each language of the mix whole."""
     return t.documents.where(F.col("lang").isin(list(MIX))).select("doc_id", "lang")
 
 
@@ -308,7 +300,7 @@ def ceiling_split(t):
     x = _flagged(t, "lang")
     k = x.groupBy("lang").agg(F.least(F.count(F.when(F.col("flagged"), 1)), F.lit(30)).alias("k"))
     rank = F.row_number().over(W.partitionBy("lang", "flagged").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-7"))), "doc_id"))
-    rows = x.withColumn("r", rank).where("r <= 30").join(F.broadcast(k), "lang").where("r <= k")
+    rows = x.withColumn("r", rank).where("r <= 30").join(k, "lang").where("r <= k")
     return rows.select("doc_id", "lang", "flagged", F.when(F.col("r") <= F.least(F.lit(20), F.floor(20.0 * F.col("k") / 30)), "train").otherwise("test").alias("part"))
 
 

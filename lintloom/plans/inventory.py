@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lintloom.functions import rules, text
-from lintloom.operators import edits, joins, metrics, patterns, sampling, star
+from lintloom.operators import edits, joins, keys, metrics, patterns, sampling, star
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, R, query, seed_sql
 from lintloom.sources import readers
 
@@ -32,7 +31,7 @@ def missing_code(t):
 SELECT i.id, CAST(i.doc_id AS VARCHAR) AS blob_id, string_agg(g.code || '=' || r.grp, ',' ORDER BY g.code) AS specs
 FROM ids i JOIN (SELECT DISTINCT doc_id, code FROM gold) g ON g.doc_id = i.doc_id JOIN groups r ON r.code = g.code GROUP BY i.id, i.doc_id""")
 def task_specs(t):
-    """J-02, O-08: tasks by an id of codes and blob, with the specs of their codes in order."""
+    """J-02: tasks by an id of codes and blob, with the specs of their codes in order."""
     names = t.gold.groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("c"))
     ids = names.select(F.concat(F.array_join("c", "-").alias("c"), F.lit("|"), F.col("doc_id").cast("string")).alias("id"))
     # codes hold the mark that parts codes from the blob, which is another one here
@@ -135,7 +134,7 @@ def source_counts(t):
     """A-05, A-17, O-91, O-98: rows and distinct texts by source, the commonest first. Texts are counted by digest."""
     each = t.documents.select("source", F.sha2("text", 256).alias("h")).groupBy("source", "h").agg(F.count("*").alias("n"))
     per = each.groupBy("source").agg(F.sum("n").alias("n"), F.count("h").alias("n_texts"))
-    return per.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "source")).cast("long"))
+    return keys.ranked(per.withColumn("all", F.lit(0)), "all", [-F.col("n"), F.col("source")], "place").select("source", "n", "n_texts", "place")
 
 
 @query("SELECT replace(event_type, 'v', '') AS pattern, count(*) AS n FROM events GROUP BY replace(event_type, 'v', '')")
@@ -249,7 +248,7 @@ def random_rows(t):
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r >= 50 AND r < 150")
 def offset_slice(t):
-    """O-04, O-13: a hundred rows from place 50."""
+    """O-13: a hundred rows from place 50."""
     return sampling.offset_rows(t.documents.select("doc_id", "lang"), "doc_id", 50, 100)
 
 
@@ -285,9 +284,12 @@ def _judge(response: str, truth: str) -> int:
 def positions(t):
     """O-84: the offset of each line with a finding, and its row and column read back."""
     lines = t.gold.groupBy("doc_id").agg(F.collect_set("line_no").alias("n")).join(t.documents.select("doc_id", "text"), "doc_id")
-    at = F.transform("n", lambda n: F.struct(n.alias("line_no"), edits.to_offset(F.col("text"), n, F.lit(1)).alias("place")))
-    back = F.transform(at, lambda x: F.struct(x["line_no"].alias("line_no"), x["place"].cast("long").alias("place"), edits.to_row(F.col("text"), x["place"]).cast("long").alias("back_row"), edits.to_column(F.col("text"), x["place"]).cast("long").alias("back_column")))
-    return lines.select("doc_id", F.explode(back).alias("x")).select("doc_id", "x.*")
+    each = lines.select("doc_id", "n", edits.line_starts(F.col("text")).alias("starts")).select("doc_id", "starts", F.explode("n").alias("line_no"))
+    placed = each.withColumn("place", edits.offset_in(F.col("starts"), F.col("line_no"), F.lit(1)))
+    row = edits.row_in(F.col("starts"), F.col("place")).cast("long")
+    back = placed.withColumn("back_row", row)
+    column = F.col("place") - F.get("starts", (F.col("back_row") - 1).cast("int")) + 1
+    return back.select("doc_id", "line_no", "place", "back_row", column.alias("back_column"))
 
 
 @query(""", e AS (SELECT l.doc_id, l.line_no, CASE WHEN g.line_no IS NULL THEN l.line ELSE '# ' || substr(l.line, 2) END AS line, l.line AS old

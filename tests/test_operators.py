@@ -194,10 +194,47 @@ def test_whole_inputs_reach_prefix_and_mixer(spark):
 
 
 def test_contamination_ways_agree(spark):
-    docs = spark.createDataFrame([(1, "x  Alpha\nbeta  gamma delta y"), (2, "alpha beta"), (3, None), (4, "one")], "doc_id long, text string")
+    import random
+
+    docs = spark.createDataFrame([(1, "x  Alpha\nbeta  gamma delta y"), (2, "alpha beta"), (3, None), (4, "one"), (5, "stone"), (6, "")], "doc_id long, text string")
     bench = spark.createDataFrame([("alpha beta GAMMA delta",), ("one",), ("",), (None,)], "text string")
     for few in (1000, 0):
-        assert sorted(r.doc_id for r in decontaminate.contaminated(docs, bench, few).collect()) == [1, 4]
+        assert sorted(r.doc_id for r in decontaminate.contaminated(docs, bench, few).collect()) == [1, 4, 5]
+        assert decontaminate.contaminated(docs, bench.limit(0), few).count() == 0
+    rng = random.Random(8)
+    words = lambda k: " ".join(rng.choices(["a", "b", "ab", "ba", "cab", "abc"], k=k))
+    texts = [(i, words(rng.randint(0, 8))) for i in range(150)]
+    items = sorted({words(rng.randint(1, 5)) for _ in range(25)} - {""})
+    want = [i for i, t in texts if any(x in t for x in items)]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(x,) for x in items], "text string")
+    for few in (1000, 0):
+        assert sorted(r.doc_id for r in decontaminate.contaminated(df, bench, few).collect()) == want
+
+
+def test_line_starts_and_repeats(spark):
+    import random
+    import time
+
+    from lintloom.functions import rules
+    from lintloom.operators import edits
+
+    rng = random.Random(9)
+    texts = ["", "\n", "a", "\n\nb\n"] + ["".join(rng.choices("ab\n", k=n)) for n in (10, 300, 5000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", edits.line_starts(F.col("t")).alias("s"), rules.repeats(F.split("t", "\n", -1)).alias("r"))
+    for r in df.collect():
+        rows, starts = r.t.split("\n"), [0]
+        for x in rows:
+            starts.append(starts[-1] + len(x) + 1)
+        assert r.s == starts and r.r == [x != "" and x in rows[:i] for i, x in enumerate(rows)]
+    took = []
+    for n in (20_000, 100_000):
+        long = spark.createDataFrame([(1, "\n".join(f"line {i % 5000}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert rules.violations(long).where("code = 'R_DUPLINE'").count() == n - 5000
+        at = long.select(F.element_at(edits.line_starts(F.col("text")), n).alias("x"), F.length("text").alias("n")).first()
+        assert at.n - at.x == len(f"line {(n - 1) % 5000}")
+        took.append(time.time() - began)
+    assert took[1] < 25 * took[0]
 
 
 def test_sources_and_sinks(spark, tmp_path):
