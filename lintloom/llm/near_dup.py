@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintloom.llm.common import Scratch, flag_ids, map_texts, table
+from lintloom.llm.common import flag_ids, map_texts, table
+from lintloom.sources.scratch import Scratch
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 75

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintloom.llm.common import Scratch, release, table
+from lintloom.llm.common import release, table
+from lintloom.sources.scratch import Scratch
 
 #: Vectors of a shard, on average, and of a leaf.
 SHARD_ROWS, LEAF = 16384, 256
