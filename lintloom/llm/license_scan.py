@@ -1,14 +1,18 @@
 """Operator 10: license scans by matching statistics against a generalised suffix automaton of licence words.
 
-The automaton holds every run of words of all templates. Streaming a text through it gives, at each word, the longest
-run ending there that stands in some template (the matching statistics). Maximal runs become matches; matches of one
-template that follow each other in the text and in the template are chained into a covered span. A span that covers
-enough of its template, or enough words of it, gives the template's label.
+The automaton holds every run of words of all templates, which are whole licences and notices. Streaming a text through
+it gives, at each word, the longest run ending there that stands in some template (the matching statistics). Maximal
+runs become matches; matches of one template that follow each other in the text and in the template are chained, the
+chain with most words first, into a covered span. A span that covers enough of its template, or enough words that stand
+in templates of its label alone, is accepted, unless a span of another label that covers more words lies over most of
+it: the notice of one licence often holds most of the words of another one's.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintloom.llm.common import map_texts, table
+from lintloom.llm.license_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -25,26 +30,12 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Licence wording, label by label. Each text is a template.
-TEMPLATES = [
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("cc-by", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
 #: Words of a match at least; words between two matches of a chain at most.
 MIN_MATCH, MAX_GAP = 4, 8
-#: A span gives its label with this share of its template's words, or so many words.
+#: A span gives its label with this share of its template's words, or so many words of no other label's template.
 MIN_COVER, MIN_WORDS = 0.75, 12
+#: A span goes when this share of it lies within one of another label that covers more words.
+SHADOW = 0.5
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -58,6 +49,8 @@ class Match:
     start: int
     end: int
     at: int
+    #: Whether the run stands in templates of one label only.
+    own: bool = True
 
 
 class SuffixAutomaton:
@@ -145,10 +138,13 @@ class Scanner:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         ids = [[self.vocabulary[w] for w in words] for words in texts]
         self.sizes = list(map(len, ids))
+        # words that a span can have at most: its template's, with a gap after each match
+        self.reach = max(self.sizes, default=0) * (1 + MAX_GAP)
         self.phrase_ids = [([self.vocabulary[w] for w in words], label) for words, label in self.phrases]
         # phrases are texts of the automaton too, so that all their places show in the statistics
         self.automaton = SuffixAutomaton([*ids, *(p for p, _ in self.phrase_ids)])
         self.templates = len(ids)
+        self.places = [sorted({(t, e) for t, e in ends if t < self.templates}) for ends in self.automaton.ends]
         # a place of a phrase ends in a state whose runs end with the phrase: its state or one that links to it
         self.phrase_at: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
         for state in range(1, len(self.automaton.link)):
@@ -179,7 +175,9 @@ class Scanner:
                 # a match is maximal where the next word doesn't lengthen it
                 if size >= MIN_MATCH and (i + 1 == len(stats) or stats[i + 1][0] != size + 1):
                     end = first + i + 1
-                    matches += [Match(t, end - size, end, e - size) for t, e in set(self.automaton.ends[state]) if t < self.templates and e >= size]
+                    places = [(t, e) for t, e in self.places[state] if e >= size]
+                    own = len({self.labels[t] for t, _ in places}) == 1
+                    matches += [Match(t, end - size, end, e - size, own) for t, e in places]
         spans = self._spans(matches)
         starts = sorted({at for at, _ in base})
         labels = {label for _, label in base}
@@ -189,34 +187,57 @@ class Scanner:
             "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(labels | {s[0] for s in spans})), "score": score, "spans": spans,
         }
 
+    def _chains(self, found: list[Match]) -> Iterator[tuple[list[Match], int, int]]:
+        """(chain, words covered, words of those that are the label's own) of one template's matches, the longest chain first.
+
+        A chain goes on with a match that ends later, a few words on at most in the text and in the template; of words
+        that both cover, the second gives way.
+        """
+        found = sorted(found, key=lambda m: (m.end, m.start, m.at))
+        ends = [m.end for m in found]
+        total, last = [m.end - m.start for m in found], [-1] * len(found)
+        for i, m in enumerate(found):
+            for j in range(bisect_left(ends, m.start - MAX_GAP), bisect_left(ends, m.end)):
+                p = found[j]
+                over = max(0, p.end - m.start)
+                if p.start < m.start and 0 <= m.at + over - (p.at + p.end - p.start) <= MAX_GAP and total[j] + m.end - m.start - over > total[i]:
+                    total[i], last[i] = total[j] + m.end - m.start - over, j
+        used = [False] * len(found)
+        for i in sorted(range(len(found)), key=lambda i: (-total[i], i)):
+            chain = []
+            while i >= 0 and not used[i]:
+                used[i] = True
+                chain.append(found[i])
+                i = last[i]
+            if chain:
+                chain.reverse()
+                covered = own = 0
+                at = chain[0].start
+                for m in chain:
+                    covered += m.end - max(at, m.start)
+                    own += (m.end - max(at, m.start)) * m.own
+                    at = m.end
+                yield chain, covered, own
+
     def _spans(self, matches: list[Match]) -> list[tuple[str, int, int, float]]:
         """(label, first word, word after the last, share of the template covered) of each accepted chain."""
-        out = []
         by: dict[int, list[Match]] = {}
         for m in matches:
             by.setdefault(m.template, []).append(m)
+        spans = []
         for t, found in by.items():
-            found.sort(key=lambda m: (m.start, m.at))
-            chain: list[Match] = []
-
-            def close(chain: list[Match], t: int = t) -> None:
-                covered = sum(m.end - m.start for m in chain)
+            for chain, covered, own in self._chains(found):
                 share = min(1.0, covered / self.sizes[t])
-                if share >= MIN_COVER or covered >= MIN_WORDS:
-                    out.append((self.labels[t], chain[0].start, chain[-1].end, share))
-
-            for m in found:
-                if chain and m.start < chain[-1].end:  # overlaps: the longer one stays
-                    if len(chain) == 1 and m.end - m.start > chain[-1].end - chain[-1].start:
-                        chain = [m]
-                elif chain and m.start - chain[-1].end <= MAX_GAP and 0 <= m.at - (chain[-1].at + chain[-1].end - chain[-1].start) <= MAX_GAP:
-                    chain.append(m)
-                else:
-                    if chain:
-                        close(chain)
-                    chain = [m]
-            if chain:
-                close(chain)
+                if share >= MIN_COVER or own >= MIN_WORDS:
+                    spans.append((covered, share, self.labels[t], chain[0].start, chain[-1].end))
+        # the spans that are left never overlap one of another label by more than SHADOW, so each word has few of them
+        out, at = [], []
+        for _, share, label, start, end in sorted(spans, key=lambda s: (-s[0], -s[1], s[2:])):
+            near = at[bisect_left(at, (start - self.reach, 0)) : bisect_left(at, (end, 0))]
+            if any(out[i][0] != label and min(end, out[i][2]) - max(start, out[i][1]) > SHADOW * (end - start) for _, i in near):
+                continue
+            insort(at, (start, len(out)))
+            out.append((label, start, end, share))
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
