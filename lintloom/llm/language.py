@@ -3,7 +3,8 @@
 Each language has a codeword. A binary classifier for each bit tells from the n-grams of a text whether the bit is set:
 its weights are log ratios of n-gram frequencies among the languages that have the bit and those that haven't. Decoding
 chooses the codeword with the least weighted logistic loss; a text whose two best codewords are nearly as good is
-flagged as ambiguous.
+flagged as ambiguous. One whose n-grams are far rarer in the chosen language than those of nearly all texts that it was
+learned from is flagged as strange: no codeword stands for its language.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ from pyspark.sql import functions as F
 
 from lintloom.llm.common import crc_rest, hash01, map_texts, slices, table
 
-#: Texts of each language to learn from, at most about; ids whose crc32 modulo MODULUS is REST are held out.
-SAMPLE, MODULUS, REST = 1500, 3, 1
+#: Texts of each language to learn from, and of all, at most about; ids whose crc32 modulo MODULUS is REST are held out.
+SAMPLE, TOTAL, MODULUS, REST = 1500, 60_000, 3, 1
+#: Languages that are learned, those with the most rows: a bound of the sample, as a dirty column may hold any number.
+MAX_LANGUAGES = 256
 #: n-grams are hashed to so many places.
 PLACES = 1 << 14
 #: Two codewords are nearly as good within this share of probability.
 AMBIGUOUS = 0.1
+#: A text is strange if the mean log frequency of its n-grams is this far below that of all but such a share of texts.
+STRANGE, STRANGE_SHARE = 2.5, 0.001
 UNKNOWN = "und"
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -54,7 +59,8 @@ def codewords(k: int, seed: int = 11) -> np.ndarray:
     for _ in range(200):
         code = np.where(rng.random((k, n)) < 0.5, -1.0, 1.0)
         code = code[:, np.abs(code.sum(axis=0)) < k]
-        d = int(min((code[i] != code[j]).sum() for i in range(k) for j in range(i)))
+        differ = (code.shape[1] - code @ code.T) / 2
+        d = int(differ[np.triu_indices(k, 1)].min())
         if d > apart:
             best, apart = code, d
     return best
@@ -71,10 +77,17 @@ class Codes:
             weights.append(np.log(on.mean(axis=0) / off.mean(axis=0)) if len(off) and len(on) else np.ones(p.shape[1]))
         self.weights = np.stack(weights, axis=1)
         self.gain, self.trust = np.full(len(weights), 20.0), np.ones(len(weights))
+        self.logs, self.floor = np.log(p), -np.inf
 
     def margins(self, text: str) -> np.ndarray:
         """Of each bit: the mean weight of the text's n-grams."""
-        found = grams(text)
+        return self._margins(grams(text))
+
+    def familiarity(self, found: np.ndarray, lang: str) -> float:
+        """The mean log frequency of n-grams in a language; 0 without any."""
+        return float(self.logs[self.langs.index(lang)][found].mean()) if len(found) else 0.0
+
+    def _margins(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
             return np.zeros(self.weights.shape[1])
         if len(found) < PLACES // 4:
@@ -99,22 +112,30 @@ class Codes:
         near = len(p) > 1 and p[order[0]] - p[order[1]] < AMBIGUOUS
         return self.langs[order[0]], float(p[order[0]]), bool(near)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
+    def predict(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """(language, score, whether it is ambiguous, whether it is strange)."""
         if not text or not LETTER.search(text) or not self.langs:
-            return UNKNOWN, 0.0, False
-        return self.decode(self.margins(text))
+            return UNKNOWN, 0.0, False, False
+        found = grams(text)
+        lang, score, near = self.decode(self._margins(found))
+        return lang, score, near, self.familiarity(found, lang) < self.floor
 
 
 def learn(docs: DataFrame) -> Codes | None:
-    """Codes from about SAMPLE texts of each language, those with the least hash of their id. None without any."""
+    """Codes from about SAMPLE texts of each language, those with the least hash of their id. None without any.
+
+    At most the MAX_LANGUAGES languages with the most rows are learned (ties by name); a text in another one gets the
+    nearest of these.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_rest(F.col("doc_id"), MODULUS) != REST))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = known.select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return None
-    share = F.lit(0.0)
-    for lang, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(share)
-    sample = known.where(hash01(F.col("doc_id")) < share).select("text", "lang").persist()
+    each = min(SAMPLE, TOTAL // len(sizes))
+    # a table of MAX_LANGUAGES rows at most
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sorted(sizes.items())], "lang string, share double")
+    sample = known.join(F.broadcast(shares), "lang").where(hash01(F.col("doc_id")) < F.col("share")).select("text", "lang").persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -135,19 +156,22 @@ def learn(docs: DataFrame) -> Codes | None:
 
         def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                found = [codes.margins(t).tolist() for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["m", "lang"])
+                each = [grams(t) for t in batch.column(0).to_pylist()]
+                found = [codes._margins(g).tolist() for g in each]
+                usual = [codes.familiarity(g, lang) for g, lang in zip(each, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1), pa.array(usual, pa.float64())], names=["m", "lang", "usual"])
 
-        seen = sample.mapInArrow(margins, "m array<double>, lang string").collect()
+        seen = sample.mapInArrow(margins, "m array<double>, lang string, usual double").collect()
     finally:
         sample.unpersist()
     if seen:
         codes.tune(np.array([r["m"] for r in seen]), [r["lang"] for r in seen])
+        codes.floor = float(np.quantile([r["usual"] for r in seen], STRANGE_SHARE)) - STRANGE
     return codes
 
 
 def predict(df: DataFrame, codes: Codes | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score and ambiguous of each text.
+    """doc_id, held_out, lang_pred, score, ambiguous and strange of each text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned. Repeated
     rows give repeated rows; other columns are not read.
@@ -155,14 +179,14 @@ def predict(df: DataFrame, codes: Codes | None, *, id_col: str = "doc_id", text_
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [codes.predict(t) if codes else (UNKNOWN, 0.0, False) for t in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows])], names=[id_col, "held_out", "lang_pred", "score", "ambiguous"])
+            rows = [codes.predict(t) if codes else (UNKNOWN, 0.0, False, False) for t in batch.column(2).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=[id_col, "held_out", "lang_pred", "score", "ambiguous", "strange"])
 
         return work
 
     kind = df.schema[id_col].dataType.simpleString()
     given = df.select(id_col, (crc_rest(F.col(id_col), MODULUS) == REST).alias("held_out"), F.col(text_col).alias("text"))
-    return map_texts(given, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean", make)
+    return map_texts(given, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean, strange boolean", make)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
