@@ -3,7 +3,7 @@
 Each text becomes a vector of transformed document statistics. Each class has a Gaussian whose covariance is shrunk
 towards the pooled covariance and the identity; a score is the difference of the log densities, by Mahalanobis
 distances from Cholesky factors that are made once, calibrated to a probability. Shrinkage and calibration are chosen
-on a part of the sample that the Gaussians haven't seen.
+on a part of the sample that the Gaussians haven't seen; then these are fitted again, on all of it.
 """
 
 from __future__ import annotations
@@ -114,7 +114,8 @@ class Discriminant:
 
 
 def fit_best(x: np.ndarray, y: np.ndarray, prior: float) -> Discriminant | None:
-    """The discriminant with the least log loss on every third row, when fitted on the others. None without both classes.
+    """The discriminant with the least log loss on every third row, when fitted on the others, fitted again on all rows.
+    None without both classes.
 
     ``prior`` is the share of class 1 among all labelled rows; the calibration weighs the sample's rows to match it.
     """
@@ -131,8 +132,11 @@ def fit_best(x: np.ndarray, y: np.ndarray, prior: float) -> Discriminant | None:
             model = Discriminant.fit(x[~test], y[~test], own, identity)
             loss = model.calibrate(x[test], y[test], weight[test])
             if best is None or loss < best[0]:
-                best = (loss, model)
-    return best[1]
+                best = (loss, own, identity, model)
+    _, own, identity, chosen = best
+    model = Discriminant.fit(x, y, own, identity)
+    model.slope, model.shift = chosen.slope, chosen.shift
+    return model
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant | None, float]:
