@@ -1,14 +1,14 @@
 """Byte-level BPE: pre-tokens are merged as rows of length-bucketed padded numpy matrices.
 
 Each round, every row of a matrix merges its leftmost pair of minimum rank, found by a hashed pair lookup, and is
-compacted by one place; rows without a mergeable pair leave the matrix. Rows beyond ``MAX_MATRIX`` bytes are merged
-by a heap over a linked list instead, which makes the same merges in O(n log n).
+compacted by one place; rows without a mergeable pair leave the matrix. A row beyond ``MAX_MATRIX`` bytes is a matrix of
+its own, in which a round merges all pairs of minimum rank from the left, as far as no merge makes a pair of lower
+rank: the same merges in the same order, in as many rounds as there are ranks instead of merges.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 from itertools import accumulate, chain
 
@@ -21,13 +21,13 @@ MEMO_WORDS, MEMO_TOKENS = 200_000, 100_000
 #: Bytes of a pre-token up to which it is kept.
 MEMO_BYTES = 40
 #: Bytes of a pre-token up to which it is merged in a matrix.
-MAX_MATRIX = 128
+MAX_MATRIX = 1024
 #: Cells of one matrix.
 MATRIX_CELLS = 1 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a place within a matrix; a rank and a place share 32 bits.
-PLACE_BITS = 7
+#: Bits of a place within a matrix of narrow rows, where a rank and a place share 32 bits, and of wide ones.
+NARROW_BITS, WIDE_BITS = 7, 11
 #: Stands for "no such pair", above all ranks.
 NO_RANK = np.int32((1 << 24) - 1)
 
@@ -119,6 +119,7 @@ class Bpe:
         if padded:
             ids[np.arange(width)[:, None] >= lengths] = -1
         out, rows = [b""] * n, np.arange(n)
+        bits, kind = (NARROW_BITS, np.int32) if width <= 1 << NARROW_BITS else (WIDE_BITS, np.int64)
         rank = np.full((0, n), NO_RANK, np.int32)
         if width > 1:
             rank = self.pairs.ranks(ids[:-1], ids[1:])
@@ -126,9 +127,9 @@ class Bpe:
                 rank[ids[1:] < 0] = NO_RANK
         while True:
             if len(rank):
-                key = (rank << PLACE_BITS) + np.arange(len(rank), dtype=np.int32)[:, None]
+                key = (rank.astype(kind, copy=False) << bits) + np.arange(len(rank), dtype=kind)[:, None]
                 least = key.min(axis=0)  # the least rank, and of equal ones the leftmost
-                merged, best = least >> PLACE_BITS, least & (1 << PLACE_BITS) - 1
+                merged, best = (least >> bits).astype(np.int32, copy=False), least & (1 << bits) - 1
                 over = merged == NO_RANK
             else:
                 over = np.ones(len(rows), bool)
@@ -160,37 +161,35 @@ class Bpe:
             at, col = best[has], each[has]
             rank[at - 1, col] = self.pairs.ranks(ids[at - 1, col], ids[at, col])
 
-    def _heap(self, piece: bytes) -> np.ndarray:
-        """Ids of one long piece: the same merges by a heap over a linked list."""
+    def _long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        n = len(ids)
-        first = self.pairs.ranks(ids[:-1], ids[1:])
-        heap = [(int(r), i) for i, r in enumerate(first) if r != NO_RANK]
-        heapq.heapify(heap)
-        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        known: dict[tuple[int, int], int] = {}
-
-        def rank(a: int, b: int) -> int:
-            if (a, b) not in known:
-                known[a, b] = self.pairs.rank(a, b)
-            return known[a, b]
-
-        none = int(NO_RANK)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if j >= n or rank(ids[i], ids[j]) != r:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (x := rank(r, ids[k])) != none:
-                    heapq.heappush(heap, (x, i))
-            h = before[i]
-            if h >= 0 and (x := rank(ids[h], r)) != none:
-                heapq.heappush(heap, (x, h))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        rank = self.pairs.ranks(ids[:-1], ids[1:])
+        while len(rank) and (low := rank.min()) != NO_RANK:
+            at = np.flatnonzero(rank == low)
+            # of pairs that overlap, every second one from the left is merged
+            run = np.cumsum(np.diff(at, prepend=-2) > 1)
+            first = np.searchsorted(run, run)
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            # the pairs that a merge makes, when those left of it are merged and those right of it aren't yet
+            before = np.where(np.diff(at, prepend=-3) == 2, low, ids[at - 1])
+            left = np.where(at > 0, self.pairs.ranks(before, np.full(len(at), low, np.int32)), NO_RANK)
+            ended = at + 2 >= len(ids)
+            right = np.where(ended, NO_RANK, self.pairs.ranks(np.full(len(at), low, np.int32), ids[np.where(ended, 0, at + 2)]))
+            lower = np.flatnonzero((left < low) | (right < low))
+            if len(lower):
+                at = at[: lower[0] + 1]
+            ids[at] = low
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            place = np.cumsum(keep)[at] - 1
+            ids = ids[keep]
+            rank = rank[keep[1:]] if len(keep) > 1 else rank[:0]
+            # the pairs on either side of a merged token have new ranks
+            near = np.unique(np.concatenate([place - 1, place]))
+            near = near[(near >= 0) & (near < len(ids) - 1)]
+            rank[near] = self.pairs.ranks(ids[near], ids[near + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
@@ -203,9 +202,9 @@ class Bpe:
                 out[i] = rank.to_bytes(4, "little")
             else:
                 n = len(piece)
-                buckets.setdefault(n if n <= 16 else 16 + (n + 7) // 8 if n <= MAX_MATRIX else 0, []).append(i)
+                buckets.setdefault(n if n <= 16 else 16 + (n + 7) // 8 if n <= 128 else 128 + (n + 63) // 64 if n <= MAX_MATRIX else 0, []).append(i)
         for i in buckets.pop(0, ()):
-            out[i] = self._heap(pieces[i]).astype("<u4").tobytes()
+            out[i] = self._long(pieces[i]).astype("<u4").tobytes()
         for members in buckets.values():
             step = max(1, MATRIX_CELLS // max(len(pieces[i]) for i in members))
             for at in range(0, len(members), step):
