@@ -9,13 +9,19 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lintloom.llm import language, near_dup, packing, quality
-from lintloom.llm.common import Scratch, filter_texts, flag_ids, table
+from lintloom.llm.common import filter_texts, flag_ids, free_names, named, table
+from lintloom.sources.scratch import Scratch
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; without labels to learn from, all."""
+    """Documents that the quality classifier accepts; without labels of both kinds to learn from, all.
+
+    A null or empty text is scored by the statistics of an empty one. Repeated rows share their fate; an empty table
+    gives no rows; all columns stay as they are, whatever their names.
+    """
     model, prior = quality.learn(docs, table(spark, sf_dir, "labels"))
 
     def make():
@@ -30,9 +36,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without any letter go.
+    """Documents in a language that was learned: those whose n-grams aren't strange to the language decoded for them.
 
-    The decoded language, its score and its ambiguity decide nothing: any text with a letter has a language.
+    Null and empty texts and those without any letter are ``und`` and go. Without any language to learn, all texts
+    with a letter stay. Repeated rows share their fate; an empty table gives no rows; all columns stay as they are,
+    whatever their names.
     """
     codes = language.learn(docs)
 
@@ -40,7 +48,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         def test(texts: list[str | None]) -> list[bool]:
             if codes is None:
                 return [bool(t and language.LETTER.search(t)) for t in texts]
-            return [codes.predict(t)[0] != language.UNKNOWN for t in texts]
+            found = [codes.predict(t) for t in texts]
+            return [lang != language.UNKNOWN and not strange for lang, _, _, strange in found]
 
         return test
 
@@ -48,21 +57,27 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once; documents without an id stay.
+    """The document with the smallest id of each group of near duplicates, once.
 
-    Only rows whose id may be one that goes or that repeats are shuffled with their texts.
+    Documents without an id, and those with a null or empty text, are near to nothing and stay. Of rows that repeat an
+    id, one stays: ties go to the least hash of its text. An empty table gives no rows; all columns stay as they are,
+    whatever their names. Only rows whose id may be one that goes or that repeats are shuffled with their texts.
     """
     told = near_dup.near_duplicates(docs).where("doc_id IS NOT NULL")
     doubtful = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")).where("n > 1 OR NOT stays")
     doubtful = Scratch(spark).put(doubtful.select("doc_id", "stays"), "doubtful")
-    marked = flag_ids(docs, doubtful)
-    sure = marked.where("NOT flagged").select(*docs.columns)
-    rest = marked.where("flagged").join(doubtful, "doc_id", "left").where("coalesce(stays, true)").dropDuplicates(["doc_id"])
-    return sure.union(rest.select(*docs.columns))
+    flag, key, stays, place = free_names(docs, "flagged", "key", "stays", "place")
+    marked = flag_ids(docs, doubtful, flag)
+    columns = [named(c) for c in docs.columns]
+    sure = marked.where(~F.col(flag)).select(*columns)
+    rest = marked.where(flag).join(doubtful.select(F.col("doc_id").alias(key), F.col("stays").alias(stays)), F.col("doc_id") == F.col(key), "left")
+    rest = rest.where(F.coalesce(F.col(stays), F.lit(True)))
+    first = rest.withColumn(place, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))))
+    return sure.union(first.where(F.col(place) == 1).select(*columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 tokens."""
+    """Pieces of the documents in windows of 1024 tokens; a null or empty text is its end id alone."""
     return packing.pack(docs)
 
 
@@ -73,7 +88,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. A stage's table goes when the next one's is written; what is left, with the driver."""
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.put(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return docs
