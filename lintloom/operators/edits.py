@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,30 +108,62 @@ def in_order(violations: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["v"])
 
 
+def edited(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text after edits of (start, stop, content), and the edits that restore it, in one pass."""
+    pieces, reverse, at, size = [], [], 0, 0
+    for start, stop, content in sorted(edits):
+        if start < at or stop < start:
+            continue
+        kept = text[at:start]
+        size += len(kept)
+        pieces += [kept, content]
+        reverse.append((size, size + len(content), text[start:stop]))
+        size += len(content)
+        at = stop
+    return "".join([*pieces, text[at:]]), reverse
+
+
+EDITED = "text string, reverse array<struct<start:int,stop:int,content:string>>"
+
+
+def _frame(rows: list[tuple[str | None, list | None]]) -> pd.DataFrame:
+    named = [(text, None if back is None else [{"start": a, "stop": b, "content": c} for a, b, c in back]) for text, back in rows]
+    return pd.DataFrame(named, columns=["text", "reverse"])
+
+
+def _edit(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    return _frame([
+        (None, None) if text is None or wanted is None else edited(text, [(e["start"], e["stop"], e["content"]) for e in wanted])
+        for text, wanted in zip(texts, edits, strict=True)
+    ])
+
+
+def _edit_at(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
+    out = []
+    for text, wanted in zip(texts, edits, strict=True):
+        if text is None or wanted is None:
+            out.append((None, None))
+            continue
+        starts = [0, *accumulate(len(x) + 1 for x in text.split("\n"))]
+        place = lambda p, s=starts: s[min(max(p["row"], 1), len(s)) - 1] + p["column"] - 1
+        out.append(edited(text, [(place(e["location"]), place(e["end_location"]), e["content"]) for e in wanted]))
+    return _frame(out)
+
+
 def edit(text: Column, edits: Column) -> Column:
     """O-83: (text, reverse) after edits of (start, stop, content), in offsets of the text as it was.
 
     Edits are done in the order of their offsets; one that begins inside its predecessor is left out. ``reverse``
-    holds the edits that restore the text. A null text gives nulls; no edits leave the text as it is.
+    holds the edits that restore the text. A null text gives null in both; no edits leave the text as it is. The pass
+    over a text is Python's: natively each piece would be looked for from the beginning of the text.
     """
-    kind = "struct<at:int,size:int,pieces:array<string>,reverse:array<struct<start:int,stop:int,content:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("pieces"), F.array().cast("array<struct<start:int,stop:int,content:string>>").alias("reverse")).cast(kind)
-
-    def step(acc, e):
-        kept, old = F.substring(text, acc["at"] + 1, e["start"] - acc["at"]), F.substring(text, e["start"] + 1, e["stop"] - e["start"])
-        at = acc["size"] + F.length(kept)
-        done = F.struct(
-            e["stop"].alias("at"), (at + F.length(e["content"])).alias("size"), F.concat(acc["pieces"], F.array(kept, e["content"])).alias("pieces"),
-            F.concat(acc["reverse"], F.array(F.struct(at.alias("start"), (at + F.length(e["content"])).alias("stop"), old.alias("content")))).alias("reverse"),
-        ).cast(kind)
-        return F.when((e["start"] < acc["at"]) | (e["stop"] < e["start"]), acc).otherwise(done)
-
-    def finish(acc):
-        whole = F.array_join(F.concat(acc["pieces"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-        return F.struct(whole.alias("text"), acc["reverse"].alias("reverse"))
-
-    placed = F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].cast("int").alias("start"), e["stop"].cast("int").alias("stop"), e["content"].alias("content"))))
-    return F.when(text.isNotNull(), F.aggregate(placed, start, step, finish))
+    # not to be repeated where its fields are used: Spark copies what it takes to be deterministic
+    return F.pandas_udf(_edit, EDITED).asNondeterministic()(text, edits)
+
+
+def edit_at(text: Column, edits: Column) -> Column:
+    """O-83: the same with edits between positions (location, end_location, content), as findings have them."""
+    return F.pandas_udf(_edit_at, EDITED).asNondeterministic()(text, edits)
 
 
 def offsets(text: Column, edits: Column) -> Column:

@@ -11,6 +11,7 @@ from lintloom.operators import decontaminate, joins, keys, metrics, pairs, patte
 from lintloom.plans import detectors, inventory, round_trips, tasks
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, ORACLE, QUERIES, R, pct, query, seed_sql
 from lintloom.sources import readers
+from lintloom.sources.scratch import Scratch
 
 __all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "round_trips", "tasks"]
 
@@ -307,7 +308,7 @@ def ceiling_split(t):
 @query(", x AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), k AS (SELECT least(CAST(floor(0.1 * count(*) FILTER (WHERE flagged)) AS BIGINT), count(*) FILTER (WHERE NOT flagged)) AS k FROM x) " + f"SELECT doc_id, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY {seed_sql(3)}) AS r FROM x) CROSS JOIN k WHERE flagged OR r <= k")
 def neutral_balance(t):
     """S-01: all rows with findings, and a tenth as many without. The threshold is the k-th least hash, found by ranks over all tasks."""
-    x = _flagged(t)
+    x = Scratch(t.spark).put(_flagged(t), "flagged")  # read three times
     k = x.agg(F.least(F.floor(0.1 * F.count(F.when(F.col("flagged"), 1))), F.count(F.when(~F.col("flagged"), 1))).alias("k"))
     neutral = x.where("NOT flagged").withColumn("h", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-3"))))
     chosen = keys.ranked(neutral, "flagged", [F.col("h"), F.col("doc_id")], "r").crossJoin(F.broadcast(k)).where("r <= k").select("doc_id", "flagged")

@@ -300,7 +300,7 @@ def edits_and_back(t):
     lines = t.gold.where("code IN ('R_UPPER', 'R_LONG')").groupBy("doc_id").agg(F.collect_set("line_no").alias("n")).join(t.documents.select("doc_id", "text"), "doc_id")
     place = lambda n, c: F.struct(n.alias("row"), F.lit(c).alias("column"))
     wanted = F.transform("n", lambda n: F.struct(place(n, 1).alias("location"), place(n, 2).alias("end_location"), F.lit("# ").alias("content")))
-    done = lines.select("doc_id", edits.edit(F.col("text"), edits.offsets(F.col("text"), wanted)).alias("e"))
+    done = lines.select("doc_id", edits.edit_at(F.col("text"), wanted).alias("e"))
     return done.select("doc_id", F.md5("e.text").alias("edited"), F.md5(edits.edit(F.col("e.text"), F.col("e.reverse"))["text"]).alias("restored"))
 
 

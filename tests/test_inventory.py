@@ -37,11 +37,21 @@ def test_edits_and_their_reverse(spark):
     done = df.select("*", edits.edit(F.col("t"), F.col("e")).alias("d")).select("*", edits.edit(F.col("d.text"), F.col("d.reverse"))["text"].alias("back"))
     for r in done.collect():
         if r.t is None:
-            assert r.d is None and r.back is None
+            assert r.d.text is None and r.d.reverse is None and r.back is None
         else:
             assert r.d.text == by_hand(r.t, [tuple(x) for x in r.e]) and r.back == r.t
 
 
+def test_edits_at_positions_are_those_at_offsets(spark):
+    point = lambda r, c: {"row": r, "column": c}
+    wanted = [{"location": point(2, 2), "end_location": point(3, 1), "content": "X"}, {"location": point(1, 1), "end_location": point(1, 2), "content": ""}, {"location": point(9, 1), "end_location": point(9, 1), "content": "!"}]
+    kind = "array<struct<location:struct<row:int,column:int>,end_location:struct<row:int,column:int>,content:string>>"
+    df = spark.createDataFrame([("ab\ncé\nd", wanted), ("", []), (None, [])], f"t string, e {kind}")
+    placed = df.select("t", "e", edits.offsets(F.col("t"), F.col("e")).alias("o")).collect()
+    for r, done in zip(placed, df.select(edits.edit_at(F.col("t"), F.col("e")).alias("d")).collect(), strict=True):
+        assert (done.d.text is None) if r.t is None else done.d.text == by_hand(r.t, [tuple(x) for x in r.o])
+
+
 def test_positions(spark):
     text = "ab\n\ncé\n"
     df = spark.createDataFrame([(text, i) for i in range(len(text) + 1)], "t string, i int")
