@@ -91,3 +91,19 @@ def docstring(text: Column) -> Column:
     """O-79: between the quotes; of two docstrings the second; null for any other number of quotes."""
     parts = F.split(text, '"""', -1)
     return F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).when(F.size(parts) == 5, F.get(parts, F.lit(3)))
+
+
+#: Where files of a release tell a version, and what is written there.
+VERSION_PLACES = {
+    "init": (r'(?m)^__version__\s+=\s+"([^"]+)"\s*$', '__version__ = "VERSION"\n'),
+    "setup": (r'(?m)^(\s*)version\s*=\s*"[^"]+",', '$1version="VERSION",'),
+    "citation": (r"(?m)^version:\s+[^ ]+", "version: VERSION"),
+    "readme": (r"(?m)version\s+=\s+\{[^}]+\}", "version = {VERSION}"),
+}
+
+
+def with_version(text: Column, place: str, version: Column) -> Column:
+    """O-90: a file's text with another version in all places of a kind. Digits, letters, dots, + and - make a version."""
+    pattern, told = VERSION_PLACES[place]
+    before, after = told.split("VERSION")
+    return F.when(version.rlike(r"^[\w.+-]+$"), F.regexp_replace(text, F.lit(pattern), F.concat(F.lit(before), version, F.lit(after))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lintloom.functions import text
 from lintloom.operators import edits, joins, star
 from lintloom.plans.base import R, query
-from lintloom.sources import readers, sinks
+from lintloom.sources import fetch, readers, sinks
 from lintloom.sources.scratch import Scratch
 from lintloom.streaming import streams
 
@@ -332,3 +332,39 @@ UNION ALL SELECT p_partkey, 1, 'More', 'Kind:' || p_type || ', bSize:' || p_size
 def sections_of_pages(t):
     """O-17, O-18: top headings with the text under them."""
     return readers.html_sections(_part_pages(t))
+
+
+# --- code hosts and releases
+
+
+def _answers(url: str, headers: dict[str, str]) -> tuple[int, dict[str, str], str]:
+    """A stand-in for a code host: files whose number ends in 3 aren't there, others are after some tries."""
+    number = int(url.rsplit("/", 1)[1].removesuffix(".py"))
+    _answers.asked = getattr(_answers, "asked", {})
+    _answers.asked[url] = n = _answers.asked.get(url, 0) + 1
+    if number % 10 == 3:
+        return 404, {}, ""
+    if n % 3:
+        return (503, {}, "") if number % 2 else (403, {"X-RateLimit-Remaining": "0", "X-RateLimit-Reset": "0"}, "")
+    return 200, {}, f"{url} as {headers['Accept']}"
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 3 THEN 'https://raw.example/o/r/main/a%20b/' || p_partkey || '.py as text' END AS text,
+  CASE WHEN p_partkey % 10 = 3 THEN 'status 404' END AS error FROM part""")
+def fetched_files(t):
+    """O-15 from a stand-in that is busy, or at its limit, twice for each file."""
+    url = F.concat(F.lit(fetch.address("https://raw.example/", "o/r", "main", "/a b/")), F.col("p_partkey").cast("string"), F.lit(".py"))
+    return fetch.fetch_files(t.part.select(F.col("p_partkey").alias("id"), url.alias("url")), _answers, {"Accept": "text"}, pause=0.0)
+
+
+@query(r"""SELECT p_partkey, regexp_replace('__version__ = "0.1"' || chr(10) || 'x = ' || p_size || chr(10), '(?m)^__version__\s+=\s+"([^"]+)"\s*$', '__version__ = "1.' || p_size || '"' || chr(10), 'g') AS init,
+  '  version="1.' || p_size || '",' AS setup, 'version: 1.' || p_size || ' ' || p_name AS citation, 'a version = {1.' || p_size || '} b' AS readme FROM part""")
+def version_bumps(t):
+    """O-90: a version in the four kinds of files that tell it."""
+    version, size = F.concat(F.lit("1."), F.col("p_size").cast("string")), F.col("p_size").cast("string")
+    init = F.concat(F.lit('__version__ = "0.1"\nx = '), size, F.lit("\n"))
+    return t.part.select(
+        "p_partkey", text.with_version(init, "init", version).alias("init"), text.with_version(F.lit('  version = "0.1",'), "setup", version).alias("setup"),
+        text.with_version(F.concat(F.lit("version: 0.1.dev0 "), "p_name"), "citation", version).alias("citation"),
+        text.with_version(F.lit("a version = {0.1} b"), "readme", version).alias("readme"),
+    )

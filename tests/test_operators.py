@@ -358,3 +358,18 @@ def test_groups_in_a_stream_are_given_out_once_and_forgotten(spark, tmp_path):
     left = add([(4, 0, 0.1, "2024-06-01 00:00:00")])
     rows = sorted(tuple(r) for r in spark.read.parquet(out).collect())
     assert rows == [(1, 2, 0.7), (3, 2, 0.2)] and left <= 2
+
+
+def test_fetch_waits_and_gives_up(spark):
+    from lintloom.sources import fetch
+
+    slept, answers = [], [(403, {"x-ratelimit-remaining": "0", "x-ratelimit-reset": "130"}, ""), (502, {}, ""), (200, {}, "ok")]
+    assert fetch.fetch("u", {}, lambda u, h: answers.pop(0), pause=5, sleep=slept.append, now=lambda: 100.0) == "ok" and slept == [30.0, 5]
+    for status, told in ((404, {}), (403, {"X-RateLimit-Remaining": "7"})):
+        with pytest.raises(OSError, match=f"status {status}"):
+            fetch.fetch("u", {}, lambda u, h, s=status, t=told: (s, t, ""), sleep=slept.append)
+    with pytest.raises(OSError, match="3 tries"):
+        fetch.fetch("u", {}, lambda u, h: (500, {}, ""), tries=3, sleep=slept.append)
+    assert fetch.address("https://h/", "o/r", "c1", "/a b/é.py") == "https://h/o/r/c1/a%20b/%C3%A9.py"
+    rows = spark.createDataFrame([(1, None)], "id long, url string")
+    assert [tuple(r) for r in fetch.fetch_files(rows, lambda u, h: (200, {}, "x")).collect()] == [(1, None, None)]
