@@ -35,7 +35,8 @@ def lint_tool_group_share(t):
     return both.groupBy("grp").agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total)).select("grp", "n_docs", pct(F.col("n_docs"), F.col("total")).alias("percent"))
 
 
-@query(R + " k AS n_findings, count(*) AS n_docs FROM (SELECT d.doc_id, count(g.code) AS k FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id GROUP BY d.doc_id) GROUP BY k")
+@query(R + """ k AS n_findings, count(*) AS n_docs FROM (SELECT d.doc_id, count(g.code) AS k FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id
+  GROUP BY d.doc_id) GROUP BY k""")
 def violation_histogram(t):
     """A-11."""
     rows = t.documents.select("doc_id", F.lit(0).alias("k")).union(t.gold.select("doc_id", F.lit(1)))
@@ -104,7 +105,8 @@ def ensemble_union(t):
     return keys.ensemble(t.gold, t.pred, union=True)
 
 
-@query(", a AS (SELECT DISTINCT doc_id, code, line_no FROM gold), b AS (SELECT DISTINCT doc_id, code, line_no FROM pred) SELECT * FROM a INTERSECT SELECT * FROM b")
+@query(""", a AS (SELECT DISTINCT doc_id, code, line_no FROM gold), b AS (SELECT DISTINCT doc_id, code, line_no FROM pred) SELECT * FROM a INTERSECT SELECT *
+  FROM b""")
 def ensemble_intersection(t):
     """O-52, O-53."""
     return keys.ensemble(t.gold, t.pred, union=False)
@@ -138,13 +140,15 @@ def keyword_filter(t):
     return t.documents.where(text.has_all(F.col("text"), ["the", "License"])).select("doc_id")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(https?://[^\\s\"''<>]+)', 1)) AS n_urls FROM pages WHERE contains(html, 'http:') OR contains(html, 'https:')")
+@query("""SELECT page_id, len(regexp_extract_all(html, '(https?://[^\\s\"''<>]+)', 1)) AS n_urls FROM pages
+  WHERE contains(html, 'http:') OR contains(html, 'https:')""")
 def url_filter(t):
     """O-37, O-77."""
     return t.pages.where(text.has_url(F.col("html"))).select("page_id", F.size(text.urls(F.col("html"))).cast("long").alias("n_urls"))
 
 
-@query("SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) > 20 OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 1000)) > 0")
+@query("""SELECT doc_id FROM documents
+  WHERE len(string_split(text, chr(10))) > 20 OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 1000)) > 0""")
 def long_or_weird_filter(t):
     """O-34, O-35: what the filter takes out."""
     return t.documents.where(~text.fits(F.col("text"), 20, 1000)).select("doc_id")
@@ -164,7 +168,8 @@ def decontaminated_docs(t):
     return decontaminate.contaminated(t.documents, t.benchmark)
 
 
-@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, ' ') ELSE i::VARCHAR END || ' ' || x), chr(10))) AS digest FROM documents""")
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+  CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, ' ') ELSE i::VARCHAR END || ' ' || x), chr(10))) AS digest FROM documents""")
 def numbered_file(t):
     """O-68."""
     return t.documents.select("doc_id", F.md5(text.number_lines(F.col("text"))).alias("digest"))
@@ -187,21 +192,24 @@ def strip_comments(t):
     return t.documents.select("doc_id", F.md5(text.strip_comments(code)).alias("digest"))
 
 
-@query("SELECT doc_id, string_split(lang || '-' || source || '_' || doc_id, '_')[1] AS first, string_split(lang || '-' || source || '_' || doc_id, '_')[-1] AS blob, len(string_split(lang || '-' || source, '-')) AS n_codes FROM documents")
+@query("""SELECT doc_id, string_split(lang || '-' || source || '_' || doc_id, '_')[1] AS first, string_split(lang || '-' || source || '_' || doc_id,
+  '_')[-1] AS blob, len(string_split(lang || '-' || source, '-')) AS n_codes FROM documents""")
 def id_parse(t):
     """O-80."""
     parts = F.split(F.concat("lang", F.lit("-"), "source", F.lit("_"), F.col("doc_id").cast("string")), "_")
     return t.documents.select("doc_id", F.get(parts, F.lit(0)).alias("first"), F.element_at(parts, -1).alias("blob"), F.size(F.split(F.get(parts, F.lit(0)), "-")).cast("long").alias("n_codes"))
 
 
-@query("SELECT doc_id, length(CASE WHEN length(text) > 3000 THEN left(text, 1000) || right(text, 1000) ELSE text END) AS kept, md5(CASE WHEN length(text) > 3000 THEN left(text, 1000) || right(text, 1000) ELSE text END) AS digest FROM documents")
+@query("""SELECT doc_id, length(CASE WHEN length(text) > 3000 THEN left(text, 1000) || right(text, 1000) ELSE text END) AS kept,
+  md5(CASE WHEN length(text) > 3000 THEN left(text, 1000) || right(text, 1000) ELSE text END) AS digest FROM documents""")
 def truncate_middle(t):
     """O-74."""
     cut = text.middle_cut(F.col("text"), 3000, 1000)
     return t.documents.select("doc_id", F.length(cut).cast("long").alias("kept"), F.md5(cut).alias("digest"))
 
 
-@query("SELECT source, count(*) AS n, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, max(n_chars // 4) AS longest, count(*) FILTER (WHERE n_chars // 4 + 512 <= 3000) AS n_fit, round(sum(n_chars // 4) / 1e6 * 0.15, 6) AS dollars FROM documents GROUP BY source")
+@query("""SELECT source, count(*) AS n, CAST(sum(n_chars // 4) AS BIGINT) AS tokens, max(n_chars // 4) AS longest,
+  count(*) FILTER (WHERE n_chars // 4 + 512 <= 3000) AS n_fit, round(sum(n_chars // 4) / 1e6 * 0.15, 6) AS dollars FROM documents GROUP BY source""")
 def cost_estimate(t):
     """A-16, with a token for every four characters."""
     tokens = F.floor(F.col("n_chars") / 4)
@@ -267,7 +275,8 @@ MIX = {"en": 0.5, "fr": 0.3, "de": 0.2}
 _MIX = "(VALUES ('en', 0.5), ('fr', 0.3), ('de', 0.2)) AS f(lang, share)"
 
 
-@query(f"SELECT doc_id, lang FROM (SELECT d.*, share, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY d.lang) AS n FROM documents d JOIN {_MIX} ON d.lang = f.lang) WHERE r <= floor(CAST(share AS DOUBLE) * n)")
+@query(f"""SELECT doc_id, lang FROM (SELECT d.*, share, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY d.lang) AS n
+  FROM documents d JOIN {_MIX} ON d.lang = f.lang) WHERE r <= floor(CAST(share AS DOUBLE) * n)""")
 def mixer_train(t):
     """S-09, O-93: the first part of each language."""
     return keys.prefix_fraction(t.documents.select("doc_id", "lang"), "lang", "doc_id", MIX)
@@ -305,7 +314,9 @@ def ceiling_split(t):
     return rows.select("doc_id", "lang", "flagged", F.when(F.col("r") <= F.least(F.lit(20), F.floor(20.0 * F.col("k") / 30)), "train").otherwise("test").alias("part"))
 
 
-@query(", x AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), k AS (SELECT least(CAST(floor(0.1 * count(*) FILTER (WHERE flagged)) AS BIGINT), count(*) FILTER (WHERE NOT flagged)) AS k FROM x) " + f"SELECT doc_id, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY {seed_sql(3)}) AS r FROM x) CROSS JOIN k WHERE flagged OR r <= k")
+@query(""", x AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM gold) AS flagged
+  FROM documents), k AS (SELECT least(CAST(floor(0.1 * count(*) FILTER (WHERE flagged)) AS BIGINT), count(*) FILTER (WHERE NOT flagged)) AS k FROM x) """ + f"""SELECT doc_id, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY {seed_sql(3)}) AS r FROM x) CROSS JOIN k
+  WHERE flagged OR r <= k""")
 def neutral_balance(t):
     """S-01: all rows with findings, and a tenth as many without. The threshold is the k-th least hash, found by ranks over all tasks."""
     x = Scratch(t.spark).put(_flagged(t), "flagged")  # read three times
@@ -321,7 +332,8 @@ def per_rule_violation_sample(t):
     return keys.sampled(t.gold.select("doc_id", "code").distinct(), ["code"], "doc_id", 11, 20)
 
 
-@query(f"SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {seed_sql(5)}) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM documents")
+@query(f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {seed_sql(5)}) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part
+  FROM documents""")
 def train_test_split(t):
     """S-05, S-06: an exact share in random order, ranked over all tasks."""
     x = t.documents.select("doc_id", F.lit(1).alias("one"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-5"))).alias("h"))
@@ -330,7 +342,8 @@ def train_test_split(t):
     return rows.select("doc_id", F.when(F.col("r") <= F.floor(F.lit(0.8) * F.col("n")), "train").otherwise("test").alias("part"))
 
 
-@query(", x AS (SELECT d.doc_id, d.source, count(DISTINCT g.code) AS n_codes FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id WHERE d.n_chars <= 4000 GROUP BY d.doc_id, d.source) " + f"SELECT doc_id, source, n_codes FROM (SELECT *, row_number() OVER (PARTITION BY source, n_codes ORDER BY {seed_sql(13)}) AS r FROM x) WHERE r <= 3")
+@query(""", x AS (SELECT d.doc_id, d.source, count(DISTINCT g.code) AS n_codes FROM documents d LEFT JOIN gold g ON g.doc_id = d.doc_id WHERE d.n_chars <= 4000
+  GROUP BY d.doc_id, d.source) """ + f"SELECT doc_id, source, n_codes FROM (SELECT *, row_number() OVER (PARTITION BY source, n_codes ORDER BY {seed_sql(13)}) AS r FROM x) WHERE r <= 3")
 def strata_cap(t):
     """S-08: three of each source and number of rules; long texts go first."""
     docs = t.documents.where("n_chars <= 4000").select("doc_id", "source")
@@ -361,13 +374,15 @@ def preference_pairs(t):
     return pairs.preference_pairs(_samples(t), 0.25)
 
 
-@query(f"WITH {_SAMPLES} SELECT id, idx, length, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length, idx) AS r FROM samples WHERE reward = 1 AND valid) WHERE r <= 2")
+@query(f"""WITH {_SAMPLES} SELECT id, idx, length, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length, idx) AS r FROM samples
+  WHERE reward = 1 AND valid) WHERE r <= 2""")
 def shortest_valid_topk(t):
     """O-94."""
     return pairs.shortest_valid(_samples(t), 2)
 
 
-@query(f"WITH {_SAMPLES} SELECT id, count(*) AS n, round(max(reward) - min(reward), 6) AS spread, string_agg(idx || ':' || CAST(valid AS VARCHAR), ',' ORDER BY idx) AS flags FROM samples GROUP BY id")
+@query(f"""WITH {_SAMPLES} SELECT id, count(*) AS n, round(max(reward) - min(reward), 6) AS spread, string_agg(idx || ':' || CAST(valid AS VARCHAR), ','
+  ORDER BY idx) AS flags FROM samples GROUP BY id""")
 def rollout_rewards(t):
     """P-02, A-14: samples of an id in their order."""
     s = _samples(t).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "valid"))).alias("s"), F.count("*").alias("n"), F.round(F.max("reward") - F.min("reward"), 6).alias("spread"))
@@ -385,51 +400,59 @@ def parse_report(t):
     return found.select("id", "code", F.explode("line_nos").alias("line_no")).distinct()
 
 
-@query(ALIGNED + f"SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1 FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)")
+@query(ALIGNED + f"""SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1
+  FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)""")
 def line_localization(t):
     """M-01."""
     return metrics.line_localization(t.gold, t.pred)
 
 
-@query(ALIGNED + "SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE h / p END), 6) AS precision, round(avg(CASE WHEN g = 0 THEN 0 ELSE h / g END), 6) AS recall, count(*) AS n_docs FROM (SELECT doc_id, sum(g) AS g, sum(p) AS p, sum(g * p) AS h FROM al GROUP BY doc_id)")
+@query(ALIGNED + """SELECT round(avg(CASE WHEN p = 0 THEN 0 ELSE h / p END), 6) AS precision, round(avg(CASE WHEN g = 0 THEN 0 ELSE h / g END), 6) AS recall,
+  count(*) AS n_docs FROM (SELECT doc_id, sum(g) AS g, sum(p) AS p, sum(g * p) AS h FROM al GROUP BY doc_id)""")
 def overall_match(t):
     """M-03."""
     return metrics.overall_match(t.gold, t.pred)
 
 
-@query(DETECT + "SELECT code, CAST(tp AS BIGINT) AS tp, CAST(ng AS BIGINT) AS n_gold, CAST(np AS BIGINT) AS n_pred, round(p, 6) AS precision, round(r, 6) AS recall FROM pr")
+@query(DETECT + """SELECT code, CAST(tp AS BIGINT) AS tp, CAST(ng AS BIGINT) AS n_gold, CAST(np AS BIGINT) AS n_pred, round(p, 6) AS precision, round(r, 6) AS recall
+  FROM pr""")
 def detection_pr(t):
     """M-04, M-10."""
     return metrics.detection(t.gold, t.pred).select("code", "tp", "n_gold", "n_pred", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"))
 
 
-@query(DETECT + f"SELECT 'all' AS grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr WHERE ng > 0)")
+@query(DETECT + f"""SELECT 'all' AS grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes
+  FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr WHERE ng > 0)""")
 def detection_macro(t):
     """M-05."""
     return metrics.macro(metrics.detection(t.gold, t.pred))
 
 
-@query(DETECT + f"SELECT grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT grp, avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr JOIN groups USING (code) WHERE ng > 0 GROUP BY grp)")
+@query(DETECT + f"""SELECT grp, round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes
+  FROM (SELECT grp, avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM pr JOIN groups USING (code) WHERE ng > 0 GROUP BY grp)""")
 def group_macro(t):
     """M-05 by tool group."""
     return metrics.macro(metrics.detection(t.gold, t.pred), rules.group_of(F.col("code")))
 
 
-@query(ALIGNED + "SELECT round(1 - sum(bad) / count(*), 6) AS rate, count(*) AS n_docs FROM (SELECT doc_id, max(CASE WHEN n_pred > 0 AND n_gold = 0 THEN 1 ELSE 0 END) AS bad FROM per GROUP BY doc_id)")
+@query(ALIGNED + """SELECT round(1 - sum(bad) / count(*), 6) AS rate, count(*) AS n_docs
+  FROM (SELECT doc_id, max(CASE WHEN n_pred > 0 AND n_gold = 0 THEN 1 ELSE 0 END) AS bad FROM per GROUP BY doc_id)""")
 def instruction_follow(t):
     """M-07: documents without a predicted code that isn't their own."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.max(((F.col("n_pred") > 0) & (F.col("n_gold") == 0)).cast("int")).alias("bad"))
     return per.agg(F.round(1 - F.sum("bad") / F.count("*"), 6).alias("rate"), F.count("*").alias("n_docs"))
 
 
-@query(ALIGNED + "SELECT round(avg(same), 6) AS overlap, count(*) AS n_docs FROM (SELECT doc_id, min(CASE WHEN n_gold = n_pred THEN 1 ELSE 0 END) AS same FROM per GROUP BY doc_id)")
+@query(ALIGNED + """SELECT round(avg(same), 6) AS overlap, count(*) AS n_docs FROM (SELECT doc_id, min(CASE WHEN n_gold = n_pred THEN 1 ELSE 0 END) AS same FROM per
+  GROUP BY doc_id)""")
 def coarse_overlap(t):
     """M-09: documents with equal counts of each code."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.min((F.col("n_gold") == F.col("n_pred")).cast("int")).alias("same"))
     return per.agg(F.round(F.avg("same"), 6).alias("overlap"), F.count("*").alias("n_docs"))
 
 
-@query(ALIGNED + "SELECT code, round(avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END), 6) AS precision, round(avg(n_hit / n_gold), 6) AS recall FROM per WHERE n_gold > 0 GROUP BY code")
+@query(ALIGNED + """SELECT code, round(avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END), 6) AS precision, round(avg(n_hit / n_gold), 6) AS recall FROM per
+  WHERE n_gold > 0 GROUP BY code""")
 def exact_alignment(t):
     """M-11: mean shares of aligned lines by code."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).where("n_gold > 0")
@@ -456,7 +479,8 @@ def rewards(t):
     return metrics.rewards(t.gold, t.pred, t.documents)
 
 
-@query(", e AS (SELECT d.doc_id, d.lang, d.doc_id IN (SELECT doc_id FROM pred) AS hit FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM gold)) SELECT lang, count(*) AS n, round(avg(CASE WHEN hit THEN 0 ELSE 1 END), 6) AS accuracy FROM e GROUP BY lang")
+@query(""", e AS (SELECT d.doc_id, d.lang, d.doc_id IN (SELECT doc_id FROM pred) AS hit FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM gold))
+  SELECT lang, count(*) AS n, round(avg(CASE WHEN hit THEN 0 ELSE 1 END), 6) AS accuracy FROM e GROUP BY lang""")
 def no_violation_accuracy(t):
     """A-12: of documents without findings, the share where none is predicted."""
     clean = t.documents.select("doc_id", "lang").join(t.gold.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -476,7 +500,8 @@ def missed_documents(t):
     return metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.sum("n_gold").alias("g"), F.sum("n_pred").alias("p")).where("g > 0 AND p = 0").select("doc_id")
 
 
-@query("SELECT round(sum(quality * toxic) / nullif(sum(toxic), 0), 6) AS precision, round(sum(quality * toxic) / nullif(sum(quality), 0), 6) AS recall, count(*) AS n FROM labels")
+@query("""SELECT round(sum(quality * toxic) / nullif(sum(toxic), 0), 6) AS precision, round(sum(quality * toxic) / nullif(sum(quality), 0), 6) AS recall,
+  count(*) AS n FROM labels""")
 def label_pr(t):
     """M-04 over two label columns."""
     return t.labels.agg(F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("toxic"), F.lit(0)), 6).alias("precision"), F.round(F.sum(F.col("quality") * F.col("toxic")) / F.nullif(F.sum("quality"), F.lit(0)), 6).alias("recall"), F.count("*").alias("n"))

@@ -245,7 +245,8 @@ def detector_snippets(t):
     return patterns.find_patterns(t.documents.select(F.col("doc_id").alias("blob_id"), code.alias("content")))
 
 
-@query(f"""SELECT doc_id, e.rule FROM documents JOIN (VALUES {", ".join(f"({i}, {_sql(rule)})" for i, (_, rules) in enumerate(LINES) for rule in rules)}) AS e(i, rule) ON e.i = doc_id % {len(LINES)}""")
+@query(f"""SELECT doc_id, e.rule FROM documents
+  JOIN (VALUES {", ".join(f"({i}, {_sql(rule)})" for i, (_, rules) in enumerate(LINES) for rule in rules)}) AS e(i, rule) ON e.i = doc_id % {len(LINES)}""")
 def text_rule_snippets(t):
     """T-32, T-33, T-34, T-36: the text rules over lines of which the answer is known."""
     line = F.col("line")

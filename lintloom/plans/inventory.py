@@ -9,7 +9,8 @@ from lintloom.operators import edits, joins, keys, metrics, patterns, sampling,
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, R, query, seed_sql
 from lintloom.sources import readers
 
-_STARTS = ", pos AS (SELECT doc_id, line, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines)\n"
+_STARTS = """, pos AS (SELECT doc_id, line, line_no, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id
+  ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines)\n"""
 
 
 # --- joins
@@ -42,7 +43,10 @@ def task_specs(t):
     return found.select(named(F.col("id")).alias("id"), "blob_id", F.array_join(F.transform("specs", lambda s: F.concat(named(s["code"]), F.lit("="), s["grp"])), ",").alias("specs"))
 
 
-@query(", n AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || l.quality || chr(10) || chr(10) || '### Found' || chr(10) || chr(10) ELSE '' END || coalesce(n.n || ' lines', 'NO VIOLATIONS FOUND') AS answer FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NOT NULL OR n.n IS NULL")
+@query(""", n AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) SELECT d.doc_id,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || l.quality || chr(10) || chr(10) || '### Found' || chr(10) || chr(10) ELSE '' END || coalesce(n.n || ' lines',
+  'NO VIOLATIONS FOUND') AS answer FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+  WHERE l.doc_id IS NOT NULL OR n.n IS NULL""")
 def reasoning_join(t):
     """J-05: answers with the reasoning there is; without any, only answers that are the bare sentinel."""
     n = t.gold.groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -51,14 +55,16 @@ def reasoning_join(t):
     return joins.with_reasoning(train, cot, "### Found").select(F.col("id").alias("doc_id"), "answer")
 
 
-@query(", a AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS n_a, b.n AS n_b FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+@query(""", a AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id)
+  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n AS n_a, b.n AS n_b FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def predictions_side_by_side(t):
     """J-07, J-08: two sets of predictions by id, not by place."""
     n = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"))
     return joins.side_by_side(n(t.gold), n(t.pred), "doc_id", "n")
 
 
-@query(", c AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT c.doc_id, c.n AS n_source, l.quality FROM c JOIN labels l ON l.doc_id = c.doc_id")
+@query(""", c AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT c.doc_id, c.n AS n_source, l.quality FROM c
+  JOIN labels l ON l.doc_id = c.doc_id""")
 def constructs_by_source(t):
     """J-03, J-06, J-14: inner joins by id and by source; the counts of a source are a small table."""
     per = t.documents.groupBy("source").agg(F.count("*").alias("n_source"))
@@ -73,13 +79,15 @@ def existence_match(t):
     return joins.existence(t.gold, t.pred)
 
 
-@query(R + " a.doc_id, a.line_no AS a_line, b.line_no AS b_line FROM gold a JOIN gold b ON a.doc_id = b.doc_id AND abs(a.line_no - b.line_no) <= 2 WHERE a.code = 'R_LONG' AND b.code = 'R_DUPLINE'")
+@query(R + """ a.doc_id, a.line_no AS a_line, b.line_no AS b_line FROM gold a JOIN gold b ON a.doc_id = b.doc_id AND abs(a.line_no - b.line_no) <= 2
+  WHERE a.code = 'R_LONG' AND b.code = 'R_DUPLINE'""")
 def near_lines(t):
     """J-12: long lines at most two lines from a repeated one."""
     return joins.near_lines(t.gold.where("code = 'R_LONG'"), t.gold.where("code = 'R_DUPLINE'"), 2)
 
 
-@query("SELECT l.doc_id, x.lang FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN (SELECT source, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source) x ON x.source = d.source")
+@query("""SELECT l.doc_id, x.lang FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN (SELECT source, arg_max(lang, doc_id) AS lang FROM documents
+  GROUP BY source) x ON x.source = d.source""")
 def latest_lookup(t):
     """J-13: for each labelled document the language of the last document of its source."""
     rows = joins.by_key(t.labels.select("doc_id"), t.documents.select("doc_id", "source"), "doc_id")
@@ -133,7 +141,8 @@ def inverted_index(t):
     return t.gold.select("code", "doc_id").distinct()
 
 
-@query("SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source")
+@query("""SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents
+  GROUP BY source""")
 def source_counts(t):
     """A-05, A-17, O-91, O-98: rows and distinct texts by source, the commonest first. Texts are counted by digest."""
     each = t.documents.select("source", F.sha2("text", 256).alias("h")).groupBy("source", "h").agg(F.count("*").alias("n"))
@@ -147,7 +156,8 @@ def variants_merged(t):
     return t.events.groupBy(F.replace("event_type", F.lit("v"), F.lit("")).alias("pattern")).agg(F.count("*").alias("n"))
 
 
-@query(ALIGNED + ", m AS (SELECT doc_id FROM per GROUP BY doc_id HAVING sum(n_gold) > 0 AND sum(n_pred) = 0) SELECT string_split(lang || '/' || source, '/')[-1] AS suffix, count(*) AS n FROM m JOIN documents USING (doc_id) GROUP BY suffix")
+@query(ALIGNED + """, m AS (SELECT doc_id FROM per GROUP BY doc_id HAVING sum(n_gold) > 0 AND sum(n_pred) = 0)
+  SELECT string_split(lang || '/' || source, '/')[-1] AS suffix, count(*) AS n FROM m JOIN documents USING (doc_id) GROUP BY suffix""")
 def failures_by_suffix(t):
     """A-13: documents whose findings were all missed, by the last part of their source."""
     per = metrics.by_code(metrics.aligned(t.gold, t.pred)).groupBy("doc_id").agg(F.sum("n_gold").alias("g"), F.sum("n_pred").alias("p")).where("g > 0 AND p = 0")
@@ -193,19 +203,23 @@ gb AS (SELECT doc_id, code, line_no FROM (SELECT *, lag(line_no) OVER (PARTITION
 """
 
 
-@query(_FIRST + ALIGNED.replace("FROM gold)", "FROM ga)").replace("FROM pred)", "FROM gb)") + f"SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1 FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)")
+@query(_FIRST + ALIGNED.replace("FROM gold)", "FROM ga)").replace("FROM pred)", "FROM gb)") + f"""SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1
+  FROM (SELECT avg(CASE WHEN n_pred = 0 THEN 0 ELSE n_hit / n_pred END) AS p, avg(n_hit / n_gold) AS r FROM per WHERE n_gold > 0)""")
 def first_line_localization(t):
     """M-02: M-01 over the first line of each run of lines."""
     return metrics.line_localization(metrics.first_lines(t.gold), metrics.first_lines(t.pred))
 
 
-@query(DETECT + f", x AS (SELECT coalesce(p, 0) AS p, coalesce(r, 0) AS r FROM (SELECT code FROM groups UNION ALL SELECT 'R_NEVER') LEFT JOIN pr USING (code)) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes FROM x)")
+@query(DETECT + f""", x AS (SELECT coalesce(p, 0) AS p, coalesce(r, 0) AS r FROM (SELECT code FROM groups UNION ALL SELECT 'R_NEVER') LEFT JOIN pr USING (code))
+  SELECT round(p, 6) AS precision, round(r, 6) AS recall, round({F1}, 6) AS f1, n_codes FROM (SELECT avg(p) AS p, avg(r) AS r, count(*) AS n_codes
+  FROM x)""")
 def listed_macro(t):
     """M-06: the mean over all listed codes, of which one is never found."""
     return metrics.listed_macro(metrics.detection(t.gold, t.pred), [*CODES, "R_NEVER"])
 
 
-_PRESENCE = ", v AS (SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM gold WHERE code IN ('R_LONG', 'R_UPPER')) AS INTEGER) AS g, CAST(doc_id IN (SELECT doc_id FROM pred WHERE code IN ('R_LONG', 'R_UPPER')) AS INTEGER) AS p FROM documents)\n"
+_PRESENCE = """, v AS (SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM gold WHERE code IN ('R_LONG', 'R_UPPER')) AS INTEGER) AS g, CAST(doc_id IN (SELECT doc_id
+  FROM pred WHERE code IN ('R_LONG', 'R_UPPER')) AS INTEGER) AS p FROM documents)\n"""
 
 
 @query(_PRESENCE + "SELECT doc_id, g, p, CAST(g = p AS INTEGER) AS correct FROM v")
@@ -214,13 +228,16 @@ def presence_vectors(t):
     return metrics.presence(t.gold, t.pred, t.documents, ["R_LONG", "R_UPPER"])
 
 
-@query(DETECT + f", s(subset, code) AS (VALUES ('seen', 'R_LONG'), ('seen', 'R_TRAIL'), ('near', 'R_BLANK2'), ('near', 'R_NEVER'), ('far', 'R_UPPER'), ('far', 'R_DIGIT')), f AS (SELECT code, {F1} AS f FROM pr) SELECT subset, round(avg(coalesce(f, 0)), 6) AS f1, count(*) AS n_codes FROM s LEFT JOIN f USING (code) GROUP BY subset")
+@query(DETECT + f""", s(subset, code) AS (VALUES ('seen', 'R_LONG'), ('seen', 'R_TRAIL'), ('near', 'R_BLANK2'), ('near', 'R_NEVER'), ('far', 'R_UPPER'), ('far',
+  'R_DIGIT')), f AS (SELECT code, {F1} AS f FROM pr) SELECT subset, round(avg(coalesce(f, 0)), 6) AS f1, count(*) AS n_codes FROM s LEFT
+  JOIN f USING (code) GROUP BY subset""")
 def transfer_subsets(t):
     """M-14: mean F of codes that were seen in training, near to them and far from them."""
     return metrics.subset_means(metrics.detection(t.gold, t.pred), {"seen": ["R_LONG", "R_TRAIL"], "near": ["R_BLANK2", "R_NEVER"], "far": ["R_UPPER", "R_DIGIT"]})
 
 
-@query(ALIGNED + ", d AS (SELECT sum(p) - sum(g) AS d FROM al GROUP BY doc_id) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d")
+@query(ALIGNED + """, d AS (SELECT sum(p) - sum(g) AS d FROM al GROUP BY doc_id)
+  SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d""")
 def paired_t(t):
     """M-21: predicted against gold counts."""
     per = metrics.aligned(t.gold, t.pred).groupBy("doc_id").agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
@@ -230,7 +247,9 @@ def paired_t(t):
 # --- samples
 
 
-@query(", x AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM gold) AS flagged FROM documents), k AS (SELECT source, least(count(*) FILTER (WHERE flagged), 25) AS k FROM x GROUP BY source) " + f"SELECT doc_id, source, flagged FROM (SELECT *, row_number() OVER (PARTITION BY source, flagged ORDER BY {seed_sql(17)}) AS r FROM x) JOIN k USING (source) WHERE r <= k")
+@query(""", x AS (SELECT doc_id, source, doc_id IN (SELECT doc_id FROM gold) AS flagged
+  FROM documents), k AS (SELECT source, least(count(*) FILTER (WHERE flagged), 25) AS k FROM x GROUP BY source) """ + f"""SELECT doc_id, source, flagged FROM (SELECT *, row_number() OVER (PARTITION BY source, flagged ORDER BY {seed_sql(17)}) AS r FROM x)
+  JOIN k USING (source) WHERE r <= k""")
 def balanced_strata(t):
     """S-03: of each source as many rows without findings as with, 25 at most."""
     hits = t.gold.select("doc_id").distinct().withColumn("flagged", F.lit(True))
@@ -284,7 +303,8 @@ def _judge(response: str, truth: str) -> int:
 # --- edits
 
 
-@query(_STARTS + "SELECT DISTINCT g.doc_id, g.line_no, p.start AS place, g.line_no AS back_row, 1::BIGINT AS back_column FROM gold g JOIN pos p ON p.doc_id = g.doc_id AND p.line_no = g.line_no")
+@query(_STARTS + """SELECT DISTINCT g.doc_id, g.line_no, p.start AS place, g.line_no AS back_row, 1::BIGINT AS back_column FROM gold g
+  JOIN pos p ON p.doc_id = g.doc_id AND p.line_no = g.line_no""")
 def positions(t):
     """O-84: the offset of each line with a finding, and its row and column read back."""
     lines = t.gold.groupBy("doc_id").agg(F.collect_set("line_no").alias("n")).join(t.documents.select("doc_id", "text"), "doc_id")
@@ -308,7 +328,8 @@ def edits_and_back(t):
     return done.select("doc_id", F.md5("e.text").alias("edited"), F.md5(edits.edit(F.col("e.text"), F.col("e.reverse"))["text"]).alias("restored"))
 
 
-@query(", g AS (SELECT DISTINCT doc_id, line_no FROM gold WHERE code = 'R_DIGIT') SELECT l.doc_id, l.line_no, md5(l.line) AS line, substr(l.line, 3, 5) AS span FROM lines l JOIN g ON g.doc_id = l.doc_id AND g.line_no = l.line_no")
+@query(""", g AS (SELECT DISTINCT doc_id, line_no FROM gold WHERE code = 'R_DIGIT')
+  SELECT l.doc_id, l.line_no, md5(l.line) AS line, substr(l.line, 3, 5) AS span FROM lines l JOIN g ON g.doc_id = l.doc_id AND g.line_no = l.line_no""")
 def line_spans(t):
     """O-71b, O-92: spans of columns 3 to 8 of lines with long numbers."""
     rows = t.gold.where("code = 'R_DIGIT'").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("n")).join(t.documents.select("doc_id", "text"), "doc_id")
@@ -317,7 +338,8 @@ def line_spans(t):
     return rows.select("doc_id", F.explode(spans).alias("x")).select("doc_id", F.col("x.line_no").alias("line_no"), F.md5("x.s.line").alias("line"), F.col("x.s.span").alias("span"))
 
 
-@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages) WHERE regexp_matches(line, 'class[ \t]+[A-Za-z0-9_]+[ \t]*\[[^\]]*\]:') GROUP BY page_id""")
+@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages)
+  WHERE regexp_matches(line, 'class[ \t]+[A-Za-z0-9_]+[ \t]*\[[^\]]*\]:') GROUP BY page_id""")
 def generic_classes(t):
     """T-33 over the lines of pages."""
     each = t.pages.select("page_id", F.explode(text.lines(F.col("html"))).alias("line"))

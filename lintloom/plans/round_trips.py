@@ -105,7 +105,8 @@ def json_array_round_trip(t):
     return readers.read_json_array(t.spark, path, "r_regionkey int, r_name string")
 
 
-@query("SELECT n_nationkey || '_' || n_regionkey AS stem, n_name || chr(10) || 'x = 1' || chr(10) AS content, n_regionkey * 10 AS start_line FROM nation WHERE n_regionkey <> 2")
+@query("""SELECT n_nationkey || '_' || n_regionkey AS stem, n_name || chr(10) || 'x = 1' || chr(10) AS content, n_regionkey * 10 AS start_line FROM nation
+  WHERE n_regionkey <> 2""")
 def annotated_code(t):
     """O-11, O-12: files of notes joined with the code files of their stem; notes that aren't JSON go."""
     scratch = Scratch(t.spark)
@@ -279,7 +280,8 @@ def gold_model_pairs(t):
     return pairs.select("id", content("chosen", 0).alias("prompt"), content("chosen", 1).alias("chosen"), content("rejected", 0).alias("rejected"))
 
 
-@query("SELECT event_id AS id, event_type AS body, 'issue' AS kind FROM events WHERE value < 5 UNION ALL SELECT event_id, event_type, 'review' FROM events WHERE value >= 5")
+@query("""SELECT event_id AS id, event_type AS body, 'issue' AS kind FROM events WHERE value < 5 UNION ALL SELECT event_id, event_type, 'review' FROM events
+  WHERE value >= 5""")
 def comments_of_two_kinds(t):
     """O-20: comments of two sources in one table."""
     rows = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("body"), "value")

@@ -151,7 +151,8 @@ def distinct_sources(t):
     return rows.distinct_values(t.documents, "source")
 
 
-@query(R + " doc_id, string_agg(x, ',' ORDER BY line_no, code) AS issues FROM (SELECT DISTINCT doc_id, code, line_no, line_no || ':' || code AS x FROM gold) GROUP BY doc_id")
+@query(R + """ doc_id, string_agg(x, ',' ORDER BY line_no, code) AS issues FROM (SELECT DISTINCT doc_id, code, line_no, line_no || ':' || code AS x FROM gold)
+  GROUP BY doc_id""")
 def distinct_sorted_issues(t):
     """O-55."""
     per = rows.distinct_issues(t.gold.union(t.gold), "doc_id", "line_no", "code")
