@@ -17,8 +17,8 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 def encode(df: DataFrame, file: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per row of ``df``: the id, ``n_tokens``, ``ids`` and the digests of the ids and of the decoded bytes.
 
-    A null text counts as empty: no ids, the digests of no bytes. Repeated rows give repeated rows; other columns are
-    not read, so their names don't matter. Texts of any length go through whole.
+    A null text counts as empty: no ids, the digests of no bytes. Repeated rows give repeated rows, an empty table
+    none; other columns are not read, so their names don't matter. Texts of any length go through whole.
     """
     file = file or public_tokenizers.path(RANK_FILE)
 

@@ -173,8 +173,9 @@ def learn(docs: DataFrame) -> Codes | None:
 def predict(df: DataFrame, codes: Codes | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous and strange of each text.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned. Repeated
-    rows give repeated rows; other columns are not read.
+    A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned; a null id
+    stays null. Of equally good languages the first by name is chosen. Repeated rows give repeated rows, an empty table
+    none; other columns are not read, so their names don't matter.
     """
 
     def make():

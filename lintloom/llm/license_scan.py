@@ -244,8 +244,10 @@ class Scanner:
 def scan(df: DataFrame, *, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", keep_spans: bool = True) -> DataFrame:
     """License labels and spans of each text. A null text counts as empty: no words, no labels, score 0.
 
-    The score is the largest share of a template that a chain covers, 1 where a phrase stands. Repeated rows and ties
-    don't matter; other columns are not read.
+    The score is the largest share of a template that a chain covers, 1 where a phrase stands. Repeated rows give
+    repeated rows, an empty table none; a null id stays null; other columns are not read, so their names don't matter.
+    Of spans that cover equally many words of one place, the one with the larger share of its template stays, then the
+    first label by name.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
 

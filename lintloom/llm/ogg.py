@@ -180,7 +180,8 @@ def read(data: bytes) -> tuple[bytes, dict]:
 def media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """Each text as an Ogg file, read back: sizes, digests and features; the file itself as ``media`` if kept.
 
-    A null or empty text is one unit of padding. Equal texts give equal files. Other columns are not read.
+    A null or empty text is one unit of padding; a null id stays null. Equal texts give equal files. Repeated rows give
+    repeated rows, an empty table none; other columns are not read, so their names don't matter.
     """
 
     def make():

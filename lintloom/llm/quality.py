@@ -160,8 +160,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant | None, floa
 def score(df: DataFrame, model: Discriminant | None, prior: float, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of each text.
 
-    Null texts count as empty, whose statistics are scored like any others. Without a model every score is the prior.
-    Repeated rows give repeated rows; other columns are not read.
+    Null texts count as empty, whose statistics are scored like any others; a null id stays null. Without a model every
+    score is the prior. Repeated rows give repeated rows, an empty table none; other columns are not read, so their
+    names don't matter. A score on the threshold is predicted 1.
     """
 
     def make():

@@ -443,8 +443,9 @@ def _population(labels: DataFrame) -> float:
 def score(df: DataFrame, grammar: Grammar, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_matches and n_clauses (of those with a match) of each text.
 
-    A null or empty text has the score of a text without matches. Rows are scored one by one, so repeated rows give
-    repeated rows; other columns are not read.
+    A null or empty text has the score of a text without matches; a null id stays null. Rows are scored one by one, so
+    repeated rows give repeated rows, and an empty table none; other columns are not read, so their names don't matter.
+    A score on the threshold is predicted 1. Of entries that fit a word equally well, a whole word goes before a stem.
     """
 
     def make():
