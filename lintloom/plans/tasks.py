@@ -207,3 +207,14 @@ SELECT round(avg(CAST(hit AND NOT own AS INTEGER)), 6) AS strict, round(avg(CAST
 def confusable_shares(t):
     """M-13: strict, relaxed and any, over codes and those that are like them."""
     return metrics.confusable(t.gold, t.pred, LIKE)
+
+
+@query("""SELECT lang AS code, count(*) AS n_docs, round(avg(CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0.5 END), 6) AS precision, round(avg(CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0.5 END), 6) AS recall,
+  round(avg(CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 1 END), 6) AS fuzzy_precision, round(avg(CASE doc_id % 3 WHEN 2 THEN 0.5 ELSE 1 END), 6) AS fuzzy_recall FROM documents WHERE lang IS NOT NULL GROUP BY lang""")
+def similar_lines(t):
+    """J-11, M-12, M-15 over two lines a document, of which one is predicted as it is, and the other as it is, with another letter, or not at all."""
+    first = F.concat(F.lit("value "), F.col("doc_id").cast("string"), F.lit(" is set in the first place"))
+    other = F.concat(F.lit("nothing of it holds: "), "source")
+    said = F.when(F.col("doc_id") % 3 == 0, first).when(F.col("doc_id") % 3 == 1, F.replace(first, F.lit("first"), F.lit("fiRst"))).otherwise("zzzzzzzz")
+    lines = lambda a: t.documents.where("lang IS NOT NULL").select("doc_id", F.col("lang").alias("code"), F.explode(F.array(a, other)).alias("line"))
+    return metrics.text_localization(lines(first), lines(said))
