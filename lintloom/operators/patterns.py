@@ -279,15 +279,21 @@ def _audit(node):
 
 @detector("pep_584", ast.Module)
 def _dict_union(node):
-    made = [(x, t.id) for x in ast.walk(node) if isinstance(x, ast.Assign) and isinstance(x.value, ast.Dict) for t in x.targets if isinstance(t, ast.Name)]
-    known = {name for _, name in made}
-    is_dict = lambda x: isinstance(x, ast.Dict) or isinstance(x, ast.Name) and x.id in known
-    unions = [x for x in ast.walk(node) if isinstance(x, ast.BinOp) and isinstance(x.op, ast.BitOr) and is_dict(x.left) and is_dict(x.right)]
-    for x in unions:
-        yield x, "union"
+    """T-22: one walk gathers names of dicts and operators; which operators join dicts is known at its end."""
+    made: dict[str, list[ast.Assign]] = {}
+    joined: list[ast.BinOp] = []
+    for x in ast.walk(node):
+        match x:
+            case ast.Assign(targets=targets, value=ast.Dict()):
+                for name in map(_name, (t for t in targets if isinstance(t, ast.Name))):
+                    made.setdefault(name, []).append(x)
+            case ast.BinOp(op=ast.BitOr()):
+                joined.append(x)
+    sides = lambda x: all(isinstance(s, ast.Dict) or isinstance(s, ast.Name) and s.id in made for s in (x.left, x.right))
+    unions = [x for x in joined if sides(x)]
+    yield from ((x, "union") for x in unions)
     if unions:
-        for x, _ in made:
-            yield _first_line(x), "init"
+        yield from ((_first_line(x), "init") for own in made.values() for x in own)
 
 
 GENERICS = frozenset({"List", "Dict", "Set", "FrozenSet", "Tuple", "Type", "Deque", "DefaultDict"})
