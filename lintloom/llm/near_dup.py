@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from lintloom.llm.common import flag_ids, map_texts, table
 from lintloom.sources.scratch import Scratch
@@ -41,8 +42,8 @@ SMALL, PIVOTS, FEW, MANY = 24, 4, 512, 4096
 #: Bits of a sketch, least and most.
 SKETCH = (64, 1 << 14)
 
-#: Words kept with their hashes during a slice, and bytes of a word that is kept; bytes of text split at a time.
-MEMO_WORDS, MEMO_BYTES, SPLIT_BYTES = 200_000, 64, 1 << 20
+#: Bytes of text that are split into words at a time.
+SPLIT_BYTES = 1 << 19
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WHITE = re.compile(rb"[ \t-\r]")
@@ -57,37 +58,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word -> its hash: 64 bits of a keyed BLAKE2b, so that no two words meet but by chance."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"near_dup").digest(), "little")
-        if len(word) <= MEMO_BYTES and len(self) < MEMO_WORDS:
-            self[word] = value
-        return value
-
-
-def word_hashes(text: str | None, memo: _Words) -> np.ndarray:
-    """The hashes of a text's words, in order. A long text is split a part at a time."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hashes (XXH3, 64 bits) of a text's words, in order. A long text is split a part at a time."""
     raw, at, out = (text or "").encode().lower(), 0, []  # bytes: only A-Z change, only 9 to 13 and 32 part words
     while at < len(raw):
         cut = _WHITE.search(raw, at + SPLIT_BYTES) if len(raw) - at > SPLIT_BYTES else None
         end = cut.start() if cut else len(raw)
         words = raw[at:end].split()
-        out.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+        out.append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)))
         at = end
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty for a text without words."""
-    memo = _memo()
-    if len(memo) >= MEMO_WORDS:
-        memo.clear()
     factors = mix(np.arange(1, WORDS + 2, dtype=np.uint64) * _C) | np.uint64(1)
     out = []
     for text in texts:
-        word = word_hashes(text, memo)
+        word = word_hashes(text)
         n = len(word)
         if n >= WORDS:
             n -= WORDS - 1
@@ -99,11 +87,6 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _memo() -> _Words:
-    return _Words()
-
-
 def identity(own: np.ndarray) -> tuple[int, int]:
     """128 bits of the SHA-256 of a set: documents of equal sets are one class."""
     low, high = struct.unpack_from("<qq", hashlib.sha256(own.tobytes()).digest())
@@ -189,9 +172,9 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The sets of texts whose identity is the wanted one: of rows that repeat an id, those that stand for it."""
+    """The sets of texts, where an identity is given only of those that have it: of rows that repeat an id, the ones that stand for it."""
     rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True)
-    found = [(doc, own.tobytes()) for doc, h1, h2, own in rows if identity(own) == (h1, h2)]
+    found = [(doc, own.tobytes()) for doc, h1, h2, own in rows if h1 is None or identity(own) == (h1, h2)]
     return pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "shingles"])
 
 
@@ -214,12 +197,15 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(_keep(may_link, ("n_a", "s_a", "n_b", "s_b")), "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs that reach the threshold on full sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, chosen: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The pairs that reach the threshold on full sets. ``chosen`` has the identities of ids that rows repeat, if any do."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = scratch.put(wanted.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), "doc_id"), "wanted")
-    near = flag_ids(docs, wanted).where("flagged").select("doc_id", "text")
-    sets = map_texts(near.join(wanted, "doc_id").select("doc_id", "text", "h1", "h2"), "doc_id long, shingles binary", lambda: _sets)
+    if chosen is not None:
+        wanted = wanted.join(chosen.select("doc_id", "h1", "h2"), "doc_id", "left")
+    wanted = scratch.put(wanted, "wanted")
+    near = flag_ids(docs, wanted).where("flagged").select("doc_id", "text").join(wanted, "doc_id")
+    identities = [F.col(c) if chosen is not None else F.lit(None).cast("long").alias(c) for c in ("h1", "h2")]
+    sets = map_texts(near.select("doc_id", "text", *identities), "doc_id long, shingles binary", lambda: _sets)
     sets = scratch.put(sets.dropDuplicates(["doc_id"]), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     test = lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
@@ -293,19 +279,17 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = scratch.put(map_texts(docs, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary", lambda: _features), "features")
-    # ids that rows of different sets share: (largest set, least digest) stands for the id
-    sets = features.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("own"), F.max(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("other")
-    ).where("own <> other")
-    chosen = scratch.put(sets.select("doc_id", (-F.col("own.m")).alias("n"), F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")), "chosen")
-    if chosen.limit(1).count():
+    some, told, chosen = features, features.select("doc_id", "n", "h1", "h2"), None
+    repeated = features.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if repeated.limit(1).count():
+        # of rows of one id and different sets, (largest set, least digest) stands for the id
+        sets = features.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("own"))
+        chosen = scratch.put(sets.select("doc_id", (-F.col("own.m")).alias("n"), F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")), "chosen")
         mine = chosen.select("doc_id", *(F.col(c).alias(f"own_{c}") for c in ("n", "h1", "h2")))
         marked = features.join(mine, "doc_id", "left")
         fits = F.col("own_n").isNull() | ((F.col("n") == F.col("own_n")) & (F.col("h1") == F.col("own_h1")) & (F.col("h2") == F.col("own_h2")))
         some = marked.where(fits).select(*features.columns)
         told = marked.select("doc_id", *(F.coalesce(f"own_{c}", c).alias(c) for c in ("n", "h1", "h2")))
-    else:
-        some, told = features, features.select("doc_id", "n", "h1", "h2")
     classes = scratch.put(
         some.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
@@ -321,7 +305,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     pivots = scratch.put(pivots.select("key", F.explode(F.array_distinct("p")).alias("p")), "pivots")
     starred = large.join(pivots, "key").where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
     candidates = scratch.put(_plausible(pairs.union(starred).distinct(), classes), "candidates")
-    links = _confirmed(candidates, docs, classes, scratch)
+    links = _confirmed(candidates, docs, chosen, scratch)
     found = components(links, scratch)
 
     # large buckets that are not one component yet
@@ -339,7 +323,7 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         left = open_.where("component <> main").withColumn("i", block("few")).withColumn("j", whole("many")).select(*columns)
         right = open_.withColumn("j", block("many")).withColumn("i", whole("few")).select(*columns)
         more = scratch.put(left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_rest, "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti"), "more")
-        links = links.union(_confirmed(more, docs, classes, scratch))
+        links = links.union(_confirmed(more, docs, chosen, scratch))
         found = components(links, scratch)
     group = classes.join(found, "rep", "left").select("h1", "h2", F.col("n").alias("n"), F.coalesce("component", "rep").alias("component"))
     told = told.join(group, ["h1", "h2", "n"], "left")
