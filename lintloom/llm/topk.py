@@ -142,7 +142,7 @@ def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024
 
     Queries are the vectors whose vec_id is divisible by ``modulus``; candidates are all vectors but those with the
     query's own id. Components become floor(scale * x). Vectors that are null, have a null id, or hold null or
-    non-finite components take no part; vectors of other lengths are no candidates of a query. Rows that repeat an id
+    non-finite components, or none at all, take no part; vectors of other lengths are no candidates of a query. Rows that repeat an id
     are candidates each; as a query an id counts once, with its least vector. Columns besides vec_id and embedding
     aren't read. An empty table, or one without queries, gives no rows.
     """
