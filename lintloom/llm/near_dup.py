@@ -280,10 +280,11 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = scratch.put(map_texts(docs, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary", lambda: _features), "features")
     some, told, chosen = features, features.select("doc_id", "n", "h1", "h2"), None
-    repeated = features.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    if repeated.limit(1).count():
+    own = F.min(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("own")
+    known = features.where("doc_id IS NOT NULL").groupBy("doc_id")
+    if known.agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
         # of rows of one id and different sets, (largest set, least digest) stands for the id
-        sets = features.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "h1", "h2")).alias("own"))
+        sets = known.agg(own, F.count("*").alias("rows")).where("rows > 1")
         chosen = scratch.put(sets.select("doc_id", (-F.col("own.m")).alias("n"), F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")), "chosen")
         mine = chosen.select("doc_id", *(F.col(c).alias(f"own_{c}") for c in ("n", "h1", "h2")))
         marked = features.join(mine, "doc_id", "left")
