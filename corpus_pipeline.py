@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lintloom.llm import language, near_dup, packing, quality
 from lintloom.llm.common import filter_texts, flag_ids, free_names, named, table
@@ -66,14 +65,17 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     told = near_dup.near_duplicates(docs).where("doc_id IS NOT NULL")
     doubtful = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")).where("n > 1 OR NOT stays")
     doubtful = Scratch(spark).put(doubtful.select("doc_id", "stays"), "doubtful")
-    flag, key, stays, place = free_names(docs, "flagged", "key", "stays", "place")
+    flag, key, stays = free_names(docs, "flagged", "key", "stays")
     marked = flag_ids(docs, doubtful, flag)
     columns = [named(c) for c in docs.columns]
     sure = marked.where(~F.col(flag)).select(*columns)
     rest = marked.where(flag).join(doubtful.select(F.col("doc_id").alias(key), F.col("stays").alias(stays)), F.col("doc_id") == F.col(key), "left")
     rest = rest.where(F.coalesce(F.col(stays), F.lit(True)))
-    first = rest.withColumn(place, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text"))))
-    return sure.union(first.where(F.col(place) == 1).select(*columns))
+    # an aggregate, so that rows of an id that very many rows repeat meet combined
+    hashed = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), F.struct(F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed)))
+    least = rest.groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return sure.union(least)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
