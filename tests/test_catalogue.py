@@ -36,9 +36,13 @@ def test_sql_parity(spark, con, name):
     assert got == want
 
 
+#: Nothing in the driver's prose and pages matches these; detector_snippets and the queries of part pages have matches.
+WITHOUT_ROWS = {"ast_patterns", "html_tables", "html_metadata"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+    assert (QUERIES[name](spark, DATA).count() > 0) == (name not in WITHOUT_ROWS)
 
 
 def test_entry_points(spark):

@@ -174,6 +174,15 @@ def test_ranks_over_tasks(spark):
     assert got == {(i % 3, i): i // 3 + 1 for i in range(1000)}
 
 
+def test_running_totals(spark):
+    """Within strata, a null one among them, against a plain sum; ties in the order are broken by the next key."""
+    rows = [(i, [None, "a", "b"][i % 3], i * 7 % 10) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, k string, v int")
+    got = {r.id: r.t for r in keys.running_total(df, "k", [F.col("v"), F.col("id")], F.col("v").cast("long"), "t").collect()}
+    assert got == {i: sum(w for j, l, w in rows if l == k and (w, j) < (v, i)) for i, k, v in rows}
+    assert keys.ranked(df.limit(0), "k", [F.col("id")]).count() == 0
+
+
 def test_contiguous_prefix(spark):
     df = spark.createDataFrame([(i,) for i in (0, 1, 1, 2, 4, -1)], "i long")
     assert sorted(r.i for r in keys.contiguous_prefix(df, "i").collect()) == [0, 1, 1, 2]
