@@ -1,6 +1,6 @@
 """Operator 7: top-k inner products, exact, by KD-trees, one per shard.
 
-Vectors are dealt into shards of a bounded size. A shard's tree is made once, by median splits of the widest dimension,
+Vectors are dealt into shards of a bounded number of components. A shard's tree is made once, by median splits of the widest dimension,
 with tight bounding boxes; the queries then stream past it. A query goes through the tree best first: the bound of a
 box is the largest inner product any vector in it could have, and the walk ends when the best bound left is below the
 kth score. That kth score is handed on: shards are searched in a few waves, and every query starts a wave with the kth
@@ -21,8 +21,8 @@ from pyspark.sql import Window as W
 from lintloom.llm.common import release, table
 from lintloom.sources.scratch import Scratch
 
-#: Vectors of a shard, on average, and of a leaf.
-SHARD_ROWS, LEAF = 16384, 256
+#: Components of a shard's vectors, on average (16384 vectors of 64), and vectors of a leaf.
+SHARD_CELLS, LEAF = 1 << 20, 256
 #: The share of shards that is done after each wave: early ones are small, as their queries have lower bounds.
 WAVES = (1 / 16, 1 / 4, 1)
 NONE = -(2**63)
@@ -137,7 +137,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, ties to the smaller vec_id.
 
     Queries are the vectors whose vec_id is divisible by ``modulus``; candidates are all vectors but those with the
@@ -153,12 +153,12 @@ def top_k(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = 1024
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"),
     )
-    total = rows.count()
+    cells = rows.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0]
     repeated = vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("vec_id IS NOT NULL AND n > 1").limit(1).count()
     # equal rows are one with a number of copies, so that the copies of a hot row don't fill a shard
     rows = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n")) if repeated else rows.withColumn("n", F.lit(1).cast("long"))
     rows = rows.where(F.size("v") > 0)
-    shards = max(1, -(-total // shard_rows))
+    shards = max(1, -(-cells // shard_cells))
     shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     queries = scratch.put(rows.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     best, done, schema = None, 0, "query_id long, vec_id long, score long"

@@ -20,14 +20,14 @@ def brute(rows, k=10, modulus=100):
     return sorted(want)
 
 
-@pytest.mark.parametrize("shard_rows", [16384, 100, 7])
-def test_top_k_is_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("shard_cells", [1 << 20, 400, 28])
+def test_top_k_is_brute_force(spark, shard_cells):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4) / 4]) for i in range(300)]
     rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (304, [1.0, 2.0]), (None, [1.0] * 4), (400, [1.0, 2.0]), (305, []), (500, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("shard", F.lit(0)).withColumn("n", F.lit("x"))
-    assert sorted(tuple(r) for r in topk.top_k(df, shard_rows=shard_rows).collect()) == brute(rows)
-    assert topk.top_k(df.limit(0), shard_rows=shard_rows).count() == 0
+    assert sorted(tuple(r) for r in topk.top_k(df, shard_cells=shard_cells).collect()) == brute(rows)
+    assert topk.top_k(df.limit(0), shard_cells=shard_cells).count() == 0
 
 
 def test_repeated_rows_are_candidates_each(spark):
@@ -35,7 +35,7 @@ def test_repeated_rows_are_candidates_each(spark):
     rows = [(i, [float(x) for x in rng.integers(-4, 5, 3) / 4]) for i in range(60)]
     rows += [(7, [1.0, 1.0, 1.0])] * 40 + [(100, [0.5, 0.0, 0.5]), (100, [0.25, 1.0, 0.5]), (7, [0.5, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(tuple(r) for r in topk.top_k(df, shard_rows=20).collect()) == brute(rows)
+    assert sorted(tuple(r) for r in topk.top_k(df, shard_cells=60).collect()) == brute(rows)
 
 
 def test_bounds_are_handed_on(spark, monkeypatch):
@@ -49,7 +49,7 @@ def test_bounds_are_handed_on(spark, monkeypatch):
         return given[-1][1]
 
     monkeypatch.setattr(topk.Scratch, "put", spy)
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=150)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_cells=900)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
     assert [n for n, _ in given] == ["queries", "best", "best"]
     first, second = (df.where("rank = 10").orderBy("query_id").collect() for n, df in given[1:])
