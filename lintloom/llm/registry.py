@@ -1,12 +1,15 @@
-"""The queries of the ten operators, and the SQL of those that SQL can express."""
+"""The queries of the thirteen operators, and the SQL of those that SQL can express."""
 
-from lintloom.llm import bpe_ops, chat, language, license_scan, near_dup, ogg, packing, quality, topk, toxicity
+from lintloom.llm import bpe_ops, chat, language, license_scan, merkle, near_dup, ogg, packing, quality, topk, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         toxicity.op1_toxicity, bpe_ops.op2_bpe_round_trip, ogg.op3_ogg_media, quality.op4_quality, chat.op5_chat_format,
         near_dup.op6_near_duplicates, topk.op7_top_k, packing.op8_pack_windows, language.op9_language, license_scan.op10_license_scan,
+        merkle.op13_merkle_manifest,
     )
 }
-ORACLE = {"op5_chat_format": chat.ORACLE, "op6_near_duplicates": near_dup.ORACLE, "op7_top_k": topk.ORACLE}
+ORACLE = {
+    "op5_chat_format": chat.ORACLE, "op6_near_duplicates": near_dup.ORACLE, "op7_top_k": topk.ORACLE, "op13_merkle_manifest": merkle.ORACLE,
+}
