@@ -110,22 +110,20 @@ def batch_of(**columns: tuple[list, pa.DataType]) -> pa.RecordBatch:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, bound: int) -> DataFrame:
-    """(text, label) of documents for fitting: at most about ``bound`` rows of each label.
+    """(text, label) of documents for fitting: ``bound`` rows of each label at most, whatever repeats.
 
-    Ids whose crc32 modulo ``modulus`` is ``rest`` are held out. The rows of a label that are taken are those with
-    the least hash of their id, so the sample is the same in every run. The ids are bounded by ``bound`` a label
-    and are sent to all executors; conflicting labels of an id count as 1.
+    Ids whose crc32 modulo ``modulus`` is ``rest`` are held out. The ids of a label that are taken are those with the
+    least hash, so the sample is the same in every run; they are bounded by ``bound`` a label and are sent to all
+    executors. Conflicting labels of an id count as 1. Of rows that repeat an id, one is taken, that of the least text
+    hash; rows with a null id or text aren't.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_rest(F.col("doc_id"), modulus) != rest))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     )
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(1.0)
-    for value, n in sizes.items():
-        share = F.when(F.col("label") == value, bound / n).otherwise(share)
-    some = known.where(hash01(F.col("doc_id")) < share)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label")
+    least = lambda value: known.where(F.col("label") == value).orderBy(hash01(F.col("doc_id")), "doc_id").limit(bound)
+    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(least(0).union(least(1))), "doc_id")
+    return some.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:

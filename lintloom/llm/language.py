@@ -9,20 +9,21 @@ learned from is flagged as strange: no codeword stands for its language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lintloom.llm.common import crc_rest, hash01, map_texts, slices, table
+from lintloom.llm.common import crc_rest, map_texts, slices, table
 
-#: Texts of each language to learn from, and of all, at most about; ids whose crc32 modulo MODULUS is REST are held out.
+#: Texts of each language to learn from at most, and of all (but one of each language, however many there are); ids whose crc32 modulo MODULUS is REST are held out.
 SAMPLE, TOTAL, MODULUS, REST = 1500, 60_000, 3, 1
-#: Languages that are learned, those with the most rows: a bound of the sample, as a dirty column may hold any number.
-MAX_LANGUAGES = 256
+#: Languages up to which the best of many random codes is looked for; beyond, one code of as many bits is far enough apart.
+SEARCHED = 256
 #: n-grams are hashed to so many places.
 PLACES = 1 << 14
 #: Two codewords are nearly as good within this share of probability.
@@ -31,7 +32,7 @@ AMBIGUOUS = 0.1
 STRANGE, STRANGE_SHARE = 2.5, 0.001
 UNKNOWN = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes other than letters count as blank; ASCII letters in lower case; bytes of other scripts stay.
 _FOLD = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
@@ -48,13 +49,18 @@ def grams(text: str) -> np.ndarray:
 
 
 def codewords(k: int, seed: int = 11) -> np.ndarray:
-    """k codewords of -1 and 1: all bits that split the languages, for up to five; else the best of random codes."""
+    """k codewords of -1 and 1: all bits that split the languages, for up to five; the best of random codes for up to
+    SEARCHED; else one random code whose words all differ."""
     if k == 1:
         return np.ones((1, 1))
     if k <= 5:
         bits = np.arange(1, 1 << k - 1)
         return np.where(np.array([[b >> i & 1 for b in bits] for i in range(k)]), 1.0, -1.0)
     rng, n = np.random.default_rng(seed), 10 * int(np.ceil(np.log2(k)))
+    while k > SEARCHED:
+        code = np.where(rng.random((k, n)) < 0.5, np.int8(-1), np.int8(1))
+        if len(np.unique(code, axis=0)) == k:
+            return code
     best, apart = None, -1
     for _ in range(200):
         code = np.where(rng.random((k, n)) < 0.5, -1.0, 1.0)
@@ -67,17 +73,23 @@ def codewords(k: int, seed: int = 11) -> np.ndarray:
 
 
 class Codes:
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        """counts: n-grams by language and place."""
-        self.langs, self.code = langs, codewords(len(langs))
-        p = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-        weights = []
-        for bit in self.code.T:
-            on, off = p[bit > 0], p[bit < 0]
-            weights.append(np.log(on.mean(axis=0) / off.mean(axis=0)) if len(off) and len(on) else np.ones(p.shape[1]))
-        self.weights = np.stack(weights, axis=1)
-        self.gain, self.trust = np.full(len(weights), 20.0), np.ones(len(weights))
-        self.logs, self.floor = np.log(p), -np.inf
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        """counts: of each language, the places that its n-grams have and how many; 0.5 is added at every place."""
+        self.langs, self.code, self.counts = langs, codewords(len(langs)), counts
+        self.at = {lang: i for i, lang in enumerate(langs)}
+        bits = self.code.shape[1]
+        self.sums = np.array([n.sum() for _, n in counts]) + 0.5 * PLACES
+        # frequencies are summed over the languages with a bit and without it: what all places have, and what some have
+        side = np.stack([self.code > 0, self.code < 0]).astype(float)
+        total = np.einsum("skb,k->sb", side, 0.5 / self.sums)[:, None, :].repeat(PLACES, axis=1)
+        for i, (places, n) in enumerate(counts):
+            total[:, places] += (n / self.sums[i])[None, :, None] * side[:, i, None, :]
+        held = side.sum(axis=1)
+        both = (held > 0).all(axis=0)
+        self.weights = np.ones((PLACES, bits))
+        self.weights[:, both] = np.log(total[0][:, both] / held[0, both]) - np.log(total[1][:, both] / held[1, both])
+        self.gain, self.trust = np.full(bits, 20.0), np.ones(bits)
+        self.floor = -np.inf
 
     def margins(self, text: str) -> np.ndarray:
         """Of each bit: the mean weight of the text's n-grams."""
@@ -85,7 +97,13 @@ class Codes:
 
     def familiarity(self, found: np.ndarray, lang: str) -> float:
         """The mean log frequency of n-grams in a language; 0 without any."""
-        return float(self.logs[self.langs.index(lang)][found].mean()) if len(found) else 0.0
+        if not len(found):
+            return 0.0
+        i = self.at[lang]
+        places, n = self.counts[i]
+        some = np.minimum(np.searchsorted(places, found), len(places) - 1) if len(places) else None
+        known = np.where(places[some] == found, n[some], 0.0) if len(places) else np.zeros(len(found))
+        return float(np.log((known + 0.5) / self.sums[i]).mean())
 
     def _margins(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
@@ -96,7 +114,7 @@ class Codes:
 
     def tune(self, margins: np.ndarray, langs: list[str]) -> None:
         """Trust in each bit by its errors on the sample, and a gain that gives its margins the scale of log odds."""
-        truth = self.code[[self.langs.index(x) for x in langs]]
+        truth = self.code[[self.at[x] for x in langs]]
         for b in range(truth.shape[1]):
             right = margins[:, b] * truth[:, b]
             wrong = ((right <= 0).sum() + 0.5) / (len(right) + 1)
@@ -121,21 +139,27 @@ class Codes:
         return lang, score, near, self.familiarity(found, lang) < self.floor
 
 
-def learn(docs: DataFrame) -> Codes | None:
-    """Codes from about SAMPLE texts of each language, those with the least hash of their id. None without any.
-
-    At most the MAX_LANGUAGES languages with the most rows are learned (ties by name); a text in another one gets the
-    nearest of these.
-    """
+def sample_of(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(text, lang) to learn from, and all languages. Of a language the rows with the least hash of id and text, and no
+    more than SAMPLE, or its share of TOTAL where there are many; one at least. Rows equal in id and text count once,
+    whatever the id, so neither a repeated id nor null ids can exceed the bound."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_rest(F.col("doc_id"), MODULUS) != REST))
-    known = known.select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    each = max(1, min(SAMPLE, TOTAL // max(1, len(langs))))
+    hashed = known.select("text", "lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    few = hashed.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "h")
+    if len(langs) <= TOTAL:  # so few rows at most
+        few = F.broadcast(few)
+    return hashed.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang"), langs
+
+
+def learn(docs: DataFrame) -> Codes | None:
+    """Codes from texts of every language, see ``sample_of``. None without any."""
+    sample, langs = sample_of(docs)
+    if not langs:
         return None
-    each = min(SAMPLE, TOTAL // len(sizes))
-    # a table of MAX_LANGUAGES rows at most
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sorted(sizes.items())], "lang string, share double")
-    sample = known.join(F.broadcast(shares), "lang").where(hash01(F.col("doc_id")) < F.col("share")).select("text", "lang").persist()
+    sample = sample.persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -148,11 +172,10 @@ def learn(docs: DataFrame) -> Codes | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.float64())], names=["lang", "place", "n"])
 
     try:
-        langs = sorted(sizes)
-        counts = np.zeros((len(langs), PLACES))
         rows = sample.mapInArrow(count, "lang string, place int, n double").groupBy("lang", "place").agg(F.sum(F.round("n", 9)).alias("n")).toPandas()
-        counts[[langs.index(x) for x in rows["lang"]], rows["place"].to_numpy()] = rows["n"].round(6).to_numpy() * 1000
-        codes = Codes(langs, counts)
+        found = {lang: (own["place"].to_numpy(), own["n"].round(6).to_numpy() * 1000) for lang, own in rows.sort_values("place").groupby("lang")}
+        nothing = np.empty(0, np.int64), np.empty(0)
+        codes = Codes(langs, [found.get(lang, nothing) for lang in langs])
 
         def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

@@ -1,8 +1,9 @@
 """Operator 10: license scans by matching statistics against a generalised suffix automaton of licence words.
 
 The automaton holds every run of words of all templates, which are whole licences and notices. Streaming a text through
-it gives, at each word, the longest run ending there that stands in some template (the matching statistics). Maximal
-runs become matches; matches of one template that follow each other in the text and in the template are chained, the
+it gives, at each word, the longest run ending there that stands in some template, and along its suffix links that of
+every template (the matching statistics). Where a template's own run ends it becomes a match, whatever the runs of other
+templates do; matches of one template that follow each other in the text and in the template are chained, the
 chain with most words first, into a covered span. A span that covers enough of its template, or enough words that stand
 in templates of its label alone, is accepted, unless a span of another label that covers more words lies over most of
 it: the notice of one licence often holds most of the words of another one's.
@@ -32,8 +33,9 @@ PHRASES = {
 }
 #: Words of a match at least; words between two matches of a chain at most.
 MIN_MATCH, MAX_GAP = 4, 8
-#: A span gives its label with this share of its template's words, or so many words of no other label's template.
-MIN_COVER, MIN_WORDS = 0.75, 12
+#: A span gives its label with this share of its template's words, or so many words of no other label's template that
+#: are a smaller share of it still.
+MIN_COVER, MIN_WORDS, MIN_SHARE = 0.75, 12, 0.25
 #: A span goes when this share of it lies within one of another label that covers more words.
 SHADOW = 0.5
 
@@ -144,7 +146,18 @@ class Scanner:
         # phrases are texts of the automaton too, so that all their places show in the statistics
         self.automaton = SuffixAutomaton([*ids, *(p for p, _ in self.phrase_ids)])
         self.templates = len(ids)
-        self.places = [sorted({(t, e) for t, e in ends if t < self.templates}) for ends in self.automaton.ends]
+        link, length = self.automaton.link, self.automaton.length
+        #: Of each state: the places of each template where its runs end, and whether they are of one label only.
+        self.places: list[dict[int, list[int]]] = [{} for _ in link]
+        for places, ends in zip(self.places, self.automaton.ends, strict=True):
+            for t, e in sorted({(t, e) for t, e in ends if t < self.templates}):
+                places.setdefault(t, []).append(e)
+        self.own = [len({self.labels[t] for t in places}) == 1 for places in self.places]
+        #: Of each state: the first state on the way along suffix links that holds runs of a template.
+        self.first: list[dict[int, int]] = [{} for _ in link]
+        for state in sorted(range(1, len(link)), key=length.__getitem__):
+            if length[state] >= MIN_MATCH:
+                self.first[state] = self.first[link[state]] | dict.fromkeys(self.places[state], state)
         # a place of a phrase ends in a state whose runs end with the phrase: its state or one that links to it
         self.phrase_at: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
         for state in range(1, len(self.automaton.link)):
@@ -172,12 +185,7 @@ class Scanner:
                         if n <= size and (node == state or n > self.automaton.length[self.automaton.link[node]]) and self.automaton.length[self.automaton.link[node]] < n <= self.automaton.length[node]:
                             base.append((first + i + 1 - n, self.phrase_ids[p][1]))
                     node = self.automaton.link[node]
-                # a match is maximal where the next word doesn't lengthen it
-                if size >= MIN_MATCH and (i + 1 == len(stats) or stats[i + 1][0] != size + 1):
-                    end = first + i + 1
-                    places = [(t, e) for t, e in self.places[state] if e >= size]
-                    own = len({self.labels[t] for t, _ in places}) == 1
-                    matches += [Match(t, end - size, end, e - size, own) for t, e in places]
+            matches += self._matches(stats, first)
         spans = self._spans(matches)
         starts = sorted({at for at, _ in base})
         labels = {label for _, label in base}
@@ -187,6 +195,21 @@ class Scanner:
             "base_labels": ",".join(sorted(labels)), "labels": ",".join(sorted(labels | {s[0] for s in spans})), "score": score, "spans": spans,
         }
 
+    def _matches(self, stats: list[tuple[int, int]], first: int) -> Iterator[Match]:
+        """The runs of each template that the next word doesn't lengthen. The word of stats[0] is the text's ``first``."""
+        length = self.automaton.length
+        for i, (size, state) in enumerate(stats):
+            if size < MIN_MATCH:
+                continue
+            next_size, next_state = stats[i + 1] if i + 1 < len(stats) else (0, 0)
+            then, end = self.first[next_state], first + i + 1
+            for t, node in self.first[state].items():
+                n = size if node == state else length[node]
+                after = then.get(t)
+                if after is None or (next_size if after == next_state else length[after]) != n + 1:
+                    for e in self.places[node][t]:
+                        yield Match(t, end - n, end, e - n, self.own[node])
+
     def _chains(self, found: list[Match]) -> Iterator[tuple[list[Match], int, int]]:
         """(chain, words covered, words of those that are the label's own) of one template's matches, the longest chain first.
 
@@ -228,7 +251,7 @@ class Scanner:
         for t, found in by.items():
             for chain, covered, own in self._chains(found):
                 share = min(1.0, covered / self.sizes[t])
-                if share >= MIN_COVER or own >= MIN_WORDS:
+                if share >= MIN_COVER or own >= MIN_WORDS and share >= MIN_SHARE:
                     spans.append((covered, share, self.labels[t], chain[0].start, chain[-1].end))
         # the spans that are left never overlap one of another label by more than SHADOW, so each word has few of them
         out, at = [], []

@@ -1,4 +1,4 @@
-"""Licence wording, label by label: whole short licences, the notices that longer ones ask for, and common sentences.
+"""Licence wording, label by label: whole short licences, how longer ones begin and the notices they ask for, and common sentences.
 
 Fixed values: the texts are those that the licences' publishers give out.
 """
@@ -97,6 +97,43 @@ def _cc(kind: str) -> str:
     return f"This work is licensed under a Creative Commons {kind} 4.0 International License"
 
 
+def _gnu_start(name: str, version: str) -> str:
+    """How the text of one of the GNU licences itself begins."""
+    return (
+        f"GNU {name} Version {version} Copyright Free Software Foundation Inc Everyone is permitted to copy and distribute verbatim copies "
+        "of this license document but changing it is not allowed"
+    )
+
+
+_GPL_PREAMBLE = """The licenses for most software are designed to take away your freedom to share and change it. By contrast,
+the GNU General Public License is intended to guarantee your freedom to share and change free software to make sure the
+software is free for all its users. This General Public License applies to most of the Free Software Foundation's
+software and to any other program whose authors commit to using it"""
+_GPL3_PREAMBLE = """The GNU General Public License is a free, copyleft license for software and other kinds of works"""
+_AGPL_PREAMBLE = """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,
+specifically designed to ensure cooperation with the community in the case of network server software"""
+_LGPL_PREAMBLE = """the GNU General Public Licenses are intended to guarantee your freedom to share and change free software to
+make sure the software is free for all its users. This license, the Lesser General Public License, applies to some
+specially designated software packages typically libraries of the Free Software Foundation and other authors who decide
+to use it"""
+_LGPL3_START = """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of
+the GNU General Public License, supplemented by the additional permissions listed below"""
+_APACHE_START = """Apache License Version 2.0, January 2004 http www apache org licenses TERMS AND CONDITIONS FOR USE,
+REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and
+distribution as defined by Sections 1 through 9 of this document"""
+_MPL_START = """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity
+that creates, contributes to the creation of, or owns Covered Software"""
+_MPL1 = """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use
+this file except in compliance with the License. You may obtain a copy of the License at http www mozilla org MPL.
+Software distributed under the License is distributed on an "AS IS" basis, WITHOUT WARRANTY OF ANY KIND, either express
+or implied. See the License for the specific language governing rights and limitations under the License."""
+_CC0_START = """CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS
+DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP"""
+_CC0_PURPOSE = """a Work for the purpose of contributing to a commons of creative, cultural and scientific works (Commons)
+that the public can reliably and without fear of later claims of infringement build upon, modify, incorporate in other
+works, reuse and redistribute as freely as possible"""
+
+
 TEMPLATES: list[tuple[str, str]] = [
     *(("gpl", t) for t in _gnu("General Public License", ("2", "3"), "program")),
     *(("lgpl", t) for t in _gnu("Lesser General Public License", ("2.1", "3"), "library")),
@@ -113,6 +150,20 @@ TEMPLATES: list[tuple[str, str]] = [
     ("bsl", _BOOST),
     ("wtfpl", _WTFPL),
     ("cc0", _CC0),
+    *(("gpl", _gnu_start("GENERAL PUBLIC LICENSE", v)) for v in ("2 June 1991", "3 29 June 2007")),
+    *(("lgpl", _gnu_start("LESSER GENERAL PUBLIC LICENSE", v)) for v in ("2.1 February 1999", "3 29 June 2007")),
+    ("lgpl", _gnu_start("LIBRARY GENERAL PUBLIC LICENSE", "2 June 1991")),
+    ("agpl", _gnu_start("AFFERO GENERAL PUBLIC LICENSE", "3 19 November 2007")),
+    ("gpl", _GPL_PREAMBLE),
+    ("gpl", _GPL3_PREAMBLE),
+    ("agpl", _AGPL_PREAMBLE),
+    ("lgpl", _LGPL_PREAMBLE),
+    ("lgpl", _LGPL3_START),
+    ("apache", _APACHE_START),
+    ("mpl", _MPL_START),
+    ("mpl", _MPL1),
+    ("cc0", _CC0_START),
+    ("cc0", _CC0_PURPOSE),
     ("cc-by", _cc("Attribution")),
     ("cc-by-sa", _cc("Attribution ShareAlike")),
     ("cc-by-nc", _cc("Attribution NonCommercial")),

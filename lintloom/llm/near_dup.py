@@ -24,8 +24,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -171,6 +172,17 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def standing(text: Column) -> Column:
+    """By what the text that stands for an id is chosen from those of its rows: it is the least by this."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = shingle_sets(list(texts))
+        marks = [identity(s) if len(s) else (0, 0) for s in sets]
+        return pd.DataFrame({"m": [-len(s) for s in sets], "h1": [a for a, _ in marks], "h2": [b for _, b in marks]})
+
+    return F.pandas_udf(of, "m long, h1 long, h2 long")(text)
+
+
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The sets of texts, where an identity is given only of those that have it: of rows that repeat an id, the ones that stand for it."""
     rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True)

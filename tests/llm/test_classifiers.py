@@ -87,9 +87,8 @@ def test_codewords_of_many_languages_differ():
         assert all(len(set(bit)) == 2 for bit in code.T)
 
 
-def test_a_dirty_column_of_languages(spark, monkeypatch):
-    """Of many values those with the most rows are learned; nothing grows with the others."""
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 12)
+def test_a_dirty_column_of_languages(spark):
+    """Very many values are learned each; the sample isn't larger for it."""
     rng = random.Random(5)
     rows, word = [], lambda letters: "".join(rng.choices(letters, k=rng.randint(2, 7)))
     sets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 8)) for _ in range(12)]
@@ -98,11 +97,56 @@ def test_a_dirty_column_of_languages(spark, monkeypatch):
     rows += [(2000 + i, "odd words here", f"dirty {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("share", F.lit(1)).withColumn("score", F.lit("x"))
     codes = language.learn(df)
-    assert codes.langs == [f"l{i:02}" for i in range(12)]
+    assert codes.langs == sorted({f"l{i:02}" for i in range(12)} | {r[2] for r in rows[1200:] if zlib.crc32(str(r[0]).encode()) % 3 != 1}) and len(codes.langs) > language.SEARCHED // 2
     got = language.predict(df.where("doc_id < 1200"), codes).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
 
 
+def test_samples_are_bounded(spark, docs, monkeypatch):
+    """20 000 rows of one id, and as many of none, don't exceed what a model is fitted on."""
+    from lintloom.llm.common import labelled_sample
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    one = next(r.doc_id for r in labels.orderBy("doc_id").collect() if r.quality == 1 and not held(r.doc_id))
+    many = spark.range(20_000).select(F.lit(one).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    none = many.withColumn("doc_id", F.lit(None).cast("long"))
+    more = docs.select("doc_id", "text", "lang").union(many).union(none).union(many.limit(1).withColumn("text", F.lit("same")).crossJoin(spark.range(5000)).drop("id"))
+    got = labelled_sample(more, labels, "quality", 3, 1, 30).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {0: 30, 1: 30}
+    monkeypatch.setattr(language, "SAMPLE", 70)
+    sample, langs = language.sample_of(more)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert counts == dict.fromkeys(langs, 70)
+    monkeypatch.setattr(language, "TOTAL", 2)
+    assert language.sample_of(more)[0].groupBy("lang").count().where("count <> 1").count() == 0
+
+
+def test_only_letters_are_letters(spark, docs):
+    codes = language.learn(docs)
+    for text in ("½ ²", "Ⅻ ①", "12 34", "_ -", "", None):
+        assert codes.predict(text)[0] == "und"
+    for text in ("ª", "ʰ", "中", "a1"):
+        assert codes.predict(text)[0] != "und"
+
+
+def test_sparse_counts_are_the_dense_ones():
+    """Weights and familiarity from the places that occur, against all places of all languages."""
+    rng = np.random.default_rng(2)
+    for k in (1, 3, 7):
+        counts = [(np.sort(rng.choice(language.PLACES, 50, replace=False)), rng.random(50) * 9) for _ in range(k)]
+        codes = language.Codes([f"l{i}" for i in range(k)], counts)
+        dense = np.full((k, language.PLACES), 0.5)
+        for i, (at, n) in enumerate(counts):
+            dense[i, at] += n
+        dense /= dense.sum(axis=1, keepdims=True)
+        for b, bit in enumerate(codes.code.T):
+            if (bit > 0).any() and (bit < 0).any():
+                assert np.allclose(codes.weights[:, b], np.log(dense[bit > 0].mean(axis=0) / dense[bit < 0].mean(axis=0)))
+        found = rng.integers(0, language.PLACES, 500)
+        assert all(np.isclose(codes.familiarity(found, f"l{i}"), np.log(dense[i])[found].mean()) for i in range(k))
+
+
 FOREIGN = ["Съешь ещё этих мягких французских булок да выпей чаю", "这是一个用中文写成的句子没有空格", "日本語の文章です。これはテストです", "Ελληνικό κείμενο για δοκιμή", "مرحبا بالعالم هذا نص عربي", "Zażółć gęślą jaźń"]
 
 

@@ -1,5 +1,6 @@
 """License scans: base phrases by brute force, matching statistics, chains, and notices that hold most of another one."""
 
+import pathlib
 import random
 
 import pytest
@@ -123,3 +124,65 @@ def test_odd_rows(spark):
     assert all(by[i].n_words == 0 and by[i].labels == "" and by[i].score == 0 and by[i].first_word is None for i in (1, 2, 3))
     assert by[5].labels == "mit" and by[None].base_labels == "cc-by" and by[9].n_base == 50_000 and by[9].last_word == 99_998
     assert license_scan.scan(odd.limit(0)).count() == 0
+
+
+def brute_matches(templates, words):
+    """For each template and place, the longest run ending there that stands in it, unless the next word lengthens it."""
+    out = set()
+    for t, (_, own) in enumerate(templates):
+        longest = []
+        for i in range(len(words)):
+            longest.append(max((n for n in range(i + 2) if any(own[j : j + n] == words[i + 1 - n : i + 1] for j in range(len(own) - n + 1))), default=0))
+        for i, n in enumerate(longest):
+            if n >= license_scan.MIN_MATCH and (i + 1 == len(words) or longest[i + 1] != n + 1):
+                run = words[i + 1 - n : i + 1]
+                holds = {label for label, w in templates if any(w[j : j + n] == run for j in range(len(w) - n + 1))}
+                out |= {(t, i + 1 - n, i + 1, j, len(holds) == 1) for j in range(len(own) - n + 1) if own[j : j + n] == run}
+    return out
+
+
+def test_matches_labels_and_scores_of_templates_that_share_runs():
+    """Templates that begin, go on and end alike, against the longest common runs of each."""
+    rng = random.Random(13)
+    some = 0
+    for _ in range(400):
+        stock = [rng.choice("abcdefg") for _ in range(40)]
+        cut = lambda: stock[(a := rng.randrange(30)) : a + rng.randint(4, 14)]  # noqa: E731, B023
+        templates = [(rng.choice("xyz"), cut() + [rng.choice("pqrs") for _ in range(rng.randint(0, 3))] + cut()) for _ in range(rng.randint(1, 5))]
+        words = [w for _ in range(4) for w in rng.choice([cut(), rng.choice(templates)[1], [rng.choice("pqrsw")]])]
+        scanner = license_scan.Scanner({"not here": "none"}, [(label, " ".join(w)) for label, w in templates])
+        seen = []
+        spans = scanner._spans
+        scanner._spans = lambda found, seen=seen, spans=spans: spans(seen.extend(found) or found)
+        got = scanner.scan(" ".join(words))
+        want = brute_matches(templates, words)
+        assert {(m.template, m.start, m.end, m.at, m.own) for m in seen} == want and len(seen) == len(want)
+        accepted = spans([license_scan.Match(*m) for m in sorted(want)])
+        assert (got["labels"], got["score"]) == (",".join(sorted({s[0] for s in accepted})), max([0.0, *(s[3] for s in accepted)]))
+        some += bool(accepted)
+    assert some > 200
+
+
+def test_another_template_hides_nothing():
+    short, long = "one two three four five six seven eight nine ten", "one two three four five x"
+    text = "one two three four five x six seven eight nine ten"
+    alone = license_scan.Scanner({}, [("a", short)]).scan(text)
+    both = license_scan.Scanner({}, [("a", short), ("b", long)]).scan(text)
+    assert alone["labels"] == both["labels"] == "a"
+    assert ("a", 0, 11, 1.0) in license_scan.Scanner({}, [("a", short), ("a", long)]).scan(text)["spans"]
+
+
+def test_creative_commons_lines(scanner):
+    for word in ("a", "the"):
+        assert scanner.scan(f"This work is licensed under {word} Creative Commons Attribution 4.0 International License.")["labels"] == "cc-by"
+        assert scanner.scan(f"This work is licensed under {word} Creative Commons Attribution-ShareAlike 4.0 International License.")["labels"] == "cc-by-sa"
+
+
+@pytest.mark.parametrize("name, label", [("Apache-2.0", "apache"), ("BSD", "bsd"), ("CC0-1.0", "cc0"), ("GPL-2", "gpl"), ("GPL-3", "gpl"), ("LGPL-2.1", "lgpl"), ("LGPL-3", "lgpl"), ("MPL-1.1", "mpl"), ("MPL-2.0", "mpl")])
+def test_whole_licences_of_the_system(scanner, name, label):
+    """Where the system has them: their label, besides the labels of phrases that stand in them."""
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no such text here")
+    got = scanner.scan(path.read_text(errors="replace"))
+    assert set(got["labels"].split(",")) - set(got["base_labels"].split(",")) == {label} - set(got["base_labels"].split(","))

@@ -44,6 +44,31 @@ def test_repeated_ids_of_different_texts(spark):
         (3, 2, 3, True), (5, 5, 5, True), (5, 5, 5, True), (5, 5, 5, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 8, True), (8, 1, 8, True), (9, 5, 5, False)]
 
 
+def test_the_stage_keeps_the_row_that_was_compared(spark):
+    """Ids that repeat, one row of each a near duplicate of document 3: what is left is near to nothing that is left."""
+    import corpus_pipeline as c
+
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base = words(60)
+    rows = [(3, " ".join(base))]
+    for i in range(12):
+        near = base[: 58 - i % 3]
+        rows += [(10 + i, " ".join(near)), (10 + i, " ".join(words(rng.choice([20, 90]))))]
+    rows += [(40, "a b"), (40, ""), (41, ""), (41, None), (None, " ".join(base)), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = c.keep_distinct(spark, df, "").collect()
+    by_id = {}
+    for i, t in rows:
+        by_id.setdefault(i, set()).add(t)
+    size = lambda t: max(0, len((t or "").split()) - 4) or (1 if (t or "").split() else 0)
+    chosen = {i: max(ts, key=size) for i, ts in by_id.items() if i is not None}
+    kept = {i for i, (_, first) in components(sorted(chosen.items())).items() if first == i}
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None and r.doc_id != 41) == sorted((i, chosen[i]) for i in kept - {41})
+    assert sum(r.doc_id == 41 for r in got) == 1 and sum(r.doc_id is None for r in got) == 2
+    assert [r.doc_id for r in got if r.text and len(set(r.text.split()) & set(base)) > 50 and r.doc_id is not None] == [3]
+
+
 CLASHES = ["flagged", "stays", "_word", "_bit", "_bits", "word", "bit", "bits", "n", "kept", "key", "place", "h1", "sketch", "Score", "label", "a.b", "odd `name`"]
 
 
