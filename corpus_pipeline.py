@@ -59,23 +59,26 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The document with the smallest id of each group of near duplicates, once.
 
     Documents without an id, and those with a null or empty text, are near to nothing and stay. Of rows that repeat an
-    id, one stays: ties go to the least hash of its text. An empty table gives no rows; all columns stay as they are,
-    whatever their names. Only rows whose id may be one that goes or that repeats are shuffled with their texts.
+    id, one stays: that whose text stood for the id when it was compared, the one with the largest set; ties go to the
+    least hash of its text. An empty table gives no rows; all columns stay as they are, whatever their names. Only rows
+    whose id may be one that goes or that repeats are shuffled with their texts.
     """
     told = near_dup.near_duplicates(docs).where("doc_id IS NOT NULL")
     doubtful = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")).where("n > 1 OR NOT stays")
-    doubtful = Scratch(spark).put(doubtful.select("doc_id", "stays"), "doubtful")
-    flag, key, stays = free_names(docs, "flagged", "key", "stays")
+    doubtful = Scratch(spark).put(doubtful, "doubtful")
+    flag, key, many, stays = free_names(docs, "flagged", "key", "many", "stays")
     marked = flag_ids(docs, doubtful, flag)
     columns = [named(c) for c in docs.columns]
     sure = marked.where(~F.col(flag)).select(*columns)
-    rest = marked.where(flag).join(doubtful.select(F.col("doc_id").alias(key), F.col("stays").alias(stays)), F.col("doc_id") == F.col(key), "left")
-    rest = rest.where(F.coalesce(F.col(stays), F.lit(True)))
+    told = doubtful.select(F.col("doc_id").alias(key), (F.col("n") > 1).alias(many), F.col("stays").alias(stays))
+    rest = marked.where(flag).join(told, F.col("doc_id") == F.col(key), "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    single = rest.where(~F.coalesce(F.col(many), F.lit(False))).select(*columns)
     # an aggregate, so that rows of an id that very many rows repeat meet combined
     hashed = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    first = F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), F.struct(F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed)))
-    least = rest.groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
-    return sure.union(least)
+    order = F.struct(near_dup.standing("text"), F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed))
+    first = F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), order)
+    least = rest.where(many).groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return sure.union(single).union(least)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
