@@ -16,7 +16,7 @@ from lintloom.functions.text import SENTINEL, line_numbers
 _ITEM = "line STRING, _bad STRING"
 PARSED = "id long, code string, line string"
 ITEMS = "id long, parser string, code string, item string"
-#: What stands between reasoning and report.
+#: What stands between reasoning and report.
 FINAL_HEADER = "### Final Idiom Violations Found"
 FOUND_HEADER = "## Idiom Violations Found"
 
@@ -29,21 +29,33 @@ def render(findings: DataFrame, codes: list[str]) -> DataFrame:
     return per.select("doc_id", F.concat_ws("\n\n", *(section(c) for c in codes)).alias("report"))
 
 
-def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
-    """O-60 natively: (id, code, line_nos) of each JSON line of a report.
+def sections(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
+    """(id, section, code, body): a report cut at its headers, once. What stands before any header is section 0, without a code.
 
-    The code is all of a header; with ``first_word`` it is its first word, whatever follows (O-61). A header's code holds for the lines below it.
-    Blank lines, sentinels and lines that aren't one JSON object are left out; before any header the code is null.
-    A report is cut at its headers, once: no window, no shuffle, no array that grows line by line.
+    The code is all of a header; with ``first_word`` it is its first word, whatever follows (O-61).
     """
     name = r"[ ]*(\S+)[ ][^\n]*Violations" if first_word else r" (\S+) Violations"
     header = rf"(?md)^[ ]*\*\*Idiom{name}:\*\*[ ]*$"
     whole = F.coalesce(F.col(text_col), F.lit(""))
     codes = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(whole, F.lit(header), 1))
-    sections = reports.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(codes.alias("code"), F.split(whole, header, -1).alias("body"))).alias("s"))
-    rows = sections.select("id", "s.code", F.explode(F.split("s.body", "\n", -1)).alias("raw")).select("id", "code", F.btrim("raw").alias("line"))
-    rows = rows.where(F.col("line").startswith("{") & F.col("line").endswith("}"))
+    parts = reports.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(codes.alias("code"), F.split(whole, header, -1).alias("body"))).alias("section", "s"))
+    return parts.select("id", "section", "s.code", "s.body")
+
+
+def objects(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
+    """(id, code, section, at, line): the lines of a report that may be JSON objects. Blank lines and sentinels are left out."""
+    rows = sections(reports, id_col, text_col, first_word).select("id", "code", "section", F.posexplode(F.split("body", "\n", -1)).alias("at", "raw"))
+    return rows.select("id", "code", "section", "at", F.btrim("raw").alias("line")).where(F.col("line").startswith("{") & F.col("line").endswith("}"))
+
+
+def parse(reports: DataFrame, id_col: str = "doc_id", text_col: str = "report", first_word: bool = False) -> DataFrame:
+    """O-60 natively: (id, code, line_nos) of each JSON line of a report; O-61 with ``first_word``.
+
+    A header's code holds for the lines below it; before any header it is null. Lines that aren't one JSON object are
+    left out. No window, no shuffle, no array that grows line by line.
+    """
     read = F.from_json("line", T.StructType([T.StructField("line", T.StringType()), T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    rows = objects(reports, id_col, text_col, first_word)
     return rows.withColumn("j", read).where("j._bad IS NULL").select("id", "code", line_numbers(F.col("j.line")).alias("line_nos"))
 
 
@@ -59,7 +71,7 @@ def parse_text(text: str | None, first_word: bool = False) -> list[tuple[str | N
         elif line and line != SENTINEL:
             try:
                 found = json.loads(line)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             if isinstance(found, dict):
                 held = found.get("line")
@@ -102,10 +114,10 @@ def parse_escaped(text: str | None, strict: bool = True) -> list:
         if line:
             try:
                 out.append(json.loads(line))
-            except json.JSONDecodeError:
+            except (ValueError, RecursionError):
                 try:
                     out.append(json.loads(line.encode().decode("unicode_escape")))
-                except (json.JSONDecodeError, UnicodeError):
+                except (ValueError, RecursionError):
                     if strict:
                         return []
     return out
@@ -131,7 +143,7 @@ def parse_idioms(text: str | None) -> dict[str, list | str] | None:
         elif line.startswith("{") and line.endswith("}"):
             try:
                 item = json.loads(line)
-            except json.JSONDecodeError:
+            except (ValueError, RecursionError):
                 continue
             if found == SENTINEL:
                 return None

@@ -8,12 +8,12 @@ from pyspark.sql import Window as W
 
 from lintloom.functions import chat, rules, text
 from lintloom.operators import decontaminate, joins, keys, metrics, pairs, patterns, reports
-from lintloom.plans import detectors, inventory, round_trips, tasks
+from lintloom.plans import detectors, inventory, located, round_trips, tasks
 from lintloom.plans.base import ALIGNED, CODES, DETECT, F1, ORACLE, QUERIES, R, pct, query, seed_sql
 from lintloom.sources import readers
 from lintloom.sources.scratch import Scratch
 
-__all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "round_trips", "tasks"]
+__all__ = ["ORACLE", "QUERIES", "detectors", "inventory", "located", "round_trips", "tasks"]
 
 # --- findings
 
