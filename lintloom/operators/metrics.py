@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lintloom.operators.fuzzy import similar
+from lintloom.operators.fuzzy import partners
 from lintloom.operators.keys import running_total
 
 
@@ -219,45 +216,23 @@ def paired_t(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def text_localization(gold: DataFrame, pred: DataFrame, percent: int = 90, all_gold: bool = False, swapped: bool = False) -> DataFrame:
     """M-12, M-15 over (doc_id, code, line): by code, mean shares of lines with an equal, or a similar, line on the other side.
 
-    Lines of a document and code meet in one row; no pairs are emitted. Only codes on both sides of a document count
-    (M-15); with ``all_gold`` those that aren't predicted count as 0 (M-12, whose similarity has to pass 90, a
-    ``percent`` of 91). The shares are of their own side, so precision can't pass 1; ``swapped`` gives the older fuzzy
-    figures, where the gold lines with a partner are divided by the predicted ones, and the reverse.
+    Equal lines are counted by an aggregate, the others look for a similar one by ``fuzzy.partners``. Only codes on both
+    sides of a document count (M-15); with ``all_gold`` those that aren't predicted count as 0 (M-12, whose similarity
+    has to pass 90, a ``percent`` of 91). The shares are of their own side, so precision can't pass 1; ``swapped`` gives
+    the older fuzzy figures, where the gold lines with a partner are divided by the predicted ones, and the reverse.
     """
-    texts = lambda df, name: df.where("line IS NOT NULL").groupBy("doc_id", "code").agg(F.sort_array(F.collect_list("line")).alias(name))
-    shares = F.pandas_udf(lambda a, b: match_shares(a, b, percent, swapped), "em_p double, em_r double, fz_p double, fz_r double")
-    both = texts(gold, "a").join(texts(pred, "b"), ["doc_id", "code"], "left" if all_gold else "inner")
-    both = both.select("code", shares("a", F.coalesce("b", F.array().cast("array<string>"))).alias("m"))
-    mean = lambda c: F.round(F.avg(f"m.{c}"), 6)
-    return both.groupBy("code").agg(F.count("*").alias("n_docs"), mean("em_p").alias("precision"), mean("em_r").alias("recall"), mean("fz_p").alias("fuzzy_precision"), mean("fz_r").alias("fuzzy_recall"))
-
-
-def _partnered(own: Counter, other: Counter, percent: int) -> int:
-    """Lines of one side with an equal or similar line on the other. Lines are tried by length: far ones can't be similar."""
-    lengths = sorted((len(t), t) for t in other)
-    found = 0
-    for s, n in own.items():
-        if s in other:
-            found += n
-            continue
-        # the bound of ``similar``: 200 * min >= (percent - 1) * (n + m)
-        low, high = len(s) * (percent - 1) // (201 - percent), -(-len(s) * (201 - percent) // (percent - 1)) if percent > 1 else len(lengths)
-        near = lengths[bisect_left(lengths, (low, "")) : bisect_left(lengths, (high + 1, ""))] if percent > 1 else lengths
-        found += n * any(similar(s, t, percent) for _, t in near)
-    return found
-
-
-def match_shares(gold: pd.Series, pred: pd.Series, percent: int, swapped: bool = False) -> pd.DataFrame:
-    """Of each row's two lists: shares of the predicted and of the gold lines with an equal, then with a similar, partner."""
-    out = []
-    for a, b in zip(gold, pred, strict=True):
-        x, y = Counter(a), Counter(b)
-        if not len(b):
-            out.append((0.0, 0.0, 0.0, 0.0))
-            continue
-        exact_p, exact_r = sum(n for s, n in y.items() if s in x), sum(n for s, n in x.items() if s in y)
-        fuzzy_p, fuzzy_r = _partnered(y, x, percent), _partnered(x, y, percent)
-        if swapped:
-            fuzzy_p, fuzzy_r = fuzzy_r, fuzzy_p
-        out.append((exact_p / len(b), exact_r / len(a), fuzzy_p / len(b), fuzzy_r / len(a)))
-    return pd.DataFrame(out, columns=["em_p", "em_r", "fz_p", "fz_r"])
+    keys = ["doc_id", "code"]
+    one = lambda df, g: df.where("line IS NOT NULL").select(*keys, "line", F.lit(g).alias("g"), F.lit(1 - g).alias("p"))
+    rows = one(gold, 1).union(one(pred, 0)).groupBy(*keys, "line").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    found = partners(rows, keys, percent).select(*(F.col(c).alias(f"_{c}") for c in (*keys, "line")), F.lit(1).alias("near"))
+    same = [rows[c].eqNullSafe(F.col(f"_{c}")) for c in keys] + [rows["line"] == F.col("_line")]
+    marked = rows.join(found, same, "left")
+    total = lambda value, test: F.sum(F.when(test, F.col(value)).otherwise(0))
+    equal, near = (F.col("g") > 0) & (F.col("p") > 0), F.col("near").isNotNull()
+    per = marked.groupBy(*keys).agg(
+        F.sum("g").alias("n_g"), F.sum("p").alias("n_p"), total("p", equal).alias("em_p"), total("g", equal).alias("em_r"), total("p", equal | near).alias("fz_p"), total("g", equal | near).alias("fz_r"),
+    ).where("n_g > 0" if all_gold else "n_g > 0 AND n_p > 0")
+    fuzzy = ("fz_r", "fz_p") if swapped else ("fz_p", "fz_r")
+    share = lambda c, n: F.round(F.avg(F.when(F.col("n_p") > 0, F.col(c) / F.col(n)).otherwise(0.0)), 6)
+    return per.groupBy("code").agg(
+        F.count("*").alias("n_docs"), share("em_p", "n_p").alias("precision"), share("em_r", "n_g").alias("recall"), share(fuzzy[0], "n_p").alias("fuzzy_precision"), share(fuzzy[1], "n_g").alias("fuzzy_recall"))

@@ -89,14 +89,45 @@ def test_similar_is_ratio_with_a_bound():
     assert fuzzy.similar("abcdefghijk", "abcdefghijx", 90) and difflib.SequenceMatcher(None, "abcdefghijk", "abcdefghijx").ratio() > 0.9
 
 
-def test_match_shares_by_pairs():
-    rng = random.Random(4)
-    gold, pred = ([["".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 6))] for _ in range(80)] for _ in range(2))
-    got = metrics.match_shares(pd.Series(gold), pd.Series(pred), 80)
-    for a, b, row in zip(gold, pred, got.itertuples(index=False), strict=True):
-        hit = lambda s, others: s in others or any(fuzzy.ratio(s, t) >= 80 for t in others)
-        want = (sum(s in a for s in b) / len(b), sum(s in b for s in a) / len(a), sum(hit(s, a) for s in b) / len(b), sum(hit(s, b) for s in a) / len(a))
-        assert tuple(row) == pytest.approx(want)
+@pytest.mark.parametrize("percent", [1, 60, 80, 90, 91, 99, 100])
+def test_the_gram_index_misses_no_partner(percent):
+    rng = random.Random(percent)
+
+    def edited(t):
+        t = list(t)
+        for _ in range(rng.randrange(1 + len(t) // 4)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = rng.choice(["", "x", "é", "\U0001f600"])
+        return "".join(t)
+
+    some = 0
+    for alphabet, longest in (("ab", 6), ("abcdefgh ", 40), ("abcdefghijklmnopqrstuvwxyz \U0001f600", 150)):
+        texts = sorted({"".join(rng.choices(alphabet, k=rng.randint(1, longest))) for _ in range(60)})
+        index = fuzzy.GramIndex(texts, percent)
+        for t in [edited(rng.choice(texts)) for _ in range(100)] + texts[:5]:
+            if t:
+                want = any(fuzzy.ratio(t, x) >= percent for x in texts)
+                assert index.has_partner(t) == want
+                some += want
+    assert some > 15
+
+
+def test_partners_of_blocks_and_steps(spark, monkeypatch):
+    """Groups cut into small blocks, null keys and lines of very different lengths, against all pairs."""
+    monkeypatch.setattr(fuzzy, "FEW", 7)
+    monkeypatch.setattr(fuzzy, "MANY", 11)
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcde ", k=rng.choice([1, 4, 9, 30, 200]))) for _ in range(40)]
+    near = lambda t: t[:-1] + rng.choice("xyz") if rng.random() < 0.6 else "".join(rng.choices("abcde ", k=8))
+    rows = {(d, c, near(rng.choice(base)) if rng.random() < 0.7 else rng.choice(base)): rng.choice([(1, 0), (0, 2), (1, 1)]) for _ in range(400) for d, c in [(rng.choice([1, None]), rng.choice(["A", None]))]}
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "doc_id long, code string, line string, g int, p int")
+    want = set()
+    for (d, c, t), (g, p) in rows.items():
+        side = "p" if p and not g else "g" if g and not p else None
+        others = [x for (e, f, x), v in rows.items() if (e, f) == (d, c) and v["gp".index({"p": "g", "g": "p"}.get(side, "g"))]]
+        if side and any(fuzzy.ratio(t, x) >= 90 for x in others):
+            want.add((d, c, side, t))
+    assert {tuple(r) for r in fuzzy.partners(df, ["doc_id", "code"], 90).collect()} == want and len(want) > 10
 
 
 def test_legacy_subsets_are_diluted(spark):
