@@ -24,13 +24,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from lintloom.llm.common import flag_ids, map_texts, table
+from lintloom.llm.common import flag_ids, map_texts, named, release, slices, table
 from lintloom.sources.scratch import Scratch
 
 #: Words of a shingle; similarity in hundredths.
@@ -172,15 +172,20 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def standing(text: Column) -> Column:
-    """By what the text that stands for an id is chosen from those of its rows: it is the least by this."""
+def with_standing(df: DataFrame, m: str, h1: str, h2: str) -> DataFrame:
+    """``df`` with three columns more, by which the text that stands for an id is the least of those of its rows."""
+    at = df.columns.index("text")
+    plain = df.select(*(named(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
 
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = shingle_sets(list(texts))
-        marks = [identity(s) if len(s) else (0, 0) for s in sets]
-        return pd.DataFrame({"m": [-len(s) for s in sets], "h1": [a for a, _ in marks], "h2": [b for _, b in marks]})
-
-    return F.pandas_udf(of, "m long, h1 long, h2 long")(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, f"c{at}"):
+            sets = shingle_sets(part.column(at).to_pylist())
+            marks = [(-len(s), *(identity(s) if len(s) else (0, 0))) for s in sets]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([x[k] for x in marks], pa.int64()) for k in range(3))], names=[*part.schema.names, "m", "h1", "h2"])
+        release()
+
+    schema = StructType([*plain.schema.fields, *(StructField(c, LongType()) for c in ("m", "h1", "h2"))])
+    return plain.mapInArrow(run, schema).toDF(*df.columns, m, h1, h2)
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
