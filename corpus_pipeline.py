@@ -66,7 +66,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     told = near_dup.near_duplicates(docs).where("doc_id IS NOT NULL")
     doubtful = told.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")).where("n > 1 OR NOT stays")
     doubtful = Scratch(spark).put(doubtful, "doubtful")
-    flag, key, many, stays = free_names(docs, "flagged", "key", "many", "stays")
+    flag, key, many, stays, m, h1, h2 = free_names(docs, "flagged", "key", "many", "stays", "m", "h1", "h2")
     marked = flag_ids(docs, doubtful, flag)
     columns = [named(c) for c in docs.columns]
     sure = marked.where(~F.col(flag)).select(*columns)
@@ -75,9 +75,10 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     single = rest.where(~F.coalesce(F.col(many), F.lit(False))).select(*columns)
     # an aggregate, so that rows of an id that very many rows repeat meet combined
     hashed = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    order = F.struct(near_dup.standing("text"), F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed))
+    order = F.struct(m, h1, h2, F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed))
     first = F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), order)
-    least = rest.where(many).groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    repeated = near_dup.with_standing(rest.where(many).select(*columns), m, h1, h2)
+    least = repeated.groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
     return sure.union(single).union(least)
 
 
