@@ -57,7 +57,8 @@ def running_total(df: DataFrame, strata: str, order: list[Column], value: Column
     n = df.count()
     wide = 1 << 30
     some = keyed.where(F.pmod(F.xxhash64("_key"), F.lit(wide)) < int(min(1.0, 100.0 * parts / max(1, n)) * wide))
-    ordered = some.agg(F.array_sort(F.collect_list("_key")).alias("a"))
+    # each key once, as rows that are equal in it are all in the sample or none of them is
+    ordered = some.agg(F.array_sort(F.collect_set("_key")).alias("a"))
     step = F.greatest(F.ceil(F.size("a") / parts), F.lit(1)).cast("int")
     bounds = ordered.select(F.filter("a", lambda x, i: (i + 1) % step == 0).alias("_bounds"))
     # coarse bounds first, then those between two of them

@@ -14,7 +14,7 @@ import tokenize
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 MATCHES = "blob_id string, pattern string, start_line int, end_line int, kind string, snippet string"
@@ -539,6 +539,22 @@ def _parse(code: str) -> ast.Module | None:
         return None
 
 
+def fault(code: str | None) -> str | None:
+    """Why a file can't be looked at: ``syntax`` or ``depth``; None where it can. An empty one can."""
+    try:
+        ast.parse(code or "")
+    except (RecursionError, MemoryError):
+        return "depth"
+    except (SyntaxError, ValueError) as e:
+        return "depth" if "too many nested" in str(e) or "too complex" in str(e) else "syntax"
+    return None
+
+
+def names() -> frozenset[str]:
+    """The patterns that there are detectors of."""
+    return frozenset(DETECTORS) | frozenset(FILE_RULES)
+
+
 def detect(code: str | None, patterns: frozenset[str] | None = None) -> list[tuple[str, int, int, str, str]]:
     """All matches in a file; none in one that can't be parsed or is nested too deep."""
     out: list[tuple[str, int, int, str, str]] = []
@@ -587,6 +603,28 @@ def find_patterns(files: DataFrame, patterns: list[str] | None = None) -> DataFr
     return files.select(F.col("blob_id").cast("string").alias("blob_id"), "content").mapInPandas(run, MATCHES)
 
 
+def find_patterns_counted(files: DataFrame, patterns: list[str] | None = None) -> tuple[DataFrame, Observation]:
+    """As ``find_patterns``, and what the one pass sees: ``files``, and those with a fault of ``syntax`` or ``depth``.
+
+    The counts are there once an action has read the matches to their end.
+    """
+    wanted = frozenset(patterns) if patterns is not None else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for blob, code in zip(pdf["blob_id"], pdf["content"], strict=True):
+                rows.append((blob, None, None, None, fault(code), None))
+                rows += [(blob, *m) for m in detect(code, wanted)]
+            yield pd.DataFrame(rows, columns=["blob_id", "pattern", "start_line", "end_line", "kind", "snippet"]).astype({"start_line": "Int32", "end_line": "Int32"})
+
+    seen, file = Observation(), F.col("pattern").isNull()
+    rows = files.select(F.col("blob_id").cast("string").alias("blob_id"), "content").mapInPandas(run, MATCHES)
+    count = lambda test: F.count(F.when(file & test, 1))
+    counted = rows.observe(seen, count(F.lit(True)).alias("files"), count(F.col("kind") == "syntax").alias("syntax"), count(F.col("kind") == "depth").alias("depth"))
+    return counted.where(~file), seen
+
+
 def token_rules(line: Column) -> Column:
     """T-32, T-34: text rules of a line. Quoted strings don't count, nor lines of 500 characters or more."""
     bare = F.regexp_replace(line, "\"[^\"]*\"|'[^']*'", "")

@@ -6,8 +6,10 @@ reward. Both run in the tasks, so they must be picklable; attempts of a row depe
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,32 +35,66 @@ def with_retries(responder: Callable, tries: int = 5, wait: float = 0.0) -> Call
     return ask
 
 
-def star(tasks: DataFrame, responder: Callable, judge: Callable, patience: int = 2, fallback: bool = True) -> DataFrame:
+class Limited(Exception):
+    """What a responder raises at a limit of its host: all calls of the task wait until ``seconds`` have passed."""
+
+    def __init__(self, seconds: float):
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+class SharedWait:
+    """Calls of a responder from several threads. One that meets a limit makes all of them wait, and is made again."""
+
+    def __init__(self, responder: Callable, tries: int = 100):
+        self.responder, self.tries = responder, tries
+        self.until, self.lock = 0.0, threading.Lock()
+
+    def __call__(self, prompt: str, attempt: int, hint: str | None) -> str | None:
+        for k in range(self.tries):
+            time.sleep(max(0.0, self.until - time.monotonic()))
+            try:
+                return self.responder(prompt, attempt, hint)
+            except Limited as e:
+                if k + 1 == self.tries:
+                    raise
+                with self.lock:
+                    self.until = max(self.until, time.monotonic() + e.seconds)
+        return None
+
+
+def _one(responder: Callable, judge: Callable, patience: int, fallback: bool, i: int, prompt: str, truth: str) -> tuple | None:
+    """The result of a row: an answer that earns the reward, one that was shown the truth, or the truth."""
+    for n in range(patience + 1):
+        said = responder(prompt, n, None)
+        if said is not None and judge(said, truth) == 1:
+            return i, said, n + 1, False, False
+    said = responder(prompt, patience + 1, truth)
+    if said is not None and judge(said, truth) == 1:
+        return i, said, patience + 2, True, False
+    return (i, truth, patience + 2, True, True) if fallback else None
+
+
+def star(tasks: DataFrame, responder: Callable, judge: Callable, patience: int = 2, fallback: bool = True, at_once: int = 1) -> DataFrame:
     """P-03, P-04 over (id, prompt, truth): the first response with reward 1 among one try and ``patience`` retries.
 
     If there is none, the responder is shown the truth: its answer counts as rationalized. If that earns no reward
     either, the truth stands for the response and star_failed is set, or, without ``fallback``, the row goes. A success on the last
     retry is a success.
+
+    ``at_once``: rows of a task that are asked about at the same time, in threads; no more calls than that are in flight
+    in a task, results keep the order of the rows, and no more than a batch of them waits. Responders wait for the
+    network, so threads are enough. One that raises ``Limited`` makes all calls of its task wait.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, prompt, truth in zip(pdf["id"], pdf["prompt"], pdf["truth"], strict=True):
-                told, n = None, 0
-                while n <= patience and told is None:
-                    said = responder(prompt, n, None)
-                    told = said if said is not None and judge(said, truth) == 1 else None
-                    n += 1
-                if told is not None:
-                    out.append((i, told, n, False, False))
-                    continue
-                said = responder(prompt, n, truth)
-                if said is not None and judge(said, truth) == 1:
-                    out.append((i, said, n + 1, True, False))
-                elif fallback:
-                    out.append((i, truth, n + 1, True, True))
-            yield pd.DataFrame(out, columns=["id", "response", "attempts", "rationalized", "star_failed"])
+        ask = SharedWait(responder)
+        one = lambda row: _one(ask, judge, patience, fallback, *row)
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                rows = zip(pdf["id"], pdf["prompt"], pdf["truth"], strict=True)
+                found = map(one, rows) if at_once == 1 else pool.map(one, rows)
+                yield pd.DataFrame([r for r in found if r is not None], columns=["id", "response", "attempts", "rationalized", "star_failed"])
 
     return tasks.select("id", "prompt", "truth").mapInPandas(run, RESULT)
 

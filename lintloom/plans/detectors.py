@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintloom.operators import patterns
 from lintloom.plans.base import query
+from lintloom.sources.scratch import Scratch
 
 #: Code, and what is found in it: (pattern, first line, last line, kind) or, where the snippet isn't those lines, with it.
 SNIPPETS: list[tuple[str, list[tuple]]] = [
@@ -253,3 +254,13 @@ def text_rule_snippets(t):
     rows = t.documents.select("doc_id", _chosen(F.col("doc_id"), [x for x, _ in LINES]).alias("line"))
     more = F.array(F.when(patterns.generic_class(line), "generic"), F.when(patterns.unsafe_random(line), "unsafe"))
     return rows.select("doc_id", F.explode(F.concat(patterns.token_rules(line), F.array_compact(more))).alias("rule"))
+
+
+@query("""SELECT 'found' AS what, count(*) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'files', count(*) FROM documents
+UNION ALL SELECT 'syntax', count(*) FROM documents WHERE text IS NULL UNION ALL SELECT 'depth', 0""")
+def counted_faults(t):
+    """O-03, T-35: code made of documents, that of a null text broken: matches, and how many files had a fault, from one pass."""
+    code = F.coalesce(F.concat(F.lit("if (n := 'R"), F.length("text").cast("string"), F.lit("'):\n    pass\n")), F.lit("if (:\n"))
+    found, seen = patterns.find_patterns_counted(t.documents.select(F.col("doc_id").alias("blob_id"), code.alias("content")), ["pep_572"])
+    n = Scratch(t.spark).put(found, "found").count()
+    return t.spark.createDataFrame([("found", n), *((k, int(v)) for k, v in seen.get.items())], "what string, n long")

@@ -290,6 +290,23 @@ def star_retries(t):
     return star.star(tasks, star.with_retries(_respond), _judge).select("id", "attempts", "rationalized", "star_failed")
 
 
+@query("""WITH a AS (SELECT doc_id AS id, n, substr(md5(doc_id || '/' || n), 1, 1) AS d FROM documents, range(4) r(n)),
+b AS (SELECT id, min(n) FILTER (WHERE n < 3 AND d >= 'c') AS hit, bool_or(n = 3 AND d >= '8') AS told FROM a GROUP BY id)
+SELECT id, CAST(coalesce(hit + 1, 4) AS INTEGER) AS attempts, hit IS NULL AS rationalized, hit IS NULL AND NOT told AS star_failed FROM b""")
+def star_at_once(t):
+    """P-04, ST-05: eight requests of a task in flight, to a responder that is at its limit now and then."""
+    tasks = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("prompt"), F.lit("right").alias("truth"))
+    return star.star(tasks, _limited, _judge, at_once=8).select("id", "attempts", "rationalized", "star_failed")
+
+
+def _limited(prompt: str, attempt: int, hint: str | None) -> str:
+    """As ``_respond``; every hundredth call of a process meets a limit first."""
+    _limited.calls = getattr(_limited, "calls", 0) + 1
+    if _limited.calls % 100 == 0:
+        raise star.Limited(0.001)
+    return _respond(prompt, attempt, hint)
+
+
 def _respond(prompt: str, attempt: int, hint: str | None) -> str:
     import hashlib
 

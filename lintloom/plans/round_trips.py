@@ -7,11 +7,12 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lintloom.functions import text
-from lintloom.operators import edits, joins, star
+from lintloom.operators import edits, joins, patterns, samples, star, table_functions
 from lintloom.plans.base import R, query
-from lintloom.sources import fetch, readers, sinks
+from lintloom.sources import fetch, ranges, readers, sinks
 from lintloom.sources.scratch import Scratch
 from lintloom.streaming import streams
 
@@ -178,6 +179,68 @@ def appended_once(t):
     return t.spark.read.schema(rows.schema).parquet(path)
 
 
+_AT = "SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM labels"
+
+
+@query(f"SELECT line_no, doc_id, quality FROM ({_AT}) WHERE line_no >= 37 AND line_no < 37 + 90")
+def rows_at_offset(t):
+    """O-13, O-05, O-24: labels in exact shards, read from a row on and as many as are asked for, by the ranges they lie in."""
+    scratch = Scratch(t.spark)
+    path, index = scratch.path("shards"), scratch.path("index")
+    ranges.write_exact_shards(t.labels.select("doc_id", "quality"), path, 25, [F.col("doc_id")])
+    ranges.index_lines(t.spark, path, index, 400)
+    return ranges.read_at(t.spark, path, index, "doc_id long, quality int", 37, 90)
+
+
+@query(f"SELECT 'from_' || printf('%015d', line_no // 50 * 50) || '.jsonl' AS file, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM ({_AT}) GROUP BY 1")
+def exact_shards(t):
+    """O-24: each file has exactly fifty rows in order, but the last one."""
+    path = Scratch(t.spark).path("shards")
+    ranges.write_exact_shards(t.labels.select("doc_id"), path, 50, [F.col("doc_id")])
+    rows = readers.read_jsonl(t.spark, path, "doc_id long").select("doc_id", F.col("_metadata.file_name").alias("file"))
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("""SELECT 'whole' AS kind, doc_id, quality FROM labels WHERE toxic = 0 UNION ALL
+SELECT kind, CASE kind WHEN 'lines' THEN (SELECT count(*) FROM labels) + 1 WHEN 'bad' THEN (SELECT count(*) FROM labels WHERE toxic = 1) + 1 ELSE (SELECT count(*) FROM labels WHERE toxic = 0) END, CAST(NULL AS INTEGER)
+FROM (VALUES ('lines'), ('bad'), ('rows')) v(kind)""")
+def counted_lines(t):
+    """O-02, O-03: the rows of JSON lines some of which are cut short, and how many were left out, from the one read."""
+    path = Scratch(t.spark).path("lines")
+    whole = F.to_json(F.struct("doc_id", "quality"))
+    lines = t.labels.select(F.when(F.col("toxic") == 1, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("value"))
+    lines.union(t.spark.createDataFrame([("[1, 2]",), ("",)], "value string")).write.text(path)
+    rows, seen = readers.read_jsonl_counted(t.spark, path, "doc_id long, quality int")
+    rows = Scratch(t.spark).put(rows, "rows")  # the counts are there when the rows have been read
+    counts = [(k, int(v), None) for k, v in seen.get.items()]
+    return rows.select(F.lit("whole").alias("kind"), "doc_id", "quality").union(t.spark.createDataFrame(counts, "kind string, doc_id long, quality int"))
+
+
+@query("""WITH s AS (SELECT conv_id AS id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) / 4.0 AS reward FROM conversations),
+g AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY turn, role, text) - 1 AS place, text, CASE WHEN role = 'user' THEN reward END AS reward FROM s)
+SELECT id, CAST(place AS INTEGER) AS place, md5(text) AS text, reward, true AS whole FROM g UNION ALL SELECT DISTINCT id, -1, NULL, NULL, false FROM g""")
+def mixed_samples(t):
+    """P-02: samples written as pairs of a text and a reward, some with the text alone, and one entry of each that is no pair."""
+    rows = t.conversations.select(F.col("conv_id").alias("id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    reward = F.length("text") / F.lit(4.0)
+    pair = F.when(F.col("role") == "user", F.concat(F.lit("["), edits.json_text(F.col("text")), F.lit(", "), reward.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("["), edits.json_text(F.col("text")), F.lit("]")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", pair.alias("pair")))), lambda x: x["pair"])
+    told = rows.groupBy("id").agg(F.concat(F.lit("["), F.array_join(ordered, ", "), F.lit(', {"text": 1}]')).alias("samples"))
+    return samples.explode_samples(told, "id", "samples").select("id", F.col("at").alias("place"), F.md5("text").alias("text"), "reward", "whole")
+
+
+@query("""SELECT doc_id, 'pep_572' AS pattern, CAST(1 AS INTEGER) AS start_line, CAST(NULL AS VARCHAR) AS code FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, NULL, CAST(NULL AS INTEGER), 'Q' || length(text) FROM documents WHERE text IS NOT NULL""")
+def functions_in_sql(t):
+    """Detectors and parsers by name, as table functions that SQL calls beside each row."""
+    table_functions.register(t.spark)
+    code = F.concat(F.lit("if (n := 'R"), F.length("text").cast("string"), F.lit("'):\n    pass\n"))
+    report = F.concat(F.lit("**Idiom Q"), F.length("text").cast("string"), F.lit(' Violations:**\n{"line": "1 x"}'))
+    t.documents.where("text IS NOT NULL").select("doc_id", code.alias("code"), report.alias("report")).createOrReplaceTempView("coded_documents")
+    return t.spark.sql("""SELECT d.doc_id, f.pattern, f.start_line, CAST(NULL AS STRING) AS code FROM coded_documents d, LATERAL detect(d.code, 'pep_572') f
+      UNION ALL SELECT d.doc_id, NULL, NULL, r.code FROM coded_documents d, LATERAL parse_report(d.report, 'lines') r""")
+
+
 # --- streams
 
 
@@ -205,6 +268,46 @@ def stream_groups(t):
     return t.spark.read.schema("id long, n long, best double").parquet(out).select("id", F.least("n", F.lit(5)).cast("long").alias("n"))
 
 
+@query("""WITH e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx FROM events)
+SELECT user_id, idx, event_id, event_type FROM e WHERE idx < coalesce((SELECT min(idx) FROM e m WHERE m.user_id = e.user_id AND m.value < 1), 1e9)""")
+def stream_in_order(t):
+    """ST-01: events of a user given out in order while they arrive late ones first, over a restart; small ones never arrive."""
+    scratch = Scratch(t.spark)
+    inputs, out, checkpoint = scratch.path("in"), scratch.path("out"), scratch.path("checkpoint")
+    rows = t.events.withColumn("idx", (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")).where("value >= 1")
+    rows = rows.select("user_id", "idx", "event_id", "event_type")
+    late = F.xxhash64("event_id") < 0
+    for part in (rows.where(late), rows.where(~late)):
+        part.write.mode("append").parquet(inputs)
+        stream = streams.stream_in_order(t.spark.readStream.schema(rows.schema).parquet(inputs), "user_id", "idx")
+        with streams.keyed_state(t.spark):
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
+@query("""SELECT doc_id AS blob_id, 'R' || length(text) AS snippet, CAST(1 AS BIGINT) AS n FROM documents WHERE text IS NOT NULL""")
+def stream_detected_once(t):
+    """ST-04, O-26: the walrus of a line of code made of each document, by a stream whose batch fails after it was written."""
+    scratch = Scratch(t.spark)
+    inputs, out, checkpoint = scratch.path("in"), scratch.path("out"), scratch.path("checkpoint")
+    code = F.concat(F.lit("if (n := 'R"), F.length("text").cast("string"), F.lit("'):\n    pass\n"))
+    t.documents.where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("blob_id"), code.alias("content")).write.parquet(inputs)
+
+    def fail(rows: DataFrame, number: int) -> None:
+        raise RuntimeError("lost after writing")
+
+    for then in (fail, None):
+        files = t.spark.readStream.schema("blob_id string, content string").parquet(inputs)
+        stream = streams.start_batches(streams.stream_patterns(files, ["pep_572"]), out, checkpoint, then)
+        try:
+            stream.awaitTermination()
+        except Exception as e:
+            if "lost after writing" not in str(e):
+                raise
+    found = streams.read_batches(t.spark, out, patterns.MATCHES)
+    return found.groupBy(F.col("blob_id").cast("long").alias("blob_id"), F.regexp_extract("snippet", "'(R[0-9]+)'", 1).alias("snippet")).agg(F.count("*").alias("n"))
+
+
 # --- texts
 
 

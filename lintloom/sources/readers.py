@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict"
     return reader.schema(schema).json(path)
 
 
+def read_jsonl_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, Observation]:
+    """O-02, O-03: the rows of JSON lines as in ``safe``, and what the read sees, without a second one.
+
+    The observation has the numbers of ``lines`` that aren't blank, of ``bad`` ones, which are left out, and of ``rows``;
+    they are there once an action has read the rows to their end.
+    """
+    lines = spark.read.text(path).where(F.length(F.btrim("value", F.lit(" \t\r"))) > 0)
+    read = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    seen, bad = Observation(), F.col(f"r.{BAD}").isNotNull() | F.col("r").isNull()
+    counted = lines.select(read.alias("r")).observe(seen, F.count("*").alias("lines"), F.count(F.when(bad, 1)).alias("bad"), F.count(F.when(~bad, 1)).alias("rows"))
+    return counted.where(~bad).select("r.*").drop(BAD), seen
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """O-09."""
     return spark.read.option("multiLine", True).schema(schema).json(path)

@@ -1,13 +1,19 @@
-"""Structured Streaming twins: findings appended while files arrive, and groups given out when complete."""
+"""Structured Streaming twins: findings appended while files arrive, groups given out when complete, rows in order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lintloom.functions import rules
+from lintloom.operators import patterns
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_findings(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -55,3 +61,138 @@ def stream_complete_groups(samples: DataFrame, size: int, time_col: str | None =
         columns.append("at")
     timeout = "NoTimeout" if time_col is None else "EventTimeTimeout"
     return samples.select(*columns).groupBy("id").applyInPandasWithState(step, "id long, n long, best double", "seen array<long>, best double, done boolean", "append", timeout)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """A query started here keeps its state in RocksDB, which state with several variables and timers needs."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key by their index, from 0 and without a gap; those that come too early wait in the state.
+
+    A row whose index was given out, or that waits already, is a repeat and is dropped. With ``patience``, a gap that
+    is still there so many milliseconds after it was met is passed over: the rows that wait behind it go out.
+    """
+
+    def __init__(self, patience: int | None = None):
+        self.patience = patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "at long")
+        self.waiting = handle.getMapState("waiting", "at long", "row string")
+        #: The gap that the timer is for, and the time of the timer.
+        self.gap = handle.getValueState("gap", "at long, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = self._next()
+        early: dict[int, str] = {}
+        for pdf in rows:
+            for i, row in zip(pdf["at"].tolist(), pdf["row"].tolist(), strict=True):
+                if i >= at:
+                    early.setdefault(int(i), row)
+        out, at = self._run(at, early)
+        for i, row in early.items():
+            if not self.waiting.containsKey((i,)):
+                self.waiting.updateValue((i,), (row,))
+        self.next.update((at,))
+        if self.patience is not None:
+            self._watch(at, timerValues.getCurrentProcessingTimeInMs())
+        yield from self._given(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = self._next()
+        if not self.gap.exists() or self.gap.get()[0] != at:
+            return
+        self.gap.clear()
+        later = [k[0] for k in self.waiting.keys()]
+        out, at = self._run(min(later), {}) if later else ([], at)
+        self.next.update((at,))
+        self._watch(at, timerValues.getCurrentProcessingTimeInMs())
+        yield from self._given(key, out)
+
+    def close(self) -> None:
+        pass
+
+    def _next(self) -> int:
+        return int(self.next.get()[0]) if self.next.exists() else 0
+
+    def _run(self, at: int, early: dict[int, str]) -> tuple[list[tuple[int, str]], int]:
+        """The rows from ``at`` on without a gap, taken out of what is early and of what waits, and the index after them."""
+        out = []
+        while True:
+            if self.waiting.containsKey((at,)):
+                out.append((at, self.waiting.getValue((at,))[0]))
+                self.waiting.removeKey((at,))
+                early.pop(at, None)
+            elif at in early:
+                out.append((at, early.pop(at)))
+            else:
+                return out, at
+            at += 1
+
+    def _watch(self, at: int, now: int) -> None:
+        """A timer for the gap at ``at``, if rows wait behind it; the one for an earlier gap goes."""
+        if self.gap.exists():
+            known, due = self.gap.get()
+            if known == at:
+                return
+            self.handle.deleteTimer(int(due))
+            self.gap.clear()
+        if next(iter(self.waiting.keys()), None) is not None:
+            self.gap.update((at, now + self.patience))
+            self.handle.registerTimer(now + self.patience)
+
+    @staticmethod
+    def _given(key: tuple, out: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame({"key": [key[0]] * len(out), "at": [i for i, _ in out], "row": [r for _, r in out]})
+
+
+def stream_in_order(rows: DataFrame, key: str, index: str, patience: int | None = None) -> DataFrame:
+    """ST-01: the rows of each ``key`` in the order of ``index``, each when all before it were given out.
+
+    Start what comes of it within ``keyed_state``. A row is given out once, also after a restart from the checkpoint.
+    Rows with a null index, or one below 0, are left out. ``patience`` in milliseconds: see InOrder.
+    """
+    rest = [c for c in rows.columns if c not in (key, index)]
+    packed = rows.where(F.col(index) >= 0).select(F.col(key).alias("key"), F.col(index).cast("long").alias("at"), F.to_json(F.struct(*rest)).alias("row"))
+    kind = rows.schema[key].dataType.simpleString()
+    time = "None" if patience is None else "ProcessingTime"
+    out = packed.groupBy("key").transformWithStateInPandas(InOrder(patience), f"key {kind}, at long, row string", "Append", time)
+    schema = rows.select(*rest).schema
+    given = out.select(F.col("key").alias(key), F.col("at").cast(rows.schema[index].dataType).alias(index), F.from_json("row", schema).alias("r"))
+    return given.select(key, index, *(F.col("r")[c].alias(c) for c in rest))
+
+
+def stream_patterns(files: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """ST-04 with the code detectors: matches of a stream of files (blob_id, content), by the same function as in a batch."""
+    return patterns.find_patterns(files, wanted)
+
+
+def start_batches(df: DataFrame, out: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None):
+    """O-26: each batch is written once, into a folder of its own that is named by its number.
+
+    A batch that is done again, as the query ended before it could be marked as done, overwrites what it had written:
+    its rows are never there twice. ``then`` is called with the rows as written.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        place = f"{out.rstrip('/')}/batch={number}"
+        batch.write.mode("overwrite").parquet(place)
+        if then is not None:
+            then(batch.sparkSession.read.schema(batch.schema).parquet(place), number)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """The rows of all batches that ``start_batches`` has written, with the number of their batch."""
+    return spark.read.schema(f"{schema}, batch long").parquet(out)
