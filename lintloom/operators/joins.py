@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lintloom.functions.text import SENTINEL, lines
 from lintloom.operators.keys import keep_last
 
+#: Pairs of versions that are sent to all tasks at most.
+PAIRS = 10_000
+
 
 def missing_keys(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """J-01: the keys that an inner join with ``table`` would drop without saying so."""
@@ -114,3 +118,18 @@ def benchmark_chats(notes: DataFrame, specs: DataFrame, prompt: Column, label: C
     said = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")), F.struct(F.lit("assistant").alias("role"), label.alias("content")))
     chats = both.where(good).select(F.col("stem").alias("id"), "rule", F.col("content").alias("code"), said.alias("messages"), F.concat(F.lit("benchmark/"), "rule").alias("source"))
     return chats, both.where(~good).select("stem", "rule")
+
+
+def least_sections(pairs: DataFrame, sections: DataFrame, n: int) -> DataFrame:
+    """S-10 over pairs (version, other) and sections (version, section): of each pair the ``n`` sections of any version with
+    the least hash of the pair and the section.
+
+    Sections are rows and stay so. Versions are few (releases) and their pairs are sent to all tasks while they are no
+    more than PAIRS; a task keeps ``n`` sections of a pair before anything is shuffled.
+    """
+    known = sections.select("section").distinct()
+    few = pairs.limit(PAIRS + 1).count() <= PAIRS
+    both = known.join(F.broadcast(pairs) if few else pairs, how="cross")
+    hashed = both.withColumn("h", F.md5(F.concat("version", F.lit("/"), "other", F.lit("/"), "section")))
+    rank = F.row_number().over(W.partitionBy("version", "other").orderBy("h", "section"))
+    return hashed.withColumn("rank", rank).where(F.col("rank") <= n).select("version", "other", "section")

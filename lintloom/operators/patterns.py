@@ -11,7 +11,10 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -383,30 +386,63 @@ def _required_class(node):
 COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp)
 
 
+@dataclass
+class _Function:
+    """A function as one walk of its file finds it: where it stands, and what is anywhere within it."""
+
+    node: ast.FunctionDef
+    place: int
+    around: _Function | None
+    raises: bool = False
+    inlines: bool = False
+
+    def mark(self, what: str) -> None:
+        """Sets a flag here and in all functions around, up to one that has it: each function is marked once."""
+        own = self
+        while own is not None and not getattr(own, what):
+            setattr(own, what, True)
+            own = own.around
+
+
 @detector("pep_709", ast.Module)
-def _inlined(node):
-    """T-31. Functions count as traced once a call of settrace or setprofile has come before them in the walk."""
-    nodes = list(ast.walk(node))
-    raises = {x.name: any(isinstance(y, ast.Raise) for y in ast.walk(x)) for x in nodes if isinstance(x, ast.FunctionDef)}
-    traced = False
-    for x in nodes:
-        if isinstance(x, COMPREHENSIONS):
-            calls = [y for y in ast.walk(x) if isinstance(y, ast.Call) and isinstance(y.func, ast.Name)]
-            for y in calls:
-                if y.func.id == "locals":
-                    yield _first_line(y), "locals() includes outer variables"
-            for y in calls:
-                if raises.get(y.func.id):
-                    yield _first_line(y), "no dedicated frame in traceback"
-        if isinstance(x, ast.Expr) and isinstance(x.value, ast.Call) and isinstance(x.value.func, ast.Attribute) and x.value.func.attr in ("settrace", "setprofile"):
-            yield _first_line(x), "tracing/profiling setup"
-            traced = True
-        if traced and isinstance(x, ast.FunctionDef) and any(isinstance(y, COMPREHENSIONS) for y in ast.walk(x)):
-            yield _first_line(x), "tracing/profiling changes"
-        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr == "warn":
-            for k in x.keywords:
-                if k.arg == "stacklevel":
-                    yield _first_line(x), "stacklevel warnings"
+def _inlined(tree):
+    """T-31. A call within nested comprehensions counts for each; a function is traced if it comes after the first setup.
+
+    Every node is visited once, breadth first, with the function around it and the number of comprehensions around it.
+    """
+    functions: list[_Function] = []
+    calls: list[tuple[ast.Call, int]] = []
+    setups: list[int] = []
+    queue = deque([(tree, None, 0)])
+    place = 0
+    while queue:
+        node, around, depth = queue.popleft()
+        place += 1
+        match node:
+            case ast.FunctionDef():
+                around = _Function(node, place, around)
+                functions.append(around)
+            case ast.ListComp() | ast.SetComp() | ast.DictComp():
+                depth += 1
+                if around:
+                    around.mark("inlines")
+            case ast.Raise() if around:
+                around.mark("raises")
+            case ast.Expr(value=ast.Call(func=ast.Attribute(attr="settrace" | "setprofile"))):
+                setups.append(place)
+                yield _first_line(node), "tracing/profiling setup"
+            case ast.Call(func=ast.Name()) if depth:
+                calls.append((node, depth))
+            case ast.Call(func=ast.Attribute(attr="warn")):
+                yield from ((_first_line(node), "stacklevel warnings") for k in node.keywords if k.arg == "stacklevel")
+        queue.extend((child, around, depth) for child in ast.iter_child_nodes(node))
+    raising = {f.node.name: f.raises for f in functions}  # of functions of one name, the last
+    for call, depth in calls:
+        if call.func.id == "locals":
+            yield from [(_first_line(call), "locals() includes outer variables")] * depth
+        if raising.get(call.func.id):
+            yield from [(_first_line(call), "no dedicated frame in traceback")] * depth
+    yield from ((_first_line(f.node), "tracing/profiling changes") for f in functions if setups and f.place > setups[0] and f.inlines)
 
 
 def _stores(node: ast.For) -> list[ast.Subscript]:
@@ -476,6 +512,7 @@ def _sliced_affix(node):
             yield node, "removesuffix"
 
 
+#: What a comment says of a value, as patterns, and the name of the metadata that this would be.
 HINTS = [
     (re.compile(pattern, re.IGNORECASE), kind)
     for pattern, kind in (
@@ -490,32 +527,62 @@ HINTS = [
         (r"\bdeprecated\b", "deprecated"),
     )
 ]
+#: Lines between a hint and an annotation at most.
+NEAR = 2
+
+
+class _Annotations(ast.NodeVisitor):
+    """Docstrings, and the annotations of functions and attributes, each with the line that it belongs to."""
+
+    def __init__(self):
+        self.docstrings: list[tuple[int, str]] = []
+        self.places: list[tuple[int, str, str, ast.expr]] = []
+
+    def generic_visit(self, node):
+        if isinstance(node, (ast.Module, ast.ClassDef, *DEFS)):
+            text = ast.get_docstring(node)
+            if text:
+                self.docstrings.append((getattr(node, "lineno", 1), text))
+        super().generic_visit(node)
+
+    def visit_FunctionDef(self, node):
+        self.places += [(x.lineno, "argument", f"`{x.arg}` in `{node.name}`", x.annotation) for x in node.args.args if x.annotation is not None]
+        if node.returns is not None:
+            self.places.append((node.lineno, "return", f"return of `{node.name}`", node.returns))
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node):
+        named = node.target.id if isinstance(node.target, ast.Name) else None
+        self.places.append((node.lineno, "attribute", f"attribute `{named}`", node.annotation))
+        self.generic_visit(node)
+
+
+def _comments(code: str) -> Iterator[tuple[int, str]]:
+    """The comments of code whose line ends may be of any kind."""
+    whole = re.sub("\r\n?", "\n", code)
+    for token in tokenize.generate_tokens(io.StringIO(whole).readline):
+        if token.type == tokenize.COMMENT:
+            yield token.start[0], token.string.strip("# ")
 
 
 @file_rule("pep_593h", raw=True)
 def _annotated_hints(code, tree):
-    """T-39: hints in comments and docstrings within two lines of an annotation. Backslashes are doubled first."""
+    """T-39: hints in comments and docstrings within NEAR lines of an annotation. Backslashes are doubled first.
+
+    Hints are sorted by line, so that an annotation looks up those near it.
+    """
     if "\\" in code:
         code = code.replace("\\", "\\\\")
         tree = ast.parse(code)
-    code = code.replace("\r\n", "\n").replace("\r", "\n")
-    said = [(t.start[0], t.string.strip("# ").strip()) for t in tokenize.generate_tokens(io.StringIO(code).readline) if t.type == tokenize.COMMENT]
-    for x in ast.walk(tree):
-        if isinstance(x, (*DEFS, ast.ClassDef, ast.Module)) and (doc := ast.get_docstring(x)):
-            said.append((getattr(x, "lineno", 1), doc.strip()))
-    hints = [(line, kind) for line, text in said for pattern, kind in HINTS if pattern.search(text)]
-    for x in ast.walk(tree):
-        places = []
-        if isinstance(x, ast.FunctionDef):
-            places += [(a.lineno, "argument", f"`{a.arg}` in `{x.name}`", a.annotation) for a in x.args.args if a.annotation]
-            if x.returns:
-                places.append((x.lineno, "return", f"return of `{x.name}`", x.returns))
-        elif isinstance(x, ast.AnnAssign):
-            places.append((x.lineno, "attribute", f"attribute `{x.target.id if isinstance(x.target, ast.Name) else None}`", x.annotation))
-        for at, kind, what, annotation in places:
-            for line, hint in hints:
-                if abs(line - at) <= 2:
-                    yield at, at, kind, f"{what}: Annotated[{ast.unparse(annotation)}, {hint}=...]"
+    seen = _Annotations()
+    seen.visit(tree)
+    hints = sorted((line, kind) for line, text in [*_comments(code), *seen.docstrings] for pattern, kind in HINTS if pattern.search(text.strip()))
+    lines = [line for line, _ in hints]
+    for at, kind, what, annotation in seen.places:
+        near = hints[bisect_left(lines, at - NEAR) : bisect_right(lines, at + NEAR)]
+        if near:
+            shown = ast.unparse(annotation)
+            yield from ((at, at, kind, f"{what}: Annotated[{shown}, {hint}=...]") for _, hint in near)
 
 
 @detector("class_prefilter", ast.ClassDef)

@@ -100,8 +100,6 @@ def merged_by_code(t):
     return joins.merge_by_code(t.gold).select("doc_id", "code", F.array_join(F.transform("line_nos", lambda x: x.cast("string")), ",").alias("line_nos"))
 
 
-#: Sections that are sent to all tasks at most.
-MAX_SECTIONS = 20_000
 _SECTIONS = "s AS (SELECT DISTINCT lang AS version, source AS section FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"
 
 
@@ -119,12 +117,7 @@ def version_questions(t):
     told = lambda v: F.concat(F.lit('Describe "'), F.col("section"), F.lit('" of '), v, F.lit("."))
     no = F.concat(F.lit("Only "), "version", F.lit(" is known here.")).alias("response")
     others = joins.other_versions(s, "version")
-    # one array, ordered by a hash for each pair of versions: sections are headings, of which there are few
-    if s.select("section").distinct().limit(MAX_SECTIONS + 1).count() > MAX_SECTIONS:
-        raise ValueError(f"more than {MAX_SECTIONS} sections")
-    known = s.agg(F.collect_set("section").alias("all"))
-    order = F.array_sort(F.transform("all", lambda x: F.struct(F.md5(F.concat("version", F.lit("/"), "other", F.lit("/"), x)).alias("h"), x.alias("section"))))
-    refused = others.crossJoin(F.broadcast(known)).select("version", "other", F.explode(F.slice(order, 1, 2)).alias("x")).select("version", "other", F.col("x.section").alias("section"))
+    refused = joins.least_sections(others, s, 2)
     row = lambda df, kind, prompt, response: df.select("version", F.lit(kind).alias("kind"), prompt.alias("prompt"), response.alias("response"))
     lists = s.groupBy("version").agg(F.array_sort(F.collect_list("section")).alias("a"))
     out = row(lists, "list", listed(F.col("version")), whole("a"))

@@ -138,6 +138,16 @@ def within_token_budget(t):
     return rows.within_budget(t.documents, tokens, 250, strict=True).select("doc_id", tokens.alias("tokens"))
 
 
+@query()
+def within_vocabulary_budget(t):
+    """O-40, S-08 with the tokens of a published vocabulary; no SQL, as that has no tokenizer."""
+    import public_tokenizers
+
+    count = rows.token_counter(str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    tokens = count(F.coalesce("text", F.lit("")))
+    return rows.within_budget(t.documents.select("doc_id", tokens.alias("tokens")), F.col("tokens"), 250, strict=True)
+
+
 @query("""SELECT doc_id FROM documents WHERE lang <> 'de' AND text <> ''""")
 def usable_predictions(t):
     """O-41, O-43: predictions that aren't errors and have a truth."""

@@ -46,13 +46,16 @@ def write_files(df: DataFrame, path: str, name: str, content: str) -> None:
     """O-29: one file for each row, called by ``name``, of its text and a line end, or of its bytes as they are.
 
     The tasks write them; a file gets its name when it is whole, so a task that is run again does no harm. Of rows of
-    one name one stays. Rows with a null name or content are left out.
+    one name one stays. Rows with a null name or content are left out. A name that isn't one of a file in the folder
+    itself (with a separator, or a dot or two alone) is an error.
     """
 
     def run(rows: Iterator[Row]) -> None:
         files, root = arrow_fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
         for row in rows:
+            if row["n"] in ("", ".", "..") or any(c in row["n"] for c in "/\\\0"):
+                raise ValueError(f"{row['n']!r} is no name of a file")
             part = f"{root}/.{uuid.uuid4().hex}"
             with files.open_output_stream(part) as out:
                 out.write(bytes(row["c"]) if isinstance(row["c"], bytes | bytearray) else f"{row['c']}\n".encode())

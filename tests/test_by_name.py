@@ -62,3 +62,52 @@ def test_faults_are_counted_in_the_same_pass(spark):
     found, seen = patterns.find_patterns_counted(files)
     assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in patterns.find_patterns(files).collect())
     assert seen.get == {"files": 6, "syntax": 1, "depth": 1}
+
+
+def test_budget_by_a_vocabulary(spark):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from lintloom.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    coder = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), special_tokens={})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r.doc_id: n for r in docs if (n := len(coder.encode_ordinary(r.text or ""))) < 250}
+    assert {r.doc_id: r.tokens for r in QUERIES["within_vocabulary_budget"](spark, sf).collect()} == want and 0 < len(want) < len(docs)
+
+
+def test_names_of_files_stay_in_their_folder(spark, tmp_path):
+    from lintloom.sources import sinks
+
+    for name in ("../x", "a/b", "..", "", "a\\b"):
+        with pytest.raises(Exception, match="no name of a file"):
+            sinks.write_files(spark.createDataFrame([(name, "text")], "n string, c string"), str(tmp_path / "out"), "n", "c")
+    assert not (tmp_path / "x").exists()
+
+
+def test_every_version_gets_its_least_sections(spark):
+    import hashlib
+
+    from lintloom.operators import joins
+
+    rows = [(f"v{i}", f"s{k}") for i in range(4) for k in range(30) if (i + k) % 3]
+    pairs = [(a, b) for a in ("v0", "v1", "v2", "v3") for b in ("v0", "v1", "v2", "v3") if a != b]
+    got = joins.least_sections(spark.createDataFrame(pairs, "version string, other string"), spark.createDataFrame(rows, "version string, section string"), 2).collect()
+    known = {s for _, s in rows}
+    want = {(a, b, s) for a, b in pairs for s in sorted(known, key=lambda s, a=a, b=b: (hashlib.md5(f"{a}/{b}/{s}".encode()).hexdigest(), s))[:2]}
+    assert {tuple(r) for r in got} == want
+
+
+def test_detectors_take_time_in_proportion():
+    import time
+
+    nested = lambda n: "".join(f"{' ' * i}def f{i}():\n" for i in range(60)) + " " * 60 + "[f0() for x in y]\n" + "\n".join(f"def g{i}(a: int): # must be positive\n    return [f0() for x in a]\n" for i in range(n))
+    took = []
+    for n in (300, 2400):
+        began = time.time()
+        found = patterns.detect(nested(n), frozenset(["pep_709", "pep_593h"]))
+        took.append(time.time() - began)
+        assert sum(m[0] == "pep_593h" for m in found) >= n
+    assert took[1] < 8 * 3 * took[0] + 0.5
