@@ -173,8 +173,23 @@ def read(data: bytes) -> tuple[bytes, dict]:
         if granules != sorted(granules) or total != len(payload) or granules[-1] != sum(map(len, s.packets[1:])):
             raise OggError("granule positions don't match the samples")
         told.append({"packets": len(s.packets) - 1, "pages": len(s.pages), "seconds": round(granules[-1] / rate, 6)})
-    x = np.frombuffer(payload, np.uint8).astype(np.float64)
-    return payload, {"streams": told, "seconds": round(len(x) / RATE, 6), "mean": round(float(x.mean()), 4), "rms": round(float(np.sqrt((x * x).mean())), 4), "low": int(x.min()), "high": int(x.max()), "zero_crossings": int(np.count_nonzero(np.diff(x > x.mean())))}
+    return payload, {"streams": told, "seconds": round(len(payload) / RATE, 6)} | signal(payload)
+
+
+#: Samples that statistics are taken of at a time.
+CHUNK = 1 << 20
+
+
+def signal(payload: bytes) -> dict:
+    """Mean, deviation from zero, range and crossings of the mean, from counts of the 256 values, a chunk at a time."""
+    x = np.frombuffer(payload, np.uint8)
+    counts = sum(np.bincount(x[at : at + CHUNK], minlength=256) for at in range(0, len(x), CHUNK))
+    value = np.arange(256)
+    mean = int(counts @ value) / len(x)
+    # a chunk begins with the last sample of the one before
+    crossings = sum(int(np.count_nonzero(np.diff(x[max(0, at - 1) : at + CHUNK] > mean))) for at in range(0, len(x), CHUNK))
+    held = np.flatnonzero(counts)
+    return {"mean": round(mean, 4), "rms": round(float(np.sqrt(int(counts @ (value * value)) / len(x))), 4), "low": int(held[0]), "high": int(held[-1]), "zero_crossings": crossings}
 
 
 def media(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
