@@ -24,6 +24,8 @@ from lintloom.llm.common import crc_rest, map_texts, slices, table
 SAMPLE, TOTAL, MODULUS, REST = 1500, 60_000, 3, 1
 #: Languages up to which the best of many random codes is looked for; beyond, one code of as many bits is far enough apart.
 SEARCHED = 256
+#: Languages whose frequencies a task keeps at hand.
+LOGS = 64
 #: n-grams are hashed to so many places.
 PLACES = 1 << 14
 #: Two codewords are nearly as good within this share of probability.
@@ -89,7 +91,7 @@ class Codes:
         self.weights = np.ones((PLACES, bits))
         self.weights[:, both] = np.log(total[0][:, both] / held[0, both]) - np.log(total[1][:, both] / held[1, both])
         self.gain, self.trust = np.full(bits, 20.0), np.ones(bits)
-        self.floor = -np.inf
+        self.logs, self.floor = {}, -np.inf
 
     def margins(self, text: str) -> np.ndarray:
         """Of each bit: the mean weight of the text's n-grams."""
@@ -97,13 +99,19 @@ class Codes:
 
     def familiarity(self, found: np.ndarray, lang: str) -> float:
         """The mean log frequency of n-grams in a language; 0 without any."""
-        if not len(found):
-            return 0.0
-        i = self.at[lang]
-        places, n = self.counts[i]
-        some = np.minimum(np.searchsorted(places, found), len(places) - 1) if len(places) else None
-        known = np.where(places[some] == found, n[some], 0.0) if len(places) else np.zeros(len(found))
-        return float(np.log((known + 0.5) / self.sums[i]).mean())
+        return float(self._logs(lang)[found].mean()) if len(found) else 0.0
+
+    def _logs(self, lang: str) -> np.ndarray:
+        """The log frequency of every place in a language. Those of the languages used last are kept, LOGS of them."""
+        if lang not in self.logs:
+            if len(self.logs) >= LOGS:
+                self.logs.pop(next(iter(self.logs)))
+            i = self.at[lang]
+            places, n = self.counts[i]
+            own = np.full(PLACES, 0.5)
+            own[places] += n
+            self.logs[lang] = np.log(own / self.sums[i])
+        return self.logs[lang]
 
     def _margins(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
