@@ -247,3 +247,21 @@ def test_blobs_specs_and_arrays(spark, tmp_path):
     assert sorted(json.load(open(tmp_path / "a.json", encoding="utf-8")), key=lambda x: x["a"]) == [{"a": 1, "b": "é"}, {"a": 2, "b": None}]
     df.write.parquet(str(tmp_path / "d" / "train"))
     assert readers.read_dataset(spark, str(tmp_path / "d"), "train").count() == 2 and readers.read_dataset(spark, "x", "y", lambda *_: df) is df
+
+
+def test_running_totals_of_small_and_large_tables(spark, monkeypatch):
+    """One window, and ranges between sampled bounds, with a hot stratum, null strata and orders that repeat."""
+    from lintloom.operators import keys
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randrange(40), i, rng.randrange(9)) for i in range(700)]
+    df = spark.createDataFrame(rows, "s string, o int, i int, v int").repartition(5)
+    run = lambda: sorted((tuple(r) for r in keys.running_total(df, "s", [F.col("o"), F.col("i")], F.col("v"), "total").collect()), key=str)
+    large = run()
+    monkeypatch.setattr(keys, "SMALL", 10_000)
+    assert run() == large
+    want, sums = [], {}
+    for s, o, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want.append((s, o, i, v, sums.get(s, 0)))
+        sums[s] = sums.get(s, 0) + v
+    assert large == sorted(want, key=str)
