@@ -72,14 +72,16 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     sure = marked.where(~F.col(flag)).select(*columns)
     told = doubtful.select(F.col("doc_id").alias(key), (F.col("n") > 1).alias(many), F.col("stays").alias(stays))
     rest = marked.where(flag).join(told, F.col("doc_id") == F.col(key), "left").where(F.coalesce(F.col(stays), F.lit(True)))
-    single = rest.where(~F.coalesce(F.col(many), F.lit(False))).select(*columns)
+    kept = sure.union(rest.where(~F.coalesce(F.col(many), F.lit(False))).select(*columns))
+    if not doubtful.where("n > 1").limit(1).count():  # no id repeats
+        return kept
     # an aggregate, so that rows of an id that very many rows repeat meet combined
     hashed = [named(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     order = F.struct(m, h1, h2, F.xxhash64("text"), F.length("text"), F.xxhash64(*hashed))
     first = F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), order)
     repeated = near_dup.with_standing(rest.where(many).select(*columns), m, h1, h2)
     least = repeated.groupBy("doc_id").agg(first.alias("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
-    return sure.union(single).union(least)
+    return kept.union(least)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
