@@ -275,7 +275,7 @@ def stream_in_order(t):
     scratch = Scratch(t.spark)
     inputs, out, checkpoint = scratch.path("in"), scratch.path("out"), scratch.path("checkpoint")
     rows = t.events.withColumn("idx", (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")).where("value >= 1")
-    rows = rows.select("user_id", "idx", "event_id", "event_type")
+    rows = scratch.put(rows.select("user_id", "idx", "event_id", "event_type"), "rows")  # numbered once, read for each part
     late = F.xxhash64("event_id") < 0
     for part in (rows.where(late), rows.where(~late)):
         part.write.mode("append").parquet(inputs)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 import pandas as pd
@@ -74,6 +74,78 @@ def keyed_state(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
+#: Indexes of a block, whose waiting rows are one entry of the state.
+BLOCK = 64
+
+
+class Waiting(Mapping):
+    """The rows of a key that wait, (index,) to (row,), in a map state with an entry for each block of indexes.
+
+    Every call of the state is a message to the JVM. So a block is read once, changed here, and written by ``save``; no
+    more blocks are read than rows arrive for or go out of.
+    """
+
+    def __init__(self, state):
+        self.state = state
+        self.forget()
+
+    def forget(self) -> None:
+        """What was read is of one key."""
+        self.read: dict[int, dict[int, str]] = {}
+        self.there: set[int] = set()
+        self.changed: set[int] = set()
+
+    def block(self, number: int) -> dict[int, str]:
+        if number not in self.read:
+            self.read[number] = {}
+            if self.state.containsKey((number,)):
+                self.there.add(number)
+                self.read[number] = dict(zip(*self.state.getValue((number,)), strict=True))
+        return self.read[number]
+
+    def add(self, at: int, row: str) -> None:
+        """A row that waits already stays."""
+        rows = self.block(at // BLOCK)
+        if at not in rows:
+            rows[at] = row
+            self.changed.add(at // BLOCK)
+
+    def run(self, at: int) -> list[tuple[int, str]]:
+        """The rows from ``at`` on without a gap, taken out."""
+        out = []
+        while at in (rows := self.block(at // BLOCK)):
+            out.append((at, rows.pop(at)))
+            self.changed.add(at // BLOCK)
+            at += 1
+        return out
+
+    def first(self) -> int | None:
+        number = min((k[0] for k in self.state.keys()), default=None)
+        return None if number is None else min(self.block(number))
+
+    def save(self) -> None:
+        for number in sorted(self.changed):
+            if rows := self.read[number]:
+                self.state.updateValue((number,), (list(rows), list(rows.values())))
+                self.there.add(number)
+            elif number in self.there:
+                self.state.removeKey((number,))
+                self.there.remove(number)
+        self.changed.clear()
+
+    def __getitem__(self, key: tuple[int]) -> tuple[str]:
+        return (self.block(key[0] // BLOCK)[key[0]],)
+
+    def __iter__(self) -> Iterator[tuple[int]]:
+        return ((i,) for k in list(self.state.keys()) for i in list(self.block(k[0])))
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def __bool__(self) -> bool:
+        return next(iter(self.state.keys()), None) is not None
+
+
 class InOrder(StatefulProcessor):
     """Rows of a key by their index, from 0 and without a gap; those that come too early wait in the state.
 
@@ -87,34 +159,30 @@ class InOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "at long")
-        self.waiting = handle.getMapState("waiting", "at long", "row string")
+        self.waiting = Waiting(handle.getMapState("waiting", "block long", "at array<long>, row array<string>"))
         #: The gap that the timer is for, and the time of the timer.
         self.gap = handle.getValueState("gap", "at long, due long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = self._next()
-        early: dict[int, str] = {}
+        self.waiting.forget()
+        before = self._next()
         for pdf in rows:
             for i, row in zip(pdf["at"].tolist(), pdf["row"].tolist(), strict=True):
-                if i >= at:
-                    early.setdefault(int(i), row)
-        out, at = self._run(at, early)
-        for i, row in early.items():
-            if not self.waiting.containsKey((i,)):
-                self.waiting.updateValue((i,), (row,))
-        self.next.update((at,))
+                if i >= before:
+                    self.waiting.add(int(i), row)
+        out, at = self._run(before)
         if self.patience is not None:
             self._watch(at, timerValues.getCurrentProcessingTimeInMs())
         yield from self._given(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.waiting.forget()
         at = self._next()
         if not self.gap.exists() or self.gap.get()[0] != at:
             return
         self.gap.clear()
-        later = [k[0] for k in self.waiting.keys()]
-        out, at = self._run(min(later), {}) if later else ([], at)
-        self.next.update((at,))
+        later = self.waiting.first()
+        out, at = self._run(at if later is None else later)
         self._watch(at, timerValues.getCurrentProcessingTimeInMs())
         yield from self._given(key, out)
 
@@ -122,21 +190,16 @@ class InOrder(StatefulProcessor):
         pass
 
     def _next(self) -> int:
-        return int(self.next.get()[0]) if self.next.exists() else 0
+        known = self.next.get()
+        return 0 if known is None else int(known[0])
 
-    def _run(self, at: int, early: dict[int, str]) -> tuple[list[tuple[int, str]], int]:
-        """The rows from ``at`` on without a gap, taken out of what is early and of what waits, and the index after them."""
-        out = []
-        while True:
-            if self.waiting.containsKey((at,)):
-                out.append((at, self.waiting.getValue((at,))[0]))
-                self.waiting.removeKey((at,))
-                early.pop(at, None)
-            elif at in early:
-                out.append((at, early.pop(at)))
-            else:
-                return out, at
-            at += 1
+    def _run(self, at: int) -> tuple[list[tuple[int, str]], int]:
+        """The rows from ``at`` on without a gap, and the index after them; what is left waits."""
+        out = self.waiting.run(at)
+        self.waiting.save()
+        if out:
+            self.next.update((at + len(out),))
+        return out, at + len(out)
 
     def _watch(self, at: int, now: int) -> None:
         """A timer for the gap at ``at``, if rows wait behind it; the one for an earlier gap goes."""
@@ -146,7 +209,7 @@ class InOrder(StatefulProcessor):
                 return
             self.handle.deleteTimer(int(due))
             self.gap.clear()
-        if next(iter(self.waiting.keys()), None) is not None:
+        if self.waiting:
             self.gap.update((at, now + self.patience))
             self.handle.registerTimer(now + self.patience)
 

@@ -79,6 +79,28 @@ def test_a_gap_is_passed_over_when_patience_ends():
     assert expire(230) == [7] or p.gap.get()[0] == 6
 
 
+def test_calls_of_the_state_go_by_blocks():
+    """However many rows of a key arrive at once, a block of them is read and written once; repeats and gaps go across blocks."""
+    p, h, give, expire = ordered(100)
+    n, calls = 4 * streams.BLOCK, []
+
+    class Counted(Rows):
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append(key)
+            del self[key]
+
+    p.waiting.state = Counted()
+    assert give(*range(n, 0, -1), *range(1, n)) == [] and len(calls) == 5 and len(p.waiting) == n
+    assert give(n + 2, n, 5) == [] and len(calls) == 6
+    assert give(0) == list(range(n + 1)) and len(calls) == 11 and dict(p.waiting) == {(n + 2,): (f"r{n + 2}",)}
+    h.timers.clear()
+    assert expire(200) == [n + 2] and not p.waiting and not p.waiting.state and give(n + 1, n + 2) == []
+
+
 SCHEMA = "job long, idx long, note string, at timestamp"
 
 
