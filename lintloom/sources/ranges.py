@@ -10,8 +10,9 @@ import io
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 
 import pyarrow as pa
 import pyarrow.dataset as arrow_dataset
@@ -24,6 +25,8 @@ from lintloom.operators.keys import ranked
 
 #: Bytes of a range, and lines of a batch.
 RANGE, BATCH = 64 << 20, 4096
+#: Files that a task counts the lines of, and files moved at the same time.
+FILES, MOVES = 1000, 16
 INDEX = "file string, start long, end long, lines long"
 
 
@@ -38,28 +41,39 @@ def _files(path: str) -> list[tuple[str, int]]:
 
 
 def count_lines(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """(file, start, end, lines): how many lines begin in each byte range of the files. One task a range, each read once."""
-    ranges = [(name, at, min(size, at + range_bytes)) for name, size in _files(path) for at in range(0, size, range_bytes)]
-    rows = spark.createDataFrame(ranges, "file string, start long, end long").repartition(max(1, len(ranges)), "file", "start")
+    """(file, start, end, lines): how many lines begin in each byte range of the files, each read once.
+
+    A task has many ranges if they are small: there are as many tasks as there are cores, or more for many files or bytes.
+    """
+    # what is dealt are stretches of whole ranges, which the tasks cut
+    step = max(1, RANGE // range_bytes) * range_bytes
+    stretches = [(name, at, min(size, at + step)) for name, size in _files(path) for at in range(0, size, step)]
+    tasks = max(spark.sparkContext.defaultParallelism, len(stretches) // FILES, sum(end - at for _, at, end in stretches) // RANGE)
+    rows = spark.createDataFrame(stretches, "file string, start long, end long").repartition(max(1, min(tasks, len(stretches))), "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = arrow_fs.FileSystem.from_uri(path)
         for batch in batches:
-            lines = []
-            for name, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # a line begins after a line end, or where the file does
-                n, at = int(start == 0), max(start, 1) - 1
-                with files.open_input_file(name) as f:
-                    f.seek(at)
-                    while at < end - 1:
-                        part = f.read(min(1 << 20, end - 1 - at))
-                        n, at = n + part.count(b"\n"), at + len(part)
-                lines.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64())], names=[*batch.schema.names, "lines"])
+            counts = chain.from_iterable(_counts(files, *row, range_bytes) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            while some := list(islice(counts, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], names=["file", "start", "end", "lines"])
 
     return rows.mapInArrow(run, INDEX)
 
 
+def _counts(files: arrow_fs.FileSystem, name: str, start: int, end: int, range_bytes: int) -> Iterator[tuple[str, int, int, int]]:
+    """The ranges of a stretch of a file with the lines that begin in each; the file is opened once and read in its order."""
+    with files.open_input_file(name) as raw, io.BufferedReader(raw, 1 << 20) as f:
+        f.seek(at := max(start, 1) - 1)
+        for own in range(start, end, range_bytes):
+            # a line begins after a line end, or where the file does
+            n, stop = int(own == 0), min(end, own + range_bytes)
+            while at < stop - 1:
+                part = f.read(min(1 << 20, stop - 1 - at))
+                n, at = n + part.count(b"\n"), at + len(part)
+            yield name, own, stop, n
+
+
 def index_lines(spark: SparkSession, path: str, index: str, range_bytes: int = RANGE) -> None:
     """Writes the counts of ``count_lines`` as a table that ``LinesAt`` reads."""
     count_lines(spark, path, range_bytes).write.parquet(index)
@@ -172,7 +186,8 @@ class _ShardWriter(DataSourceWriter):
                 if not shards or shards[-1][0] != first:
                     if out is not None:
                         out.close()
-                    files.create_dir(own, recursive=True)
+                    if not shards:
+                        files.create_dir(own, recursive=True)
                     name = f"{own}/from_{first:015d}.jsonl"
                     out = files.open_output_stream(name)
                     shards.append((first, 0, name))
@@ -196,8 +211,8 @@ class _ShardWriter(DataSourceWriter):
         files, root = arrow_fs.FileSystem.from_uri(self.staging)
         _, target = arrow_fs.FileSystem.from_uri(self.path)
         files.create_dir(f"{root}/whole", recursive=True)
-        for _, _, name in shards:
-            files.move(name, f"{root}/whole/{name.rpartition('/')[2]}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda s: files.move(s[2], f"{root}/whole/{s[2].rpartition('/')[2]}"), shards))
         files.move(f"{root}/whole", target)
         files.delete_dir(root)
 

@@ -49,6 +49,14 @@ def test_only_the_ranges_that_are_asked_for(spark, tmp_path):
         ranges._LinesAtReader({"path": path, "index": index, "offset": "-1"})
 
 
+def test_small_ranges_are_no_tasks_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "in")
+    lines_of(path, {f"{i:03d}.jsonl": "".join(f"{k}\n" for k in range(50)) for i in range(60)})
+    counts = ranges.count_lines(spark, path, 10)
+    assert counts.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert counts.agg(F.sum("lines"), F.max(F.col("end") - F.col("start")), F.count("*")).first()[:] == (3000, 10, 60 * 14)
+
+
 def test_lines_that_are_no_rows_count(spark, tmp_path):
     path, index = str(tmp_path / "in"), str(tmp_path / "index")
     lines_of(path, {"a": '{"a": 1}\nnot json\n\n{"a": 2, "b": "y"}\n[1]\n{"a": 3}\n'})
