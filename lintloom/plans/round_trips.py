@@ -416,7 +416,8 @@ def _part_pages(t) -> DataFrame:
         F.lit(" </td><td>"), "p_type", F.lit("</td><td><span title='"), fix, F.lit("'>✔</span> 🧪</td></tr></table><h2>More</h2><dl><dt>Kind:</dt><dd><a>"), "p_type",
         F.lit("</a>, <a> b</a></dd><dt>Size:</dt><dd>"), F.col("p_size").cast("string"), F.lit("</dd></dl></html>"),
     )
-    return t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    part = readers.spread(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    return part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 @query("""SELECT p_partkey AS page_id, p_brand AS code, p_type AS kind, 'Stable,Unstable/Preview' AS states, p_size > 25 AS fix_available FROM part""")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,20 +112,41 @@ class _Sections(HTMLParser):
         self.head, self.text = None, []
 
 
+def section_rows(html: str | None) -> list[tuple[int, str, str]]:
+    """O-17, O-18: (section, heading, text) of each top heading, numbered from 0."""
+    parser = _Sections()
+    parser.feed(html or "")
+    parser.close_section()
+    return [(i, h, t) for i, (h, t) in enumerate(parser.out)]
+
+
 def html_sections(pages: DataFrame) -> DataFrame:
     """O-17, O-18: (page_id, section, heading, text) of each top heading of a page, numbered from 0."""
+    return _of_pages(pages, section_rows, [("section", "int", pa.int32()), ("heading", "string", pa.string()), ("text", "string", pa.string())])
+
+
+#: Pages that are parsed before their rows are given on.
+PAGES = 256
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt anew by ``key``, for work that is long for the bytes of a row: small tables are few tasks as they are read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                parser = _Sections()
-                parser.feed(html or "")
-                parser.close_section()
-                rows += [(page, i, h, t) for i, (h, t) in enumerate(parser.out)]
-            yield pd.DataFrame(rows, columns=["page_id", "section", "heading", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, section int, heading string, text string")
+def _of_pages(pages: DataFrame, parse: Callable[[str | None], list[tuple]], columns: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """(page_id, ...) of the rows that ``parse`` makes of each page; the rows of PAGES pages are held at once."""
+    schema = pa.schema([("page_id", pa.int64()), *((name, kind) for name, _, kind in columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, PAGES).columns)
+                if rows := [(page, *row) for page, html in zip(ids, texts, strict=True) for row in parse(html)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
+    return some.mapInArrow(run, ", ".join(["page_id long", *(f"{name} {kind}" for name, kind, _ in columns)]))
 
 
 def read_rule_specs(spark: SparkSession, metadata: str, folder: str, schema: str) -> DataFrame:
@@ -253,21 +275,13 @@ def metadata_pairs(html: str | None) -> dict[str, str]:
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """O-16 over (page_id, html); a null page has no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, i, r["table"], r["cells"], r["states"], r["fix_available"]) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for i, r in enumerate(table_rows(h))]
-            yield pd.DataFrame(rows, columns=["page_id", "row", "table", "cells", "states", "fix_available"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, row int, table int, cells map<string,string>, states array<string>, fix_available boolean")
+    parse = lambda html: [(i, r["table"], list(r["cells"].items()), r["states"], r["fix_available"]) for i, r in enumerate(table_rows(html))]
+    return _of_pages(pages, parse, [
+        ("row", "int", pa.int32()), ("table", "int", pa.int32()), ("cells", "map<string,string>", pa.map_(pa.string(), pa.string())),
+        ("states", "array<string>", pa.list_(pa.string())), ("fix_available", "boolean", pa.bool_()),
+    ])
 
 
 def html_metadata(pages: DataFrame) -> DataFrame:
     """O-19 over (page_id, html): one row for each term of a page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(p, k, v) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for k, v in metadata_pairs(h).items()]
-            yield pd.DataFrame(rows, columns=["page_id", "key", "value"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, key string, value string")
+    return _of_pages(pages, lambda html: list(metadata_pairs(html).items()), [("key", "string", pa.string()), ("value", "string", pa.string())])

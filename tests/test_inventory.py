@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lintloom.operators import edits, fuzzy, joins, keys, metrics, patterns, sampling, star
+from lintloom.plans import catalogue
 from lintloom.sources import readers, sinks
 
 HEADER = "### Final Idiom Violations Found"
@@ -232,6 +233,19 @@ def test_tables_and_metadata(spark):
     assert {(r.page_id, r.key, r.value) for r in readers.html_metadata(pages).collect()} == {(1, "Author", "X, Y"), (1, "Kind", "Std"), (1, "Year", "2020")}
 
 
+PAGE_QUERIES = ["tables_of_pages"]
+
+
+@pytest.mark.parametrize("name", PAGE_QUERIES)
+def test_pages_of_a_small_table_are_many_tasks(spark, tmp_path, name):
+    """A table of one file and one row group is one task as it is read; its pages are parsed in as many as a shuffle has."""
+    part = spark.range(300).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.col("id").cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).select("page_id").distinct().count() == 300
+    tasks = catalogue.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_blobs_specs_and_arrays(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "x.gz").write_bytes(gzip.compress("é".encode("latin-1")))
