@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,30 +126,35 @@ def edited(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[tupl
 
 
 EDITED = "text string, reverse array<struct<start:int,stop:int,content:string>>"
+_REVERSE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("content", pa.string())]))
+#: Texts that are edited before they are given on: of a batch's texts there are no more as Python's objects.
+TEXTS = 64
 
 
-def _frame(rows: list[tuple[str | None, list | None]]) -> pd.DataFrame:
-    named = [(text, None if back is None else [{"start": a, "stop": b, "content": c} for a, b, c in back]) for text, back in rows]
-    return pd.DataFrame(named, columns=["text", "reverse"])
+def _by_parts(texts: pa.Array, edits: pa.Array, offsets: Callable[[str, list[dict]], list[tuple[int, int, str]]]) -> Iterator[pa.Array]:
+    for at in range(0, len(texts), TEXTS):
+        rows = [
+            None if text is None or wanted is None else edited(text, offsets(text, wanted))
+            for text, wanted in zip(texts.slice(at, TEXTS).to_pylist(), edits.slice(at, TEXTS).to_pylist(), strict=True)
+        ]
+        text = pa.array([r and r[0] for r in rows], pa.string())
+        reverse = pa.array([r and [{"start": a, "stop": b, "content": c} for a, b, c in r[1]] for r in rows], _REVERSE)
+        yield pa.StructArray.from_arrays([text, reverse], names=["text", "reverse"])
 
 
-def _edit(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    return _frame([
-        (None, None) if text is None or wanted is None else edited(text, [(e["start"], e["stop"], e["content"]) for e in wanted])
-        for text, wanted in zip(texts, edits, strict=True)
-    ])
+def _edit(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, edits in batches:
+        yield from _by_parts(texts, edits, lambda _, wanted: [(e["start"], e["stop"], e["content"]) for e in wanted])
 
 
-def _edit_at(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, wanted in zip(texts, edits, strict=True):
-        if text is None or wanted is None:
-            out.append((None, None))
-            continue
+def _edit_at(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def offsets(text: str, wanted: list[dict]) -> list[tuple[int, int, str]]:
         starts = [0, *accumulate(len(x) + 1 for x in text.split("\n"))]
-        place = lambda p, s=starts: s[min(max(p["row"], 1), len(s)) - 1] + p["column"] - 1
-        out.append(edited(text, [(place(e["location"]), place(e["end_location"]), e["content"]) for e in wanted]))
-    return _frame(out)
+        place = lambda p: starts[min(max(p["row"], 1), len(starts)) - 1] + p["column"] - 1
+        return [(place(e["location"]), place(e["end_location"]), e["content"]) for e in wanted]
+
+    for texts, edits in batches:
+        yield from _by_parts(texts, edits, offsets)
 
 
 def edit(text: Column, edits: Column) -> Column:
@@ -155,15 +162,15 @@ def edit(text: Column, edits: Column) -> Column:
 
     Edits are done in the order of their offsets; one that begins inside its predecessor is left out. ``reverse``
     holds the edits that restore the text. A null text gives null in both; no edits leave the text as it is. The pass
-    over a text is Python's: natively each piece would be looked for from the beginning of the text.
+    over a text is Python's, TEXTS at a time: natively each piece would be looked for from the beginning of the text.
     """
     # not to be repeated where its fields are used: Spark copies what it takes to be deterministic
-    return F.pandas_udf(_edit, EDITED).asNondeterministic()(text, edits)
+    return F.arrow_udf(_edit, EDITED).asNondeterministic()(text, edits)
 
 
 def edit_at(text: Column, edits: Column) -> Column:
     """O-83: the same with edits between positions (location, end_location, content), as findings have them."""
-    return F.pandas_udf(_edit_at, EDITED).asNondeterministic()(text, edits)
+    return F.arrow_udf(_edit_at, EDITED).asNondeterministic()(text, edits)
 
 
 def offsets(text: Column, edits: Column) -> Column:

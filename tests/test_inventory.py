@@ -4,6 +4,7 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,6 +44,17 @@ def test_edits_and_their_reverse(spark):
             assert r.d.text == by_hand(r.t, [tuple(x) for x in r.e]) and r.back == r.t
 
 
+def test_edits_are_given_on_in_small_parts():
+    """However many texts a batch has, few of them are Python's objects at once."""
+    n = 5 * edits.TEXTS + 3
+    texts = pa.array([f"a{i}" for i in range(n)])
+    wanted = pa.array([None if i == 7 else [{"start": 0, "stop": 1, "content": "b"}] for i in range(n)])
+    parts = list(edits._edit(iter([(texts, wanted), (texts[:0], wanted[:0])])))
+    assert len(parts) == 6 and max(map(len, parts)) == edits.TEXTS
+    done = [x for part in parts for x in part.to_pylist()]
+    assert [x["text"] for x in done] == [None if i == 7 else f"b{i}" for i in range(n)] and done[0]["reverse"] == [{"start": 0, "stop": 1, "content": "a"}]
+
+
 def test_edits_at_positions_are_those_at_offsets(spark):
     point = lambda r, c: {"row": r, "column": c}
     wanted = [{"location": point(2, 2), "end_location": point(3, 1), "content": "X"}, {"location": point(1, 1), "end_location": point(1, 2), "content": ""}, {"location": point(9, 1), "end_location": point(9, 1), "content": "!"}]
