@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,6 +115,16 @@ def test_report_variants():
     assert reports.parse_marked("\n".join(["NO VIOLATIONS FOUND", head("A"), '{"a": 1}', "[1]", head("B"), "NO VIOLATIONS FOUND"])) == [{"a": 1, "code": "A"}, {"code": "B"}]
 
 
+def test_found_values_are_given_on_in_parts():
+    """The rows of a batch of reports, which are many more than the reports, aren't held at once."""
+    n, line = 3 * reports.REPORTS + 1, '{"line": "1 x"}'
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["\n".join([line] * 100)] * (n - 1) + [None])], names=["id", "text"])
+    parts = list(reports._batches([batch, batch.slice(0, 0)], reports._items, ["id", "parser", "code", "item"]))
+    assert max(p.num_rows for p in parts) == reports.ROWS and len(parts) == -(-(n - 1) * 300 // reports.ROWS)
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    assert rows == [r for i in range(n - 1) for r in reports._items(i, "\n".join([line] * 100))]
+
+
 def test_responses_are_deduplicated(spark):
     a, b = '**Idiom A Violations:**\n\n{"line": "1 x"}', "**Idiom B Violations:**\n\nNO VIOLATIONS FOUND"
     final = "why\n\n### Final Idiom Violations Found\n\n"
