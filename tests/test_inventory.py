@@ -245,7 +245,7 @@ def test_tables_and_metadata(spark):
     assert {(r.page_id, r.key, r.value) for r in readers.html_metadata(pages).collect()} == {(1, "Author", "X, Y"), (1, "Kind", "Std"), (1, "Year", "2020")}
 
 
-PAGE_QUERIES = ["tables_of_pages", "metadata_of_pages"]
+PAGE_QUERIES = ["tables_of_pages", "metadata_of_pages", "sections_of_pages"]
 
 
 @pytest.mark.parametrize("name", PAGE_QUERIES)
